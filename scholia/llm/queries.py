@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import chat_formatting, language_id, packing, quality_rules, token_counts
+from scholia.llm import chat_formatting, language_id, minhash_dedup, packing, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
@@ -91,7 +95,7 @@ FROM f LEFT JOIN h USING (source) CROSS JOIN b
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op4_language_id, op5_best_fit_packing, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
