@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import chat_formatting, language_id, minhash_dedup, packing, quality_rules, token_counts
+from scholia.llm import chat_formatting, embedding_dedup, language_id, minhash_dedup, packing, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.host_quality(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -95,7 +99,7 @@ FROM f LEFT JOIN h USING (source) CROSS JOIN b
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op6_embedding_dedup, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
