@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import chat_formatting, embedding_dedup, language_id, minhash_dedup, packing, quality_rules, suffix_dedup, token_counts
+from scholia.llm import chat_formatting, embedding_dedup, language_id, lm_scoring, minhash_dedup, packing, quality_rules, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,8 +103,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = lm_scoring.held_out(F.col("doc_id"))
+    out = lm_scoring.score(_table(spark, sf_dir, "documents"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op6_embedding_dedup, op7_quality_rules, op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op6_embedding_dedup, op7_quality_rules, op8_suffix_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
