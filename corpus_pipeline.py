@@ -1,4 +1,60 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: language, near duplicates, repeated passages, mixture, sequences. Counted as part of scholia.llm.
+
+Each stage works on all that its predecessor kept and, but for the last, returns the columns of ``documents``; between
+stages the documents are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scholia.llm import language_id, minhash_dedup, mixing, packing, suffix_dedup
+from scholia.llm.queries import WEIGHTS
+from scholia.llm.scratch import Scratch
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages the table itself teaches."""
+    return language_id.reject(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
+    gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that repeat; a document of which nothing but white space is left goes."""
+    out = suffix_dedup.remove_repeats(docs)
+    # a cut inside a character leaves bytes that are no text: they go
+    cut = F.replace(F.decode("kept_bytes", "UTF-8"), F.lit("\ufffd"), F.lit(""))
+    out = out.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(cut))
+    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the proportions of WEIGHTS: those with a copy or more stay, once each (repeats are the trainer's)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    gone = mixing.mix(docs, labels, WEIGHTS).where("copies = 0").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture), ("sequences", sequences)]
+
+#: SQL cannot express these stages; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = s.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import chat_formatting, embedding_dedup, language_id, lm_scoring, minhash_dedup, packing, quality_rules, suffix_dedup, token_counts
+from scholia.llm import chat_formatting, embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+#: Shares of the tokens by domain (quality/toxic): sound and clean, poor, toxic.
+WEIGHTS = {"1/0": 0.95, "0/0": 0.04, "1/1": 0.01}
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), WEIGHTS)
+    return out.select("doc_id", "n_tokens", F.array_join("percents", "/").alias("percents"), "domain", "rate", "copies")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = lm_scoring.held_out(F.col("doc_id"))
     out = lm_scoring.score(_table(spark, sf_dir, "documents"), ~held)
@@ -110,7 +119,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op6_embedding_dedup, op7_quality_rules, op8_suffix_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op6_embedding_dedup, op7_quality_rules, op8_suffix_dedup, op9_source_mixing, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
