@@ -28,9 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that repeat; a document of which nothing but white space is left goes."""
     out = suffix_dedup.remove_repeats(docs)
-    # a cut inside a character leaves bytes that are no text: they go
-    cut = F.replace(F.decode("kept_bytes", "UTF-8"), F.lit("\ufffd"), F.lit(""))
-    out = out.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(cut))
+    out = out.withColumn("text", F.col("kept_text"))
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
 

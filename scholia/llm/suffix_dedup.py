@@ -19,7 +19,7 @@ overlap and may lie in one document.
 
 Defined results: a null text counts as empty; texts shorter than MATCH bytes are left alone; repeated rows are documents of
 their own (all their passages repeat); a null doc_id is kept; empty tables give empty tables; cutting inside a character
-leaves its other bytes in kept_bytes and drops them in the text given back.
+leaves its other bytes in kept_bytes and drops them in kept_text.
 """
 
 from __future__ import annotations
@@ -243,7 +243,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """All columns of docs, with kept_bytes (what remains of the text), n_bytes, n_removed and n_spans."""
+    """All columns of docs, with kept_bytes and kept_text (what remains of the text), n_bytes, n_removed and n_spans."""
     s = Scratch(docs.sparkSession, "suffix")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, window: int = WINDOW, ba
             for t, found in zip(batch.column("text"), batch.column("spans_"), strict=True):
                 data = (t.as_py() or "").encode()
                 if found.as_py() is None:
-                    out.append((data, len(data), 0, 0))
+                    out.append((data, t.as_py(), len(data), 0, 0))
                     continue
                 v = found.values
                 runs = merged(v.field("start").to_numpy(), v.field("end").to_numpy())
@@ -268,10 +268,11 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, window: int = WINDOW, ba
                     at = b
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                out.append((rest, len(data), len(data) - len(rest), len(runs)))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[*names, "kept_bytes", "n_bytes", "n_removed", "n_spans"])
+                out.append((rest, rest.decode("utf-8", "ignore"), len(data), len(data) - len(rest), len(runs)))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            made = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "kept_bytes", "kept_text", "n_bytes", "n_removed", "n_spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.select(*names, "spans_").mapInArrow(run, f"{fields}, kept_bytes binary, n_bytes long, n_removed long, n_spans long")
+    return rows.select(*names, "spans_").mapInArrow(run, f"{fields}, kept_bytes binary, kept_text string, n_bytes long, n_removed long, n_spans long")
 
