@@ -10,8 +10,9 @@ indexed, about one in 80 places. Passages of one anchor share at least the PREFI
    has at most log2(b) + 1 levels and every entry moves as often.
 2. Anchors whose prefix occurs twice are then settled exactly. Occurrences with the same reach to both sides and the same
    bytes there are one class: with two or more members, all its passages repeat. Only where a prefix has several classes,
-   each class compares its single passages, by fingerprints of all MATCH bytes, dealt by prefix and distance to the anchor,
-   so that a prefix which thousands of classes share is no hot group.
+   each class compares its single passages, by fingerprints of all MATCH bytes, dealt by prefix and distance to the anchor.
+   Passages of a prefix that more than HOT classes share are counted by fingerprint instead, with partial sums, and joined
+   back, so such a prefix is no hot group.
 3. Repeated passages become byte spans, which are cut out of the texts.
 
 Fingerprints have 64 bits; equal passages are never missed. Matches do not cross documents, are judged on the input, may
@@ -40,6 +41,7 @@ WINDOW = 192
 GRAM = 16
 BATCHES = 4
 CHUNK = 16
+HOT = 256
 _PLACE = np.uint64((1 << 31) - 1)
 
 
@@ -132,6 +134,7 @@ def _passages(match: int):
             row = np.repeat(np.arange(b.n), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             flat = lists.flatten()
             at, low, high, core, single = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("at", "low", "high", "core", "single"))
+            hot = flat.field("hot").to_numpy(zero_copy_only=False).astype(bool)
             n = (high - low + 1).astype(np.int64)
             which = np.repeat(np.arange(len(n)), n)
             start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
@@ -139,11 +142,12 @@ def _passages(match: int):
             h = spans(prefix, base + start, base + start + match)
             chunk = (at[which] - start) // CHUNK
             deal = mix(core[which].astype(np.int64).view(np.uint64) + chunk.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            cut = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (chunk[1:] != chunk[:-1]))) if len(which) else np.zeros(0, np.int64)
+            deal = np.where(hot[which], h.view(np.int64), deal)
+            cut = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (chunk[1:] != chunk[:-1]) | hot[which[1:]])) if len(which) else np.zeros(0, np.int64)
             ends = np.append(cut[1:], len(which))
             blobs = [h[x:y].tobytes() for x, y in zip(cut, ends, strict=True)]
             own = pa.array(row[which[cut]])
-            yield pa.RecordBatch.from_arrays([pa.array(deal[cut]), part.column("key").take(own), part.column("th").take(own), pa.array(start[cut].astype(np.int32)), pa.array(single[which[cut]].astype(bool)), pa.array(blobs, pa.binary())], names=["deal", "key", "th", "start", "single", "prints"])
+            yield pa.RecordBatch.from_arrays([pa.array(deal[cut]), part.column("key").take(own), part.column("th").take(own), pa.array(start[cut].astype(np.int32)), pa.array(single[which[cut]].astype(bool)), pa.array(hot[which[cut]]), pa.array(blobs, pa.binary())], names=["deal", "key", "th", "start", "single", "hot", "prints"])
 
     return run
 
@@ -219,15 +223,17 @@ def repeated_spans(docs: DataFrame, s: Scratch, match: int = MATCH, window: int
     classes = s.keep(found.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(one).alias("one")), "classes")
     whole = found.join(classes.where("n > 1").select("core", "ctx"), ["core", "ctx"]).select("key", "th", F.col("low").alias("start"), (F.col("high") + match).alias("end"))
     whole = s.keep(whole.groupBy("key", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "whole")
-    contested = s.keep(classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"), "contested")
-    members = classes.join(contested, "core").select("one.key", "one.th", "one.at", "one.low", "one.high", "core", (F.col("n") == 1).alias("single"))
-    rows = s.keep(members.groupBy("key", "th").agg(F.collect_list(F.struct("at", "low", "high", "core", "single")).alias("classes")), "members")
-    prints = s.keep(_of_documents(docs, rows).select("key", "th", "text", "classes").mapInArrow(_passages(match), "deal long, key long, th long, start int, single boolean, prints binary"), "prints")
-    part = prints.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_settle(match), "key long, th long, start int, end int")
-    part = s.keep(part.groupBy("key", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "part")
+    contested = s.keep(classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core", (F.col("k") > HOT).alias("hot")), "contested")
+    members = classes.join(contested, "core").select("one.key", "one.th", "one.at", "one.low", "one.high", "core", (F.col("n") == 1).alias("single"), "hot")
+    rows = s.keep(members.groupBy("key", "th").agg(F.collect_list(F.struct("at", "low", "high", "core", "single", "hot")).alias("classes")), "members")
+    prints = s.keep(_of_documents(docs, rows).select("key", "th", "text", "classes").mapInArrow(_passages(match), "deal long, key long, th long, start int, single boolean, hot boolean, prints binary"), "prints")
+    twice = s.keep(prints.where("hot").groupBy("deal").agg(F.count("*").alias("k")).where("k > 1").select("deal"), "twice")
+    common = prints.where("hot and single").join(twice, "deal").select("key", "th", "start", (F.col("start") + match).cast("int").alias("end"))
+    part = prints.where("not hot").drop("hot").repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_settle(match), "key long, th long, start int, end int")
+    part = s.keep(part.union(common).groupBy("key", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "part")
     out = whole.union(part).groupBy("key", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = s.keep(out, "spans")
-    s.drop(found, classes, whole, contested, rows, prints, part)
+    s.drop(found, classes, whole, contested, rows, prints, twice, part)
     return out
 
 
