@@ -30,11 +30,13 @@ from scholia.llm.textblock import mix
 LIMIT = 0.95
 #: Rows of the sample to which codebooks are fitted, and queries of the sample that sets the number of visits.
 FIT_ROWS, FIT_QUERIES = 8192, 256
-CENTRES = 32
+#: Centres a half: as many as leave about ROWS_A_CELL vectors a cell, within these bounds; so at most 65,536 cells.
+CENTRES, ROWS_A_CELL = (16, 256), 32
 RECALL = 0.999
 #: Cells visited at least, whatever the sample says.
 LEAST_VISITS = 8
-BLOCK = 1024
+#: Members of a part, and visitors of a wave, about.
+BLOCK, WAVE = 256, 768
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -154,7 +156,7 @@ def _verify(limit: float):
     return run
 
 
-def near_duplicates(rows: DataFrame, limit: float = LIMIT, recall: float = RECALL, centres: int = CENTRES) -> DataFrame:
+def near_duplicates(rows: DataFrame, limit: float = LIMIT, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row (vec_id, embedding)."""
     spark = rows.sparkSession
     s = Scratch(spark, "multi-index")
@@ -170,6 +172,7 @@ def near_duplicates(rows: DataFrame, limit: float = LIMIT, recall: float = RECAL
     if len(sample):
         x = np.stack([np.frombuffer(v, np.float64) for v in sample])
         half = dim // 2
+        centres = min(CENTRES[1], max(CENTRES[0], int(np.ceil(np.sqrt(base.count() / ROWS_A_CELL)))))
         books = (codebook(x[:, :half].copy(), centres), codebook(x[:, half:].copy(), centres))
         visits = _visits(x[:FIT_QUERIES], base, books, limit, recall)
         stars = s.keep(_met(base, s, books, visits, limit), "met")
@@ -204,13 +207,13 @@ def _met(base: DataFrame, s: Scratch, books: tuple[np.ndarray, np.ndarray], visi
     fields = "node long, copies long, unit binary, cell long"
     cells = s.keep(base.mapInArrow(index, fields), "index")
     sizes = s.keep(cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "sizes")
-    # at most centres ** 2 rows: a proven bound
+    # at most 256 ** 2 rows: a proven bound
     sizes = F.broadcast(sizes)
     salt = F.xxhash64("node")
     inner = cells.join(sizes, "cell").select("cell", F.pmod(salt, F.col("parts")).alias("part"), F.lit(0).alias("wave"), "node", "copies", "unit", F.lit(False).alias("query"))
     asked = base.mapInArrow(visit, fields).join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "copies", "unit", F.lit(True).alias("query"))
     # visitors of a part come in waves of bounded size, each with the part's members
-    waves = s.keep(asked.groupBy("cell", "part").agg(F.ceil(F.count("*") / (4 * BLOCK)).alias("waves")), "waves")
+    waves = s.keep(asked.groupBy("cell", "part").agg(F.ceil(F.count("*") / WAVE).alias("waves")), "waves")
     outer = asked.join(waves, ["cell", "part"]).select("cell", "part", F.pmod(F.hash("node"), F.col("waves")).cast("int").alias("wave"), "node", "copies", "unit", "query")
     inner = inner.drop("wave").join(waves, ["cell", "part"]).select("cell", "part", F.explode(F.sequence(F.lit(0), (F.col("waves") - 1).cast("int"))).alias("wave"), "node", "copies", "unit", "query")
     return outer.union(inner).groupBy("cell", "part", "wave").applyInArrow(_verify(limit), "a long, n long, b long")
