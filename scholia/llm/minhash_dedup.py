@@ -67,7 +67,7 @@ def shingles(b: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(h)) - first[row]
     for k in range(words):
         nxt = np.zeros_like(h)
-        nxt[: len(h) - k] = h[k:]
+        nxt[: max(0, len(h) - k)] = h[k:]
         inside = place + k < n[row]
         acc = np.where(inside, mix(acc * np.uint64(31) + nxt + np.uint64(k + 1)), acc)
     take = (place + words <= n[row]) | ((place == 0) & (n[row] < words))

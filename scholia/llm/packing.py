@@ -231,7 +231,7 @@ def ranges(sequences: list[tuple[int, tuple[int, ...]]]) -> pd.DataFrame:
             used[length] += n * copies
             at += copies * length
         base += n
-    return pd.DataFrame(rows, columns=["length", "first", "end", "base", "copies", "offset"]).sort_values(["length", "first"], ignore_index=True)
+    return pd.DataFrame(rows, columns=["length", "first", "end", "base", "copies", "offset"], dtype="int64").sort_values(["length", "first"], ignore_index=True)
 
 
 def _runs(lengths: tuple[int, ...]) -> list[tuple[int, int]]:

@@ -144,7 +144,7 @@ def _passages(match: int):
             deal = mix(core[which].astype(np.int64).view(np.uint64) + chunk.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             deal = np.where(hot[which], h.view(np.int64), deal)
             cut = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (chunk[1:] != chunk[:-1]) | hot[which[1:]])) if len(which) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(which))
+            ends = np.append(cut[1:], len(which))[: len(cut)]
             blobs = [h[x:y].tobytes() for x, y in zip(cut, ends, strict=True)]
             own = pa.array(row[which[cut]])
             yield pa.RecordBatch.from_arrays([pa.array(deal[cut]), part.column("key").take(own), part.column("th").take(own), pa.array(start[cut].astype(np.int32)), pa.array(single[which[cut]].astype(bool)), pa.array(hot[which[cut]]), pa.array(blobs, pa.binary())], names=["deal", "key", "th", "start", "single", "hot", "prints"])
@@ -249,7 +249,9 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """All columns of docs, with kept_bytes and kept_text (what remains of the text), n_bytes, n_removed and n_spans."""
+    """All columns of docs, with kept_bytes and kept_text (what remains of the text), n_bytes, n_removed and n_spans,
+    which replace columns of these names."""
+    docs = docs.drop("kept_bytes", "kept_text", "n_bytes", "n_removed", "n_spans", "spans_", "key_", "th_")
     s = Scratch(docs.sparkSession, "suffix")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
