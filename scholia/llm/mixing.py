@@ -69,30 +69,34 @@ class Classifier:
     def __init__(self, domains: list[str], prior: list[float], weights: dict[str, list[float]]):
         self.domains, self.prior, self.weights = domains, prior, weights
 
-    def percents(self, feats: Column) -> Column:
-        """array<int> of whole percents by domain; the first of the largest gets what rounding leaves."""
+    def with_percents(self, feats: DataFrame) -> DataFrame:
+        """feats with percents: array<int> of whole percents by domain; the first of the largest gets what rounding leaves.
+
+        Each step is a column of its own: the optimiser does not repeat a costly column that is used more than once.
+        """
         if len(self.domains) == 1:
-            return F.array(F.lit(100))
+            return feats.withColumn("percents", F.array(F.lit(100)))
         known = F.array(*(F.lit(w) for w in self.weights))
         table = F.create_map(*(x for w, v in self.weights.items() for x in (F.lit(w), F.array(*(F.lit(y) for y in v)))))
         start = F.array(*(F.lit(x) for x in self.prior))
-        score = F.aggregate(F.array_intersect(feats, known), start, lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda a, b: a + b))
-        top = F.array_max(score)
-        odds = F.transform(score, lambda x: F.exp(x - top))
-        total = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
-        low = F.transform(odds, lambda x: F.floor(100 * x / total).cast("int"))
-        rest = F.lit(100) - F.aggregate(low, F.lit(0), lambda a, b: a + b)
-        best = F.array_position(low, F.array_max(low)) - 1
-        return F.transform(low, lambda x, i: x + F.when(i == best, rest).otherwise(0))
-
-
-def train(feats: DataFrame, labels: DataFrame, s: Scratch, fit_rows: int = FIT_ROWS, words: int = WORDS) -> Classifier:
-    """The classifier of domain ``quality/toxic`` over labelled rows of feats (doc_id, feats_)."""
+        score = F.aggregate(F.array_intersect("feats_", known), start, lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda a, b: a + b))
+        df = feats.withColumn("score_", score).withColumn("top_", F.array_max("score_"))
+        df = df.withColumn("odds_", F.transform("score_", lambda x: F.exp(x - F.col("top_"))))
+        df = df.withColumn("total_", F.aggregate("odds_", F.lit(0.0), lambda a, b: a + b))
+        df = df.withColumn("low_", F.transform("odds_", lambda x: F.floor(100 * x / F.col("total_")).cast("int")))
+        df = df.withColumn("rest_", F.lit(100) - F.aggregate("low_", F.lit(0), lambda a, b: a + b)).withColumn("best_", F.array_position("low_", F.array_max("low_")) - 1)
+        df = df.withColumn("percents", F.transform("low_", lambda x, i: x + F.when(i == F.col("best_"), F.col("rest_")).otherwise(0)))
+        return df.drop("score_", "top_", "odds_", "total_", "low_", "rest_", "best_")
+
+
+def train(docs: DataFrame, labels: DataFrame, s: Scratch, fit_rows: int = FIT_ROWS, words: int = WORDS) -> Classifier:
+    """The classifier of domain ``quality/toxic`` over labelled rows of docs (doc_id, text)."""
     domain = F.concat_ws("/", F.col("quality").cast("string"), F.col("toxic").cast("string"))
     named = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(domain).alias("domain"))
     chosen = named.orderBy(F.xxhash64("doc_id")).limit(fit_rows)
     # at most fit_rows rows of a number and a label: a proven bound
-    rows = s.keep(feats.select("doc_id", "feats_").join(F.broadcast(s.keep(chosen, "labels")), "doc_id").select("domain", "feats_"), "labelled")
+    fit = docs.join(F.broadcast(s.keep(chosen, "labels")), "doc_id")
+    rows = s.keep(features(fit).select("domain", "feats_"), "labelled")
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Classifier([UNLABELLED], [0.0], {})
@@ -160,9 +164,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int
     """doc_id, n_tokens, percents by domain, rate, copies and the likeliest domain of every row of docs; weights are shares
     of the tokens by domain ``quality/toxic``."""
     s = Scratch(docs.sparkSession, "mixing")
-    feats = features(docs.select("doc_id", "text"))
-    model = train(feats, labels, s)
-    rows = s.keep(feats.select("doc_id", "n_tokens", model.percents(F.col("feats_")).alias("percents")), "posteriors")
+    slim = docs.select("doc_id", "text")
+    model = train(slim, labels, s)
+    rows = s.keep(model.with_percents(features(slim).select("doc_id", "n_tokens", "feats_")).select("doc_id", "n_tokens", "percents"), "posteriors")
     groups = s.keep(rows.groupBy("percents").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "groups")
     total = groups.agg(F.sum("tokens")).first()[0] or 0
     share = [weights.get(x, 0.0) for x in model.domains] if model.domains != [UNLABELLED] else [1.0]
