@@ -123,3 +123,57 @@ def word_overlap(option: Column, answer: Column) -> Column:
     ow, aw = (F.array_distinct(F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))) for x in (o, a))
     ratio = F.size(F.array_intersect(ow, aw)) / F.greatest(F.size(ow), F.lit(1))
     return F.when((F.length(o) > 15) & (F.size(ow) > 0), ratio >= 0.6).otherwise(a.contains(o))
+
+
+# Ways in which a free text names its predicted option, in order of trust.
+PREDICTIONS = (
+    r"I\s+predict\s+(?:that\s+)?(?:option|answer)\s*(?:number|#)?\s*(\d+)",
+    r"(?:My prediction|My answer|I believe|I think)\s+(?:is|would be)\s+(?:option|answer)?\s*(?:number|#)?\s*(\d+)",
+    r"(?:option|answer)\s+(\d+)\s+(?:is|seems|appears to be)\s+(?:the\s+)?correct",
+    r"(?:based on|after)\s+(?:my|this)\s+analysis,\s+(?:option|answer)\s+(\d+)",
+    r"(?:therefore|thus|hence),\s+(?:option|answer)\s+(\d+)",
+    r"(?:I would|I am going to|I will)\s+(?:choose|select|pick|go with)\s+(?:option|answer)\s+(\d+)",
+    r"(?:option|answer)\s+(\d+)[\s.:,]",
+    r"(?:the\s+)?correct\s+(?:option|answer)\s+(?:is|would be)\s+(\d+)",
+    r"I\s+(?:choose|select|pick)\s+(?:option|answer)\s+(\d+)",
+    r"(?:option|answer)\s+(\d+)\s+is\s+(?:the\s+)?(?:most\s+)?(?:correct|accurate|appropriate)",
+)
+ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")
+CONFIDENCE = (r"(?:My confidence|Confidence level|I am)(?:is|:)?\s+(high|medium|low)", r"I have\s+(high|medium|low)(?:\s+level of)?\s+confidence")
+CONCLUSIONS = (
+    r"(?:Scientific conclusion|Conclusion|Final conclusion|In conclusion|To summarize)(?:is|:)(.*?)$",
+    r"(?:Based on my analysis|After analyzing all options|Having considered the evidence)(.*?)$",
+)
+
+
+def prediction(text: Column) -> Column:
+    """Struct of predicted (``Option n`` or ``Could not determine``) and confidence (unknown if none is told)."""
+    named = F.coalesce(*(_first(text, "(?i)" + p) for p in PREDICTIONS))
+    word = None
+    for k, w in [*enumerate(ORDINALS, 1), *enumerate("abcdefg", 1)]:
+        rule = text.rlike(rf"(?i)(?:the\s+)?{w}(?:\s+option|\s+answer)?\s+(?:is|seems|appears\s+to\s+be)\s+correct")
+        word = F.when(rule, str(k)) if word is None else word.when(rule, str(k))
+    number = F.coalesce(named, word)
+    told = F.coalesce(*(_first(text, "(?i)" + p) for p in CONFIDENCE))
+    return F.struct(F.coalesce(F.concat(F.lit("Option "), number), F.lit("Could not determine")).alias("predicted"), F.coalesce(F.lower(told), F.lit("unknown")).alias("confidence"))
+
+
+def conclusion(text: Column) -> Column:
+    """The text after a heading of conclusion; empty if there is none."""
+    found = F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text, "(?is)" + p, 1)), F.lit("")) for p in CONCLUSIONS))
+    return F.coalesce(found, F.lit(""))
+
+
+def option_thoughts(text: Column, options: int) -> Column:
+    """Map of option_k to the text after ``Option k:``, to the next one; the first of a number counts."""
+    parts = F.split(F.regexp_replace(text, r"(?i)(?:I\s+predict|My\s+prediction)[\s\S]*$", ""), r"(?i)(?:^|\b)option\s+(?=\d+[\s:])")
+    pairs = F.transform(F.slice(parts, 2, 1000), lambda p: F.struct(F.concat(F.lit("option_"), F.regexp_extract(p, r"^(\d+)", 1)).alias("k"), F.regexp_replace(p, r"^\d+[\s:]+|\s+$", "").alias("v")))
+    good = F.filter(pairs, lambda p: (p["v"] != "") & F.regexp_extract(p["k"], r"(\d+)$", 1).cast("int").between(1, options))
+    first = F.filter(good, lambda p, i: F.array_position(F.transform(good, lambda q: q["k"]), p["k"]) == i + 1)
+    return F.map_from_entries(first)
+
+
+def option_keys(thoughts: Column) -> Column:
+    """Keys option_k in order of number; others last."""
+    number = lambda k: F.coalesce(F.nullif(F.regexp_extract(k, r"^option_(\d+)$", 1), F.lit("")).cast("int"), F.lit(2**31 - 1))
+    return F.transform(F.array_sort(F.transform(F.map_keys(thoughts), lambda k: F.struct(number(k).alias("n"), k.alias("k")))), lambda s: s["k"])

@@ -214,3 +214,37 @@ def features(s: Column) -> dict[str, Column]:
         "flow_repetition_ratio": share(F.coalesce(most, F.lit(0)), steps),
         "conclusion_efficiency": share(F.size(s["conclusion"]), others),
     }
+
+
+# Sub-clause patterns by kind, each with two groups.
+SUB_CLAUSES = {
+    "conditional": (
+        r"if\s+(.+?)\s*,?\s*then\s+(.+?)[\.,]",
+        r"if\s+(.+?)\s*,\s*(.+?)[\.,]",
+        r"when\s+(.+?)\s*,\s*(.+?)[\.,]",
+        r"whenever\s+(.+?)\s*,\s*(.+?)[\.,]",
+        r"provided\s+that\s+(.+?)\s*,\s*(.+?)[\.,]",
+        r"given\s+that\s+(.+?)\s*,\s*(.+?)[\.,]",
+        r"assuming\s+(.+?)\s*,\s*(.+?)[\.,]",
+    ),
+    "causal": (
+        r"(.+?)\s+causes?\s+(.+?)[\.,]",
+        r"(.+?)\s+leads?\s+to\s+(.+?)[\.,]",
+        r"(.+?)\s+results?\s+in\s+(.+?)[\.,]",
+        r"because\s+(.+?)\s*,\s*(.+?)[\.,]",
+        r"since\s+(.+?)\s*,\s*(.+?)[\.,]",
+        r"due\s+to\s+(.+?)\s*,\s*(.+?)[\.,]",
+    ),
+    "disjunctive": (r"either\s+(.+?)\s+or\s+(.+?)[\.,]", r"(.+?)\s+or\s+(.+?)[\.,]"),
+}
+
+
+def sub_clauses(sentence: Column, least: int = 5) -> Column:
+    """array of kind, role (1 or 2) and text of every match's groups that are longer than `least` characters."""
+
+    def of(kind: str, pattern: str, role: int) -> Column:
+        found = F.regexp_extract_all(sentence, F.lit("(?i)" + pattern), F.lit(role))
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.trim(x).alias("text")))
+
+    out = [of(kind, p, role) for kind, patterns in SUB_CLAUSES.items() for p in patterns for role in (1, 2)]
+    return F.filter(F.flatten(F.array(*out)), lambda c: F.length(c["text"]) > least)

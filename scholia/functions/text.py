@@ -244,3 +244,95 @@ def title(text: Column, path: Column) -> Column:
     told = F.regexp_extract(text, r"(?im)^title:\s*(.+)$", 1)
     line = F.trim(F.get(F.filter(lines, lambda x: F.length(F.trim(x)) > 10), F.lit(0)))
     return F.when(told != "", F.trim(told)).otherwise(F.coalesce(line, stem(path)))
+
+
+# Openings that a label loses, in order; then phrases after them.
+LABEL_PREFIXES = ("Here is the topic label:", "Technical label:", "The label is:", "Label:", "Topic:", "Based on", "After analyzing", "Looking at")
+LABEL_INTROS = ("is ", "would be ", "appears to be ", "seems to be ")
+# Labels too general to be technical, and what makes a label technical.
+GENERIC_LABELS = (
+    "mixed research", "research topic", "topic cluster", "unknown topic", "various studies", "multiple topics", "diverse research",
+    "general research", "biomedical research", "medical research", "scientific research", "research field", "research area",
+    "research studies", "research applications", "biological studies", "medical studies", "clinical studies", "major research",
+    "specialized research", "focused research", "advanced research", "fundamental research", "applied research",
+    "experimental research", "theoretical research", "core research",
+)
+BROAD_LABELS = (
+    "radiation research", "cancer research", "dna research", "cell research", "molecular research", "biological research",
+    "medical research", "clinical research", "therapeutic research", "diagnostic research",
+)
+INDICATORS = (
+    "dna", "rna", "protein", "gene", "cell", "molecular", "pathway", "mechanism", "receptor", "enzyme", "antibody", "treatment",
+    "therapy", "disease", "cancer", "tumor", "radiation", "chemical", "biological", "clinical", "diagnosis", "biomarker",
+    "signaling", "metabolism", "synthesis",
+)
+SPECIFIC = ("p53", "crispr", "mrna", "covid", "alzheimer", "parkinson")
+
+
+def cleaned_label(c: Column) -> Column:
+    """the first prefix that matches goes, then marks at the ends, then the first introductory phrase."""
+    out = None
+    for p in LABEL_PREFIXES:
+        cut = F.trim(F.substring(c, F.lit(len(p) + 1), F.length(c)))
+        rule = F.lower(c).startswith(p.lower())
+        out = F.when(rule, cut) if out is None else out.when(rule, cut)
+    c = out.otherwise(c)
+    for mark in ('"', "'", ":", "*", "-"):
+        c = F.regexp_replace(c, rf"^[{mark}]+|[{mark}]+$", "")
+    c = F.trim(c)
+    out = None
+    for p in LABEL_INTROS:
+        rule, cut = F.lower(c).startswith(p), F.trim(F.substring(c, F.lit(len(p) + 1), F.length(c)))
+        out = F.when(rule, cut) if out is None else out.when(rule, cut)
+    return out.otherwise(c)
+
+
+def is_technical_label(c: Column) -> Column:
+    """P25: four characters or more, not general, at most six words, with a technical word; one such word alone among three
+    words or fewer must be a specific term."""
+    low = F.lower(c)
+
+    def any_of(x: Column, parts: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for p in parts:
+            out = out | x.contains(p)
+        return out
+
+    w = words(low)
+    n = F.size(F.filter(w, lambda x: any_of(x, INDICATORS)))
+    lone = (n == 1) & (F.size(w) <= 3) & ~any_of(low, SPECIFIC)
+    return F.coalesce((F.length(c) >= 4) & ~any_of(low, GENERIC_LABELS + BROAD_LABELS) & (n > 0) & (F.size(w) <= 6) & ~lone, F.lit(False))
+
+
+def directory_description(name: Column, keywords: Column) -> Column:
+    """a sentence of the first five keywords and one of the next five."""
+    top, other = F.slice(keywords, 1, 5), F.slice(keywords, 6, 5)
+
+    def listed(xs: Column) -> Column:
+        return F.array_join(F.slice(xs, F.lit(1), F.greatest(F.size(xs) - 1, F.lit(0))), ", ")
+
+    first = F.concat(F.lit("The "), name, F.lit(" directory contains documents primarily focused on "), listed(top), F.lit(" and "), F.element_at(top, -1), F.lit(". "))
+    last = F.when(F.size(other) > 1, F.concat(F.lit(" and "), F.element_at(other, -1), F.lit("."))).otherwise(".")
+    more = F.when(F.size(other) > 0, F.concat(F.lit("Other relevant topics include "), listed(other), last)).otherwise("")
+    none = F.concat(F.lit("No meaningful keywords could be extracted from the "), name, F.lit(" directory."))
+    return F.when(F.size(keywords) == 0, none).otherwise(F.concat(first, more))
+
+
+def split_list(c: Column) -> Column:
+    """a comma list, trimmed, without empty parts."""
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def question_fields(response: Column) -> Column:
+    """F32: struct of question_type, difficulty_level and question from line prefixes; without a question, the whole
+    response as an advanced critical analysis."""
+
+    def line(name: str) -> Column:
+        return F.when(response.rlike(rf"(?m)^{name}:"), F.trim(F.regexp_extract(response, rf"(?m)^{name}:([^\n]*)", 1)))
+
+    q = line("QUESTION")
+    return F.struct(
+        F.when(q.isNull(), "critical_analysis").otherwise(line("QUESTION_TYPE")).alias("question_type"),
+        F.when(q.isNull(), "advanced").otherwise(line("DIFFICULTY")).alias("difficulty_level"),
+        F.coalesce(q, F.trim(response)).alias("question"),
+    )

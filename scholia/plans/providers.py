@@ -53,14 +53,13 @@ def retrying(call: Provider, tries: int = 5, longest: float = 300.0, jitter: tup
 
 
 def error_class(message: Column) -> Column:
-    """What went wrong, by the message."""
-    m = F.lower(message)
+    """What went wrong, by the message, in this order."""
+    low = F.lower(message)
     return (
-        F.when(m.contains("timeout") | m.contains("timed out"), "timeout")
-        .when(m.contains("401") | m.contains("unauthorized") | m.contains("api key"), "auth")
-        .when(m.contains("404") | m.contains("not found"), "not_found")
-        .when(m.contains("429") | m.contains("rate limit"), "rate_limit")
-        .when(m.contains("connection"), "connection")
+        F.when(message.contains("Invalid authentication") | message.contains("401"), "authentication")
+        .when(low.contains("timeout") | low.contains("timed out"), "timeout")
+        .when(low.contains("connection"), "connection")
+        .when(message.contains("404") | low.contains("not found"), "not_found")
         .otherwise("other")
     )
 
