@@ -5,9 +5,10 @@ by hash range, and each range is merged apart; no count is sampled and no word i
 
 Filter: a count c is quantised to level q = 1 + floor(log(c / least) / log(BASE)), and the events (n-gram, 1), ...,
 (n-gram, q) are set. The filter has SEGMENTS parts; an n-gram's range names its part, so parts are built apart and only
-their bits (at most 2 ** MAX_BITS, whatever the corpus) reach the driver and, by broadcast, the workers. Single words are
-stored from count 1, pairs from PAIR_LEAST; only where the events would overfill the filter (under BITS_PER_EVENT) do both
-limits double until they fit. A count is read back by probing levels until one is missing.
+their bits meet. Single words are stored from count 1, pairs from PAIR_LEAST, and the bits follow the number of events
+(BITS_PER_EVENT) without a ceiling. A count is read back by probing levels until one is missing. A filter of at most
+2 ** MAX_BITS bits is gathered by the driver and broadcast. A larger one stays a table: every block sends its distinct
+n-grams to their segments and gets the levels back, which gives the same scores at any size.
 
 Model: P(w | u) = k * c(u, w) / c(u) + (1 - k) * (c(w) + 1) / (N + V + 1), with counts from probes, u the word before (or
 the beginning), and a weight k for each level of c(u) that maximises the left-one-out likelihood of all training tokens.
@@ -39,6 +40,8 @@ SEGMENTS = 256
 MAX_BITS = 28
 BITS_PER_EVENT = 6
 PAIR_LEAST = 2
+#: Least counts stored of words and of pairs.
+LEAST = (1, PAIR_LEAST)
 TOP = 1 << 18
 FLUSH = 1 << 21
 WEIGHTS = np.array([0.0, 0.001, 0.003, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
@@ -178,11 +181,10 @@ def _places(h: np.ndarray, q: int, probe: int, bits: int) -> np.ndarray:
 
 
 class Filter:
-    """The words of the bit array, and the least counts stored of words and pairs."""
+    """The words of the bit array, or of one segment of it, for n-grams of that segment alone."""
 
-    def __init__(self, words: np.ndarray, least: tuple[int, int]):
-        self.words, self.least, self.bits = words, least, int(np.log2(len(words))) + 6
-        self.values = [values(x) for x in least]
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits, self.mask = words, bits, np.uint64(64 * len(words) - 1)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The highest level of each n-gram whose probes, and those of all levels below, are set."""
@@ -190,7 +192,7 @@ class Filter:
         at = np.arange(len(h))
         for q in range(1, LEVELS):
             for probe in range(PROBES):
-                p = _places(h[at], q, probe, self.bits)
+                p = _places(h[at], q, probe, self.bits) & self.mask
                 at = at[(self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0]
             if not len(at):
                 break
@@ -198,7 +200,9 @@ class Filter:
         return out
 
 
-def build_filter(counted: DataFrame, s: Scratch, max_bits: int = MAX_BITS) -> Filter:
+def filter_bits(counted: DataFrame) -> int:
+    """The logarithm of the filter's size: it follows the number of events, without a ceiling."""
+
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, kind, _, c in _arrays(batches):
             b, n = np.unique(_bin(c), return_counts=True)
@@ -206,48 +210,119 @@ def build_filter(counted: DataFrame, s: Scratch, max_bits: int = MAX_BITS) -> Fi
 
     # counts in bins of 1/16 octave: a few hundred rows for any corpus
     hist = [(r["kind"], 2 ** (r["bin"] / 16), r["n"]) for r in counted.mapInArrow(sizes, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()]
-    least = (1, PAIR_LEAST)
-    while True:
-        events = sum(int(level(np.array([c * 1.02]), least[k - 1])[0]) * n for k, c, n in hist)
-        if events * BITS_PER_EVENT <= 2**max_bits or not events:
-            break
-        least = (least[0] * 2, least[1] * 2)
-    bits = min(max_bits, max(16, int(np.ceil(np.log2(max(1, events) * BITS_PER_EVENT)))))
+    events = sum(int(level(np.array([c * 1.02]), LEAST[k - 1])[0]) * n for k, c, n in hist)
+    return max(16, int(np.ceil(np.log2(max(1, events) * BITS_PER_EVENT))))
+
+
+def segments(counted: DataFrame, bits: int) -> DataFrame:
+    """Rows (segment, bits); a segment whose ranges lie in several tasks has several rows, to be united."""
     inner = bits - 8
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
         for _, kind, h, c in _arrays(batches):
-            q = level(c, least[kind - 1])
-            for k in range(1, int(q.max(initial=0)) + 1):
+            if not len(h):
+                continue
+            q = level(c, LEAST[kind - 1])
+            flag = np.zeros(1 << inner, np.uint8)
+            for k in range(1, int(q.max()) + 1):
+                on = h[q >= k]
                 for probe in range(PROBES):
-                    p = _places(h[q >= k], k, probe, bits)
-                    if len(p):
-                        seg = int(p[0] >> np.uint64(inner))
-                        got = made.setdefault(seg, np.zeros(1 << (inner - 3), np.uint8))
-                        flag = np.zeros(1 << inner, np.uint8)
-                        flag[p & np.uint64((1 << inner) - 1)] = 1
-                        got |= np.packbits(flag, bitorder="little")
-        if made:
-            yield pa.RecordBatch.from_pydict({"segment": list(made), "bits": [x.tobytes() for x in made.values()]}, pa.schema([("segment", pa.int64()), ("bits", pa.binary())]))
-
-    out = np.zeros((SEGMENTS, 1 << (inner - 3)), np.uint8)
-    # SEGMENTS rows, 2 ** bits bits in all (as often as a segment's ranges lie in several tasks)
-    for r in counted.mapInArrow(segment, "segment long, bits binary").toLocalIterator():
+                    flag[_places(on, k, probe, bits) & np.uint64((1 << inner) - 1)] = 1
+            got = made.setdefault(int(h[0] >> np.uint64(56)), np.zeros(1 << (inner - 3), np.uint8))
+            got |= np.packbits(flag, bitorder="little")
+        for k, x in made.items():
+            yield pa.RecordBatch.from_pydict({"segment": [k], "bits": [x.tobytes()]}, pa.schema([("segment", pa.int32()), ("bits", pa.binary())]))
+
+    return counted.mapInArrow(segment, "segment int, bits binary")
+
+
+def build_filter(made: DataFrame, bits: int) -> Filter:
+    """The whole filter on the driver, to be broadcast: SEGMENTS rows, 2 ** bits bits in all."""
+    out = np.zeros((SEGMENTS, 1 << (bits - 11)), np.uint8)
+    for r in made.toLocalIterator():
         out[r["segment"]] |= np.frombuffer(r["bits"], np.uint8)
-    return Filter(out.reshape(-1).view("<u8"), least)
+    return Filter(out.reshape(-1).view("<u8"), bits)
+
+
+def _asks(block: int, lengths: np.ndarray, training: np.ndarray, h: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+    """What a block sends to the segments: its distinct n-grams by segment (kind 5), and what its tokens need of the answers (kind 4)."""
+    both, code = np.unique(np.concatenate((h, [_BEGIN], pair(before, h))), return_inverse=True)
+    runs = _runs(both, np.zeros(len(both)), 5, 56)
+    rows = [(4, None, code.astype("<u4").tobytes(), (2 * lengths + training).astype("<i8").tobytes()), *((5, r[0], r[2], None) for r in runs)]
+    kind, part, hashes, rest = zip(*rows, strict=True)
+    cols = [pa.array(kind, pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.nulls(len(rows), t) for t in _TYPES[2:7])]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(part, pa.int32()), pa.array(hashes, pa.binary()), pa.array(rest, pa.binary())], names=_NAMES)
+
+
+def routed_levels(out: DataFrame, made: DataFrame, bits: int) -> DataFrame:
+    """One row (rid, rows, word, context, pair) a block with the levels of its tokens, when the filter is too large to
+    broadcast: n-grams go to their segment, a task holding one segment at a time, and the levels come back to the block."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words = None, np.zeros(0, np.uint8)
+        for b in batches:
+            held: list[tuple[int, np.ndarray]] = []
+            told: list[tuple[int, int, bytes]] = []
+
+            def settle(part: int, held: list, told: list) -> None:
+                if held:
+                    q = Filter(words.view("<u8"), bits).levels(np.concatenate([h for _, h in held])).astype(np.uint8)
+                    ends = np.cumsum([len(h) for _, h in held])
+                    told += [(rid, part, q[z - len(h) : z].tobytes()) for (rid, h), z in zip(held, ends, strict=True)]
+                    held.clear()
+
+            for part, kind, rid, h in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("rid").to_pylist(), b.column("h"), strict=True):
+                if part != now:
+                    settle(now, held, told)
+                    now, words = part, np.zeros(1 << (bits - 11), np.uint8)
+                if kind == 0:
+                    words |= np.frombuffer(h.as_py(), np.uint8)
+                else:
+                    held.append((rid, np.frombuffer(h.as_py(), np.uint64)))
+            settle(now, held, told)
+            rids, parts_, levels = zip(*told, strict=True) if told else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(parts_, pa.int32()), pa.array(levels, pa.binary())], names=["rid", "part", "h"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid, code, rows, levels = None, np.zeros(0, "<u4"), b"", []
+
+        def block() -> pa.RecordBatch:
+            q = np.frombuffer(b"".join(levels), np.uint8)[code]
+            n = len(code) // 2
+            lengths = np.frombuffer(rows, "<i8") >> 1
+            context = np.empty(n, np.uint8)
+            context[1:] = q[: n - 1]
+            context[np.cumsum(lengths) - lengths] = q[n]
+            return pa.RecordBatch.from_pydict({"rid": [rid], "rows": [rows], "word": [q[:n].tobytes()], "context": [context.tobytes()], "pair": [q[n + 1 :].tobytes()]}, pa.schema([("rid", pa.int64()), *((k, pa.binary()) for k in ("rows", "word", "context", "pair"))]))
+
+        for b in batches:
+            for r, part, h, rest in zip(b.column("rid").to_pylist(), b.column("part").to_pylist(), b.column("h"), b.column("rids"), strict=True):
+                if part < 0:
+                    if rid is not None:
+                        yield block()
+                    rid, code, rows, levels = r, np.frombuffer(h.as_py(), "<u4"), rest.as_py(), []
+                else:
+                    levels.append(h.as_py())
+        if rid is not None:
+            yield block()
+
+    asked = out.where("kind = 5").select("part", F.lit(1).alias("kind"), "rid", "h")
+    held = made.select(F.col("segment").alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rid"), F.col("bits").alias("h"))
+    told = held.union(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(answer, "rid long, part int, h binary")
+    blocks_ = out.where("kind = 4").select("rid", F.lit(-1).alias("part"), "h", "rids")
+    both = blocks_.union(told.select("rid", "part", "h", F.lit(None).cast("binary").alias("rids")))
+    return both.repartition("rid").sortWithinPartitions("rid", "part").mapInArrow(gather, "rid long, rows binary, word binary, context binary, pair binary")
 
 
 class Probabilities:
-    """What scoring needs of a block's tokens, by probes."""
-
-    def __init__(self, f: Filter, h: np.ndarray, before: np.ndarray, total: int, types: int):
-        both, code = np.unique(np.concatenate((h, before)), return_inverse=True)
-        q = f.levels(both)
-        word, self.context = q[code[: len(h)]], q[code[len(h) :]]
-        q2 = f.levels(pair(before, h))
-        self.single = f.values[0][word]
-        self.c1, self.c2 = f.values[0][self.context], np.where(self.context > 0, f.values[1][q2], 0.0)
+    """What scoring needs of tokens, by the levels of the word, of the word before it, and of both."""
+
+    def __init__(self, word: np.ndarray, context: np.ndarray, both: np.ndarray, total: int, types: int):
+        single, pairs = values(LEAST[0]), values(LEAST[1])
+        self.context = context
+        self.single = single[word]
+        self.c1, self.c2 = single[context], np.where(context > 0, pairs[both], 0.0)
         self.low = (self.single + 1) / (total + types + 1)
 
     def high(self, less: float = 0.0) -> np.ndarray:
@@ -255,14 +330,38 @@ class Probabilities:
             return np.minimum(1.0, np.where(self.c1 > less, np.maximum(self.c2 - less, 0) / (self.c1 - less), 0.0))
 
 
-def fit_weights(texts: DataFrame, f, total: int, types: int) -> np.ndarray:
-    """For each level of the context, the weight of pairs that maximises the left-one-out likelihood of all training tokens."""
+def probed(f: Filter, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    both, code = np.unique(np.concatenate((h, before)), return_inverse=True)
+    q = f.levels(both)
+    return q[code[: len(h)]], q[code[len(h) :]], f.levels(pair(before, h))
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """First row id, lengths, training and the levels of each block of routed_levels."""
+    for b in batches:
+        for rid, rows, *levels in zip(b.column("rid").to_pylist(), *(b.column(k) for k in ("rows", "word", "context", "pair")), strict=True):
+            rows = np.frombuffer(rows.as_py(), "<i8")
+            yield rid, rows >> 1, (rows & 1) > 0, [np.frombuffer(x.as_py(), np.uint8) for x in levels]
+
+
+def fit_weights(tokens: DataFrame, f, total: int, types: int) -> np.ndarray:
+    """For each level of the context, the weight of pairs that maximises the left-one-out likelihood of all training tokens.
+    `tokens` are the training texts for a broadcast filter, or without one the blocks of routed_levels."""
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        if f is not None:
+            for _, b in blocks(batches):
+                _, h, before = token_hashes(b)
+                yield probed(f.value, h, before)
+        else:
+            for _, lengths, training, q in _resolved(batches):
+                on = np.repeat(training, lengths)
+                yield tuple(x[on] for x in q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros((LEVELS, len(WEIGHTS)))
-        for _, b in blocks(batches):
-            _, h, before = token_hashes(b)
-            p = Probabilities(f.value, h, before, total, types)
+        for q in levels(batches):
+            p = Probabilities(*q, total, types)
             high = p.high(1.0)
             low = np.maximum(p.single, 1) / (total + types + 1)
             for k, w in enumerate(WEIGHTS):
@@ -270,7 +369,7 @@ def fit_weights(texts: DataFrame, f, total: int, types: int) -> np.ndarray:
         at = np.arange(got.size)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got.ravel())], names=["at", "sum"])
 
-    sums = texts.select("text").mapInArrow(run, "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).toPandas()
+    sums = tokens.mapInArrow(run, "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).toPandas()
     grid = np.zeros(LEVELS * len(WEIGHTS))
     grid[sums["at"].to_numpy(np.int64)] = sums["sum"].to_numpy(float)
     return WEIGHTS[grid.reshape(LEVELS, -1).argmax(1)]
@@ -309,11 +408,12 @@ def common_words(counted: DataFrame, top: int = TOP) -> tuple[np.ndarray, np.nda
 
 
 def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int = TOP) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; the model learns where `training` holds."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; the model learns where `training` holds.
+    A filter of more than 2 ** max_bits bits is not broadcast; probes are routed to its segments, with the same scores."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     s = Scratch(spark, "lm")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), training.alias("training"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     learn = rows.where("training")
     counted, shift = counts(learn, s)
     texts = learn.count()
@@ -324,8 +424,15 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
 
     t = counted.where("kind = 1").mapInArrow(totals, "types long, total long").agg(F.sum("types"), F.sum("total")).first()
     types, total = (t[0] or 0) - bool(texts), (t[1] or 0) - texts  # the beginning is a context, not a token
-    f = sc.broadcast(build_filter(counted, s, max_bits))
-    weights = fit_weights(learn, f, total, types)
+    bits = filter_bits(counted)
+    made = segments(counted, bits)
+    f = sc.broadcast(build_filter(made, bits)) if bits <= max_bits else None
+    weights = fit_weights(learn.select("text"), f, total, types) if f is not None else None
+
+    def logs(p: Probabilities, weights: np.ndarray) -> np.ndarray:
+        w = weights[p.context]
+        return np.log10(w * p.high() + (1 - w) * p.low)
+
     common = sc.broadcast(common_words(counted, top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,9 +440,9 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
         task, at = TaskContext.get().partitionId() << 33, 0
         for part, b in blocks(batches):
             row, h, before = token_hashes(b)
-            p = Probabilities(f.value, h, before, total, types)
-            w = weights[p.context]
-            logp = np.bincount(row, np.log10(w * p.high() + (1 - w) * p.low), b.n)
+            logp = np.zeros(b.n)
+            if f is not None:
+                logp = np.bincount(row, logs(Probabilities(*probed(f.value, h, before), total, types), weights), b.n)
             found = np.searchsorted(top_h, h)
             found[found == len(top_h)] = 0
             is_top = (top_h[found] == h) if len(top_h) else np.zeros(len(h), bool)
@@ -343,7 +450,10 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
             known = np.bincount(row[is_top], minlength=b.n)
             rid = task + at + np.arange(b.n)
             at += b.n
-            yield _scored(0, rid, part.column("doc_id"), np.bincount(row, minlength=b.n), known, base, logp)
+            lengths = np.bincount(row, minlength=b.n)
+            yield _scored(0, rid, part.column("doc_id"), lengths, known, base, logp)
+            if f is None:
+                yield _asks(int(rid[0]), lengths, part.column("training").to_numpy(zero_copy_only=False).astype(np.int64), h, before)
             rare = np.flatnonzero(~is_top)
             rare = rare[np.argsort(h[rare], kind="stable")]
             runs = _runs(h[rare], np.zeros(len(rare)), 3, shift)
@@ -353,7 +463,7 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
                 yield _rare(runs, [where[a:z].tobytes() for a, z in zip(np.append(0, ends[:-1]), ends, strict=True)])
 
     fields = "kind int, rid long, doc_id long, n_tokens long, known long, base double, score double, part int, h binary, rids binary"
-    out = s.keep(rows.select("doc_id", "text").mapInArrow(run, fields), "scored")
+    out = s.keep(rows.mapInArrow(run, fields), "scored")
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
@@ -368,12 +478,24 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
             at = np.minimum(np.searchsorted(h, q), len(h) - 1)
             n = np.where(h[at] == q, c[at], 0)
         ids, code = np.unique(rid, return_inverse=True)
-        return pa.table({"rid": pa.array(ids), "known": pa.array(np.bincount(code, n > 0, len(ids)).astype(np.int64)), "base": pa.array(np.bincount(code, np.log10((n + 1) / (total + types + 1)), len(ids)))})
+        return pa.table({"rid": pa.array(ids), "known": pa.array(np.bincount(code, n > 0, len(ids)).astype(np.int64)), "base": pa.array(np.bincount(code, np.log10((n + 1) / (total + types + 1)), len(ids)).astype(float))})
 
     asked = out.where("kind = 3").select("part", "kind", "h", F.col("rids").alias("c"))
     rest = asked.union(counted.where("kind = 1")).groupBy("part").applyInArrow(settle, "rid long, known long, base double")
     rest = s.keep(rest.groupBy("rid").agg(F.sum("known").alias("more"), F.sum("base").alias("rest")), "rest")
-    joined = out.where("kind = 0").join(rest, "rid", "left")
+    scored = out.where("kind = 0")
+    if f is None:
+        resolved = s.keep(routed_levels(out, s.keep(made, "segments"), bits), "levels")
+        fitted = fit_weights(resolved, None, total, types)
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rid, lengths, _, q in _resolved(batches):
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                logp = np.bincount(row, logs(Probabilities(*q, total, types), fitted), len(lengths))
+                yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(len(lengths))), pa.array(logp)], names=["rid", "score"])
+
+        scored = scored.drop("score").join(resolved.mapInArrow(finish, "rid long, score double"), "rid")
+    joined = scored.join(rest, "rid", "left")
     zero = F.lit(0)
     return joined.select(
         "doc_id",

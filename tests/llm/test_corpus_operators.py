@@ -176,6 +176,15 @@ def test_lm_base_scores_are_exact(spark, top):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
 
 
+def test_lm_scores_do_not_depend_on_how_the_filter_is_reached(spark):
+    rows = [(k, " ".join(words(k % 90, 60))) for k in range(200)] + [(500, None), (501, ""), (None, "no id"), (7, "again again")]
+    df = docs(spark, rows).repartition(3, "doc_id")
+    training = ~lm_scoring.held_out(F.col("doc_id"))
+    told = lambda out: sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in out.collect())
+    # too few bits to broadcast: nothing may be dropped to make them fit
+    assert told(lm_scoring.score(df, training, max_bits=12)) == told(lm_scoring.score(df, training))
+
+
 def test_lm_edges(spark):
     df = docs(spark, [(1, "a b"), (2, None)])
     none = lm_scoring.score(df, F.lit(False)).collect()
