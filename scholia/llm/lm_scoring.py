@@ -5,7 +5,7 @@ by hash range, and each range is merged apart; no count is sampled and no word i
 
 Filter: a count c is quantised to level q = 1 + floor(log(c / least) / log(BASE)), and the events (n-gram, 1), ...,
 (n-gram, q) are set. The filter has SEGMENTS parts; an n-gram's range names its part, so parts are built apart and only
-their bits meet. Single words are stored from count 1, pairs from PAIR_LEAST, and the bits follow the number of events
+their bits meet. Words and pairs are stored from count 1, and the bits follow the number of events
 (BITS_PER_EVENT) without a ceiling. A count is read back by probing levels until one is missing. A filter of at most
 2 ** MAX_BITS bits is gathered by the driver and broadcast. A larger one stays a table: every block sends its distinct
 n-grams to their segments and gets the levels back, which gives the same scores at any size.
@@ -35,19 +35,17 @@ from scholia.llm.scratch import Scratch, parts
 from scholia.llm.textblock import Block, blocks, mix, spans
 
 BASE = 1.5
-PROBES = 3
+PROBES = 4
 SEGMENTS = 256
-MAX_BITS = 28
-BITS_PER_EVENT = 6
-PAIR_LEAST = 2
-#: Least counts stored of words and of pairs.
-LEAST = (1, PAIR_LEAST)
+MAX_BITS = 31
+BITS_PER_EVENT = 12
 TOP = 1 << 18
 FLUSH = 1 << 21
 WEIGHTS = np.array([0.0, 0.001, 0.003, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 LEVELS = 64
 
 _END = mix(np.array([0xE17A1465], np.uint64))[0]
+_LOW = np.uint64(2**32 - 1)
 _BEGIN = mix(np.array([0x94D049BB], np.uint64))[0]
 
 
@@ -95,8 +93,7 @@ def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def counts(texts: DataFrame, s: Scratch) -> tuple[DataFrame, int]:
-    """Runs (part, kind, h, c): merged counts of words (kind 1) and of pairs of PAIR_LEAST or more (kind 2) by range of
-    hashes; and the shift that gives a hash's range."""
+    """Runs (part, kind, h, c): merged counts of words (kind 1) and of pairs (kind 2) by range of hashes; and the shift that gives a hash's range."""
     ranges = SEGMENTS
     while ranges < 2 * parts(s.spark):
         ranges *= 2
@@ -138,8 +135,6 @@ def counts(texts: DataFrame, s: Scratch) -> tuple[DataFrame, int]:
                 h, c = h[order], c[order]
                 cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 h, c = h[cut], np.minimum(np.add.reduceat(c, cut), 2**32 - 1)
-                if kind == 2:
-                    h, c = h[c >= PAIR_LEAST], c[c >= PAIR_LEAST]
                 rows.append((int(table.column("part")[0].as_py()), kind, h.tobytes(), c.astype("<u4").tobytes()))
         return pa.Table.from_batches([_run_batch(rows)])
 
@@ -173,63 +168,68 @@ def values(least: int) -> np.ndarray:
     return np.array(out)
 
 
-def _places(h: np.ndarray, q: int, probe: int, bits: int) -> np.ndarray:
-    """Places in the filter of `2 ** bits` bits: the top of the hash names the segment."""
-    inner = bits - 8
-    x = mix(h + np.uint64((q * PROBES + probe + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-    return ((h >> np.uint64(56)) << np.uint64(inner)) | (x >> np.uint64(64 - inner))
+def _probes(h: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of the n-grams' probes at a level, 32 bits each."""
+    x = mix(h + np.uint64(q * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+    return x >> np.uint64(32), (x & _LOW) | np.uint64(1)
+
+
+def _place(start: np.ndarray, step: np.ndarray, probe: int, size: int) -> np.ndarray:
+    """Places in a segment of `size` bits (below 2 ** 32)."""
+    return (((start + np.uint64(probe) * step) & _LOW) * np.uint64(size)) >> np.uint64(32)
 
 
 class Filter:
-    """The words of the bit array, or of one segment of it, for n-grams of that segment alone."""
+    """The words of the bit array of SEGMENTS segments of `size` bits, or of one of them, for n-grams of that segment alone."""
 
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.bits, self.mask = words, bits, np.uint64(64 * len(words) - 1)
+    def __init__(self, words: np.ndarray, size: int):
+        self.words, self.size, self.whole = words, size, 64 * len(words) > size
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The highest level of each n-gram whose probes, and those of all levels below, are set."""
         out = np.zeros(len(h), np.int64)
         at = np.arange(len(h))
         for q in range(1, LEVELS):
+            g = h[at]
+            first = (g >> np.uint64(56)) * np.uint64(self.size if self.whole else 0)
+            start, step = _probes(g, q)
             for probe in range(PROBES):
-                p = _places(h[at], q, probe, self.bits) & self.mask
-                at = at[(self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0]
+                p = _place(start, step, probe, self.size) + first
+                on = (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+                if not on.all():
+                    at, start, step, first = at[on], start[on], step[on], first[on]
             if not len(at):
                 break
             out[at] = q
         return out
 
 
-def filter_bits(counted: DataFrame) -> int:
-    """The logarithm of the filter's size: it follows the number of events, without a ceiling."""
+def segment_size(counted: DataFrame) -> int:
+    """The bits of a segment of the filter, a multiple of 64: they follow the number of events, without a ceiling."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, kind, _, c in _arrays(batches):
-            b, n = np.unique(_bin(c), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind)), pa.array(b), pa.array(n)], names=["kind", "bin", "n"])
+        for _, _, _, c in _arrays(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([int(level(c, 1).sum())])], names=["n"])
 
-    # counts in bins of 1/16 octave: a few hundred rows for any corpus
-    hist = [(r["kind"], 2 ** (r["bin"] / 16), r["n"]) for r in counted.mapInArrow(sizes, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()]
-    events = sum(int(level(np.array([c * 1.02]), LEAST[k - 1])[0]) * n for k, c, n in hist)
-    return max(16, int(np.ceil(np.log2(max(1, events) * BITS_PER_EVENT))))
+    events = counted.mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    return max(256, 64 * -(-events * BITS_PER_EVENT // (64 * SEGMENTS)))
 
 
-def segments(counted: DataFrame, bits: int) -> DataFrame:
+def segments(counted: DataFrame, size: int) -> DataFrame:
     """Rows (segment, bits); a segment whose ranges lie in several tasks has several rows, to be united."""
-    inner = bits - 8
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
-        for _, kind, h, c in _arrays(batches):
+        for _, _, h, c in _arrays(batches):
             if not len(h):
                 continue
-            q = level(c, LEAST[kind - 1])
-            flag = np.zeros(1 << inner, np.uint8)
+            q = level(c, 1)
+            flag = np.zeros(size, np.uint8)
             for k in range(1, int(q.max()) + 1):
-                on = h[q >= k]
+                start, step = _probes(h[q >= k], k)
                 for probe in range(PROBES):
-                    flag[_places(on, k, probe, bits) & np.uint64((1 << inner) - 1)] = 1
-            got = made.setdefault(int(h[0] >> np.uint64(56)), np.zeros(1 << (inner - 3), np.uint8))
+                    flag[_place(start, step, probe, size)] = 1
+            got = made.setdefault(int(h[0] >> np.uint64(56)), np.zeros(size // 8, np.uint8))
             got |= np.packbits(flag, bitorder="little")
         for k, x in made.items():
             yield pa.RecordBatch.from_pydict({"segment": [k], "bits": [x.tobytes()]}, pa.schema([("segment", pa.int32()), ("bits", pa.binary())]))
@@ -237,26 +237,36 @@ def segments(counted: DataFrame, bits: int) -> DataFrame:
     return counted.mapInArrow(segment, "segment int, bits binary")
 
 
-def build_filter(made: DataFrame, bits: int) -> Filter:
-    """The whole filter on the driver, to be broadcast: SEGMENTS rows, 2 ** bits bits in all."""
-    out = np.zeros((SEGMENTS, 1 << (bits - 11)), np.uint8)
+def build_filter(made: DataFrame, size: int) -> Filter:
+    """The whole filter on the driver, to be broadcast: SEGMENTS rows of `size` bits."""
+    out = np.zeros((SEGMENTS, size // 8), np.uint8)
     for r in made.toLocalIterator():
         out[r["segment"]] |= np.frombuffer(r["bits"], np.uint8)
-    return Filter(out.reshape(-1).view("<u8"), bits)
+    return Filter(out.reshape(-1).view("<u8"), size)
+
+
+def _rows(lengths: np.ndarray, training: np.ndarray) -> bytes:
+    return (2 * lengths + training).astype("<i8").tobytes()
+
 
+def _levels(block: int, rows: bytes, levels: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """The levels of a block's tokens (kind 6), one byte each for the word, the one before it, and both."""
+    cols = [pa.array([6], pa.int32()), pa.array([block], pa.int64()), *(pa.nulls(1, t) for t in _TYPES[2:8])]
+    return pa.RecordBatch.from_arrays([*cols, pa.array([b"".join(q.astype(np.uint8).tobytes() for q in levels)], pa.binary()), pa.array([rows], pa.binary())], names=_NAMES)
 
-def _asks(block: int, lengths: np.ndarray, training: np.ndarray, h: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+
+def _asks(block: int, doc_rows: bytes, h: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
     """What a block sends to the segments: its distinct n-grams by segment (kind 5), and what its tokens need of the answers (kind 4)."""
     both, code = np.unique(np.concatenate((h, [_BEGIN], pair(before, h))), return_inverse=True)
     runs = _runs(both, np.zeros(len(both)), 5, 56)
-    rows = [(4, None, code.astype("<u4").tobytes(), (2 * lengths + training).astype("<i8").tobytes()), *((5, r[0], r[2], None) for r in runs)]
+    rows = [(4, None, code.astype("<u4").tobytes(), doc_rows), *((5, r[0], r[2], None) for r in runs)]
     kind, part, hashes, rest = zip(*rows, strict=True)
     cols = [pa.array(kind, pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.nulls(len(rows), t) for t in _TYPES[2:7])]
     return pa.RecordBatch.from_arrays([*cols, pa.array(part, pa.int32()), pa.array(hashes, pa.binary()), pa.array(rest, pa.binary())], names=_NAMES)
 
 
-def routed_levels(out: DataFrame, made: DataFrame, bits: int) -> DataFrame:
-    """One row (rid, rows, word, context, pair) a block with the levels of its tokens, when the filter is too large to
+def routed_levels(out: DataFrame, made: DataFrame, size: int) -> DataFrame:
+    """One row (rid, rows, levels) a block with the levels of its tokens, when the filter is too large to
     broadcast: n-grams go to their segment, a task holding one segment at a time, and the levels come back to the block."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +277,7 @@ def routed_levels(out: DataFrame, made: DataFrame, bits: int) -> DataFrame:
 
             def settle(part: int, held: list, told: list) -> None:
                 if held:
-                    q = Filter(words.view("<u8"), bits).levels(np.concatenate([h for _, h in held])).astype(np.uint8)
+                    q = Filter(words.view("<u8"), size).levels(np.concatenate([h for _, h in held])).astype(np.uint8)
                     ends = np.cumsum([len(h) for _, h in held])
                     told += [(rid, part, q[z - len(h) : z].tobytes()) for (rid, h), z in zip(held, ends, strict=True)]
                     held.clear()
@@ -275,7 +285,7 @@ def routed_levels(out: DataFrame, made: DataFrame, bits: int) -> DataFrame:
             for part, kind, rid, h in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("rid").to_pylist(), b.column("h"), strict=True):
                 if part != now:
                     settle(now, held, told)
-                    now, words = part, np.zeros(1 << (bits - 11), np.uint8)
+                    now, words = part, np.zeros(size // 8, np.uint8)
                 if kind == 0:
                     words |= np.frombuffer(h.as_py(), np.uint8)
                 else:
@@ -294,7 +304,7 @@ def routed_levels(out: DataFrame, made: DataFrame, bits: int) -> DataFrame:
             context = np.empty(n, np.uint8)
             context[1:] = q[: n - 1]
             context[np.cumsum(lengths) - lengths] = q[n]
-            return pa.RecordBatch.from_pydict({"rid": [rid], "rows": [rows], "word": [q[:n].tobytes()], "context": [context.tobytes()], "pair": [q[n + 1 :].tobytes()]}, pa.schema([("rid", pa.int64()), *((k, pa.binary()) for k in ("rows", "word", "context", "pair"))]))
+            return pa.RecordBatch.from_pydict({"rid": [rid], "rows": [rows], "levels": [b"".join((q[:n].tobytes(), context.tobytes(), q[n + 1 :].tobytes()))]}, pa.schema([("rid", pa.int64()), ("rows", pa.binary()), ("levels", pa.binary())]))
 
         for b in batches:
             for r, part, h, rest in zip(b.column("rid").to_pylist(), b.column("part").to_pylist(), b.column("h"), b.column("rids"), strict=True):
@@ -312,17 +322,17 @@ def routed_levels(out: DataFrame, made: DataFrame, bits: int) -> DataFrame:
     told = held.union(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(answer, "rid long, part int, h binary")
     blocks_ = out.where("kind = 4").select("rid", F.lit(-1).alias("part"), "h", "rids")
     both = blocks_.union(told.select("rid", "part", "h", F.lit(None).cast("binary").alias("rids")))
-    return both.repartition("rid").sortWithinPartitions("rid", "part").mapInArrow(gather, "rid long, rows binary, word binary, context binary, pair binary")
+    return both.repartition("rid").sortWithinPartitions("rid", "part").mapInArrow(gather, "rid long, rows binary, levels binary")
 
 
 class Probabilities:
     """What scoring needs of tokens, by the levels of the word, of the word before it, and of both."""
 
     def __init__(self, word: np.ndarray, context: np.ndarray, both: np.ndarray, total: int, types: int):
-        single, pairs = values(LEAST[0]), values(LEAST[1])
+        counts_ = values(1)
         self.context = context
-        self.single = single[word]
-        self.c1, self.c2 = single[context], np.where(context > 0, pairs[both], 0.0)
+        self.single = counts_[word]
+        self.c1, self.c2 = counts_[context], np.where(context > 0, counts_[both], 0.0)
         self.low = (self.single + 1) / (total + types + 1)
 
     def high(self, less: float = 0.0) -> np.ndarray:
@@ -331,48 +341,52 @@ class Probabilities:
 
 
 def probed(f: Filter, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    both, code = np.unique(np.concatenate((h, before)), return_inverse=True)
-    q = f.levels(both)
-    return q[code[: len(h)]], q[code[len(h) :]], f.levels(pair(before, h))
+    both, code = np.unique(h, return_inverse=True)
+    q = f.levels(np.append(both, _BEGIN))
+    word = q[code]
+    context = np.append(q[-1], word[:-1])
+    context[before == _BEGIN] = q[-1]
+    return word, context, f.levels(pair(before, h))
+
+
+def combined(word: np.ndarray, context: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """One number for the three levels of a token: all that its probability depends on."""
+    return (context.astype(np.int64) * LEVELS + word) * LEVELS + both
+
 
+def every_probability(total: int, types: int) -> Probabilities:
+    """Probabilities by the number of combined()."""
+    context, word, both = np.unravel_index(np.arange(LEVELS**3), (LEVELS,) * 3)
+    return Probabilities(word, context, both, total, types)
 
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """First row id, lengths, training and the levels of each block of routed_levels."""
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row id, lengths, training, and combined levels of the tokens of each block."""
     for b in batches:
-        for rid, rows, *levels in zip(b.column("rid").to_pylist(), *(b.column(k) for k in ("rows", "word", "context", "pair")), strict=True):
+        for rid, rows, levels in zip(b.column("rid").to_pylist(), b.column("rows"), b.column("levels"), strict=True):
             rows = np.frombuffer(rows.as_py(), "<i8")
-            yield rid, rows >> 1, (rows & 1) > 0, [np.frombuffer(x.as_py(), np.uint8) for x in levels]
-
+            yield rid, rows >> 1, (rows & 1) > 0, combined(*np.frombuffer(levels.as_py(), np.uint8).reshape(3, -1))
 
-def fit_weights(tokens: DataFrame, f, total: int, types: int) -> np.ndarray:
-    """For each level of the context, the weight of pairs that maximises the left-one-out likelihood of all training tokens.
-    `tokens` are the training texts for a broadcast filter, or without one the blocks of routed_levels."""
 
-    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        if f is not None:
-            for _, b in blocks(batches):
-                _, h, before = token_hashes(b)
-                yield probed(f.value, h, before)
-        else:
-            for _, lengths, training, q in _resolved(batches):
-                on = np.repeat(training, lengths)
-                yield tuple(x[on] for x in q)
+def fit_weights(resolved: DataFrame, total: int, types: int) -> np.ndarray:
+    """For each level of the context, the weight of pairs that maximises the left-one-out likelihood of all training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros((LEVELS, len(WEIGHTS)))
-        for q in levels(batches):
-            p = Probabilities(*q, total, types)
-            high = p.high(1.0)
-            low = np.maximum(p.single, 1) / (total + types + 1)
-            for k, w in enumerate(WEIGHTS):
-                got[:, k] += np.bincount(p.context, np.log10(w * high + (1 - w) * low), LEVELS)
-        at = np.arange(got.size)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got.ravel())], names=["at", "sum"])
-
-    sums = tokens.mapInArrow(run, "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).toPandas()
-    grid = np.zeros(LEVELS * len(WEIGHTS))
-    grid[sums["at"].to_numpy(np.int64)] = sums["sum"].to_numpy(float)
-    return WEIGHTS[grid.reshape(LEVELS, -1).argmax(1)]
+        got = np.zeros(LEVELS**3, np.int64)
+        for _, lengths, training, q in _resolved(batches):
+            got += np.bincount(q[np.repeat(training, lengths)], minlength=LEVELS**3)
+        at = np.flatnonzero(got)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[at])], names=["at", "n"])
+
+    # at most LEVELS ** 3 rows, in practice some thousands
+    sums = resolved.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(LEVELS**3)
+    n[sums["at"].to_numpy(np.int64)] = sums["n"].to_numpy(float)
+    p = every_probability(total, types)
+    high = p.high(1.0)
+    low = np.maximum(p.single, 1) / (total + types + 1)
+    grid = np.stack([np.bincount(p.context, np.where(n > 0, n * np.log10(w * high + (1 - w) * low), 0.0), LEVELS) for w in WEIGHTS], 1)
+    return WEIGHTS[grid.argmax(1)]
 
 
 def common_words(counted: DataFrame, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
@@ -424,15 +438,12 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
 
     t = counted.where("kind = 1").mapInArrow(totals, "types long, total long").agg(F.sum("types"), F.sum("total")).first()
     types, total = (t[0] or 0) - bool(texts), (t[1] or 0) - texts  # the beginning is a context, not a token
-    bits = filter_bits(counted)
-    made = segments(counted, bits)
-    f = sc.broadcast(build_filter(made, bits)) if bits <= max_bits else None
-    weights = fit_weights(learn.select("text"), f, total, types) if f is not None else None
-
-    def logs(p: Probabilities, weights: np.ndarray) -> np.ndarray:
-        w = weights[p.context]
-        return np.log10(w * p.high() + (1 - w) * p.low)
-
+    size = segment_size(counted)
+    made = s.keep(segments(counted, size), "segments")
+    # from here on only the words' exact counts are read again
+    pairs, counted = counted, s.keep(counted.where("kind = 1"), "words")
+    s.drop(pairs)
+    f = sc.broadcast(build_filter(made, size)) if SEGMENTS * size <= 2**max_bits else None
     common = sc.broadcast(common_words(counted, top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,9 +451,6 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
         task, at = TaskContext.get().partitionId() << 33, 0
         for part, b in blocks(batches):
             row, h, before = token_hashes(b)
-            logp = np.zeros(b.n)
-            if f is not None:
-                logp = np.bincount(row, logs(Probabilities(*probed(f.value, h, before), total, types), weights), b.n)
             found = np.searchsorted(top_h, h)
             found[found == len(top_h)] = 0
             is_top = (top_h[found] == h) if len(top_h) else np.zeros(len(h), bool)
@@ -451,9 +459,9 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
             rid = task + at + np.arange(b.n)
             at += b.n
             lengths = np.bincount(row, minlength=b.n)
-            yield _scored(0, rid, part.column("doc_id"), lengths, known, base, logp)
-            if f is None:
-                yield _asks(int(rid[0]), lengths, part.column("training").to_numpy(zero_copy_only=False).astype(np.int64), h, before)
+            yield _scored(0, rid, part.column("doc_id"), lengths, known, base, np.zeros(b.n))
+            doc_rows = _rows(lengths, part.column("training").to_numpy(zero_copy_only=False).astype(np.int64))
+            yield _asks(int(rid[0]), doc_rows, h, before) if f is None else _levels(int(rid[0]), doc_rows, probed(f.value, h, before))
             rare = np.flatnonzero(~is_top)
             rare = rare[np.argsort(h[rare], kind="stable")]
             runs = _runs(h[rare], np.zeros(len(rare)), 3, shift)
@@ -482,20 +490,21 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
 
     asked = out.where("kind = 3").select("part", "kind", "h", F.col("rids").alias("c"))
     rest = asked.union(counted.where("kind = 1")).groupBy("part").applyInArrow(settle, "rid long, known long, base double")
-    rest = s.keep(rest.groupBy("rid").agg(F.sum("known").alias("more"), F.sum("base").alias("rest")), "rest")
-    scored = out.where("kind = 0")
-    if f is None:
-        resolved = s.keep(routed_levels(out, s.keep(made, "segments"), bits), "levels")
-        fitted = fit_weights(resolved, None, total, types)
-
-        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rid, lengths, _, q in _resolved(batches):
-                row = np.repeat(np.arange(len(lengths)), lengths)
-                logp = np.bincount(row, logs(Probabilities(*q, total, types), fitted), len(lengths))
-                yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(len(lengths))), pa.array(logp)], names=["rid", "score"])
-
-        scored = scored.drop("score").join(resolved.mapInArrow(finish, "rid long, score double"), "rid")
-    joined = scored.join(rest, "rid", "left")
+    # the levels are kept, so that fitting and scoring need no second pass over the texts
+    resolved = s.keep(routed_levels(out, made, size), "levels") if f is None else out.where("kind = 6").select("rid", F.col("rids").alias("rows"), F.col("h").alias("levels"))
+    p = every_probability(total, types)
+    w = fit_weights(resolved, total, types)[p.context]
+    logs = sc.broadcast(np.log10(w * p.high() + (1 - w) * p.low))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rid, lengths, _, q in _resolved(batches):
+            logp = np.bincount(np.repeat(np.arange(len(lengths)), lengths), logs.value[q], len(lengths))
+            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(len(lengths))), pa.array(logp)], names=["rid", "score"])
+
+    scored = resolved.mapInArrow(finish, "rid long, score double").select("rid", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score")
+    rest = rest.withColumn("score", F.lit(0.0)).unionByName(scored)
+    rest = s.keep(rest.groupBy("rid").agg(F.sum("known").alias("more"), F.sum("base").alias("rest"), F.sum("score").alias("logp")), "rest")
+    joined = out.where("kind = 0").join(rest, "rid", "left")
     zero = F.lit(0)
     return joined.select(
         "doc_id",
@@ -503,7 +512,7 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
         (F.col("known") + F.coalesce("more", zero)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        F.col("logp").alias("score"),
     )
 
 
