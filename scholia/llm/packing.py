@@ -33,6 +33,8 @@ from scholia.llm.scratch import Scratch
 CAPACITY = 2048
 END_ID = 0
 CLASS_WIDTH = 8
+#: The added token of byte_bpe_50k.json, which its library finds inside texts.
+ADDED = {"<|endoftext|>": 50256}
 EPSILON = 0.1
 ROUNDS = 1500
 #: Part of the fractional solution that is rounded as patterns; the rest of the histogram fills gaps best-fit.
@@ -48,7 +50,12 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken"):
 
     lines = open(public_tokenizers.path(name), "rb")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+
+
+def encode(text: str) -> list[int]:
+    """The ids of byte_bpe_50k.json; encode_ordinary() of the tokenizer takes the added token for plain text."""
+    return tokenizer().encode(text, allowed_special="all")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -64,7 +71,6 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> Dat
     task's pieces of its length, which a retried task repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer().encode_ordinary
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.packing import tokenizer
+from scholia.llm.packing import encode
 
 SEGMENT = 256
 
@@ -134,7 +134,6 @@ def count_with_edits(docs: DataFrame, edits: Callable[[str], list[Edit]] = redac
     """doc_id, n_tokens before and n_tokens_edited after the edits, n_segments, n_edits, chars_encoded anew for the edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer().encode_ordinary
         names = ["n_tokens", "n_segments", "n_edits", "n_tokens_edited", "chars_encoded"]
         for batch in batches:
             done: dict[str, tuple] = {}

@@ -105,6 +105,24 @@ def test_tokenizers_agree():
         assert hf.encode(t, add_special_tokens=False).ids == packing.tokenizer().encode_ordinary(t)
 
 
+def test_added_token_inside_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda t: hf.encode(t, add_special_tokens=False).ids
+    e = "<|endoftext|>"
+    texts = [f"a {e} b", e, f"{e}{e}", f"x{e}y", f"a  {e}  b", f"\n{e}\n", f"{e[:-1]} {e[1:]}", prose(5, 90) + f" {e} " + prose(6, 90), prose(7, 90) + f" {e} a@b.org {e}{e} 1234567 " + prose(8, 90)]
+    assert ids(texts[0]) == [64, 220, 50256, 275]
+    assert [packing.encode(t) for t in texts] == [ids(t) for t in texts]
+    df = docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    want = {(k, len(ids(t)) + 1, zlib.crc32(np.array([*ids(t), 0], "<u4").tobytes())) for k, t in enumerate(texts)}
+    assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pieces(df).collect()} == want
+    edited = [t.replace("a@b.org", "<email>").replace("1234567", "<number>") for t in texts]
+    got = {(r["doc_id"], r["n_tokens"], r["n_tokens_edited"]) for r in token_counts.count_with_edits(df, segment=16).collect()}
+    assert got == {(k, len(ids(t)), len(ids(x))) for k, (t, x) in enumerate(zip(texts, edited, strict=True))}
+
+
 def test_packing(spark, edges, empty):
     texts = [(100 + k, prose(k, n), "en", "a") for k, n in enumerate([5, 50, 500, 900, 1200, 1500, 30, 30, 30, 700])]
     df = edges.union(docs(spark, texts))
