@@ -1,34 +1,40 @@
 """Near-duplicate documents by a chosen-path set similarity join on minwise tokens.
 
 Method (chosen path; CPSJoin): a document's set of word shingles has TOKENS minwise tokens. Every tree starts with all
-documents in one node; a node picks each token place with probability 1 / (threshold * TOKENS), by a hash of its path, and
-its children hold the documents that agree there. Two sets at the threshold share one child on average, so they meet in a
-small node of a tree with fair probability; independent trees raise recall (see RECALL). A document's path depends on its
-own tokens only, so the first levels are laid out without any shuffle; node sizes then decide who goes deeper.
+documents in one node; a node picks one or two token places by a hash of its path (100 / percent of them on average, and
+MORE below the first two levels), and its children hold the documents that agree there. Two sets at the
+threshold share more than one child on average below those levels, so a pair does not die out however deep the trees
+get; independent trees raise recall (see Recall). A document's path depends on its own tokens only, so the first levels are
+laid out without any shuffle; node sizes then decide who goes deeper.
 
 * Equal sets are one set from the start: a group of copies, however large, is one row.
 * Nodes of at most LEAF sets are compared exhaustively on tokens; only a spanning forest of the candidates leaves them.
-* In larger nodes every set is held against one pivot. Sets closer than ABSORB to it leave the node; all that are closer
-  than NEAR become candidates. As 1 - similarity is a metric, whatever is linked to an absorbed set is NEAR the pivot, so
-  it stays in the same cluster of candidates, and a node of near copies shrinks at once.
+* In larger nodes every set is held against PIVOTS of the node's sets. Sets closer than ABSORB to one of them leave the
+  node; all that are closer than NEAR become candidates. As 1 - similarity is a metric, whatever is linked to an absorbed
+  set is NEAR the pivot, so it stays in the same cluster of candidates, and a node of near copies shrinks at once.
 * Candidate clusters are closed by connected components. Forest links are confirmed on full sets (recomputed from the
   texts of candidates alone, found with a Bloom filter of bounded size). Where a cluster still falls into several
   components, the members outside its largest one are held against the whole cluster in blocks. So no link that the
   candidates imply is lost, and none is kept unconfirmed.
 
-Recall: with 2 levels and TREES = 16 about 20 first picks, a pair at the threshold is missed with probability about
-(1 - 0.8 * 0.63) ** 20 < 1e-5; closer pairs with less.
+Recall: a pair at the threshold shares a given second-level node of a tree with probability 0.64, and a tree has one at
+least. Deeper, nodes pick 1.5 places, so the pair shares 1.2 children on average and its line of nodes goes on for ever with
+probability 0.625 (1 - q, where q = (0.2 + 0.8 q) (1.2 + 0.8 q) / 2). So 16 trees miss a pair at the threshold with less than
+(1 - 0.64 * 0.625) ** 16 < 3e-4 at any depth, whatever the size of the table; pairs at 0.85 with less than 3e-6, and 1e-7 where two
+levels are enough. Pivots and clusters make up for part of that.
 
 Defined results: a null or blank text has no set (0 shingles) and links with nothing; a text of fewer words than a shingle
-has its whole sequence as one; repeated rows are copies; empty tables give empty tables; other columns are ignored.
+has its whole sequence as one; repeated rows are copies; rows that share a doc_id are one node, linked by whichever of its texts is similar; a null
+doc_id joins no component but the one of texts equal to its own, and is kept if it has none; empty tables give empty tables; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +47,13 @@ WORDS = 5
 PERCENT = 80
 TOKENS = 64
 TREES = 16
-LEAF = 128
-NEAR, ABSORB, LIKELY = 0.4, 0.75, 0.58
+#: Token places that a node picks beyond 100 / percent, below the first two levels.
+MORE = 0.25
+LEAF = 256
+PIVOTS = 8
+NEAR, ABSORB, LIKELY = 0.3, 0.65, 0.58
 BLOCK = 128
-SLICE = 512
+SLICE = 256
 FILTER_BITS = 27
 
 _rng = np.random.default_rng(7)
@@ -121,14 +130,21 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def _picks(node: np.ndarray, percent: int) -> np.ndarray:
-    """Which token places each node picks (nodes x TOKENS)."""
-    limit = np.uint64(int(2**64 / (percent / 100 * TOKENS)))
-    return mix(node[:, None] ^ _PLACE) < limit
+def _picks(node: np.ndarray, percent: int, more: float, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of node, token place) of what each node picks: 100 / percent places on average and one at least, and `more`."""
+    rate = 100 / percent + more
+    x = mix(node ^ np.uint64(0xA0761D6478BD642F))
+    start = np.full(len(node), first, np.uint64) if first is not None else x >> np.uint64(58)
+    step = (x >> np.uint64(50)) | np.uint64(1)  # odd, so that places differ
+    extra = (x & np.uint64(0xFFFFFFFF)) < np.uint64(int((rate - int(rate)) * 2**32))
+    n = np.minimum(int(rate) + extra, TOKENS)
+    at = np.repeat(np.arange(len(node)), n)
+    k = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+    return at, ((start[at] + k * step[at]) % np.uint64(TOKENS)).astype(np.int64)
 
 
-def _children(node: np.ndarray, sid: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    at, place = np.nonzero(_picks(node, percent))
+def _children(node: np.ndarray, sid: np.ndarray, sig: np.ndarray, percent: int, more: float = 0.0, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    at, place = _picks(node, percent, more, first)
     return mix(node[at] * np.uint64(31) + _PLACE[place] + sig[at, place].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), sid[at]
 
 
@@ -137,11 +153,10 @@ def _first_paths(percent: int, trees: int):
         roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
         for batch in batches:
             sid, sig = batch.column("sid").to_numpy(), _matrix(batch.column("sig"))
-            for root in roots:
-                if len(sid):
-                    node, at = _children(np.full(len(sid), root), np.arange(len(sid)), sig, percent)
-                    node, at = _children(node, at, sig[at], percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(sid[at])], names=["node", "sid"])
+            for k, root in enumerate(roots if len(sid) else ()):
+                node, at = _children(np.full(len(sid), root), np.arange(len(sid)), sig, percent, first=13 * k % TOKENS)
+                node, at = _children(node, at, sig[at], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(sid[at])], names=["node", "sid"])
 
     return run
 
@@ -204,46 +219,58 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(*rest)
 
 
-def _against_pivot(percent: int):
+def _against_pivots(percent: int):
+    """Links of sets to the pivots of their nodes (kind 0), and the children of sets that stay (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            node, sid, pivot = (b.column(k).to_numpy() for k in ("node", "sid", "pivot"))
+            node, sid = (b.column(k).to_numpy() for k in ("node", "sid"))
             sig = _matrix(b.column("sig"))
-            like = (sig == _matrix(b.column("psig"))).sum(1) / TOKENS
-            link = (like >= NEAR) & (sid != pivot)
-            on = like < ABSORB
-            child, at = _children(node[on].view(np.uint64), sid[on], sig[on], percent)
-            kind = np.concatenate((np.zeros(link.sum(), np.int32), np.ones(len(at), np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate((pivot[link], child.view(np.int64)))), pa.array(np.concatenate((sid[link], at)))], names=["kind", "a", "b"])
+            nodes, code = np.unique(node, return_inverse=True)
+            first = np.full(len(nodes), b.num_rows)
+            np.minimum.at(first, code, np.arange(b.num_rows))
+            on = np.ones(b.num_rows, bool)
+            links = []
+            for k, at in enumerate(first):  # the pivots of a node are the same in all its rows
+                mine = np.flatnonzero(code == k)
+                for pivot in b.column("pivots")[int(at)].as_py():
+                    like = (sig[mine] == np.frombuffer(pivot["sig"], np.uint32)).sum(1) / TOKENS
+                    near = mine[(like >= NEAR) & (sid[mine] != pivot["sid"])]
+                    links.append(np.stack((np.full(len(near), pivot["sid"], np.int64), sid[near]), 1))
+                    on[mine[like >= ABSORB]] = False
+            a = np.concatenate(links)
+            child, at = _children(node[on].view(np.uint64), sid[on], sig[on], percent, MORE)
+            kind = np.concatenate((np.zeros(len(a), np.int32), np.ones(len(at), np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate((a[:, 0], child.view(np.int64)))), pa.array(np.concatenate((a[:, 1], at)))], names=["kind", "a", "b"])
 
     return run
 
 
 def candidates(sets: DataFrame, s: Scratch, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """Candidate links (a < b) between sets (sid, sig), found in the leaves and pivots of all trees."""
-    n = parts(s.spark)
-    links = []
+    leaves, links = [], []
     rows = s.keep(sets.mapInArrow(_first_paths(percent, trees), "node long, sid long"), "paths")
     while True:
-        sizes = s.keep(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-        sized = rows.join(sizes, "node")
-        leaf = sized.where(F.col("n") <= LEAF).select("node", "sid").join(sets, "sid").select("node", "sid", "sig")
-        links.append(s.keep(leaf.repartition(n, "node").sortWithinPartitions("node").mapInArrow(_leaves, "a long, b long").distinct(), "links"))
-        large = s.keep(sized.where(F.col("n") > LEAF).select("node", "sid"), "large")
+        part = F.pmod(F.xxhash64("sid"), F.lit(PIVOTS))
+        pivot = F.array_compact(F.array(*(F.min(F.when(part == k, F.col("sid"))) for k in range(PIVOTS))))
+        nodes = s.keep(rows.groupBy("node").agg(F.count("*").alias("n"), pivot.alias("pivot")).where("n > 1"), "nodes")
+        sized = s.keep(rows.join(nodes.select("node", "n"), "node"), "sized")
+        leaves.append(sized.where(F.col("n") <= LEAF).select("node", "sid"))
+        large = nodes.where(F.col("n") > LEAF)
         if large.limit(1).count() == 0:
             break
-        pivots = s.keep(large.groupBy("node").agg(F.min("sid").alias("sid")), "pivots").join(sets, "sid").select("node", F.col("sid").alias("pivot"), F.col("sig").alias("psig"))
-        pivots = s.keep(pivots, "pivots")
-        held = s.keep(large.join(sets, "sid"), "held").join(pivots, "node")
-        out = s.keep(held.mapInArrow(_against_pivot(percent), "kind int, a long, b long"), "pivoted")
-        links.append(out.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        # at most PIVOTS of a node
+        pivots = large.select("node", F.explode("pivot").alias("sid")).join(sets, "sid").groupBy("node").agg(F.collect_list(F.struct("sid", "sig")).alias("pivots"))
+        held = sized.where(F.col("n") > LEAF).select("node", "sid").join(sets, "sid").join(s.keep(pivots, "pivots"), "node")
+        out = s.keep(held.mapInArrow(_against_pivots(percent), "kind int, a long, b long"), "pivoted")
+        links.append(out.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         rows = out.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("sid"))
-    found = links[0]
-    for x in links[1:]:
-        found = found.union(x)
-    return s.keep(found.distinct(), "candidates")
+    # the leaves of all levels in one pass: nodes are named by their paths, so no two levels share one
+    leaf = reduce(DataFrame.union, leaves).join(sets, "sid").select("node", "sid", "sig")
+    found = leaf.repartition(parts(s.spark), "node").sortWithinPartitions("node").mapInArrow(_leaves, "a long, b long")
+    return s.keep(reduce(DataFrame.union, links, found).distinct(), "candidates")
 
 
 def _filter_bits(ids: DataFrame) -> np.ndarray:
@@ -317,17 +344,20 @@ def confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _rest_links(percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         side = table.column("rest").to_numpy(zero_copy_only=False).astype(bool)
         outer, inner = np.flatnonzero(side), np.flatnonzero(~side)
         sid, comp = table.column("sid").to_numpy(), table.column("comp").to_numpy()
-        sig = _matrix(table.column("sig").combine_chunks() if isinstance(table.column("sig"), pa.ChunkedArray) else table.column("sig"))
-        sets = table.column("shingles")
+        sig = _matrix(table.column("sig"))
+        blobs = [x.as_py() for x in table.column("shingles")]
+        size = np.array([len(x) for x in blobs])
         out = []
         for i in outer:
             like = (sig[inner] == sig[i]).sum(1)
-            joined = {comp[i]}
-            for j in inner[np.argsort(-like, kind="stable")][: int((like >= LIKELY * TOKENS).sum())]:
-                if comp[j] not in joined and similar(sets[int(i)].as_py(), sets[int(j)].as_py(), percent):
+            near = (like >= LIKELY * TOKENS) & (100 * np.minimum(size[inner], size[i]) >= percent * np.maximum(size[inner], size[i])) & (comp[inner] != comp[i])
+            joined = set()
+            for j in inner[near][np.argsort(-like[near], kind="stable")]:
+                if comp[j] not in joined and similar(blobs[i], blobs[j], percent):
                     joined.add(comp[j])
                     out.append((min(sid[i], sid[j]), max(sid[i], sid[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
@@ -341,11 +371,11 @@ def similar_components(docs: DataFrame, sets: DataFrame, s: Scratch, words: int,
     ids = s.keep(links.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ids")
     full = s.keep(full_sets(docs, ids, words), "sets")
     sure = s.keep(confirmed(links, full, percent), "sure")
-    comps = s.keep(components(sure, s), "comps")
-    clusters = s.keep(components(links, s), "clusters")
+    comps = components(sure, s)
+    clusters = components(links, s)
     # members of clusters that fall into several components, without each cluster's largest
     of = s.keep(clusters.withColumnRenamed("node", "sid").withColumnRenamed("component", "cluster").join(comps.withColumnRenamed("node", "sid").withColumnRenamed("component", "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "of")
-    sizes = s.keep(of.groupBy("cluster", "comp").agg(F.count("*").alias("n")), "sizes")
+    sizes = of.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     split = sizes.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("most")).where("k > 1 and m > 2")
     split = s.keep(split.select("cluster", F.col("most.comp").alias("main"), (F.ceil((F.col("m") - F.col("most.n")) / BLOCK)).alias("blocks"), F.ceil(F.col("m") / SLICE).alias("slices")), "split")
     if split.limit(1).count() == 0:
@@ -359,19 +389,18 @@ def similar_components(docs: DataFrame, sets: DataFrame, s: Scratch, words: int,
     if more.limit(1).count() == 0:
         return comps
     star = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return s.keep(components(star.union(more), s), "comps")
+    return components(star.union(more), s)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, for every row."""
     s = Scratch(docs.sparkSession, "minhash")
     every = s.keep(document_sets(docs, words), "documents")
-    named = every.where("n_shingles > 0 and doc_id is not null")
-    reps = s.keep(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "reps")
-    members = s.keep(every.select("doc_id", "n_shingles", "h1", "h2").join(reps, ["h1", "h2"], "left"), "members")
-    sets = s.keep(named.select(F.col("doc_id").alias("sid"), "sig").join(reps.select(F.col("rep").alias("sid")), "sid", "left_semi"), "sigs")
-    comps = similar_components(docs, sets, s, words, percent, trees)
-    out = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    alone = F.col("n_shingles") == 0
-    component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # equal sets are one, named by its smallest doc_id; the minimum is taken in partial sums, so a group of copies is no hot group
+    named = every.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("one"))
+    reps = s.keep(named.select("h1", "h2", F.col("one.doc_id").alias("rep"), F.col("one.sig").alias("sig")), "reps")
+    comps = similar_components(docs, reps.select(F.col("rep").alias("sid"), "sig"), s, words, percent, trees)
+    found = s.keep(reps.select("h1", "h2", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component")), "found")
+    out = every.select("doc_id", "n_shingles", "h1", "h2").join(found, ["h1", "h2"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
+    return s.sweep(out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests), a temporary folder."""
+    """The cluster's spark.checkpoint.dir; where it is unset, a temporary folder if driver and executors are one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scholia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,11 +26,13 @@ class Scratch:
         self.spark = spark
         self.base = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        self.paths: list[str] = []
 
     def write(self, df: DataFrame, name: str = "t") -> str:
         self.made += 1
         path = f"{self.base}/{name}{self.made}"
         df.write.parquet(path)
+        self.paths.append(path)
         return path
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -36,16 +40,34 @@ class Scratch:
         schema = df.schema
         return self.spark.read.schema(schema).parquet(self.write(df, name))
 
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete tables made by keep() which nothing will read again."""
+    def _folders(self, frames: tuple[DataFrame, ...]) -> set[str]:
+        name = f"/{self.base.rsplit('/', 1)[1]}/"
+        return {f.split(name, 1)[1].split("/", 1)[0] for df in frames for f in df.inputFiles() if name in f}
+
+    def _delete(self, paths: list[str]) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            folders = {f.rsplit("/", 1)[0] for f in df.inputFiles() if f"/{self.base.rsplit('/', 1)[1]}/" in f}
-            for folder in folders:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = [p for p in self.paths if p not in set(paths)]
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables made by keep() which nothing will read again."""
+        gone = self._folders(frames)
+        self._delete([p for p in self.paths if p.rsplit("/", 1)[1] in gone])
+
+    def sweep(self, result: DataFrame) -> DataFrame:
+        """Delete every table that the result does not read, and give the result back."""
+        used = self._folders((result,))
+        self._delete([p for p in self.paths if p.rsplit("/", 1)[1] not in used])
+        return result
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """The planner's estimate, from the sizes of the files read: no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
