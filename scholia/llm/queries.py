@@ -100,7 +100,7 @@ FROM f LEFT JOIN h USING (source) CROSS JOIN b
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), "kept_text")
 
 
 #: Shares of the tokens by domain (quality/toxic): sound and clean, poor, toxic.

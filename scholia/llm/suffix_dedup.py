@@ -4,10 +4,11 @@ A passage of MATCH bytes is looked at through its anchor: among its first WINDOW
 bytes is least (leftmost on ties). Equal passages have the same anchor, so only suffixes that begin at anchors need to be
 indexed, about one in 80 places. Passages of one anchor share at least the PREFIX bytes from there on.
 
-1. Documents are dealt into batches. A batch gets a suffix array: its anchors' suffixes in order of the fingerprint of
-   their PREFIX bytes, so that equal prefixes are neighbours. It is merge-scanned against every level of the index for
-   prefixes that occur there too, then becomes the newest level; levels of equal size merge, so a family over b batches
-   has at most log2(b) + 1 levels and every entry moves as often.
+1. Documents are dealt into batches of about BATCH_BYTES. A batch gets a sparse suffix array, dealt by prefix: its anchors'
+   suffixes in order of their first bytes (LEAD of them as they are, the rest of the PREFIX by fingerprint), so that equal
+   prefixes are neighbours. It is merge-scanned against every level of the index for prefixes that occur there too, then
+   becomes the newest level; levels of equal size merge, so a family over b batches has at most log2(b) + 1 levels and every
+   entry moves as often.
 2. Anchors whose prefix occurs twice are then settled exactly. Occurrences with the same reach to both sides and the same
    bytes there are one class: with two or more members, all its passages repeat. Only where a prefix has several classes,
    each class compares its single passages, by fingerprints of all MATCH bytes, dealt by prefix and distance to the anchor.
@@ -26,23 +27,27 @@ leaves its other bytes in kept_bytes and drops them in kept_text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.minhash_dedup import _filter_bits, _probes
-from scholia.llm.scratch import Scratch, parts
+from scholia.llm.scratch import Scratch, parts, size_in_bytes
 from scholia.llm.textblock import Block, blocks, mix, spans
 
 MATCH = 400
 WINDOW = 192
 GRAM = 16
-BATCHES = 4
+LEAD = 8
+#: Size of a batch as read; there are LEAST_BATCHES at least.
+BATCH_BYTES, LEAST_BATCHES = 64 << 30, 4
 CHUNK = 16
 HOT = 256
 _PLACE = np.uint64((1 << 31) - 1)
+_SIGN = np.uint64(1 << 63)  # makes signed order the order of the bytes
 
 
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -56,12 +61,13 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(b: Block, match: int = MATCH, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Anchor, first and last start of its passages (places in the block), prefix and class fingerprints."""
+    """Anchor, first and last start of its passages (places in the block), first bytes of the suffix there, prefix and class
+    fingerprints."""
     n = len(b.data)
     size = np.diff(b.off)
     long = size >= match
     if not long.any():
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
+        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 3
     prefix = b.prefix()
     at = np.arange(n - GRAM + 1)
     least = _sliding_min((spans(prefix, at, at + GRAM) & ~_PLACE) | at.astype(np.uint64), window)
@@ -76,52 +82,56 @@ def anchors(b: Block, match: int = MATCH, window: int = WINDOW) -> tuple[np.ndar
     low, high, anchor = starts[cut], starts[np.append(cut[1:], len(starts)) - 1], anchor[cut]
     core = spans(prefix, anchor, anchor + match - window + 1)
     reach = mix((anchor - low).astype(np.uint64) * np.uint64(1009) + (high - anchor + window).astype(np.uint64))
-    return anchor, low, high, core, mix(spans(prefix, low, high + match) ^ reach)
+    lead = np.zeros(len(anchor), np.uint64)
+    for k in range(LEAD):
+        lead = (lead << np.uint64(8)) | b.data[anchor + k].astype(np.uint64)
+    return anchor, low, high, lead, core, mix(spans(prefix, low, high + match) ^ reach)
 
 
 def anchor_table(docs: DataFrame, match: int, window: int) -> DataFrame:
-    """key, th (naming a row's text), batch, places of its anchors, core and ctx."""
+    """key, th (naming a row's text), batch, places of its anchors, lead (in order of the bytes), core and ctx."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, b in blocks(batches):
-            at, low, high, core, ctx = anchors(b, match, window)
+            at, low, high, lead, core, ctx = anchors(b, match, window)
             row = b.row_of(low)
             base = b.off[row]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(k).take(take) for k in ("key", "th", "batch")), *(pa.array((x - base).astype(np.int32)) for x in (at, low, high)), pa.array(core.view(np.int64)), pa.array(ctx.view(np.int64))],
-                names=["key", "th", "batch", "at", "low", "high", "core", "ctx"],
+                [*(part.column(k).take(take) for k in ("key", "th", "batch")), *(pa.array((x - base).astype(np.int32)) for x in (at, low, high)), *(pa.array(x.view(np.int64)) for x in (lead ^ _SIGN, core, ctx))],
+                names=["key", "th", "batch", "at", "low", "high", "lead", "core", "ctx"],
             )
 
-    return docs.select("key", "th", "batch", "text").mapInArrow(run, "key long, th long, batch int, at int, low int, high int, core long, ctx long")
+    return docs.select("key", "th", "batch", "text").mapInArrow(run, "key long, th long, batch int, at int, low int, high int, lead long, core long, ctx long")
 
 
 class IndexFamily:
-    """Levels of suffix arrays, newest last; a level is (number of batches in it, entries in order of prefix)."""
+    """Levels of suffix arrays, newest last; a level is (number of batches in it, entries in order of lead and core)."""
 
     def __init__(self, s: Scratch):
         self.s, self.levels, self.matched = s, [], []
 
+    def _ordered(self, entries: DataFrame, n: Column, name: str) -> DataFrame:
+        # partial sums before entries are dealt: a prefix with a third of all entries is no hot group
+        return self.s.keep(entries.groupBy("lead", "core").agg(n.cast("long").alias("n")).sortWithinPartitions("lead", "core"), name)
+
     def add(self, suffixes: DataFrame) -> None:
-        """Index one batch (column core): merge-scan it against every level, insert it, merge levels of equal size."""
-        array = suffixes.groupBy("core").agg(F.count("*").alias("n")).sortWithinPartitions("core")
-        array = self.s.keep(array, "array")
-        self.matched.append(self.s.keep(array.where("n > 1").select("core"), "within"))
+        """Index a batch that has arrived (columns lead and core): merge-scan it against every level, insert it, merge
+        levels of equal size."""
+        array = self._ordered(suffixes, F.count("*"), "array")
+        self.matched.append(array.where("n > 1").select("lead", "core"))
         for _, level in self.levels:
-            self.matched.append(self.s.keep(array.select("core").join(level.select("core"), "core"), "scan"))
+            # both sides are in order: a sort-merge join is the merge scan
+            scan = array.select("lead", "core").hint("merge").join(level.select("lead", "core"), ["lead", "core"])
+            self.matched.append(self.s.keep(scan, "scan"))
         self.levels.append((1, array))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (k, old), (j, new) = self.levels[-2:]
-            both = old.union(new).groupBy("core").agg(F.sum("n").alias("n")).sortWithinPartitions("core")
-            self.levels[-2:] = [(k + j, self.s.keep(both, "level"))]
-            self.s.drop(old, new)
+            self.levels[-2:] = [(k + j, self._ordered(old.union(new), F.sum("n"), "level"))]
 
     def repeated(self) -> DataFrame:
-        """The prefixes that occur twice or more in all batches so far."""
-        found = self.matched[0]
-        for x in self.matched[1:]:
-            found = found.union(x)
-        return self.s.keep(found.distinct(), "repeated")
+        """The prefixes (core) that occur twice or more in all batches so far."""
+        return self.s.keep(reduce(DataFrame.union, self.matched).select("core").distinct(), "repeated")
 
 
 def _passages(match: int):
@@ -209,16 +219,17 @@ def _of_documents(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     return keyed.select("key", "th", "text").mapInArrow(run, "key long, th long, text string").join(rows, ["key", "th"])
 
 
-def repeated_spans(docs: DataFrame, s: Scratch, match: int = MATCH, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(docs: DataFrame, s: Scratch, match: int = MATCH, window: int = WINDOW, batches: int | None = None) -> DataFrame:
     """key, th, spans (array of start, end): where the texts of docs (key, th, text) repeat; unmerged."""
     n = parts(s.spark)
+    batches = batches or max(LEAST_BATCHES, -(-size_in_bytes(docs) // BATCH_BYTES))
     keyed = docs.withColumn("batch", F.pmod(F.xxhash64("key", "th"), F.lit(batches)).cast("int"))
     every = s.keep(anchor_table(keyed, match, window), "anchors")
     family = IndexFamily(s)
     for k in range(batches):
         family.add(every.where(F.col("batch") == k))
-    found = s.keep(every.join(family.repeated(), "core"), "found")
-    s.drop(every, *(x for _, x in family.levels), *family.matched)
+    found = s.keep(every.join(family.repeated(), "core").drop("lead", "batch"), "found")
+    s.sweep(found)
     one = F.struct("key", "th", "at", "low", "high")
     classes = s.keep(found.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(one).alias("one")), "classes")
     whole = found.join(classes.where("n > 1").select("core", "ctx"), ["core", "ctx"]).select("key", "th", F.col("low").alias("start"), (F.col("high") + match).alias("end"))
@@ -232,9 +243,7 @@ def repeated_spans(docs: DataFrame, s: Scratch, match: int = MATCH, window: int
     part = prints.where("not hot").drop("hot").repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_settle(match), "key long, th long, start int, end int")
     part = s.keep(part.union(common).groupBy("key", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "part")
     out = whole.union(part).groupBy("key", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    out = s.keep(out, "spans")
-    s.drop(found, classes, whole, contested, rows, prints, twice, part)
-    return out
+    return s.sweep(s.keep(out, "spans"))
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -248,7 +257,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, match: int = MATCH, window: int = WINDOW, batches: int | None = None) -> DataFrame:
     """All columns of docs, with kept_bytes and kept_text (what remains of the text), n_bytes, n_removed and n_spans,
     which replace columns of these names."""
     docs = docs.drop("kept_bytes", "kept_text", "n_bytes", "n_removed", "n_spans", "spans_", "key_", "th_")
@@ -261,11 +270,11 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, window: int = WINDOW, ba
     rows = docs.withColumns({"key_": key, "th_": F.xxhash64(text)}).join(found.select(F.col("key").alias("key_"), F.col("th").alias("th_"), F.col("spans").alias("spans_")), ["key_", "th_"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, _ in blocks(batches):
             out = []
-            for t, found in zip(batch.column("text"), batch.column("spans_"), strict=True):
+            for t, found in zip(part.column("text"), part.column("spans_"), strict=True):
                 data = (t.as_py() or "").encode()
-                if found.as_py() is None:
+                if not found.is_valid:
                     out.append((data, t.as_py(), len(data), 0, 0))
                     continue
                 v = found.values
@@ -277,9 +286,9 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, window: int = WINDOW, ba
                 kept.append(data[at:])
                 rest = b"".join(kept)
                 out.append((rest, rest.decode("utf-8", "ignore"), len(data), len(data) - len(rest), len(runs)))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
+            cols = list(zip(*out, strict=True))
             made = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "kept_bytes", "kept_text", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, "kept_bytes", "kept_text", "n_bytes", "n_removed", "n_spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return rows.select(*names, "spans_").mapInArrow(run, f"{fields}, kept_bytes binary, kept_text string, n_bytes long, n_removed long, n_spans long")
