@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.scratch import Scratch
+from scholia.llm.textblock import blocks
 
 CAPACITY = 2048
 END_ID = 0
@@ -73,7 +74,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in batches:
+        for batch, _ in blocks(batches):
             out = []
             done: dict[str, list] = {}
             for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -83,7 +84,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> Dat
                     rows = [(k, start, n, zlib.crc32(ids[start : start + n].tobytes())) for k, (start, n) in enumerate(cut(len(ids), capacity))]
                     done[t] = rows
                 out += [(doc, *r) for r in rows]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
+            cols = list(zip(*out, strict=True))
             nth = []
             for n in cols[3]:
                 nth.append(seen[n])

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.packing import encode
+from scholia.llm.textblock import blocks
 
 SEGMENT = 256
 
@@ -80,6 +81,13 @@ class Tree:
             k //= 2
             self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
 
+    def _beside(self, at: int, step: int) -> int:
+        """The next segment with text to this side; `at` if there is none. Edits leave empty segments behind."""
+        k = at + step
+        while 0 <= k < len(self.parts) and not self.parts[k]:
+            k += step
+        return k if 0 <= k < len(self.parts) else at
+
     def apply(self, edits: list[Edit]) -> None:
         """Edits (start, end, replacement) in places of the text as it was, in order, without overlaps."""
         if not self.parts:
@@ -97,11 +105,11 @@ class Tree:
             while k < len(self.parts) - 1 and offsets[k + 1] <= start:
                 k += 1
             low = k
-            if low and start <= offsets[low] + 1:
-                low -= 1  # the space that opens this segment, or the character after it, may go
+            if start <= offsets[low] + 1:
+                low = self._beside(low, -1)  # the space that opens this segment, or the character after it, may go
             high = k
-            while high < len(self.parts) - 1 and end >= offsets[high + 1]:
-                high += 1  # the character before a border may go
+            while end >= offsets[high + 1] and (beside := self._beside(high, 1)) != high:
+                high = beside  # the character before a border may go
             if runs and low <= runs[-1][1]:
                 runs[-1][1] = max(runs[-1][1], high)
                 runs[-1][2].append((start, end, new))
@@ -119,6 +127,11 @@ class Tree:
             self._set(low, "".join(out))
             for j in range(low + 1, high + 1):
                 self._set(j, "")
+        full = [k for k, p in enumerate(self.parts) if p]
+        if 2 * len(full) < len(self.parts):  # rebuilt from the sums it has; nothing is encoded
+            leaves = [self.sums[self.width + k] for k in full]
+            self.parts = [self.parts[k] for k in full]
+            self._fill(leaves)
 
 
 #: Fixed patterns of the cleaning edits: e-mail addresses, then runs of five or more digits.
@@ -135,7 +148,7 @@ def count_with_edits(docs: DataFrame, edits: Callable[[str], list[Edit]] = redac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_tokens", "n_segments", "n_edits", "n_tokens_edited", "chars_encoded"]
-        for batch in batches:
+        for batch, _ in blocks(batches):
             done: dict[str, tuple] = {}
             rows = []
             for t in batch.column("text"):
@@ -148,7 +161,7 @@ def count_with_edits(docs: DataFrame, edits: Callable[[str], list[Edit]] = redac
                         tree.apply(found)
                     row = done[t] = (before, parts, len(found), tree.total, tree.encoded - first)
                 rows.append(row)
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *names])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
