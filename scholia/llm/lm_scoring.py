@@ -1,10 +1,11 @@
 """Language-model scores from a log-frequency Bloom filter (Talbot and Osborne's scheme).
 
-Counting: every training token and pair of neighbours is counted. Tasks sum what they see, deal sorted runs of (hash, count)
-by hash range, and each range is merged apart; no count is sampled and no word is a hot group.
+Counting: every training token and pair of neighbours is counted, in 64 bits. Tasks sum what they see, deal sorted runs of
+(hash, count) by hash range, and each range is merged apart; no count is sampled and no word is a hot group. There are as many
+ranges as leave about RANGE_BYTES of the table to each, so a range stays small however large the table is.
 
 Filter: a count c is quantised to level q = 1 + floor(log(c / least) / log(BASE)), and the events (n-gram, 1), ...,
-(n-gram, q) are set. The filter has SEGMENTS parts; an n-gram's range names its part, so parts are built apart and only
+(n-gram, q) are set. The filter has a segment for each range of hashes, so segments are built apart and only
 their bits meet. Words and pairs are stored from count 1, and the bits follow the number of events
 (BITS_PER_EVENT) without a ceiling. A count is read back by probing levels until one is missing. A filter of at most
 2 ** MAX_BITS bits is gathered by the driver and broadcast. A larger one stays a table: every block sends its distinct
@@ -31,16 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.scratch import Scratch, parts
+from scholia.llm.scratch import Scratch, parts, size_in_bytes
 from scholia.llm.textblock import Block, blocks, mix, spans
 
 BASE = 1.5
 PROBES = 4
-SEGMENTS = 256
+#: Ranges of hashes: LEAST_RANGES at least, more as the table grows, MOST_RANGES at most (then ranges grow).
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 8 << 20, 256, 1 << 22
 MAX_BITS = 31
 BITS_PER_EVENT = 12
 TOP = 1 << 18
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 WEIGHTS = np.array([0.0, 0.001, 0.003, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
 LEVELS = 64
 
@@ -75,13 +77,13 @@ def pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
 
 
-def _runs(h: np.ndarray, c: np.ndarray, kind: int, shift: int) -> list[tuple[int, int, bytes, bytes]]:
-    """Rows (range, kind, hashes, counts) of sorted distinct hashes."""
+def _runs(h: np.ndarray, c: np.ndarray, kind: int, shift: int, width: str = "<u4") -> list[tuple[int, int, bytes, bytes]]:
+    """Rows (range, kind, hashes, counts) of sorted distinct hashes; a task's counts before a flush fit in 32 bits."""
     if not len(h):
         return []
     part = (h >> np.uint64(shift)).astype(np.int64)
     cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    return [(int(part[a]), kind, h[a:z].tobytes(), c[a:z].astype("<u4").tobytes()) for a, z in zip(cut, np.append(cut[1:], len(h)), strict=True)]
+    return [(int(part[a]), kind, h[a:z].tobytes(), c[a:z].astype(width).tobytes()) for a, z in zip(cut, np.append(cut[1:], len(h)), strict=True)]
 
 
 _RUN = "part int, kind int, h binary, c binary"
@@ -94,8 +96,9 @@ def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def counts(texts: DataFrame, s: Scratch) -> tuple[DataFrame, int]:
     """Runs (part, kind, h, c): merged counts of words (kind 1) and of pairs (kind 2) by range of hashes; and the shift that gives a hash's range."""
-    ranges = SEGMENTS
-    while ranges < 2 * parts(s.spark):
+    wanted = min(MOST_RANGES, max(2 * parts(s.spark), size_in_bytes(texts) // RANGE_BYTES))
+    ranges = LEAST_RANGES
+    while ranges < wanted:
         ranges *= 2
     shift = 64 - (ranges - 1).bit_length()
 
@@ -134,8 +137,7 @@ def counts(texts: DataFrame, s: Scratch) -> tuple[DataFrame, int]:
                 order = np.argsort(h, kind="stable")
                 h, c = h[order], c[order]
                 cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                h, c = h[cut], np.minimum(np.add.reduceat(c, cut), 2**32 - 1)
-                rows.append((int(table.column("part")[0].as_py()), kind, h.tobytes(), c.astype("<u4").tobytes()))
+                rows.append((int(table.column("part")[0].as_py()), kind, h[cut].tobytes(), np.add.reduceat(c, cut).astype("<i8").tobytes()))
         return pa.Table.from_batches([_run_batch(rows)])
 
     seen = texts.select("text").mapInArrow(count, _RUN)
@@ -145,7 +147,7 @@ def counts(texts: DataFrame, s: Scratch) -> tuple[DataFrame, int]:
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for b in batches:
         for part, kind, h, c in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("h"), b.column("c"), strict=True):
-            yield part, kind, np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), "<u4").astype(np.int64)
+            yield part, kind, np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), "<i8")
 
 
 def _bin(c: np.ndarray) -> np.ndarray:
@@ -180,10 +182,11 @@ def _place(start: np.ndarray, step: np.ndarray, probe: int, size: int) -> np.nda
 
 
 class Filter:
-    """The words of the bit array of SEGMENTS segments of `size` bits, or of one of them, for n-grams of that segment alone."""
+    """The words of the bit array of all segments of `size` bits (named by the bits of a hash above `shift`), or of one of
+    them, for n-grams of that segment alone."""
 
-    def __init__(self, words: np.ndarray, size: int):
-        self.words, self.size, self.whole = words, size, 64 * len(words) > size
+    def __init__(self, words: np.ndarray, size: int, shift: int):
+        self.words, self.size, self.shift, self.whole = words, size, np.uint64(shift), 64 * len(words) > size
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The highest level of each n-gram whose probes, and those of all levels below, are set."""
@@ -191,7 +194,7 @@ class Filter:
         at = np.arange(len(h))
         for q in range(1, LEVELS):
             g = h[at]
-            first = (g >> np.uint64(56)) * np.uint64(self.size if self.whole else 0)
+            first = (g >> self.shift) * np.uint64(self.size if self.whole else 0)
             start, step = _probes(g, q)
             for probe in range(PROBES):
                 p = _place(start, step, probe, self.size) + first
@@ -204,7 +207,7 @@ class Filter:
         return out
 
 
-def segment_size(counted: DataFrame) -> int:
+def segment_size(counted: DataFrame, shift: int) -> int:
     """The bits of a segment of the filter, a multiple of 64: they follow the number of events, without a ceiling."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,37 +215,41 @@ def segment_size(counted: DataFrame) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([int(level(c, 1).sum())])], names=["n"])
 
     events = counted.mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
-    return max(256, 64 * -(-events * BITS_PER_EVENT // (64 * SEGMENTS)))
+    return max(256, 64 * -(-events * BITS_PER_EVENT // (64 << (64 - shift))))
 
 
 def segments(counted: DataFrame, size: int) -> DataFrame:
-    """Rows (segment, bits); a segment whose ranges lie in several tasks has several rows, to be united."""
+    """Rows (segment, bits); a segment may have several rows, to be united."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for _, _, h, c in _arrays(batches):
+        now, bits = None, np.zeros(0, np.uint8)
+        told = lambda: pa.RecordBatch.from_pydict({"segment": [now], "bits": [bits.tobytes()]}, pa.schema([("segment", pa.int32()), ("bits", pa.binary())]))
+        for part, _, h, c in _arrays(batches):
             if not len(h):
                 continue
+            if part != now:
+                if now is not None:
+                    yield told()
+                now, bits = part, np.zeros(size // 8, np.uint8)
             q = level(c, 1)
             flag = np.zeros(size, np.uint8)
             for k in range(1, int(q.max()) + 1):
                 start, step = _probes(h[q >= k], k)
                 for probe in range(PROBES):
                     flag[_place(start, step, probe, size)] = 1
-            got = made.setdefault(int(h[0] >> np.uint64(56)), np.zeros(size // 8, np.uint8))
-            got |= np.packbits(flag, bitorder="little")
-        for k, x in made.items():
-            yield pa.RecordBatch.from_pydict({"segment": [k], "bits": [x.tobytes()]}, pa.schema([("segment", pa.int32()), ("bits", pa.binary())]))
+            bits |= np.packbits(flag, bitorder="little")
+        if now is not None:
+            yield told()
 
     return counted.mapInArrow(segment, "segment int, bits binary")
 
 
-def build_filter(made: DataFrame, size: int) -> Filter:
-    """The whole filter on the driver, to be broadcast: SEGMENTS rows of `size` bits."""
-    out = np.zeros((SEGMENTS, size // 8), np.uint8)
+def build_filter(made: DataFrame, size: int, shift: int) -> Filter:
+    """The whole filter on the driver, to be broadcast: a row of `size` bits a segment."""
+    out = np.zeros((1 << (64 - shift), size // 8), np.uint8)
     for r in made.toLocalIterator():
         out[r["segment"]] |= np.frombuffer(r["bits"], np.uint8)
-    return Filter(out.reshape(-1).view("<u8"), size)
+    return Filter(out.reshape(-1).view("<u8"), size, shift)
 
 
 def _rows(lengths: np.ndarray, training: np.ndarray) -> bytes:
@@ -255,17 +262,17 @@ def _levels(block: int, rows: bytes, levels: tuple[np.ndarray, ...]) -> pa.Recor
     return pa.RecordBatch.from_arrays([*cols, pa.array([b"".join(q.astype(np.uint8).tobytes() for q in levels)], pa.binary()), pa.array([rows], pa.binary())], names=_NAMES)
 
 
-def _asks(block: int, doc_rows: bytes, h: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+def _asks(block: int, doc_rows: bytes, h: np.ndarray, before: np.ndarray, shift: int) -> pa.RecordBatch:
     """What a block sends to the segments: its distinct n-grams by segment (kind 5), and what its tokens need of the answers (kind 4)."""
     both, code = np.unique(np.concatenate((h, [_BEGIN], pair(before, h))), return_inverse=True)
-    runs = _runs(both, np.zeros(len(both)), 5, 56)
+    runs = _runs(both, np.zeros(len(both)), 5, shift)
     rows = [(4, None, code.astype("<u4").tobytes(), doc_rows), *((5, r[0], r[2], None) for r in runs)]
     kind, part, hashes, rest = zip(*rows, strict=True)
     cols = [pa.array(kind, pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.nulls(len(rows), t) for t in _TYPES[2:7])]
     return pa.RecordBatch.from_arrays([*cols, pa.array(part, pa.int32()), pa.array(hashes, pa.binary()), pa.array(rest, pa.binary())], names=_NAMES)
 
 
-def routed_levels(out: DataFrame, made: DataFrame, size: int) -> DataFrame:
+def routed_levels(out: DataFrame, made: DataFrame, size: int, shift: int) -> DataFrame:
     """One row (rid, rows, levels) a block with the levels of its tokens, when the filter is too large to
     broadcast: n-grams go to their segment, a task holding one segment at a time, and the levels come back to the block."""
 
@@ -277,7 +284,7 @@ def routed_levels(out: DataFrame, made: DataFrame, size: int) -> DataFrame:
 
             def settle(part: int, held: list, told: list) -> None:
                 if held:
-                    q = Filter(words.view("<u8"), size).levels(np.concatenate([h for _, h in held])).astype(np.uint8)
+                    q = Filter(words.view("<u8"), size, shift).levels(np.concatenate([h for _, h in held])).astype(np.uint8)
                     ends = np.cumsum([len(h) for _, h in held])
                     told += [(rid, part, q[z - len(h) : z].tobytes()) for (rid, h), z in zip(held, ends, strict=True)]
                     held.clear()
@@ -412,13 +419,13 @@ def common_words(counted: DataFrame, top: int = TOP) -> tuple[np.ndarray, np.nda
         rows = []
         for part, kind, h, c in _arrays(batches):
             on = _bin(c) >= least
-            rows.append((part, kind, h[on].tobytes(), c[on].astype("<u4").tobytes()))
+            rows.append((part, kind, h[on].tobytes(), c[on].tobytes()))
         yield _run_batch(rows)
 
     got = words.mapInArrow(pick, _RUN).toPandas()
     h = np.frombuffer(b"".join(got["h"]), np.uint64)
     order = np.argsort(h)
-    return h[order], np.frombuffer(b"".join(got["c"]), "<u4").astype(np.int64)[order]
+    return h[order], np.frombuffer(b"".join(got["c"]), "<i8")[order]
 
 
 def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int = TOP) -> DataFrame:
@@ -438,12 +445,12 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
 
     t = counted.where("kind = 1").mapInArrow(totals, "types long, total long").agg(F.sum("types"), F.sum("total")).first()
     types, total = (t[0] or 0) - bool(texts), (t[1] or 0) - texts  # the beginning is a context, not a token
-    size = segment_size(counted)
+    size = segment_size(counted, shift)
     made = s.keep(segments(counted, size), "segments")
     # from here on only the words' exact counts are read again
     pairs, counted = counted, s.keep(counted.where("kind = 1"), "words")
     s.drop(pairs)
-    f = sc.broadcast(build_filter(made, size)) if SEGMENTS * size <= 2**max_bits else None
+    f = sc.broadcast(build_filter(made, size, shift)) if size << (64 - shift) <= 2**max_bits else None
     common = sc.broadcast(common_words(counted, top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +468,7 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
             lengths = np.bincount(row, minlength=b.n)
             yield _scored(0, rid, part.column("doc_id"), lengths, known, base, np.zeros(b.n))
             doc_rows = _rows(lengths, part.column("training").to_numpy(zero_copy_only=False).astype(np.int64))
-            yield _asks(int(rid[0]), doc_rows, h, before) if f is None else _levels(int(rid[0]), doc_rows, probed(f.value, h, before))
+            yield _asks(int(rid[0]), doc_rows, h, before, shift) if f is None else _levels(int(rid[0]), doc_rows, probed(f.value, h, before))
             rare = np.flatnonzero(~is_top)
             rare = rare[np.argsort(h[rare], kind="stable")]
             runs = _runs(h[rare], np.zeros(len(rare)), 3, shift)
@@ -478,7 +485,7 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
         words = table.filter(pa.array(kind == 1))
         asked = table.filter(pa.array(kind == 3))
         h = np.frombuffer(b"".join(words.column("h").to_pylist()), np.uint64)
-        c = np.frombuffer(b"".join(words.column("c").to_pylist()), "<u4").astype(np.int64)
+        c = np.frombuffer(b"".join(words.column("c").to_pylist()), "<i8")
         q = np.frombuffer(b"".join(asked.column("h").to_pylist()), np.uint64)
         rid = np.frombuffer(b"".join(asked.column("c").to_pylist()), np.int64)
         n = np.zeros(len(q), np.int64)
@@ -491,7 +498,7 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
     asked = out.where("kind = 3").select("part", "kind", "h", F.col("rids").alias("c"))
     rest = asked.union(counted.where("kind = 1")).groupBy("part").applyInArrow(settle, "rid long, known long, base double")
     # the levels are kept, so that fitting and scoring need no second pass over the texts
-    resolved = s.keep(routed_levels(out, made, size), "levels") if f is None else out.where("kind = 6").select("rid", F.col("rids").alias("rows"), F.col("h").alias("levels"))
+    resolved = s.keep(routed_levels(out, made, size, shift), "levels") if f is None else out.where("kind = 6").select("rid", F.col("rids").alias("rows"), F.col("h").alias("levels"))
     p = every_probability(total, types)
     w = fit_weights(resolved, total, types)[p.context]
     logs = sc.broadcast(np.log10(w * p.high() + (1 - w) * p.low))
@@ -506,7 +513,7 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
     rest = s.keep(rest.groupBy("rid").agg(F.sum("known").alias("more"), F.sum("base").alias("rest"), F.sum("score").alias("logp")), "rest")
     joined = out.where("kind = 0").join(rest, "rid", "left")
     zero = F.lit(0)
-    return joined.select(
+    told = joined.select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("more", zero)).alias("n_known"),
@@ -514,6 +521,7 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
         F.col("logp").alias("score"),
     )
+    return s.sweep(told)
 
 
 _NAMES = ["kind", "rid", "doc_id", "n_tokens", "known", "base", "score", "part", "h", "rids"]

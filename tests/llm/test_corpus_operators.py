@@ -188,10 +188,10 @@ def test_lm_scores_do_not_depend_on_how_the_filter_is_reached(spark):
 def test_lm_pairs_seen_once_count_and_unseen_ones_are_rarely_found(spark):
     rows = [(k, " ".join(words(k, 60))) for k in range(300)]
     s = Scratch(spark, "t")
-    counted, _ = lm_scoring.counts(docs(spark, rows), s)
-    size = lm_scoring.segment_size(counted)
-    f = lm_scoring.build_filter(lm_scoring.segments(counted, size), size)
-    once = np.concatenate([np.frombuffer(r["h"], np.uint64)[np.frombuffer(r["c"], "<u4") == 1] for r in counted.where("kind = 2").collect()])
+    counted, shift = lm_scoring.counts(docs(spark, rows), s)
+    size = lm_scoring.segment_size(counted, shift)
+    f = lm_scoring.build_filter(lm_scoring.segments(counted, size), size, shift)
+    once = np.concatenate([np.frombuffer(r["h"], np.uint64)[np.frombuffer(r["c"], "<i8") == 1] for r in counted.where("kind = 2").collect()])
     assert len(once) > 10000 and (f.levels(once) > 0).all()
     unseen = np.random.default_rng(0).integers(0, 2**63, 100000, np.uint64) * np.uint64(2) + np.uint64(1)
     assert (f.levels(unseen) > 0).mean() < 0.01
