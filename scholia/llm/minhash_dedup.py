@@ -234,13 +234,18 @@ def _against_pivots(percent: int):
             on = np.ones(b.num_rows, bool)
             links = []
             for k, at in enumerate(first):  # the pivots of a node are the same in all its rows
-                mine = np.flatnonzero(code == k)
-                for pivot in b.column("pivots")[int(at)].as_py():
-                    like = (sig[mine] == np.frombuffer(pivot["sig"], np.uint32)).sum(1) / TOKENS
-                    near = mine[(like >= NEAR) & (sid[mine] != pivot["sid"])]
-                    links.append(np.stack((np.full(len(near), pivot["sid"], np.int64), sid[near]), 1))
-                    on[mine[like >= ABSORB]] = False
+                mine, pivots = np.flatnonzero(code == k), b.column("pivots")[int(at)].as_py()
+                psid, psig = np.array([x["sid"] for x in pivots]), np.stack([np.frombuffer(x["sig"], np.uint32) for x in pivots])
+                like = np.stack([(sig[mine] == x).sum(1) for x in psig], 1) / TOKENS
+                on[mine[(like >= ABSORB).any(1)]] = False
+                near = like >= NEAR
+                has = np.flatnonzero(near.any(1))
+                one = near[has].argmax(1)  # a link to one pivot is enough if pivots that share a set are linked too
+                links.append(np.stack((psid[one], sid[mine[has]]), 1))
+                both = np.unique(np.concatenate([np.stack((one, np.full(len(has), j)), 1)[near[has][:, j]] for j in range(len(psid))]), axis=0)
+                links.append(psid[both])
             a = np.concatenate(links)
+            a = a[a[:, 0] != a[:, 1]]
             child, at = _children(node[on].view(np.uint64), sid[on], sig[on], percent, MORE)
             kind = np.concatenate((np.zeros(len(a), np.int32), np.ones(len(at), np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate((a[:, 0], child.view(np.int64)))), pa.array(np.concatenate((a[:, 1], at)))], names=["kind", "a", "b"])
