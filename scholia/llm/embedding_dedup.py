@@ -149,7 +149,7 @@ def rank(x: np.ndarray, y: np.ndarray, books: Books) -> np.ndarray:
         at = np.arange(len(cell))
         least = one[at, cell // len(books[1])] + two[at, cell % len(books[1])]
         two.sort(1)
-        out[part] = [np.searchsorted(t, m - o, "left").sum() for o, t, m in zip(one, two, least, strict=True)]
+        out[part] = [np.searchsorted(t, m - o - 1e-9, "left").sum() for o, t, m in zip(one, two, least, strict=True)]
     return out
 
 
