@@ -1,16 +1,20 @@
 """Language identification by partial matching: one variable-order byte context tree per language.
 
-Training counts bytes (A-Z folded) after their last two, over all labelled training rows: two passes with map-side sums
-(which bytes occur; then the trees). The trees have at most ALPHABET ** 3 counts a language and go to the driver, where
-escape probabilities (method C, lower orders without the symbols already seen) are folded in once: from then on the
-statistics are frozen and a text's exact code length under a language is a sum of table entries. Tables are broadcast;
-their size depends on the alphabet and the number of languages alone.
+A tree's contexts are the last 0, 1, 2 or 3 bytes (A-Z folded; all 256 byte values are symbols). Contexts of two and three
+bytes are grown where statistics suffice: those that hold at least one part in GROWN of their language's training bytes, so
+a tree has at most 256 + 2 * GROWN contexts whatever the input. Training counts the symbols after each context over all
+labelled training rows, one pass with map-side sums for each order; a pass knows from the one before which contexts to grow.
+Escape probabilities (method C, lower orders without the symbols already seen) are folded in once on the driver: from then on
+the statistics are frozen, and a text's exact code length under a language is a sum of table entries, each taken from the
+longest grown context. Tables are broadcast; their size is bounded by GROWN and LANGUAGES.
 
 Prediction: the language with the shortest code (ties: first in name order); score is its share when 2 ** -code lengths are
-compared at a temperature of one part in 32 bytes, so that it does not saturate with length.
+compared at a temperature of one part in 32 bytes, so that it does not saturate with length. The same text's code length under
+bytes without context, of all languages together, tells whether any language explains it (see reject()).
 
 Defined results: a null text, one without letters, or no training row at all give ``und`` with score 0; rows with a null
-lang do not train; empty tables give empty tables; very long texts are scored whole; other columns are ignored.
+lang do not train; of more than LANGUAGES values of lang those with the most training bytes are learned; empty tables give
+empty tables; very long texts are scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,56 +28,78 @@ from pyspark.sql import functions as F
 
 from scholia.llm.textblock import _LOWER, Block, blocks
 
-ALPHABET = 64
+#: A context of two or three bytes is grown if it holds one part in GROWN of its language's bytes.
+GROWN = 4096
+#: Values of lang that are learned at most.
+LANGUAGES = 256
+#: Counters that a task may hold as one dense array; beyond, a block's counts are sorted.
+DENSE = 1 << 23
 UNKNOWN = "und"
-MAX_BITS = 7.0
 
 
-def _symbols(b: Block, of: np.ndarray, size: int) -> np.ndarray:
-    """Index of (byte before last, last byte, byte) of every position; a text begins after two spaces."""
-    here = of[_LOWER[b.data]].astype(np.int32)
-    space = int(of[32])
-    one, two = np.empty_like(here), np.empty_like(here)
-    one[1:], two[2:] = here[:-1], here[:-2]
+def _history(b: Block) -> tuple[np.ndarray, ...]:
+    """Folded bytes, and those one, two and three places before; texts begin after spaces."""
+    here = _LOWER[b.data].astype(np.int32)
+    out = [here]
     begin = b.off[:-1][np.diff(b.off) > 0]
-    one[begin] = two[begin] = space
-    second = begin + 1
-    two[second[second < len(two)]] = space
-    return (two * size + one) * size + here
+    for k in (1, 2, 3):
+        x = np.full(len(here), 32, np.int32)
+        x[k:] = here[:-k] if k < len(here) else here[:0]
+        for j in range(k):  # places whose byte k before lies outside the text
+            at = begin + j
+            at = at[at < len(x)]
+            x[at[_same_text(b, begin, at, j)]] = 32
+        out.append(x)
+    return tuple(out)
 
 
-def byte_counts(rows: DataFrame) -> DataFrame:
-    """lang, byte (A-Z folded), n of a table with lang and text."""
+def _same_text(b: Block, begin: np.ndarray, at: np.ndarray, j: int) -> np.ndarray:
+    """Whether place begin + j still lies in the text that begins there."""
+    return (b.row_of(at) == b.row_of(begin[: len(at)])) if j else np.ones(len(at), bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for part, b in blocks(batches):
-            langs, code = np.unique(part.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-            key = np.repeat(code, np.diff(b.off)) * 256 + _LOWER[b.data]
-            got = np.bincount(key, minlength=256 * len(langs)).reshape(-1, 256)
-            for lang, n in zip(langs, got, strict=True):
-                total[lang] = total.get(lang, 0) + n
-        out = [(lang, int(k), int(n[k])) for lang, n in total.items() for k in np.flatnonzero(n)] or [(lang, 32, 0) for lang in total]
-        yield pa.RecordBatch.from_pydict({"lang": [str(x[0]) for x in out], "byte": [x[1] for x in out], "n": [x[2] for x in out]}, pa.schema([("lang", pa.string()), ("byte", pa.int64()), ("n", pa.int64())]))
 
-    return rows.mapInArrow(run, "lang string, byte long, n long").groupBy("lang", "byte").agg(F.sum("n").alias("n"))
+class Tree:
+    """A language's grown contexts: two[pair] and three[state of two * 256 + byte before] give states, or -1."""
+
+    def __init__(self, two: np.ndarray, three: np.ndarray | None = None):
+        self.two, self.three = two, three
+
+    @property
+    def n2(self) -> int:
+        return int(self.two.max(initial=-1)) + 1
+
+    @property
+    def n3(self) -> int:
+        return 0 if self.three is None else int(self.three.max(initial=-1)) + 1
+
+    def states(self, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States of the grown contexts of two and of three bytes before each place; -1 where none is grown."""
+        s2 = self.two[two * 256 + one]
+        if self.three is None:
+            return s2, np.full(len(s2), -1, np.int32)
+        s3 = np.where(s2 >= 0, self.three[np.maximum(s2, 0) * 256 + three], -1)
+        return s2, s3
 
 
 class Model:
-    """bits[l][i]: code length of symbol triple i in language l."""
+    """bits[l][state * 256 + byte]: code length; states are the 256 contexts of one byte, then the grown ones."""
 
-    def __init__(self, langs: list[str], of: np.ndarray, size: int, bits: np.ndarray):
-        self.langs, self.of, self.size, self.bits = langs, of, size, bits
+    def __init__(self, langs: list[str], trees: list[Tree], bits: list[np.ndarray], plain: np.ndarray):
+        self.langs, self.trees, self.bits, self.plain = langs, trees, bits, plain
 
-    def code_lengths(self, b: Block) -> np.ndarray:
-        """Bits of each text (row) under each language (column)."""
-        out = np.zeros((b.n, len(self.langs)))
+    def code_lengths(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text (row) under each language (column), and without context."""
+        out, plain = np.zeros((b.n, len(self.langs))), np.zeros(b.n)
         full = np.flatnonzero(np.diff(b.off) > 0)
         if len(full):
-            at = _symbols(b, self.of, self.size)
-            for k in range(len(self.langs)):
-                out[full, k] = np.add.reduceat(self.bits[k][at], b.off[:-1][full], dtype=np.float64)
-        return out
+            here, one, two, three = _history(b)
+            begin = b.off[:-1][full]
+            plain[full] = np.add.reduceat(self.plain[here], begin, dtype=np.float64)
+            for k, tree in enumerate(self.trees):
+                s2, s3 = tree.states(one, two, three)
+                state = np.where(s3 >= 0, 256 + tree.n2 + s3, np.where(s2 >= 0, 256 + s2, one))
+                out[full, k] = np.add.reduceat(self.bits[k][state * 256 + here], begin, dtype=np.float64)
+        return out, plain
 
 
 def escape(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -90,74 +116,116 @@ def escape(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(d == 0, lower, np.where(seen, high, np.nan_to_num(low)))
 
 
-def train(rows: DataFrame, alphabet: int = ALPHABET) -> Model | None:
+def _summed(rows: DataFrame, code: dict[str, int], sizes: list[int], key) -> list[np.ndarray]:
+    """For each language, counts (sizes[l] x 256) of the keys (state * 256 + byte, -1 for none) of its rows."""
+    begin = np.concatenate(([0], np.cumsum(sizes))) * 256
+    total = int(begin[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(total if total <= DENSE else 0, np.int64)
+        for part, b in blocks(batches):
+            lang = np.array([code.get(x, -1) for x in part.column("lang").to_pylist()], np.int64)
+            of = np.repeat(lang, np.diff(b.off))
+            history = _history(b)
+            for k in np.unique(lang[lang >= 0]):
+                mine = of == k
+                got = key(int(k), *(x[mine] for x in history))
+                got = got[got >= 0] + begin[k]
+                if len(dense):
+                    dense += np.bincount(got, minlength=total)
+                else:
+                    at, n = np.unique(got, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["key", "n"])
+        at = np.flatnonzero(dense)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(dense[at])], names=["key", "n"])
+
+    # at most LANGUAGES trees of 256 + 2 * GROWN contexts: a proven bound
+    got = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    flat = np.zeros(total)
+    flat[got["key"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    return [flat[a:z].reshape(-1, 256) for a, z in zip(begin[:-1], begin[1:], strict=True)]
+
+
+def _grow(counts: np.ndarray, least: float) -> np.ndarray:
+    """States, by flat index, of the entries of at least this count; -1 for the others."""
+    flat = counts.ravel()
+    out = np.full(len(flat), -1, np.int32)
+    grown = np.flatnonzero(flat >= least)
+    out[grown] = np.arange(len(grown))
+    return out
+
+
+def train(rows: DataFrame, grown: int = GROWN, languages: int = LANGUAGES) -> Model | None:
     """The frozen trees of every language of rows (lang not null, text)."""
-    spark = rows.sparkSession
-    seen = byte_counts(rows).collect()
-    langs = sorted({r["lang"] for r in seen})
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return None
-    total = np.zeros(256)
-    for r in seen:
-        total[r["byte"]] += r["n"]
-    total[32] += 1
-    common = np.argsort(-total, kind="stable")[: alphabet - 1]
-    common = common[total[common] > 0]
-    size = len(common) + 1
-    of = np.full(256, size - 1, np.int64)
-    of[common] = np.arange(len(common))
-    others = 256 - len(common)
     code = {x: k for k, x in enumerate(langs)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = size**3
-        got = np.zeros(len(code) * cells, np.int64)
-        for part, b in blocks(batches):
-            lang = np.array([code[x] for x in part.column("lang").to_pylist()], np.int64)
-            got += np.bincount(np.repeat(lang, np.diff(b.off)) * cells + _symbols(b, of, size), minlength=len(got))
-        key = np.flatnonzero(got)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(got[key])], names=["key", "n"])
-
-    # at most size ** 3 sums a language
-    summed = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.zeros(len(langs) * size**3)
-    flat[summed["key"].to_numpy(np.int64)] = summed["n"].to_numpy(np.float64)
+    first = _summed(rows, code, [256] * len(langs), lambda k, here, one, two, three: one * 256 + here)
+    least = [max(4.0, c.sum() / grown) for c in first]
+    trees = [Tree(_grow(c, m)) for c, m in zip(first, least, strict=True)]  # an entry of `first` is the pair of the byte before and the byte
+    second = _summed(rows, code, [max(1, t.n2) for t in trees], lambda k, here, one, two, three: _key(trees[k].states(one, two, three)[0], here))
+    for t, c, m in zip(trees, second, least, strict=True):
+        t.three = _triples(t, c[: t.n2], m)
+    third = _summed(rows, code, [max(1, t.n3) for t in trees], lambda k, here, one, two, three: _key(trees[k].states(one, two, three)[1], here))
     bits = []
-    for tree in flat.reshape(len(langs), size, size, size):
-        p0 = escape(tree.sum((0, 1)), np.full(size, 1 / size))
-        p1 = escape(tree.sum(0), np.broadcast_to(p0, (size, size)))
-        p2 = escape(tree, np.broadcast_to(p1, (size, size, size)))
-        p2 = p2 / p2.sum(-1, keepdims=True)
-        cost = -np.log2(np.maximum(p2, 1e-12))
-        cost[..., size - 1] += np.log2(others)  # which of the other bytes
-        bits.append(cost.ravel().astype(np.float32))
-    return Model(langs, of, size, np.stack(bits))
+    for t, c1, c2, c3 in zip(trees, first, second, third, strict=True):
+        p0 = escape(c1.sum(0), np.full(256, 1 / 256))
+        p1 = escape(c1, np.broadcast_to(p0, (256, 256)))
+        pair = np.flatnonzero(t.two >= 0)  # in order of state
+        p2 = escape(c2[: t.n2], p1[pair % 256])
+        triple = np.flatnonzero(t.three >= 0)
+        p3 = escape(c3[: t.n3], p2[triple // 256])
+        p = np.concatenate((p1, p2, p3))
+        p = p / p.sum(-1, keepdims=True)
+        bits.append(-np.log2(np.maximum(p, 1e-12)).ravel().astype(np.float32))
+    plain = escape(sum(c.sum(0) for c in first), np.full(256, 1 / 256))
+    return Model(langs, trees, bits, -np.log2(np.maximum(plain / plain.sum(), 1e-12)))
+
+
+def _key(state: np.ndarray, here: np.ndarray) -> np.ndarray:
+    return np.where(state >= 0, state.astype(np.int64) * 256 + here, -1)
+
+
+def _triples(t: Tree, counts: np.ndarray, least: float) -> np.ndarray:
+    """States of the contexts (a, b, c) that occur `least` times: at [state of (b, c)] * 256 + a, in that order."""
+    out = np.full(max(1, t.n2) * 256, -1, np.int32)
+    pair = np.flatnonzero(t.two >= 0)
+    state, c = np.nonzero(counts >= least)
+    a, b = pair[state] // 256, pair[state] % 256
+    s2 = t.two[b * 256 + c]
+    at = np.sort((s2.astype(np.int64) * 256 + a)[s2 >= 0])
+    out[at] = np.arange(len(at))
+    return out
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs with lang_pred, score and bits_per_byte (null for ``und``), which replace columns of these names."""
-    docs = docs.drop("lang_pred", "score", "bits_per_byte", "letters_")
+    """All columns of docs with lang_pred, score, bits_per_byte and plain_bits_per_byte (without context), the last two null
+    for ``und``; they replace columns of these names."""
+    docs = docs.drop("lang_pred", "score", "bits_per_byte", "plain_bits_per_byte", "letters_")
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
+        none = F.lit(None).cast("double")
+        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": none, "plain_bits_per_byte": none})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part, b in blocks(batches):
-            bits = m.code_lengths(b)
+            bits, plain = m.code_lengths(b)
             n = np.maximum(np.diff(b.off), 1)
             best = bits.argmin(1)
             least = bits[np.arange(b.n), best]
             odds = np.exp2(-np.minimum((bits - least[:, None]) / np.maximum(1.0, n / 32)[:, None], 900))
             letters = part.column("letters_").to_numpy(zero_copy_only=False)
             lang = np.where(letters, np.array(m.langs, object)[best], UNKNOWN)
-            keep = [part.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(np.where(letters, 1 / odds.sum(1), 0.0)), pa.array(least / n, mask=~letters)], names=[*names, "lang_pred", "score", "bits_per_byte"])
+            made = [pa.array(lang, pa.string()), pa.array(np.where(letters, 1 / odds.sum(1), 0.0)), pa.array(least / n, mask=~letters), pa.array(plain / n, mask=~letters)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, "lang_pred", "score", "bits_per_byte", "plain_bits_per_byte"])
 
     names = docs.columns
     flagged = docs.withColumn("letters_", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return flagged.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double")
+    return flagged.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double, plain_bits_per_byte double")
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
@@ -173,8 +241,9 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", "text"), train(training_rows(docs)))
 
 
-def reject(docs: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
-    """The rows of docs whose text is in a known language: letters, and no longer code than max_bits a byte."""
+def reject(docs: DataFrame) -> DataFrame:
+    """The rows of docs in a known language: with letters, and a code that context shortens. A text whose best language
+    needs more bits than bytes without context do is in none of the languages learned."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
     found = predict(rows, train(training_rows(docs)))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= max_bits)).select("row.*")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= F.col("plain_bits_per_byte"))).select("row.*")
