@@ -3,11 +3,14 @@
 1. Classifier: a Bernoulli naive Bayes over a table of labels. Features of a text are the presence of WORDS telling words
    and of one bin each for length, distinct words, symbols, capitals and word length. It is fitted to at most FIT_ROWS
    labelled rows, chosen by hash; everything after it covers all rows.
-2. Posteriors are rounded to whole percents. Rates depend on the posterior alone (a step in the metric of the token
-   counts), so rows with equal posteriors are summed to one: at most C(100 + K - 1, K - 1) rows for K domains.
-3. Projected gradient: rates r >= 0 minimise the sum over domains of ((sum_d t[d] p[d][k] r[d] - target[k]) ** 2) / h[k],
-   with h[k] = sum_d t[d] p[d][k] ** 2. Each step is one distributed sum; only K numbers reach the driver. Every
-   document's rate then follows from its posterior and the list of steps, without a join.
+2. Posteriors are rounded to one part in PARTS. Rates depend on the posterior alone (a step in the metric of the token
+   counts), so rows with equal posteriors are summed to one.
+3. Projected gradient: rates r >= 0 minimise m' H^-1 m, where m[k] = sum_d t[d] p[d][k] r[d] - target[k] and
+   H = sum_d t[d] p[d] p[d]'. In that metric the gradient of a rate is p[d]' H^-1 m and a step of 1 is safe, so the first
+   step meets all targets unless rates are cut off at 0, and the later ones make up for that. Each step is one distributed
+   sum; only K numbers reach the driver. It ends when every domain is within TOLERANCE of its own target, or when the miss
+   no longer shrinks: then no rates meet the targets and these are the nearest (a warning says so). Every document's rate
+   follows from its posterior and the list of steps, without a join.
 4. A rate is rounded to a number of copies by the document's own hash, so expected totals are kept.
 
 Defined results: a null text has no words and 0 tokens; rows without label are predicted like others; labels of unknown
@@ -18,6 +21,7 @@ is one domain, ``unlabelled``, with rate 1; domains without a target get target
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,8 +34,10 @@ WORDS = 64
 #: Rows of the pooled rate that each domain's rates are shrunk by.
 SHRINK = 10.0
 LIFT = 3.0
-STEPS = 40
-TOLERANCE = 1e-3
+PARTS = 10_000
+STEPS = 100
+#: Of a domain's target; a target under LEAST_SHARE of all tokens (or none) counts as so much.
+TOLERANCE, LEAST_SHARE = 5e-3, 1e-3
 UNLABELLED = "unlabelled"
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -72,13 +78,13 @@ class Classifier:
     def __init__(self, domains: list[str], prior: list[float], weights: dict[str, list[float]]):
         self.domains, self.prior, self.weights = domains, prior, weights
 
-    def with_percents(self, feats: DataFrame) -> DataFrame:
-        """feats with percents: array<int> of whole percents by domain; the first of the largest gets what rounding leaves.
+    def with_posteriors(self, feats: DataFrame) -> DataFrame:
+        """feats with parts: the posterior by domain, array<int> in PARTS; the first of the largest gets what rounding leaves.
 
         Each step is a column of its own: the optimiser does not repeat a costly column that is used more than once.
         """
         if len(self.domains) == 1:
-            return feats.withColumn("percents", F.array(F.lit(100)))
+            return feats.withColumn("parts", F.array(F.lit(PARTS)))
         known = F.array(*(F.lit(w) for w in self.weights))
         table = F.create_map(*(x for w, v in self.weights.items() for x in (F.lit(w), F.array(*(F.lit(y) for y in v)))))
         start = F.array(*(F.lit(x) for x in self.prior))
@@ -86,9 +92,9 @@ class Classifier:
         df = feats.withColumn("score_", score).withColumn("top_", F.array_max("score_"))
         df = df.withColumn("odds_", F.transform("score_", lambda x: F.exp(x - F.col("top_"))))
         df = df.withColumn("total_", F.aggregate("odds_", F.lit(0.0), lambda a, b: a + b))
-        df = df.withColumn("low_", F.transform("odds_", lambda x: F.floor(100 * x / F.col("total_")).cast("int")))
-        df = df.withColumn("rest_", F.lit(100) - F.aggregate("low_", F.lit(0), lambda a, b: a + b)).withColumn("best_", F.array_position("low_", F.array_max("low_")) - 1)
-        df = df.withColumn("percents", F.transform("low_", lambda x, i: x + F.when(i == F.col("best_"), F.col("rest_")).otherwise(0)))
+        df = df.withColumn("low_", F.transform("odds_", lambda x: F.round(PARTS * x / F.col("total_")).cast("int")))
+        df = df.withColumn("rest_", F.lit(PARTS) - F.aggregate("low_", F.lit(0), lambda a, b: a + b)).withColumn("best_", F.array_position("low_", F.array_max("low_")) - 1)
+        df = df.withColumn("parts", F.transform("low_", lambda x, i: x + F.when(i == F.col("best_"), F.col("rest_")).otherwise(0)))
         return df.drop("score_", "top_", "odds_", "total_", "low_", "rest_", "best_")
 
 
@@ -123,39 +129,44 @@ def train(docs: DataFrame, labels: DataFrame, s: Scratch, fit_rows: int = FIT_RO
     return Classifier(domains, prior, weights)
 
 
-def rate(percents: Column, steps: list[list[float]]) -> Column:
-    """The rate after these steps of a row with these percents; it begins at 1."""
+def rate(parts: Column, steps: list[list[float]]) -> Column:
+    """The rate after these steps of a row with this posterior (in PARTS); it begins at 1."""
     if not steps:
         return F.lit(1.0)
     moves = F.array(*(F.array(*(F.lit(float(x)) for x in e)) for e in steps))
 
     def move(r: Column, e: Column) -> Column:
-        change = F.aggregate(F.zip_with(e, percents, lambda a, p: a * p / 100), F.lit(0.0), lambda a, b: a + b)
+        change = F.aggregate(F.zip_with(e, parts, lambda a, p: a * p / PARTS), F.lit(0.0), lambda a, b: a + b)
         return F.greatest(F.lit(0.0), r - change)
 
     return F.aggregate(moves, F.lit(1.0), move)
 
 
 def fit(groups: DataFrame, targets: list[float], s: Scratch, most: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """Steps of the projected gradient over groups (percents, tokens), toward token totals by domain."""
+    """Steps of the projected gradient over groups (parts, tokens), toward token totals by domain."""
     k = len(targets)
-    p = [F.element_at("percents", i + 1) / 100.0 for i in range(k)]
+    p = [F.element_at("parts", i + 1) / float(PARTS) for i in range(k)]
     t = F.col("tokens")
     cells = groups.agg(*(F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k))).first()
     h = np.array([[cells[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    d = np.where(np.diag(h) > 0, np.diag(h), 1.0)
-    norm = float(np.linalg.eigvalsh(h / np.sqrt(d)[:, None] / np.sqrt(d)[None, :]).max())
-    if norm <= 0:
+    if not h.any():
         return []
+    inverse = np.linalg.pinv(h, rcond=1e-10, hermitian=True)
     goal = np.array(targets)
+    allowed = tolerance * np.maximum(goal, LEAST_SHARE * goal.sum())
     steps: list[list[float]] = []
-    rows, since = groups.withColumn("r", F.lit(1.0)), 0
-    while len(steps) < most:
+    rows, since, before = groups.withColumn("r", F.lit(1.0)), 0, math.inf
+    while True:
         got = rows.agg(*(F.sum(t * p[i] * F.col("r")).alias(f"s{i}") for i in range(k))).first()
         miss = np.array([got[f"s{i}"] for i in range(k)]) - goal
-        steps.append((miss / d / norm).tolist())
-        if np.abs(miss).max() <= tolerance * max(goal.sum(), 1.0):
+        now = float(miss @ inverse @ miss)
+        if (np.abs(miss) <= allowed).all():
             break
+        if now >= 0.9999 * before or len(steps) == most:
+            warnings.warn(f"no rates meet the targets; token totals miss them by {miss.tolist()}", stacklevel=2)
+            break
+        before = now
+        steps.append((inverse @ miss).tolist())
         move = sum((F.lit(float(x)) * p[i] for i, x in enumerate(steps[-1])), F.lit(0.0))
         rows, since = rows.withColumn("r", F.greatest(F.lit(0.0), F.col("r") - move)), since + 1
         if since == 5:
@@ -164,17 +175,18 @@ def fit(groups: DataFrame, targets: list[float], s: Scratch, most: int = STEPS,
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int = 11) -> DataFrame:
-    """doc_id, n_tokens, percents by domain, rate, copies and the likeliest domain of every row of docs; weights are shares
+    """doc_id, n_tokens, parts (the posterior by domain), rate, copies and the likeliest domain of every row of docs; weights are shares
     of the tokens by domain ``quality/toxic``."""
     s = Scratch(docs.sparkSession, "mixing")
     slim = docs.select("doc_id", "text")
     model = train(slim, labels, s)
-    rows = s.keep(model.with_percents(features(slim).select("doc_id", "n_tokens", "feats_")).select("doc_id", "n_tokens", "percents"), "posteriors")
-    groups = s.keep(rows.groupBy("percents").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "groups")
+    rows = s.keep(model.with_posteriors(features(slim).select("doc_id", "n_tokens", "feats_")).select("doc_id", "n_tokens", "parts"), "posteriors")
+    groups = s.keep(rows.groupBy("parts").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "groups")
     total = groups.agg(F.sum("tokens")).first()[0] or 0
     share = [weights.get(x, 0.0) for x in model.domains] if model.domains != [UNLABELLED] else [1.0]
     steps = fit(groups, [x * total / (sum(share) or 1.0) for x in share], s)
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 32)) / float(1 << 32)
-    out = rows.withColumn("rate", rate(F.col("percents"), steps))
+    out = rows.withColumn("rate", rate(F.col("parts"), steps))
     out = out.withColumn("copies", F.floor(F.col("rate") + unit).cast("long"))
-    return out.withColumn("domain", F.element_at(F.array(*(F.lit(x) for x in model.domains)), F.array_position("percents", F.array_max("percents")).cast("int")))
+    out = out.withColumn("domain", F.element_at(F.array(*(F.lit(x) for x in model.domains)), F.array_position("parts", F.array_max("parts")).cast("int")))
+    return s.sweep(out)

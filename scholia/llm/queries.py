@@ -109,7 +109,7 @@ WEIGHTS = {"1/0": 0.95, "0/0": 0.04, "1/1": 0.01}
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), WEIGHTS)
-    return out.select("doc_id", "n_tokens", F.array_join("percents", "/").alias("percents"), "domain", "rate", "copies")
+    return out.select("doc_id", "n_tokens", F.array_join("parts", "/").alias("parts"), "domain", "rate", "copies")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
