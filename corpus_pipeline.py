@@ -15,14 +15,23 @@ from scholia.llm.scratch import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages the table itself teaches."""
+    """Documents in one of the languages the table itself teaches: with letters, and told shorter by some language's contexts
+    than without any."""
     return language_id.reject(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
-    gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id, and
+    one of its rows where a text stands there twice under one doc_id. Rows without doc_id can't be named and stay."""
+    gone = minhash_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti")
+    th = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th_")
+    twice = Scratch(spark, "rows").keep(out.where("doc_id is not null").select("doc_id", th).groupBy("doc_id", "th_").agg(F.count("*").alias("n_")).where("n_ > 1"))
+    if twice.limit(1).count():
+        keyed = out.withColumn("th_", th)
+        again = keyed.join(twice.select("doc_id", "th_"), ["doc_id", "th_"], "left_semi").dropDuplicates(["doc_id", "th_"])
+        out = keyed.join(twice.select("doc_id", "th_"), ["doc_id", "th_"], "left_anti").unionByName(again)
+    return out.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +43,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the proportions of WEIGHTS: those with a copy or more stay, once each (repeats are the trainer's)."""
+    """Documents in the proportions of WEIGHTS: each as often as its rate, rounded by its own hash, says; none, once or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    gone = mixing.mix(docs, labels, WEIGHTS).where("copies = 0").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    copies = mixing.mix(docs, labels, WEIGHTS).where("copies <> 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies_"))
+    # a document without a row there stays once; so do those without doc_id
+    out = docs.join(copies, "doc_id", "left").withColumn("copies_", F.coalesce("copies_", F.lit(1)))
+    out = out.where("copies_ > 0").withColumn("copies_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
+    return out.select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
