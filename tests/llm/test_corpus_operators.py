@@ -75,6 +75,34 @@ def test_near_duplicates_edges(spark):
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_at_depth(spark, monkeypatch):
+    """Many levels deep (documents that share most of their tokens, leaves of two) no pair near the threshold is lost."""
+    monkeypatch.setattr(minhash_dedup, "LEAF", 2)
+    monkeypatch.setattr(minhash_dedup, "ABSORB", 0.99)
+    common = words(5, 120)
+    rows = []
+    for k in range(40):
+        own = common + words(1000 + k, 90)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:105] + ["e" + str(k)] + own[106:]))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs(spark, rows), words=5).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
+def test_near_duplicates_share_an_id(spark):
+    """Two texts under one doc_id are one node; a null id with a text of its own stays."""
+    a, b = " ".join(words(1, 30)), " ".join(words(2, 30))
+    rows = [(7, a), (7, b), (8, a), (9, b), (None, "quite another text of some words")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(7, 7, True), (8, 7, False), (9, 7, False), (None, None, True)}
+
+
+def test_components_in_rounds(spark):
+    links = [(k, k + 1) for k in range(90)] + [(200, 200 + k) for k in range(1, 30)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    got = {r["node"]: r["component"] for r in components(df, Scratch(spark, "t"), one_task=0).collect()}
+    assert got == {k: 0 for k in range(91)} | {200 + k: 200 for k in range(30)}
+
+
 def test_components(spark):
     rnd = random.Random(4)
     links = [(k, k + 1) for k in range(60)] + [(rnd.randint(100, 160), rnd.randint(100, 160)) for _ in range(40)] + [(200, 200 + k) for k in range(1, 50)]
@@ -117,6 +145,46 @@ def test_embeddings(spark, monkeypatch, block, wave):
     assert embedding_dedup.near_duplicates(df.where("vec_id in (900, 901)")).count() == 2
 
 
+def test_cells_are_visited_in_multi_sequence_order():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 12))
+    books = (rng.normal(size=(9, 6)), rng.normal(size=(7, 6)))
+    one, two = embedding_dedup._halves(x, books)
+    grid = (one[:, :, None] + two[:, None, :]).reshape(40, -1)
+    want = grid.argsort(1, kind="stable")
+    for visits in (1, 5, 17, 63, 200):
+        assert (embedding_dedup.order(x, books, visits) == want[:, :visits]).all()
+    y = rng.normal(size=(40, 12))
+    cell = embedding_dedup._cells(y, books)
+    assert embedding_dedup.rank(x, y, books).tolist() == [int(np.flatnonzero(want[k] == cell[k])[0]) for k in range(40)]
+    p, q = embedding_dedup.planted(embedding_dedup.normal(x), 0.95, 3)
+    assert np.allclose((p * q).sum(1), 0.95) and np.allclose((q * q).sum(1), 1)
+
+
+def test_embedding_recall_of_every_hundredth_row(spark):
+    """Recall against brute force, with links as rare and as far as they may be."""
+    rng = np.random.default_rng(11)
+    x = embedding_dedup.normal(rng.normal(size=(3000, 32)))
+    _, near = embedding_dedup.planted(x[::10], 0.952, 1)
+    x = np.concatenate((x, near))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    u = embedding_dedup.normal(x)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    found = np.array([got[k] for k in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.985 * want.sum() and want.sum() >= 600
+    asked = np.arange(0, len(x), 100)
+    assert found[asked].sum() >= 0.9 * want[asked].sum() > 0
+
+
+def test_one_vec_id_on_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect()]
+    assert len(out) == 5 and (None, 0, None, True) in out
+    assert sum(c == 1 and v in (2, 3) for v, _, c, _ in out) == 1  # the one like the vector that stands for id 1
+
+
 def test_mixing_meets_targets(spark):
     rows, labels = [], []
     for k in range(600):
@@ -132,28 +200,49 @@ def test_mixing_meets_targets(spark):
     total = sum(r["n_tokens"] for r in out)
     domains = sorted({"0/0", "1/0", "1/1"} | {f"{q}/{t}" for _, q, t in labels})
     for i, d in enumerate(domains):
-        got = sum(r["n_tokens"] * r["percents"][i] / 100 * r["rate"] for r in out)
-        assert abs(got - target.get(d, 0) * total) < 0.02 * total
-    assert all(r["rate"] >= 0 and sum(r["percents"]) == 100 and abs(r["copies"] - r["rate"]) < 1 for r in out)
+        got = sum(r["n_tokens"] * r["parts"][i] / mixing.PARTS * r["rate"] for r in out)
+        assert abs(got - target.get(d, 0) * total) < 0.01 * max(target.get(d, 0), 0.01) * total
+    assert all(r["rate"] >= 0 and sum(r["parts"]) == mixing.PARTS and abs(r["copies"] - r["rate"]) < 1 for r in out)
     plain = mixing.mix(df, lab.limit(0), target).collect()
     assert {r["rate"] for r in plain} == {1.0} and {r["domain"] for r in plain} == {mixing.UNLABELLED}
     assert mixing.mix(docs(spark, []), lab, target).count() == 0
 
 
+def test_mixing_posteriors_match_brute_force(spark):
+    rows = [(k, " ".join(words(k, 30)) + (" scum idiot" if k % 7 == 0 else "")) for k in range(120)]
+    model = mixing.Classifier(["a", "b", "c"], [-0.2, -1.5, -6.0], {"scum": [-2.0, 3.0, 0.0], words(3, 30)[0]: [0.5, 0.0, 1.0], "\x00length2": [0.1, 0.0, 0.3]})
+    feats = mixing.features(docs(spark, rows))
+    out = {r["doc_id"]: r["parts"] for r in model.with_posteriors(feats).collect()}
+    for k, t in rows:
+        present = set(t.split()) | {f"\x00length{sum(len(t.split()) >= c for c in (1, 20, 100, 400))}"}
+        score = np.array(model.prior) + sum((np.array(v) for f, v in model.weights.items() if f in present), np.zeros(3))
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        assert np.abs(np.array(out[k]) / mixing.PARTS - p).max() <= 1.5 / mixing.PARTS and min(out[k]) > 0
+
+
+def test_mixing_targets_out_of_reach(spark):
+    groups = spark.createDataFrame([([mixing.PARTS // 2, mixing.PARTS // 2], 100)], "parts array<int>, tokens long")
+    with pytest.warns(UserWarning, match="no rates"):
+        steps = mixing.fit(groups, [90.0, 10.0], Scratch(spark, "t"))
+    r = groups.select(mixing.rate(F.col("parts"), steps).alias("r")).first()["r"]
+    assert abs(r - 1.0) < 1e-6  # the nearest totals are 50 and 50
+
+
 def test_mixing_steps_match_numpy(spark):
     rng = np.random.default_rng(2)
-    p = (rng.dirichlet([0.4] * 3, 50) * 100).astype(int)
-    p[:, 0] += 100 - p.sum(1)
+    p = (rng.dirichlet([0.4] * 3, 50) * mixing.PARTS).astype(int)
+    p[:, 0] += mixing.PARTS - p.sum(1)
     t = rng.integers(1, 50, 50)
     goal = np.array([0.2, 0.5, 0.3]) * t.sum()
-    groups = spark.createDataFrame([(row.tolist(), int(n)) for row, n in zip(p, t, strict=True)], "percents array<int>, tokens long")
+    groups = spark.createDataFrame([(row.tolist(), int(n)) for row, n in zip(p, t, strict=True)], "parts array<int>, tokens long")
     steps = mixing.fit(groups, goal.tolist(), Scratch(spark, "t"))
     r = np.ones(50)
     for e in steps:
-        r = np.maximum(0, r - p / 100 @ np.array(e))
-    got = [x["r"] for x in groups.select(mixing.rate(F.col("percents"), steps).alias("r")).collect()]
+        r = np.maximum(0, r - p / mixing.PARTS @ np.array(e))
+    got = [x["r"] for x in groups.select(mixing.rate(F.col("parts"), steps).alias("r")).collect()]
     assert np.allclose(r, got)
-    assert np.abs((p / 100).T @ (t * r) - goal).max() < 0.02 * t.sum()
+    assert (np.abs((p / mixing.PARTS).T @ (t * r) - goal) < 0.006 * goal).all()
 
 
 @pytest.mark.parametrize("top", [5, 1 << 18])
@@ -197,6 +286,47 @@ def test_lm_pairs_seen_once_count_and_unseen_ones_are_rarely_found(spark):
     assert (f.levels(unseen) > 0).mean() < 0.01
 
 
+def test_lm_scores_match_brute_force(spark):
+    """The model with its counts read from a table instead of the filter: false positives apart, the same scores."""
+    rows = [(k, " ".join(words(k % 23, 25))) for k in range(70)]
+    training = ~lm_scoring.held_out(F.col("doc_id"))
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    one, two, begun = {}, {}, 0
+    toks = {k: [None, *t.lower().split(), "\n"] for k, t in rows}
+    for k, w in toks.items():
+        if not held(k):
+            begun += 1
+            for a, b in zip(w, w[1:], strict=False):
+                one[b] = one.get(b, 0) + 1
+                two[a, b] = two.get((a, b), 0) + 1
+    n, v = sum(one.values()), len(one)
+    value = lm_scoring.values(1)
+    read = lambda c: (int(lm_scoring.level(np.array([c]), 1)[0]), float(value[lm_scoring.level(np.array([c]), 1)[0]]))
+    at = {x: read(c) for x, c in {**one, None: begun}.items()}
+    both = {x: read(c)[1] for x, c in two.items()}
+    zero = (0, 0.0)
+    grid = np.zeros((lm_scoring.LEVELS, len(lm_scoring.WEIGHTS)))
+    for k, w in toks.items():
+        for a, b in zip(w, w[1:], strict=False):
+            if not held(k):
+                (q, c1), c2, c = at[a], both[a, b], at[b][1]
+                high = min(1.0, max(c2 - 1, 0) / (c1 - 1)) if c1 > 1 else 0.0
+                low = max(c, 1) / (n + v + 1)
+                grid[q] += [math.log10(x * high + (1 - x) * low) for x in lm_scoring.WEIGHTS]
+    weight = lm_scoring.WEIGHTS[grid.argmax(1)]
+    want = {}
+    for k, w in toks.items():
+        total = 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            (q, c1), c2, c = at.get(a, zero), both.get((a, b), 0.0), at.get(b, zero)[1]
+            high = min(1.0, c2 / c1) if c1 > 0 else 0.0
+            total += math.log10(weight[q] * high + (1 - weight[q]) * (c + 1) / (n + v + 1))
+        want[k] = total
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs(spark, rows), training).collect()}
+    off = [abs(got[k] - want[k]) for k in want]
+    assert sum(x < 1e-6 for x in off) >= 0.9 * len(off) and max(off) < 3
+
+
 def test_lm_edges(spark):
     df = docs(spark, [(1, "a b"), (2, None)])
     none = lm_scoring.score(df, F.lit(False)).collect()

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,25 @@ def test_tree_after_random_edits():
         assert tree.text() == t and tree.total == count(t)
 
 
+def test_tree_edits_after_edits():
+    """Edits beside segments that earlier edits emptied: totals are those of the text as a whole."""
+    count = lambda part: len(packing.encode(part))
+    rnd = random.Random(12)
+    for _ in range(150):
+        text = prose(rnd.randint(0, 10**6), 60)
+        tree = token_counts.Tree(text, count, 8)
+        for _ in range(5):
+            n = len(text)
+            cuts = token_counts.borders(text, 8)
+            at = rnd.choice(cuts)
+            a = max(0, min(n, at + rnd.randint(-2, 2)))
+            z = max(a, min(n, rnd.choice([a, a + rnd.randint(0, 40), rnd.choice(cuts) + rnd.randint(-1, 1)])))
+            new = rnd.choice(["", "", " ", "x", " yz ", "\n", "word", "<|endoftext|>"])
+            tree.apply([(a, z, new)])
+            text = text[:a] + new + text[z:]
+            assert tree.text() == text and tree.total == count(text)
+
+
 def test_tokenizers_agree():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -175,6 +195,66 @@ def test_language_held_out_accuracy_and_edges(spark, edges, empty):
     assert kept.columns == docs(spark, rows).columns and kept.count() == 400
 
 
+def brute_tree(texts, grown):
+    """Counts by context (bytes, longest last) of one language, and which contexts of two and three bytes are grown."""
+    counts, total = {}, 0
+    for t in texts:
+        x = b"   " + t.lower().encode()
+        for k in range(3, len(x)):
+            total += 1
+            for n in range(4):
+                at = counts.setdefault(x[k - n : k], {})
+                at[x[k]] = at.get(x[k], 0) + 1
+    least = max(4.0, total / grown)
+    seen = {a + bytes([c]): n for a, d in counts.items() for c, n in d.items()}
+    two = {c for c, n in seen.items() if len(c) == 2 and n >= least}
+    three = {c for c, n in seen.items() if len(c) == 3 and n >= least and c[:2] in two and c[1:] in two}
+    return counts, two, three
+
+
+def brute_bits(text, counts, two, three):
+    def p(context):
+        lower = p(context[1:]) if context else [1 / 256] * 256
+        d = counts.get(context, {})
+        if not d:
+            return lower
+        n, left = sum(d.values()), sum(x for s, x in enumerate(lower) if s not in d)
+        return [d[s] / (n + len(d)) if s in d else len(d) / (n + len(d)) * x / left for s, x in enumerate(lower)]
+
+    x, out = b"   " + text.lower().encode(), 0.0
+    for k in range(3, len(x)):
+        a = x[k - 3 : k]
+        context = a if a[1:] in two and a in three else a[1:] if a[1:] in two else a[2:]
+        q = p(context)
+        out -= np.log2(q[x[k]] / sum(q))
+    return out
+
+
+def test_language_code_lengths_match_brute_force(spark):
+    texts = {"en": [prose(k, 12, "abcde") for k in range(9)] + ["a", "the then them", "Zz"], "fr": [prose(k, 12, "aéèmn") for k in range(9)]}
+    rows = spark.createDataFrame([(lang, t) for lang, ts in texts.items() for t in ts], "lang string, text string").repartition(3)
+    grown = 250
+    model = language_id.train(rows, grown)
+    asked = ["abc dab", "é", "the", "Zebra été aéèm", "", "x", "ab", "12 # 汉字"]
+    b = language_id.blocks(iter([pa.RecordBatch.from_pydict({"text": asked})]))
+    got = np.concatenate([model.code_lengths(x)[0] for _, x in b])
+    trees = {lang: brute_tree(ts, grown) for lang, ts in texts.items()}
+    assert all(two and three for _, two, three in trees.values())
+    want = np.array([[brute_bits(t, *trees[lang]) for lang in model.langs] for t in asked])
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
+def test_language_gate_and_bounds(spark):
+    rows = [(k, " ".join(["the house of the rising sun", "and then they came to the river"][(k + j) % 2] for j in range(8)), "en", "s") for k in range(60)]
+    noise = [(900, "".join(chr(random.Random(3).randint(33, 126)) if j % 7 else "qzxjkvw"[j % 5] for j in range(400)), "en", "s"), (901, "%%% 123 ###", "en", "s")]
+    rnd = random.Random(8)
+    noise.append((902, "".join(rnd.choice("etaoinshrdlu ") for _ in range(900)), None, "s"))
+    kept = {r["doc_id"] for r in language_id.reject(docs(spark, rows + noise)).collect()}
+    assert kept >= {r[0] for r in rows} and not kept & {901, 902}
+    many = spark.createDataFrame([(f"l{k}", "text " * (k + 1)) for k in range(12)], "lang string, text string")
+    assert language_id.train(many, languages=3).langs == ["l10", "l11", "l9"]
+
+
 def test_language_code_lengths_are_of_a_distribution():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 3, (5, 7)).astype(float)
@@ -231,6 +311,9 @@ def test_levels_merge_geometrically(spark, tmp_path):
 
     family = suffix_dedup.IndexFamily(Scratch(spark, "t"))
     for k in range(5):
-        family.add(spark.range(k * 10, k * 10 + 12).withColumnRenamed("id", "core"))
+        family.add(spark.range(k * 10, k * 10 + 12).selectExpr("id % 3 AS lead", "id AS core"))
+    for _, level in family.levels:  # each part of a level is a run in order
+        for part in level.select("lead", "core").rdd.glom().collect():
+            assert part == sorted(part)
     assert [n for n, _ in family.levels] == [4, 1]
     assert sorted(r["core"] for r in family.repeated().collect()) == [10, 11, 20, 21, 30, 31, 40, 41]
