@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.sources.tables import written
+
 
 def tokens(df: DataFrame, doc: str, words: Column) -> DataFrame:
     """doc, pos, term: one row per token."""
@@ -18,8 +20,12 @@ def term_counts(toks: DataFrame) -> DataFrame:
 def tfidf(toks: DataFrame, most: int | None = None) -> DataFrame:
     """Doc, term, weight: tf times smooth idf (ln((1 + n) / (1 + df)) + 1), rows of unit length; of the `most` terms with
     the greatest counts in the corpus (ties: by term)."""
-    counts = term_counts(toks)
+    counts = written(term_counts(toks), "term-counts")  # texts are tokenised once
     n = counts.select("doc").distinct().count()
+    return _weights(counts, n, most)
+
+
+def _weights(counts: DataFrame, n: int, most: int | None) -> DataFrame:
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     if most:
         terms = terms.orderBy(F.desc("cf"), "term").limit(most)
@@ -30,8 +36,9 @@ def tfidf(toks: DataFrame, most: int | None = None) -> DataFrame:
 
 def tfidf_keywords(toks: DataFrame, features: int = 100, k: int = 20) -> DataFrame:
     """The k terms with the greatest mean weight over all documents."""
-    n = toks.select("doc").distinct().count()
-    return tfidf(toks, features).groupBy("term").agg((F.sum("weight") / n).alias("score")).orderBy(F.desc("score"), "term").limit(k)
+    counts = written(term_counts(toks), "term-counts")
+    n = counts.select("doc").distinct().count()
+    return _weights(counts, n, features).groupBy("term").agg((F.sum("weight") / n).alias("score")).orderBy(F.desc("score"), "term").limit(k)
 
 
 def with_bigrams(toks: DataFrame) -> DataFrame:
@@ -45,48 +52,40 @@ def cooccurrence(toks: DataFrame) -> DataFrame:
     are in, equal tokens not at all."""
     w = Window.partitionBy("doc").orderBy("pos")
     t = toks.withColumns({"n1": F.lead("term", 1).over(w), "n2": F.lead("term", 2).over(w), "p1": F.lag("term", 1).over(w)})
-    near = t.where("n1 is not null").select("term", F.col("n1").alias("other"), (F.when(F.col("p1").isNotNull(), 1).otherwise(0) + F.when(F.col("n2").isNotNull(), 1).otherwise(0)).alias("n"))
-    far = t.where("n2 is not null").select("term", F.col("n2").alias("other"), F.lit(1).alias("n"))
-    pairs = near.union(far).where("term <> other and n > 0")
+    near = F.struct(F.col("n1").alias("other"), (F.when(F.col("p1").isNotNull(), 1).otherwise(0) + F.when(F.col("n2").isNotNull(), 1).otherwise(0)).alias("n"))
+    far = F.struct(F.col("n2").alias("other"), F.lit(1).alias("n"))
+    pairs = t.select("term", F.explode(F.array(near, far)).alias("e")).select("term", "e.*").where("other is not null and term <> other and n > 0")
     return pairs.groupBy(F.least("term", "other").alias("src"), F.greatest("term", "other").alias("dst")).agg(F.sum("n").alias("weight"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100, every: int = 10) -> DataFrame:
-    """Node, rank of an undirected weighted graph; stops when the summed change is below n * tolerance. The lineage is
-    cut every few rounds by a reliable checkpoint."""
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100, every: int = 5) -> DataFrame:
+    """Node, rank of an undirected weighted graph; stops when the summed change of a round is below n * tolerance, which
+    is looked at every few rounds, when the ranks are written (that cuts the lineage too)."""
     both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
     out = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    links = both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).cache()
-    nodes = out.select(F.col("src").alias("node")).cache()
-    n = nodes.count()
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(most if n else 0):
+    links = written(both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "links")
+    rank = written(links.select(F.col("src").alias("node")).distinct(), "nodes")
+    n = rank.count()
+    rank = rank.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for k in range(1, most + 1 if n else 0):
         got = links.join(rank, links.src == rank.node).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         new = rank.withColumnRenamed("rank", "old").join(got, F.col("node") == F.col("dst"), "left").select("node", "old", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        new = _cut(new) if (k + 1) % every == 0 else new
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        if k % every == 0:
+            new = written(new, "rank")
+            if new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
+                return new.select("node", "rank")
         rank = new.select("node", "rank")
-        if change < n * tolerance:
-            break
     return rank
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scholia-"))
-    return df.checkpoint()
-
-
 def collocations(toks: DataFrame, least: int = 3, k: int = 10) -> DataFrame:
     """Neighbours by log-likelihood ratio, of at least `least` occurrences."""
     pairs = toks.withColumn("b", F.lead("term").over(Window.partitionBy("doc").orderBy("pos"))).where("b is not null").select(F.col("term").alias("a"), "b")
-    n = pairs.count()
-    both = pairs.groupBy("a", "b").agg(F.count("*").alias("nab")).where(F.col("nab") >= least)
-    na = pairs.groupBy("a").agg(F.count("*").alias("na"))
-    nb = pairs.groupBy("b").agg(F.count("*").alias("nb"))
+    every = written(pairs.groupBy("a", "b").agg(F.count("*").alias("nab")), "pairs")  # texts are tokenised once
+    n = every.agg(F.sum("nab")).first()[0] or 0
+    both = every.where(F.col("nab") >= least)
+    na = every.groupBy("a").agg(F.sum("nab").alias("na"))
+    nb = every.groupBy("b").agg(F.sum("nab").alias("nb"))
     t = both.join(na, "a").join(nb, "b")
     o11 = F.col("nab").cast("double")
     o12, o21 = F.col("na") - o11, F.col("nb") - o11

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.sources.tables import written
+
 
 def numbered(df: DataFrame, key: str, name: str = "i") -> DataFrame:
     """Places from 0 in the order of a unique key: ranges of the key are counted, then places are given within ranges, so
-    no task holds the whole table. The rows must be few enough to count: one count a range reaches the driver."""
-    ranged = df.repartitionByRange(key).withColumn("part_", F.spark_partition_id())
+    no task holds the whole table. The dealt table is written once, so that both passes see the same ranges; one count a
+    range reaches the driver."""
+    ranged = written(df.repartitionByRange(key).withColumn("part_", F.spark_partition_id()), "ranged")
     counts = {r["part_"]: r["n"] for r in ranged.groupBy("part_").agg(F.count("*").alias("n")).collect()}
     base, starts = 0, []
     for p in sorted(counts):
