@@ -167,7 +167,7 @@ def conclusion(text: Column) -> Column:
 def option_thoughts(text: Column, options: int) -> Column:
     """Map of option_k to the text after ``Option k:``, to the next one; the first of a number counts."""
     parts = F.split(F.regexp_replace(text, r"(?i)(?:I\s+predict|My\s+prediction)[\s\S]*$", ""), r"(?i)(?:^|\b)option\s+(?=\d+[\s:])")
-    pairs = F.transform(F.slice(parts, 2, 1000), lambda p: F.struct(F.concat(F.lit("option_"), F.regexp_extract(p, r"^(\d+)", 1)).alias("k"), F.regexp_replace(p, r"^\d+[\s:]+|\s+$", "").alias("v")))
+    pairs = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.concat(F.lit("option_"), F.regexp_extract(p, r"^(\d+)", 1)).alias("k"), F.regexp_replace(p, r"^\d+[\s:]+|\s+$", "").alias("v")))
     good = F.filter(pairs, lambda p: (p["v"] != "") & F.regexp_extract(p["k"], r"(\d+)$", 1).cast("int").between(1, options))
     first = F.filter(good, lambda p, i: F.array_position(F.transform(good, lambda q: q["k"]), p["k"]) == i + 1)
     return F.map_from_entries(first)
@@ -177,3 +177,31 @@ def option_keys(thoughts: Column) -> Column:
     """Keys option_k in order of number; others last."""
     number = lambda k: F.coalesce(F.nullif(F.regexp_extract(k, r"^option_(\d+)$", 1), F.lit("")).cast("int"), F.lit(2**31 - 1))
     return F.transform(F.array_sort(F.transform(F.map_keys(thoughts), lambda k: F.struct(number(k).alias("n"), k.alias("k")))), lambda s: s["k"])
+
+
+def line_options(question: Column) -> Column:
+    """Options of the lines after the first blank line that begin with one letter or digit, ``)`` or ``.``, and a
+    space; a mark ``(*)`` at the end goes. Without a blank line there are none."""
+    at = F.instr(question, "\n\n")
+    lines = F.transform(F.split(F.substring(question, at + 2, F.length(question)), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    found = F.filter(lines, lambda x: x.rlike(r"^[\p{L}\p{Nd}][).] "))
+    texts = F.transform(found, lambda x: F.trim(F.regexp_replace(F.trim(F.substring(x, F.lit(4), F.length(x))), r"\s*\(\*\)$", "")))
+    return F.when(at > 0, texts).otherwise(F.array().cast("array<string>"))
+
+
+def options_text(options: Column) -> Column:
+    """Options as numbered lines."""
+    return F.array_join(F.transform(options, lambda x, i: F.concat((i + 1).cast("string"), F.lit(") "), x)), "\n")
+
+
+#: Fields of a grader's answer that R16 reads.
+GRADE = "struct<score:double,match:boolean,correct_choice:string,correct_letter:string,model_choice:string,model_letter:string,confidence:double>"
+
+
+def normalised_grade(grade: Column, fmt: Column) -> Column:
+    """Struct of score, correct_letter, model_letter and format. A missing score follows from the match (for multiple
+    choice 0 without one, for free answers null); letters take the older field names where the newer are missing."""
+    by_match = F.when(grade["match"], 1.0).when(~grade["match"], 0.0)
+    score = F.coalesce(grade["score"], by_match, F.when(fmt == "mc", 0.0))
+    letter = lambda k: F.when(fmt == "mc", F.coalesce(grade[f"{k}_letter"], grade[f"{k}_choice"]))
+    return F.struct(score.alias("score"), letter("correct").alias("correct_letter"), letter("model").alias("model_letter"), F.when(fmt == "mc", "mc").otherwise("qa").alias("format"))

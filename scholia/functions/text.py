@@ -336,3 +336,58 @@ def question_fields(response: Column) -> Column:
         F.when(q.isNull(), "advanced").otherwise(line("DIFFICULTY")).alias("difficulty_level"),
         F.coalesce(q, F.trim(response)).alias("question"),
     )
+
+
+def cleaned_answers(answers: Column) -> Column:
+    """every answer of a list, cleaned."""
+    return F.transform(answers, cleaned_answer)
+
+
+# Openings that a model puts before a label (the first that matches goes), phrases after them, further
+# openings that go in turn, and first words and openings of texts that are no label.
+LONG_LABEL_PREFIXES = (
+    "Here is the topic label:", "Here are the topic labels for each paper:", "Here are the topic labels:", "The topic labels are:", "Topic label:",
+    "The topic label is:", "Based on the analysis:", "After analyzing:", "Based on these excerpts:", "After reviewing:", "Looking at these papers:",
+    "From the excerpts:", "Analyzing these", "The common theme", "The main topic", "I would suggest", "I would label this", "This cluster represents",
+    "These papers focus on", "The research focuses on", "Topic:", "Label:", "Research topic:", "Common theme:", "Main topic:", "Subject:", "Theme:",
+    "Area:", "Field:",
+)
+LONG_LABEL_INTRO = ("is ", "would be ", "appears to be ", "seems to be ", "can be described as ")
+LONG_LABEL_OPENINGS = ("focused on ", "related to ", "dealing with ")
+NO_LABEL_WORDS = ("paper", "papers", "research", "studies", "analysis", "topic", "label", "theme")
+NO_LABEL_OPENINGS = ("based", "after", "here", "the", "this", "these")
+
+
+def _bound(c: Column, f) -> Column:
+    """f(c), with c evaluated once: an expression used many times would otherwise be copied into the plan as often."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _without_opening(c: Column, openings: tuple[str, ...]) -> Column:
+    """c without the first of the openings that it has, in any case."""
+    pattern = "(?i)^(?:" + "|".join(o.replace(".", r"\.") for o in sorted(openings, key=len, reverse=True)) + ")"
+    return _bound(c, lambda x: F.when(x.rlike(pattern), F.trim(F.regexp_replace(x, pattern, ""))).otherwise(x))
+
+
+def long_label(response: Column, papers: Column, most: int = 50) -> Column:
+    """F16: the label in a response's first line, cleaned, at most `most` characters; a text that is no label gives
+    ``Research Topic n papers``."""
+    c = _without_opening(F.split(F.trim(response), "\n")[0], LONG_LABEL_PREFIXES)
+    for x in ('"', "'", ":", "*", "-", " "):
+        c = F.btrim(c, F.lit(x))
+    c = _without_opening(c, LONG_LABEL_INTRO)
+    for o in LONG_LABEL_OPENINGS:
+        c = _without_opening(c, (o,))
+    none = F.concat(F.lit("Research Topic "), papers.cast("string"), F.lit(" papers"))
+
+    def judged(x: Column) -> Column:
+        low = F.lower(x)
+        bad = low.rlike("^(?:" + "|".join(NO_LABEL_OPENINGS) + ")") | F.split(F.trim(low), r"\s+")[0].isin(*NO_LABEL_WORDS)
+        return F.when((F.length(x) > 3) & ~bad, F.substring(x, 1, most)).otherwise(none)
+
+    return _bound(c, judged)
+
+
+def remaining(done: Column, total: Column, seconds: Column, most: float = 86400.0) -> Column:
+    """Seconds left at the pace so far, a day at most; null before anything is done."""
+    return F.when(done > 0, F.least(F.lit(most), seconds / done * (total - done)))

@@ -93,3 +93,55 @@ def chains(arguments: DataFrame) -> DataFrame:
 def argument_metrics(arguments: DataFrame, kinds: int = 15) -> DataFrame:
     """Per document: count, mean certainty, diversity (distinct kinds of 15)."""
     return arguments.groupBy("doc").agg(F.count("*").alias("n"), F.avg("certainty").alias("mean_certainty"), (F.count_distinct("kind") / kinds).alias("diversity"))
+
+
+def with_premises(arguments: DataFrame, c: DataFrame) -> DataFrame:
+    """Arguments (doc, id, premises: array of clause ords, conclusion) with the texts; those of which a premise or the
+    conclusion is missing go."""
+    told = arguments.select("doc", "id", "conclusion", F.posexplode("premises").alias("k", "ord"), F.size("premises").alias("n_"))
+    got = told.join(c.select("doc", "ord", F.col("text").alias("premise")), ["doc", "ord"])
+    got = got.groupBy("doc", "id", "conclusion", "n_").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "premise"))), lambda x: x["premise"]).alias("premises"))
+    last = c.select("doc", F.col("ord").alias("conclusion"), F.col("text").alias("conclusion_text"))
+    return got.where(F.size("premises") == F.col("n_")).join(last, ["doc", "conclusion"]).select("doc", "id", "premises", "conclusion_text")
+
+
+def modus_tollens(c: DataFrame, antecedent: Column, consequent: Column, limit: float = 0.7) -> DataFrame:
+    """A conditional's antecedent p and consequent q (clauses of a document), a later clause like q of other polarity,
+    and a later one like p of other polarity. Clauses alike share a word, so candidates meet on words, not pairwise."""
+    cols = ("ord", "normalized_form", "predicate", "subjects", "polarity")
+    word = F.explode(F.array_distinct(F.filter(F.split("normalized_form", " "), lambda w: w != "")))
+
+    def denied(side: Column, name: str) -> DataFrame:
+        said = _side(c.where(side), name, cols)
+        a = c.where(side).select("doc", F.col("ord").alias(f"{name}_ord"), word.alias("w"))
+        b = c.select("doc", F.col("ord").alias("n_ord"), word.alias("w"))
+        pairs = a.join(b, ["doc", "w"]).where(F.col("n_ord") > F.col(f"{name}_ord")).select("doc", f"{name}_ord", "n_ord").distinct()
+        got = pairs.join(said, ["doc", f"{name}_ord"]).join(_side(c, "n", cols), ["doc", "n_ord"])
+        s = similarity(*(F.struct(*(F.col(f"{p}_{k}").alias(k) for k in cols[1:4])) for p in ("n", name)))
+        return got.where((s > limit) & (F.col("n_polarity") != F.col(f"{name}_polarity"))).select("doc", f"{name}_ord", F.col("n_ord").alias(f"not_{name}"))
+
+    p, q = denied(antecedent, "p"), denied(consequent, "q")
+    return q.join(p, "doc").where("not_p > not_q").select("doc", "p_ord", "q_ord", "not_q", "not_p")
+
+
+def relations(c: DataFrame, text: DataFrame, within: int = 1) -> DataFrame:
+    """Clauses at most `within` sentences apart with the relation that the text between them names. (doc, text) is the
+    whole text; places are those of the clauses' first occurrences."""
+    from scholia.functions.extraction import relation
+
+    one = c.select("doc", F.col("ord").alias("i"), F.col("text").alias("a"))
+    two = c.select("doc", F.col("ord").alias("j"), F.col("text").alias("b")).withColumn("i", F.explode(F.transform(F.sequence(F.lit(1), F.lit(within)), lambda k: F.col("j") - k)))
+    got = one.join(two, ["doc", "i"]).join(text.select("doc", F.col("text").alias("whole")), "doc")
+    between = F.expr("substring(whole, instr(whole, a) + length(a), greatest(0, instr(whole, b) - instr(whole, a) - length(a)))")
+    return got.withColumn("relation", relation(between)).where("relation is not null").select("doc", "i", "j", "relation")
+
+
+def argument_summary(arguments: DataFrame) -> DataFrame:
+    """Per document: number of arguments, mean confidence, share of valid ones, kinds."""
+    return arguments.groupBy("doc").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), (F.count_if(F.col("validity")) / F.count("*")).alias("deductive_ratio"), F.count_distinct("kind").alias("kinds"))
+
+
+def fallacies(arguments: DataFrame, weak: float = 0.3) -> DataFrame:
+    """A row for each weak argument and each invalid modus ponens."""
+    found = F.array_compact(F.array(F.when(F.col("confidence") < weak, "weak_argument"), F.when((F.col("kind") == "modus_ponens") & ~F.col("validity"), "affirming_consequent")))
+    return arguments.withColumn("fallacy", F.explode(found))

@@ -139,3 +139,35 @@ def capped(df: DataFrame, by: str, order: list[str], accepted: Column, most: int
     """Rows of each key until `most` have been accepted."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("before_", F.coalesce(F.sum(accepted.cast("int")).over(w), F.lit(0))).where(F.col("before_") < most).drop("before_")
+
+
+def reference_answers(rows: DataFrame) -> DataFrame:
+    """Question and answer (the reference answer) of rows that have both."""
+    return rows.select(*(c for c in rows.columns if c not in ("answer", "reference_answer")), F.col("reference_answer").alias("answer")).where("question <> '' and answer <> ''")
+
+
+def stratum(correct: Column, confidence: Column) -> Column:
+    """Strata of a sample: correct with high confidence, not correct, low confidence; an array, as they overlap."""
+    strata = F.array(F.when(correct & (confidence == "high"), "correct_high"), F.when(~F.coalesce(correct, F.lit(False)), "incorrect"), F.when(confidence == "low", "low"))
+    return F.array_compact(strata)
+
+
+def kept_and_filtered(rows: DataFrame, route: Column) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a gate."""
+    routed = rows.withColumn("reason", route)
+    return routed.where("reason = 'kept'").drop("reason"), routed.where("reason <> 'kept'")
+
+
+def batch_summaries(traces: DataFrame, order: str, size: int) -> DataFrame:
+    """Per batch of `size` rows in order of a number from 0: counts, graded counts, correct ones, and by confidence."""
+    graded = F.col("correct").isNotNull()
+    cells = [F.count_if(graded & (F.col("confidence") == c)).alias(f"{c}_graded") for c in ("high", "medium", "low")]
+    cells += [F.count_if(F.col("correct") & (F.col("confidence") == c)).alias(f"{c}_correct") for c in ("high", "medium", "low")]
+    return traces.groupBy(F.floor(F.col(order) / size).alias("batch")).agg(F.count("*").alias("n"), F.count_if(graded).alias("graded"), F.count_if(F.col("correct")).alias("correct"), *cells)
+
+
+def merged_summaries(batches: DataFrame) -> DataFrame:
+    """The whole run from its batches: sums, and accuracies (null where nothing is graded)."""
+    sums = batches.agg(F.count("*").alias("batches"), *(F.sum(c).alias(c) for c in batches.columns if c != "batch"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return sums.withColumns({"accuracy": share("correct", "graded"), **{f"{c}_accuracy": share(f"{c}_correct", f"{c}_graded") for c in ("high", "medium", "low")}})

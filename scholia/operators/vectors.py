@@ -27,10 +27,14 @@ def top_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k
     batch leave a task; partial top-k lists are then merged. No pair is ever a row.
     """
     out = None
-    ids = queries.select(key).orderBy(key)
-    n = ids.count()
-    for at in range(0, n, block):
-        part = queries.orderBy(key).offset(at).limit(block).select(key, vector).toPandas() if n > block else queries.select(key, vector).toPandas()
+    n = queries.count()
+    if not n:
+        return queries.sparkSession.createDataFrame([], "src long, dst long, cosine double, rank int")
+    buckets = -(-n // block)
+    for at in range(buckets):
+        part = queries.where(F.pmod(F.xxhash64(key), F.lit(buckets)) == at).select(key, vector).toPandas()
+        if not len(part):
+            continue
         q = np.stack([np.asarray(v, float) for v in part[vector]])
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
@@ -150,3 +154,37 @@ def disjoint_centres(neighbours: dict[int, set[int]], order: list[int], most: in
         if len(taken) == most:
             break
     return taken
+
+
+# Area names by place on the map and size names, of two ways to name a cluster without texts.
+SPECIFIC_AREAS = ("Core Mechanisms", ("Advanced Therapeutics", "Applied Interventions"), ("Fundamental Pathways", "Clinical Applications"), "Theoretical Models", "Experimental Methods", ("Therapeutic Approaches", "Treatment Protocols"), ("Molecular Mechanisms", "Diagnostic Methods"), "Pathway Analysis", "Cellular Responses", "Biomedical Mechanisms")
+BROAD_AREAS = ("Core", ("Advanced", "Applied"), ("Fundamental", "Clinical"), "Theoretical", "Experimental", "General")
+
+
+def _area(x: Column, y: Column, core: float, far: tuple[float, ...], names: tuple) -> Column:
+    """Core, then for each distance (outermost first) right, left, above, below; else the last name."""
+    out = F.when((F.abs(x) < core) & (F.abs(y) < core), names[0])
+    for k, d in enumerate(far):
+        right, left, above, below = names[1 + 4 * k : 5 + 4 * k]
+        out = out.when(x > d, F.when(y > 0, right[0]).otherwise(right[1])).when(x < -d, F.when(y > 0, left[0]).otherwise(left[1])).when(y > d, above).when(y < -d, below)
+    return out.otherwise(names[-1])
+
+
+def specific_label(x: Column, y: Column, size: Column) -> Column:
+    """Area by distances 15 and 8, with a size word."""
+    area = _area(x, y, 3, (15, 8), SPECIFIC_AREAS)
+    return F.when(size > 100, F.concat(F.lit("Major "), area)).when(size > 50, F.concat(area, F.lit(" Studies"))).when(size > 25, F.concat(F.lit("Specialized "), area)).otherwise(F.concat(F.lit("Targeted "), area))
+
+
+def position_label(x: Column, y: Column, size: Column) -> Column:
+    """Area by distance 10, with a size word."""
+    area = _area(x, y, 5, (10,), BROAD_AREAS)
+    word = F.when(size > 80, " Biomedical Research").when(size > 40, " Medical Studies").when(size > 20, " Research Topic").otherwise(" Specialized Studies")
+    return F.concat(area, word)
+
+
+def split_and_merged(members: DataFrame, cluster: str, least: int) -> DataFrame:
+    """Members with their cluster, or with -1 where the cluster has fewer than `least` members (dissolved)."""
+    sizes = members.groupBy(cluster).agg(F.count("*").alias("size_"))
+    out = members.join(sizes, cluster)
+    return out.withColumn(cluster, F.when(F.col("size_") >= least, F.col(cluster)).otherwise(F.lit(-1))).drop("size_")

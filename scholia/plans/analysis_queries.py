@@ -50,7 +50,7 @@ def _(spark, t):
 
 @query("m04_textrank")
 def _(spark, t):
-    edges = K.cooccurrence(_tokens(t)).where("weight >= 3")
+    edges = K.cooccurrence(_tokens(t))
     return K.pagerank(edges).orderBy(F.desc("rank"), "node").limit(20)
 
 
@@ -70,12 +70,12 @@ def _(spark, t):
     return K.fused([(K.tfidf_keywords(toks), 0.0), (pairs, 0.8)])
 
 
-@query("m01_j22_w05_neighbours", """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 10 = 0)
+@query("m01_j22_w05_neighbours", """WITH q AS (SELECT * FROM embeddings)
   SELECT q.vec_id AS src, e.vec_id AS dst, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank,
   round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM q JOIN embeddings e ON q.vec_id <> e.vec_id QUALIFY rank <= 5""")
 def _(spark, t):
     e = t("embeddings")
-    n = V.top_neighbours(e.where("vec_id % 10 = 0"), e, "vec_id", "embedding", 5)
+    n = V.top_neighbours(e, e, "vec_id", "embedding", 5)
     return n.select("src", "dst", "rank", F.round("cosine", 6).alias("cosine"))
 
 
@@ -241,11 +241,11 @@ def _(spark, t):
     return L.similar_pairs(_clauses(t), 0.4)
 
 
-@query("j20_chains", r"""WITH a AS (SELECT c_nationkey AS doc, c_custkey AS ord, string_split('x ' || lower(c_mktsegment) || ' ' || (c_custkey % 3), ' ') AS w FROM customer WHERE c_custkey < 200)
+@query("j20_chains", r"""WITH a AS (SELECT c_nationkey AS doc, c_custkey AS ord, string_split('x ' || lower(c_mktsegment) || ' ' || (c_custkey % 3), ' ') AS w FROM customer)
   SELECT a.doc, a.ord AS i, b.ord AS j, len(list_intersect(a.w, b.w)) / 3 AS strength FROM a JOIN a b ON a.doc = b.doc AND a.ord < b.ord WHERE len(list_intersect(a.w, b.w)) >= 2""")
 def _(spark, t):
     w = F.concat(F.lit("x "), F.lower("c_mktsegment"), F.lit(" "), (F.col("c_custkey") % 3).cast("string"))
-    a = t("customer").where("c_custkey < 200").select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("ord"), w.alias("conclusion"), w.alias("premise"))
+    a = t("customer").select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("ord"), w.alias("conclusion"), w.alias("premise"))
     return L.chains(a)
 
 
@@ -295,11 +295,11 @@ def _(spark, t):
     return t("part").select("p_partkey", abstract_text(F.col("p_name"), F.col("p_size"), F.col("p_brand"), F.col("p_type")).alias("text"))
 
 
-@query("k10_k12_sections", "SELECT doc_id, kind, length(text) AS n FROM (SELECT doc_id, 'method1' AS kind, substr(text, 1, 50) AS text FROM documents UNION ALL SELECT doc_id, 'method2', CASE WHEN doc_id % 2 = 0 THEN lang END FROM documents) WHERE text IS NOT NULL AND text <> ''")
+@query("k10_k12_sections", "SELECT doc_id, kind, length(text) AS n FROM (SELECT doc_id, 'method1' AS kind, text FROM documents UNION ALL SELECT doc_id, 'method2', CASE WHEN doc_id % 2 = 0 THEN lang END FROM documents) WHERE text IS NOT NULL AND text <> ''")
 def _(spark, t):
     from scholia.sources.sinks import sections
 
-    s = sections(t("documents"), "doc_id", {"method1": F.substring("text", 1, 50), "method2": F.when(F.col("doc_id") % 2 == 0, F.col("lang"))})
+    s = sections(t("documents"), "doc_id", {"method1": F.col("text"), "method2": F.when(F.col("doc_id") % 2 == 0, F.col("lang"))})
     return s.select("doc_id", "kind", F.length("text").alias("n"))
 
 

@@ -1,7 +1,8 @@
 """Model calls behind one cached, pluggable provider (G*): prompts, lookups in a table of responses, calls for misses only.
 
 A provider maps a list of prompts to a list of responses (null for a failure). Calls run where the partitions are, after
-all filters; every answer is appended to the table of responses, so a restart pays for nothing twice.
+all filters. New answers are written before anything reads them, to the lasting table if its path is given, so neither a
+second action nor a restart pays for a call twice.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from scholia.functions import choices as R
 from scholia.functions import jsonx as N
 from scholia.functions import text as X
+from scholia.sources.tables import written
 
 Provider = Callable[[list[str]], list[str | None]]
 
@@ -64,8 +66,9 @@ def error_class(message: Column) -> Column:
     )
 
 
-def respond(prompts: DataFrame, responses: DataFrame, provider: Provider, batch: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, prompt) with their response from the table (prompt_hash, response), and new rows of that table for misses."""
+def respond(prompts: DataFrame, responses: DataFrame, provider: Provider, batch: int = 64, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, prompt) with their response from the table (prompt_hash, response), and new rows of that table for misses,
+    which are written once and, where a path is given, appended to the lasting table there. Failures are not kept there."""
     hashed = prompts.withColumn("prompt_hash", F.sha2("prompt", 256))
     misses = hashed.join(responses, "prompt_hash", "left_anti").groupBy("prompt_hash").agg(F.min("prompt").alias("prompt"))
 
@@ -75,7 +78,9 @@ def respond(prompts: DataFrame, responses: DataFrame, provider: Provider, batch:
                 part = b.iloc[k : k + batch]
                 yield pd.DataFrame({"prompt_hash": part["prompt_hash"], "response": provider(part["prompt"].tolist())})
 
-    new = misses.mapInPandas(call, "prompt_hash string, response string")
+    new = written(misses.mapInPandas(call, "prompt_hash string, response string"), "responses")
+    if path:
+        new.where("response is not null").write.mode("append").parquet(path)
     return hashed.join(responses.unionByName(new), "prompt_hash", "left"), new
 
 
@@ -121,3 +126,102 @@ def topic(response: Column, topics: tuple[str, ...]) -> Column:
     for t in topics:
         out = out.when(r.contains(t.lower()) | F.lit(t.lower()).contains(r), t)
     return out.otherwise("Other")
+
+
+def read_text(response: Column, fallback: str = "") -> Column:
+    """A free answer, trimmed; a failed call gives the fallback."""
+    return F.coalesce(F.nullif(F.regexp_replace(response, r"^\s+|\s+$", ""), F.lit("")), F.lit(fallback))
+
+
+def read_lines(response: Column, most: int) -> Column:
+    """Lines with text, without list marks, at most so many; none of a failed call."""
+    lines = F.transform(F.split(F.coalesce(response, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s*(?:[-*]|\d+[.)])?\s*|\s+$", ""))
+    return F.slice(F.filter(lines, lambda x: x != ""), 1, most)
+
+
+def read_number(response: Column, field: str, fallback: float) -> Column:
+    """A number in a labelled field."""
+    return F.coalesce(F.regexp_extract(response, rf"{field}\s*:\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double"), F.lit(fallback))
+
+
+def read_json(response: Column, schema: str, fallback: str) -> Column:
+    """An object or array in any of the forms N07 knows; an answer that is none, or a failed call, gives the fallback (SQL)."""
+    return F.coalesce(N.parsed(response, schema), F.expr(f"cast({fallback} as {schema})"))
+
+
+#: Model calls by id: what is asked of the columns in braces, how the answer is read, and what counts where there is none.
+CALLS: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "G10": ("Analyse option {option} of the question.\n\n{question}", lambda r: read_json(r, "struct<analysis:string,plausibility:string>", "named_struct('analysis', '', 'plausibility', 'unknown')")),
+    "G13": ("Compare the two predictions.\nFIRST: {one}\nSECOND: {two}", lambda r: read_text(r)),
+    "G15": ("Do both texts ask the same question? Answer as JSON with is_match.\nA: {one}\nB: {two}", lambda r: read_json(r, "struct<is_match:boolean>", "named_struct('is_match', false)")["is_match"]),
+    "G16": ("Why is the prediction wrong? Answer as JSON.\nQUESTION: {question}\nTRACE: {trace}", lambda r: read_json(r, "struct<fault_type:string,severity:string,sound:boolean>", "named_struct('fault_type', 'unknown', 'severity', 'unknown', 'sound', false)")),
+    "G17": ("Rate consistency, disagreement and grounding of the trace as JSON.\n{trace}", lambda r: read_json(r, "struct<consistency:double,disagreement:double,grounding:double,overall:double>", "named_struct('consistency', 0.0D, 'disagreement', 0.0D, 'grounding', 0.0D, 'overall', 0.0D)")),
+    "G18": ("The methods disagree. Diagnose as JSON.\nANSWERS: {answers}", lambda r: read_json(r, "struct<diagnosis:string,best:string>", "named_struct('diagnosis', '', 'best', '')")),
+    "G19": ("Write the trace anew, mending: {diagnosis}\n{trace}", lambda r: read_text(r)),
+    "G21": ("Think through every option, then answer as JSON with predicted and confidence.\n{question}", lambda r: read_json(r, "struct<predicted:string,confidence:string>", "named_struct('predicted', '1', 'confidence', 'low')")),
+    "G22": ("Tell these thoughts as one stream.\n{thoughts}", lambda r: read_text(r)),
+    "G23": ("Rate this question from 1 to 10 as SCORE.\n{question}", lambda r: read_number(r, "SCORE", 0.0)),
+    "G25": ("Give five search phrases, one a line, for: {topic}", lambda r: read_lines(r, 5)),
+    "G26": ("Score the paper on each criterion as a JSON object of numbers.\n{text}", lambda r: read_json(r, "map<string,double>", "map()")),
+    "G27": ("Give the section {section} of the paper as JSON with content.\n{text}", lambda r: read_json(r, "struct<content:string>", "named_struct('content', cast(null as string))")["content"]),
+    "G28": ("The section {section} is missing. Write it from the others as JSON with content.\n{text}", lambda r: read_json(r, "struct<content:string>", "named_struct('content', '')")["content"]),
+    "G29": ("Extract {mode} from the text.\n{text}", lambda r: read_text(r, "ERROR: no answer")),
+    "G30": ("Give the clauses of the text as a JSON object with clauses and quality.\n{text}", lambda r: read_json(r, "struct<clauses:array<string>,quality:double>", "named_struct('clauses', array(), 'quality', 0.5D)")),
+    "G31": ("Name the topic of these papers in a few words.\n{titles}", lambda r: read_text(r)),
+    "G32": ("Sum up the patterns in these errors.\n{errors}", lambda r: read_text(r)),
+}
+
+
+def call_prompt(name: str, **columns: Column) -> Column:
+    """The prompt of a call, with its slots taken from columns (null: empty)."""
+    out, rest = [], CALLS[name][0]
+    while "{" in rest:
+        before, slot = rest.split("{", 1)
+        slot, rest = slot.split("}", 1)
+        out += [F.lit(before), F.coalesce(columns[slot].cast("string"), F.lit(""))]
+    return F.concat(*out, F.lit(rest))
+
+
+def is_relevant(response: Column) -> Column:
+    """The one word *relevant*; a failed call is not."""
+    return F.coalesce(F.lower(F.trim(response)) == "relevant", F.lit(False))
+
+
+def document_kind(response: Column) -> Column:
+    """TOOL before PROBLEM, else UNKNOWN; ERROR of a failed call."""
+    up = F.upper(F.trim(response))
+    return F.when(response.isNull(), "ERROR").when(up.contains("TOOL"), "TOOL").when(up.contains("PROBLEM"), "PROBLEM").otherwise("UNKNOWN")
+
+
+def wanted(kind: Column, require: str) -> Column:
+    """Only the opposite kind is left out; unknown documents and errors go on."""
+    return kind != F.lit({"PROBLEM": "TOOL", "TOOL": "PROBLEM"}[require])
+
+
+def alive(models: DataFrame, responses: DataFrame, provider: Provider) -> DataFrame:
+    """The models that answer a probe."""
+    got, _ = respond(models.withColumn("prompt", F.concat(F.lit("MODEL "), "model", F.lit("\nSay ok."))), responses, provider)
+    return models.join(got.where("response is not null").select("model"), "model", "left_semi")
+
+
+def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[list[float]]], size: int, batch: int = 64) -> DataFrame:
+    """Key and embedding by a provider, in batches; a batch that fails gives zero vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), batch):
+                part = b.iloc[k : k + batch]
+                try:
+                    got = embed(part[text].fillna("").tolist())
+                except Exception:
+                    got = [[0.0] * size] * len(part)
+                yield pd.DataFrame({key: part[key], "embedding": got})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>")
+
+
+def ordered(rows: DataFrame, order: str, prompt: Column, responses: DataFrame, provider: Provider) -> DataFrame:
+    """Every row's response, failures left out, in the order of a column whichever task finished first."""
+    got, _ = respond(rows.withColumn("prompt", prompt), responses, provider)
+    return got.where("response is not null").drop("prompt", "prompt_hash").orderBy(order)

@@ -97,7 +97,7 @@ def _(spark, t):
     return t("documents").select("doc_id", F.size(k).alias("n_tokens"), F.array_join(F.slice(k, 1, 20), " ").alias("head"))
 
 
-_DIRTY = "'The question is clear and ' || substr(text, 1, 120) || ' This question tests it. Pick option B (C) . . In summary this ends. Done.'"
+_DIRTY = "'The question is clear and ' || text || ' This question tests it. Pick option B (C) . . In summary this ends. Done.'"
 _CLEANED = _DIRTY
 for _p in X.BOILER_PLATE:
     _CLEANED = f"regexp_replace({_CLEANED}, '(?is){_p}', '', 'g')"
@@ -239,16 +239,16 @@ def _(spark, t):
     return items(t).select("doc_id", R.has_embedded_options(F.col("question")).alias("embedded"), R.first_integer(F.col("answer")).alias("n"), R.fingerprint(F.col("question")).alias("print"))
 
 
-@query("u06_word_overlap", rf"""WITH {QA_SQL}, x AS (SELECT conv_id, turn, trim(lower(regexp_replace(substr(question, 1, 40), '\s+', ' ', 'g'))) AS o, trim(lower(regexp_replace(answer, '\s+', ' ', 'g'))) AS a FROM qa),
+@query("u06_word_overlap", rf"""WITH {QA_SQL}, x AS (SELECT conv_id, turn, trim(lower(regexp_replace(question, '\s+', ' ', 'g'))) AS o, trim(lower(regexp_replace(answer, '\s+', ' ', 'g'))) AS a FROM qa),
   y AS (SELECT *, list_distinct(regexp_extract_all(o, '([\p{{L}}\p{{N}}_]+)', 1)) AS ow, list_distinct(regexp_extract_all(a, '([\p{{L}}\p{{N}}_]+)', 1)) AS aw FROM x)
   SELECT conv_id, turn, CASE WHEN length(o) > 15 AND len(ow) > 0 THEN len(list_intersect(ow, aw)) / len(ow) >= 0.6 ELSE contains(a, o) END AS consistent FROM y""")
 def _(spark, t):
-    return questions(t).select("conv_id", "turn", R.word_overlap(F.substring("question", 1, 40), F.col("answer")).alias("consistent"))
+    return questions(t).select("conv_id", "turn", R.word_overlap(F.col("question"), F.col("answer")).alias("consistent"))
 
 
 _FLOW_SQL = "CASE " + " ".join(f"WHEN regexp_matches(s, '(?i){p}') THEN '{k}'" for k, p in C.FLOW) + " ELSE 'ELABORATION' END"
 #: documents made of reasoning sentences and their own words
-_REASON = """'Let me think about ' || lang || '. First, maybe it is ' || substr(text, 1, 60) || '! However, I think the evidence shows it, because x causes y. So therefore I believe the answer is ' || source || '. Actually, wait, probably not? ' || substr(text, 61, 200)"""
+_REASON = """'Let me think about ' || lang || '. First, maybe it is ' || text || '! However, I think the evidence shows it, because x causes y. So therefore I believe the answer is ' || source || '. Actually, wait, probably not?'"""
 _SENT = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) >= 10)"
 
 
@@ -304,9 +304,9 @@ def _(spark, t):
     return s.select("doc_id", (F.col("ord") + 1).alias("ord"), C.negated(c).alias("negated"), C.certainty(c).alias("certainty"), C.quantifier(c).alias("quantifier"), C.conditional_type(c).alias("conditional"))
 
 
-_STREAM = "'Intro' || chr(10) || repeat('=', 80) || chr(10) || 'QUESTION 1: x' || chr(10) || 'STREAM OF THOUGHT:' || chr(10) || repeat('-', 40) || chr(10) || substr(text, 1, 80) || chr(10) || repeat('=', 80) || chr(10) || 'END'"
+_STREAM = "'Intro' || chr(10) || repeat('=', 80) || chr(10) || 'QUESTION 1: x' || chr(10) || 'STREAM OF THOUGHT:' || chr(10) || repeat('-', 40) || chr(10) || text || chr(10) || repeat('=', 80) || chr(10) || 'END'"
 
 
-@query("s20_stream_body", rf"SELECT doc_id, regexp_replace(substr(text, 1, 80), '^\s+|\s+$', '', 'g') AS body FROM documents")
+@query("s20_stream_body", rf"SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents")
 def _(spark, t):
     return t("documents").select("doc_id", C.stream_body(F.expr(_STREAM.replace("chr(10)", "'\\n'"))).alias("body"))

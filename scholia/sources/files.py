@@ -127,3 +127,103 @@ def cached(df: DataFrame, key: str, text: str, model: str, cache: DataFrame) ->
     named = df.withColumns({"text_hash": F.sha2(text, 256), "model": F.lit(model)})
     on = [key, "text_hash", "model"]
     return named.join(cache, on), named.join(cache, on, "left_anti")
+
+
+def pdf_structure(files: DataFrame) -> DataFrame:
+    """Path, valid, encrypted, scanned, parsable, pages and error of PDF files, from the bytes: header, end mark,
+    /Encrypt in a trailer, page objects, and text-showing operators in plain or deflated streams (a scan has none). What a
+    PDF library finds beyond that is pdf_texts()."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, *structure(bytes(c) if c is not None else b"")) for p, c in zip(b["path"], b["content"], strict=True)], columns=["path", "valid", "encrypted", "scanned", "parsable", "pages", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, valid boolean, encrypted boolean, scanned boolean, parsable boolean, pages int, error string")
+
+
+def structure(data: bytes) -> tuple[bool, bool, bool, bool, int, str | None]:
+    """valid, encrypted, scanned, parsable (neither), pages, error of one file's bytes."""
+    import re
+    import zlib
+
+    if not data.startswith(b"%PDF-"):
+        return False, False, False, False, 0, "bad header"
+    pages = len(re.findall(rb"/Type\s*/Page\b(?!s)", data))
+    encrypted = b"/Encrypt" in data
+    if b"%%EOF" not in data[-2048:]:
+        return False, encrypted, False, False, pages, "no end mark"
+    shown = re.compile(rb"\)\s*Tj|\]\s*TJ|>\s*Tj")
+    text = bool(shown.search(data))
+    for m in re.finditer(rb"stream\r?\n(.*?)endstream", data, re.DOTALL) if not (text or encrypted) else ():
+        try:
+            text = text or bool(shown.search(zlib.decompressobj().decompress(m.group(1))))
+        except zlib.error:
+            continue
+    scanned = not encrypted and not text
+    return pages > 0, encrypted, scanned, pages > 0 and not encrypted and not scanned, pages, None if pages else "no pages"
+
+
+def validated(files: DataFrame, mode: str = "full") -> DataFrame:
+    """Path and state of files: ``quick`` looks at the basic checks alone, ``full`` at the structure of those that
+    pass them. States: the basic verdict, invalid, encrypted, scanned or good; K23 sorts files by it."""
+    basic = files.withColumn("basic", verdict(F.col("content")))
+    if mode == "quick":
+        return basic.select("path", F.when(F.col("basic") == "ok", "good").otherwise(F.col("basic")).alias("state"))
+    deep = pdf_structure(basic.where("basic = 'ok'"))
+    state = F.when(~F.col("valid"), "invalid").when(F.col("encrypted"), "encrypted").when(F.col("scanned"), "scanned").otherwise("good")
+    return deep.select("path", state.alias("state")).union(basic.where("basic <> 'ok'").select("path", F.col("basic").alias("state")))
+
+
+def registry(text: str, environment: dict[str, str]) -> list[dict[str, str]]:
+    """Models of a YAML list of flat maps (``- shortname: x`` and indented ``key: value`` lines); ${NAME} takes the
+    value of the environment, and a model whose name is unset there keeps the text as it stands."""
+    import re
+
+    out: list[dict[str, str]] = []
+    for line in text.splitlines():
+        m = re.match(r"^\s*(-\s+)?([A-Za-z_][\w-]*):\s*(.*?)\s*$", line)
+        if not m or line.lstrip().startswith("#") or not m.group(3):
+            continue
+        if m.group(1):
+            out.append({})
+        if out:
+            value = m.group(3).strip("\"'")
+            out[-1][m.group(2)] = re.sub(r"^\$\{(\w+)\}$", lambda x: environment.get(x.group(1), x.group(0)), value)
+    return out
+
+
+def guidance(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
+    """Texts by name; a file that is missing is an empty text."""
+    out = {}
+    for name, path in paths.items():
+        rows = texts_or_none(spark, path)
+        out[name] = rows or ""
+    return out
+
+
+def texts_or_none(spark: SparkSession, path: str) -> str | None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None
+    rows = spark.read.text(path, wholetext=True).limit(1).collect()
+    return rows[0]["value"] if rows else None
+
+
+def downloads(urls: DataFrame, fetch, least: int = 100) -> DataFrame:
+    """Url, content, state of a column of URLs: fetch(url) gives bytes; a fetch that fails gives its error, and bytes
+    that are no PDF are not kept. Contents land in a table, which a sink moves as a whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for url in b["url"]:
+                try:
+                    data = fetch(url)
+                    ok = len(data) >= least and data.startswith(b"%PDF-")
+                    rows.append((url, data if ok else None, "ok" if ok else "no pdf"))
+                except Exception as e:
+                    rows.append((url, None, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["url", "content", "state"])
+
+    return urls.select("url").mapInPandas(run, "url string, content binary, state string")

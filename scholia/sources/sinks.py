@@ -84,3 +84,26 @@ def header_inserted(text: Column, line: Column) -> Column:
     lines = F.split(text, "\n")
     n = F.aggregate(lines, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct(F.when(a["on"] & x.startswith("#"), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["on"] & x.startswith("#")).alias("on")), lambda a: a["n"])
     return F.array_join(F.concat(F.slice(lines, F.lit(1), n), F.array(line), F.slice(lines, n + 1, F.greatest(F.size(lines) - n, F.lit(0)))), "\n")
+
+
+def append_items(df: DataFrame, path: str) -> None:
+    """Finished items are appended as JSON lines; nothing is read back to write them."""
+    df.write.mode("append").json(path)
+
+
+def json_array(spark, path: str, schema: str) -> DataFrame:
+    """All items appended so far, from which one export is made at the end."""
+    return spark.read.schema(schema).json(path)
+
+
+def error_lines(errors: DataFrame) -> DataFrame:
+    """Lines ``[time] category: message`` of errors (at, category, message), in order."""
+    return errors.orderBy("at", "category", "message").select(F.concat(F.lit("["), F.date_format("at", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), "category", F.lit(": "), "message").alias("value"))
+
+
+def plot_table(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """The bars of a plot: bin, its edges and count; the last bin holds the upper edge."""
+    width = (high - low) / bins
+    k = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int")
+    got = df.where(F.col(value).between(low, high)).groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
+    return got.select("bin", (low + F.col("bin") * width).alias("left"), (low + (F.col("bin") + 1) * width).alias("right"), "n")

@@ -48,3 +48,52 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
 def windowed_counts(stream: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
     """Our extension: tumbling windows of status counts with a watermark."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"))
+
+
+def upserted(state: DataFrame, events: DataFrame, key: str, order: str) -> DataFrame:
+    """A table of states (key, order, other columns) with newer events taken in: the greatest order of a key counts."""
+    rest = [c for c in state.columns if c not in (key, order)]
+    last = F.max(F.struct(order, *rest)).alias("last")
+    return state.unionByName(events.select(*state.columns)).groupBy(key).agg(last).select(key, f"last.{order}", *(f"last.{c}" for c in rest))
+
+
+def counters(state: DataFrame, status: str) -> DataFrame:
+    """How many keys are in each status, by query; no counter is stored that could go wrong."""
+    return state.groupBy(status).agg(F.count("*").alias("n"))
+
+
+def filled(checkpoint: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """A checkpoint of an older form: columns (name: SQL default) that are missing or null get their defaults."""
+    have = set(checkpoint.columns)
+    return checkpoint.withColumns({k: F.coalesce(F.col(k), F.expr(v)) if k in have else F.expr(v) for k, v in defaults.items()})
+
+
+def save_state(state: DataFrame, path: str) -> str:
+    """A new version of a state beside the older ones, complete or absent (Spark commits a folder as a whole); the
+    path of the version. Versions are numbered; load_state() reads the last that was committed."""
+    spark = state.sparkSession
+    version = (_versions(spark, path) or [0])[-1] + 1
+    state.write.parquet(f"{path}/v={version:08d}")
+    return f"{path}/v={version:08d}"
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last committed version; null if there is none."""
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v={found[-1]:08d}") if found else None
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [x.getPath() for x in fs.listStatus(folder)]
+    done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n[2:]) for n in done if n.startswith("v="))
+
+
+def saved_in_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Results appended after every few files of input (the source's maxFilesPerTrigger), one commit each."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
