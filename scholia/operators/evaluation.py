@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.text import question_hash
+from scholia.operators.positional import running_sums
 
 # Criteria of paper scores and their weights.
 CRITERIA = {
@@ -76,14 +77,15 @@ def accuracy(results: DataFrame, by: list[str]) -> DataFrame:
 
 def running_accuracy(results: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Mean score of a run's rows so far."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return results.withColumn("running", F.avg("score").over(w))
+    sums = running_sums(results, by, order, {"sum_": F.coalesce("score", F.lit(0.0)), "n_": F.col("score").isNotNull().cast("long")})
+    return sums.withColumn("running", F.col("sum_") / F.nullif(F.col("n_"), F.lit(0))).drop("sum_", "n_")
 
 
 def first_wins(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy("key_").orderBy(*order)
-    return df.withColumn("key_", key).withColumn("rank_", F.row_number().over(w)).where("rank_ = 1").drop("key_", "rank_")
+    """The first row of each key (in ascending order of some columns): a minimum with partial sums, so that a key
+    with many rows is no hot group."""
+    first = F.min(F.struct(*(o.alias(f"o{k}_") for k, o in enumerate(order)), F.struct(*df.columns).alias("row_")))
+    return df.groupBy(key.alias("key_")).agg(first.alias("first_")).select("first_.row_.*")
 
 
 def intersection(rows: DataFrame, question: str, least: int = 2) -> DataFrame:

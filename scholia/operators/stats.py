@@ -5,15 +5,18 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.operators.positional import running_sums
+
 
 def average_rank(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Ranks with ties at their mean."""
-    rank = F.rank().over(Window.partitionBy(by).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(by, value))
-    return df.withColumn("avg_rank", rank + (ties - 1) / 2)
+    """Ranks with ties at their mean: from counts of distinct values, which are joined back."""
+    ties = df.groupBy(by, value).agg(F.count("*").alias("t"))
+    upto = running_sums(ties, [by], [value], {"upto": F.col("t")})
+    ranks = upto.select(F.col(by).alias("by_"), F.col(value).alias("value_"), (F.col("upto") - (F.col("t") - 1) / 2).alias("avg_rank"))
+    return df.join(ranks, F.col(by).eqNullSafe(F.col("by_")) & F.col(value).eqNullSafe(F.col("value_"))).drop("by_", "value_")
 
 
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -30,11 +33,10 @@ def cohens_d(m1: Column, m2: Column, v1: Column, v2: Column) -> Column:
 def mann_whitney(df: DataFrame, group: str, value: str, one: str, two: str) -> DataFrame:
     """U of group `one` and its two-sided p-value: exact if a group has at most eight rows and there are no ties, else
     the normal tail with tie and continuity correction. One row. Values are summed by distinct value before they are
-    ranked, so the ranking window sees distinct values only."""
+    ranked, and ranked by ranges of values."""
     pair = df.where(F.col(group).isin(one, two))
     by_value = pair.groupBy(value).agg(F.count("*").alias("t"), F.count_if(F.col(group) == one).alias("a"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_value.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = running_sums(by_value, [], [value], {"upto": F.col("t")}).withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
     s = ranked.agg(F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum("a").alias("n1"), F.sum("t").alias("n"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
 
     @F.pandas_udf("double")
