@@ -6,11 +6,12 @@
 2. Posteriors are rounded to one part in PARTS. Rates depend on the posterior alone (a step in the metric of the token
    counts), so rows with equal posteriors are summed to one.
 3. Projected gradient: rates r >= 0 minimise m' H^-1 m, where m[k] = sum_d t[d] p[d][k] r[d] - target[k] and
-   H = sum_d t[d] p[d] p[d]'. In that metric the gradient of a rate is p[d]' H^-1 m and a step of 1 is safe, so the first
-   step meets all targets unless rates are cut off at 0, and the later ones make up for that. Each step is one distributed
-   sum; only K numbers reach the driver. It ends when every domain is within TOLERANCE of its own target, or when the miss
-   no longer shrinks: then no rates meet the targets and these are the nearest (a warning says so). Every document's rate
-   follows from its posterior and the list of steps, without a join.
+   H = sum_d t[d] p[d] p[d]'. In that metric the gradient of a rate is p[d]' H^-1 m and a step of 1 is safe. A step is first
+   tried with the H of the rates that are not cut off at 0, which meets all targets at once if no more are cut off; it is
+   taken back if the miss grows. Each step is one distributed sum; only numbers by domain reach the driver. It ends when
+   every domain is within TOLERANCE of its own target, or when a safe step shrinks the miss by less than STALL: then no
+   rates meet the targets and these are about the nearest (a warning says so; targets of 0 are such a case, as posteriors
+   are soft). Every document's rate follows from its posterior and the list of steps, without a join.
 4. A rate is rounded to a number of copies by the document's own hash, so expected totals are kept.
 
 Defined results: a null text has no words and 0 tokens; rows without label are predicted like others; labels of unknown
@@ -35,9 +36,10 @@ WORDS = 64
 SHRINK = 10.0
 LIFT = 3.0
 PARTS = 10_000
-STEPS = 100
+STEPS = 60
 #: Of a domain's target; a target under LEAST_SHARE of all tokens (or none) counts as so much.
 TOLERANCE, LEAST_SHARE = 5e-3, 1e-3
+STALL = 0.02
 UNLABELLED = "unlabelled"
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -147,30 +149,40 @@ def fit(groups: DataFrame, targets: list[float], s: Scratch, most: int = STEPS,
     k = len(targets)
     p = [F.element_at("parts", i + 1) / float(PARTS) for i in range(k)]
     t = F.col("tokens")
-    cells = groups.agg(*(F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    h = np.array([[cells[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def gram(got, name: str) -> np.ndarray:
+        return np.array([[got[f"{name}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+
+    h = gram(groups.agg(*(F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)).alias(f"c{i}_{j}") for i, j in pairs)).first(), "c")
     if not h.any():
         return []
     inverse = np.linalg.pinv(h, rcond=1e-10, hermitian=True)
     goal = np.array(targets)
     allowed = tolerance * np.maximum(goal, LEAST_SHARE * goal.sum())
     steps: list[list[float]] = []
-    rows, since, before = groups.withColumn("r", F.lit(1.0)), 0, math.inf
+    rows, kept, safe, before = groups.withColumn("r", F.lit(1.0)), None, False, math.inf
+    free = (F.col("r") > 0).cast("double")
     while True:
-        got = rows.agg(*(F.sum(t * p[i] * F.col("r")).alias(f"s{i}") for i in range(k))).first()
+        got = rows.agg(*(F.sum(t * p[i] * F.col("r")).alias(f"s{i}") for i in range(k)), *(F.sum(free * t * p[i] * p[j]).alias(f"f{i}_{j}") for i, j in pairs)).first()
         miss = np.array([got[f"s{i}"] for i in range(k)]) - goal
-        now = float(miss @ inverse @ miss)
+        now, taken = float(miss @ inverse @ miss), gram(got, "f")
         if (np.abs(miss) <= allowed).all():
             break
-        if now >= 0.9999 * before or len(steps) == most:
+        if now > before and not safe:
+            steps.pop()
+            (rows, miss, taken, now), safe = kept, True
+        elif now >= (1 - STALL) * before and safe or len(steps) == most:
             warnings.warn(f"no rates meet the targets; token totals miss them by {miss.tolist()}", stacklevel=2)
             break
-        before = now
-        steps.append((inverse @ miss).tolist())
+        else:
+            safe = now >= (1 - STALL) * before
+        kept, before = (rows, miss, taken, now), now
+        steps.append(((inverse if safe else np.linalg.pinv(taken, rcond=1e-10, hermitian=True)) @ miss).tolist())
         move = sum((F.lit(float(x)) * p[i] for i, x in enumerate(steps[-1])), F.lit(0.0))
-        rows, since = rows.withColumn("r", F.greatest(F.lit(0.0), F.col("r") - move)), since + 1
-        if since == 5:
-            rows, since = s.keep(rows, "rates"), 0
+        rows = rows.withColumn("r", F.greatest(F.lit(0.0), F.col("r") - move))
+        if len(steps) % 4 == 0:
+            rows = s.keep(rows, "rates")
     return steps
 
 
