@@ -1,6 +1,7 @@
 """Formatting, counting, language, packing, quality rules and passages against brute-force versions and edge cases."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -125,6 +126,20 @@ def test_tokenizers_agree():
         assert hf.encode(t, add_special_tokens=False).ids == packing.tokenizer().encode_ordinary(t)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_ids_of_a_whole_table():
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += ["x" * 3000, "é" * 1000, "ab1" * 900, " " * 3000, "\n \t" * 500, "汉字" * 600]
+    for k in range(0, len(texts), 256):
+        part = texts[k : k + 256]
+        assert [x.ids for x in hf.encode_batch(part, add_special_tokens=False)] == [packing.encode(t) for t in part]
+
+
 def test_added_token_inside_texts(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -317,3 +332,24 @@ def test_levels_merge_geometrically(spark, tmp_path):
             assert part == sorted(part)
     assert [n for n, _ in family.levels] == [4, 1]
     assert sorted(r["core"] for r in family.repeated().collect()) == [10, 11, 20, 21, 30, 31, 40, 41]
+
+
+def test_clashing_columns(spark, edges):
+    """Columns named like an operator's own or its results change nothing."""
+    from scholia.llm import lm_scoring, mixing
+
+    clash = edges.withColumns({c: F.lit(7) for c in ("host", "base_failed", "n_words", "n_tokens", "parts", "rate", "copies", "domain", "h", "rid", "length", "piece", "rank", "training", "sequence_id", "formatted")})
+    labels = spark.createDataFrame([(4, 1, 0, "x"), (5, 0, 0, "y")], "doc_id long, quality int, toxic int, text string")
+    runs = {
+        "count": token_counts.count_with_edits,
+        "quality": quality_rules.host_quality,
+        "pieces": lambda d: packing.pack(d).drop("sequence_id", "offset"),
+        "mix": lambda d: mixing.mix(d, labels, {"1/0": 0.7, "0/0": 0.3}),
+        "score": lambda d: lm_scoring.score(d, F.lit(True)),
+    }
+    for name, run in runs.items():
+        told = lambda d: sorted(str(r) for r in run(d).collect())  # noqa: B023, E731
+        assert told(clash) == told(edges), name
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn int, role string, text string")
+    extra = turns.withColumns({c: F.lit("x") for c in ("turns", "formatted", "escapes", "parsed", "mask")})
+    assert chat_formatting.format_conversations(extra).collect() == chat_formatting.format_conversations(turns).collect()
