@@ -62,23 +62,24 @@ def adjacent(c: DataFrame, kind: Column) -> DataFrame:
 def band_pairs(c: DataFrame, one: Column, two: Column, within: int) -> DataFrame:
     """Pairs of two kinds at most `within` sentences apart, in order."""
     a = c.where(one).select("doc", F.col("ord").alias("a_ord"))
-    b = c.where(two).select("doc", F.col("ord").alias("b_ord"))
-    return a.join(b, "doc").where((F.col("b_ord") > F.col("a_ord")) & (F.col("b_ord") - F.col("a_ord") <= within))
+    # each clause of the second kind names the places before it, so that the band is an equal key and no document is paired with itself
+    b = c.where(two).select("doc", F.col("ord").alias("b_ord"), F.explode(F.sequence(F.lit(1), F.lit(within))).alias("back"))
+    return a.join(b.withColumn("a_ord", F.col("b_ord") - F.col("back")), ["doc", "a_ord"]).select("doc", "a_ord", "b_ord")
 
 
 def enclosing(c: DataFrame, opens: Column, closes: Column, inner: Column, within: int = 5, most: int = 2) -> DataFrame:
     """Opening and closing clauses within a band, with the first `most` inner clauses strictly between (at least one)."""
     p = c.where(inner).select("doc", F.col("ord").alias("p_ord"))
-    found = band_pairs(c, opens, closes, within).join(p, "doc").where("p_ord > a_ord and p_ord < b_ord")
+    found = band_pairs(c, opens, closes, within).where(F.col("b_ord") - F.col("a_ord") > 1)
+    found = found.withColumn("p_ord", F.explode(F.sequence(F.col("a_ord") + 1, F.col("b_ord") - 1))).join(p, ["doc", "p_ord"])
     return found.groupBy("doc", "a_ord", "b_ord").agg(F.slice(F.array_sort(F.collect_list("p_ord")), 1, most).alias("inner"))
 
 
 def eliminations(c: DataFrame, out: Column, conclusion: Column, most: int = 4) -> DataFrame:
-    """Each conclusion with the first `most` eliminated clauses before it."""
-    e = c.where(out).select("doc", F.col("ord").alias("e_ord"))
-    k = c.where(conclusion).select("doc", "ord")
-    w = Window.partitionBy("doc", "ord").orderBy("e_ord")
-    return k.join(e, "doc").where("e_ord < ord").withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")
+    """Each conclusion with the first `most` eliminated clauses before it: they are among the document's first `most`."""
+    first = Window.partitionBy("doc").orderBy("e_ord")
+    e = c.where(out).select("doc", F.col("ord").alias("e_ord")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).drop("k")
+    return c.where(conclusion).select("doc", "ord").join(e, "doc").where("e_ord < ord")
 
 
 def chains(arguments: DataFrame) -> DataFrame:
