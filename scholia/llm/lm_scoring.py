@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.scratch import Scratch, parts, size_in_bytes
+from scholia.llm.scratch import TEXTS, Scratch, parts, size_in_bytes
 from scholia.llm.textblock import Block, blocks, mix, spans
 
 BASE = 1.5
@@ -141,7 +141,7 @@ def counts(texts: DataFrame, s: Scratch) -> tuple[DataFrame, int]:
         return pa.Table.from_batches([_run_batch(rows)])
 
     seen = texts.select("text").mapInArrow(count, _RUN)
-    return s.keep(seen.groupBy("part").applyInArrow(merge, _RUN), "counts"), shift
+    return s.keep(seen.groupBy("part").applyInArrow(merge, _RUN), "counts", TEXTS), shift
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -478,7 +478,7 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
                 yield _rare(runs, [where[a:z].tobytes() for a, z in zip(np.append(0, ends[:-1]), ends, strict=True)])
 
     fields = "kind int, rid long, doc_id long, n_tokens long, known long, base double, score double, part int, h binary, rids binary"
-    out = s.keep(rows.mapInArrow(run, fields), "scored")
+    out = s.keep(rows.mapInArrow(run, fields), "scored", TEXTS)
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()

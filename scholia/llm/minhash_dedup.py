@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.components import components
-from scholia.llm.scratch import Scratch, parts
+from scholia.llm.scratch import TEXTS, Scratch, parts
 from scholia.llm.textblock import Block, blocks, mix, spans
 
 WORDS = 5
@@ -374,7 +374,7 @@ def similar_components(docs: DataFrame, sets: DataFrame, s: Scratch, words: int,
     """node, component of all sets (sid, sig) that are linked with another one; sid is the doc_id of a text with that set."""
     links = candidates(sets, s, percent, trees)
     ids = s.keep(links.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ids")
-    full = s.keep(full_sets(docs, ids, words), "sets")
+    full = s.keep(full_sets(docs, ids, words), "sets", TEXTS)
     sure = s.keep(confirmed(links, full, percent), "sure")
     comps = components(sure, s)
     clusters = components(links, s)
@@ -400,7 +400,7 @@ def similar_components(docs: DataFrame, sets: DataFrame, s: Scratch, words: int,
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, for every row."""
     s = Scratch(docs.sparkSession, "minhash")
-    every = s.keep(document_sets(docs, words), "documents")
+    every = s.keep(document_sets(docs, words), "documents", TEXTS)
     # equal sets are one, named by its smallest doc_id; the minimum is taken in partial sums, so a group of copies is no hot group
     named = every.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("one"))
     reps = s.keep(named.select("h1", "h2", F.col("one.doc_id").alias("rep"), F.col("one.sig").alias("sig")), "reps")

@@ -19,6 +19,11 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of whole texts.
+TEXTS = 1000
+
+
 class Scratch:
     """A folder of Parquet tables for one operator call."""
 
@@ -28,17 +33,24 @@ class Scratch:
         self.made = 0
         self.paths: list[str] = []
 
-    def write(self, df: DataFrame, name: str = "t") -> str:
+    def write(self, df: DataFrame, name: str = "t", batch: int | None = None) -> str:
+        """Write df; while it is planned, Arrow batches hold at most `batch` rows (of texts, so that few MB are in flight)."""
         self.made += 1
         path = f"{self.base}/{name}{self.made}"
-        df.write.parquet(path)
+        before = int(self.spark.conf.get(_ROWS))
+        try:
+            if batch and not 0 < before <= batch:
+                self.spark.conf.set(_ROWS, str(batch))
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_ROWS, str(before))
         self.paths.append(path)
         return path
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
         """Write df and read it again: a table that survives a lost executor."""
         schema = df.schema
-        return self.spark.read.schema(schema).parquet(self.write(df, name))
+        return self.spark.read.schema(schema).parquet(self.write(df, name, batch))
 
     def _folders(self, frames: tuple[DataFrame, ...]) -> set[str]:
         name = f"/{self.base.rsplit('/', 1)[1]}/"

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.minhash_dedup import _filter_bits, _probes
-from scholia.llm.scratch import Scratch, parts, size_in_bytes
+from scholia.llm.scratch import TEXTS, Scratch, parts, size_in_bytes
 from scholia.llm.textblock import Block, blocks, mix, spans
 
 MATCH = 400
@@ -224,7 +224,7 @@ def repeated_spans(docs: DataFrame, s: Scratch, match: int = MATCH, window: int
     n = parts(s.spark)
     batches = batches or max(LEAST_BATCHES, -(-size_in_bytes(docs) // BATCH_BYTES))
     keyed = docs.withColumn("batch", F.pmod(F.xxhash64("key", "th"), F.lit(batches)).cast("int"))
-    every = s.keep(anchor_table(keyed, match, window), "anchors")
+    every = s.keep(anchor_table(keyed, match, window), "anchors", TEXTS)
     family = IndexFamily(s)
     for k in range(batches):
         family.add(every.where(F.col("batch") == k))
@@ -237,7 +237,7 @@ def repeated_spans(docs: DataFrame, s: Scratch, match: int = MATCH, window: int
     contested = s.keep(classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core", (F.col("k") > HOT).alias("hot")), "contested")
     members = classes.join(contested, "core").select("one.key", "one.th", "one.at", "one.low", "one.high", "core", (F.col("n") == 1).alias("single"), "hot")
     rows = s.keep(members.groupBy("key", "th").agg(F.collect_list(F.struct("at", "low", "high", "core", "single", "hot")).alias("classes")), "members")
-    prints = s.keep(_of_documents(docs, rows).select("key", "th", "text", "classes").mapInArrow(_passages(match), "deal long, key long, th long, start int, single boolean, hot boolean, prints binary"), "prints")
+    prints = s.keep(_of_documents(docs, rows).select("key", "th", "text", "classes").mapInArrow(_passages(match), "deal long, key long, th long, start int, single boolean, hot boolean, prints binary"), "prints", TEXTS)
     twice = s.keep(prints.where("hot").groupBy("deal").agg(F.count("*").alias("k")).where("k > 1").select("deal"), "twice")
     common = prints.where("hot and single").join(twice, "deal").select("key", "th", "start", (F.col("start") + match).cast("int").alias("end"))
     part = prints.where("not hot").drop("hot").repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_settle(match), "key long, th long, start int, end int")
