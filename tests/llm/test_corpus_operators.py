@@ -265,7 +265,8 @@ def test_lm_base_scores_are_exact(spark, top):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
 
 
-def test_lm_scores_do_not_depend_on_how_the_filter_is_reached(spark):
+def test_lm_scores_do_not_depend_on_how_the_filter_is_reached(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEAST_RANGES", 8)
     rows = [(k, " ".join(words(k % 90, 60))) for k in range(200)] + [(500, None), (501, ""), (None, "no id"), (7, "again again")]
     df = docs(spark, rows).repartition(3, "doc_id")
     training = ~lm_scoring.held_out(F.col("doc_id"))
@@ -274,7 +275,8 @@ def test_lm_scores_do_not_depend_on_how_the_filter_is_reached(spark):
     assert told(lm_scoring.score(df, training, max_bits=12)) == told(lm_scoring.score(df, training))
 
 
-def test_lm_pairs_seen_once_count_and_unseen_ones_are_rarely_found(spark):
+def test_lm_pairs_seen_once_count_and_unseen_ones_are_rarely_found(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEAST_RANGES", 8)
     rows = [(k, " ".join(words(k, 60))) for k in range(300)]
     s = Scratch(spark, "t")
     counted, shift = lm_scoring.counts(docs(spark, rows), s)
@@ -286,8 +288,9 @@ def test_lm_pairs_seen_once_count_and_unseen_ones_are_rarely_found(spark):
     assert (f.levels(unseen) > 0).mean() < 0.01
 
 
-def test_lm_scores_match_brute_force(spark):
+def test_lm_scores_match_brute_force(spark, monkeypatch):
     """The model with its counts read from a table instead of the filter: false positives apart, the same scores."""
+    monkeypatch.setattr(lm_scoring, "LEAST_RANGES", 8)
     rows = [(k, " ".join(words(k % 23, 25))) for k in range(70)]
     training = ~lm_scoring.held_out(F.col("doc_id"))
     held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
