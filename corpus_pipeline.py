@@ -66,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = s.keep(stage(spark, docs, sf_dir), name)
+        docs = s.sweep(s.keep(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
