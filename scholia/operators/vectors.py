@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.sources.tables import written
+
 
 def cosine(a: Column, b: Column) -> Column:
     """In doubles; 0 where a vector is zero."""
@@ -110,15 +112,17 @@ def density_clusters(df: DataFrame, key: str, x: str, y: str, eps: float, least:
     found by an equi-join on grid cells of side eps, so only near points meet."""
     cell = df.select(key, x, y, F.floor(F.col(x) / eps).alias("ix"), F.floor(F.col(y) / eps).alias("iy"))
     around = cell.select(F.col(key).alias("o"), F.col(x).alias("ox"), F.col(y).alias("oy"), F.explode(F.array(*(F.struct((F.col("ix") + i).alias("ix"), (F.col("iy") + j).alias("iy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c")).select("o", "ox", "oy", "c.ix", "c.iy")
-    near = cell.join(around, ["ix", "iy"]).where(F.sqrt(F.pow(F.col(x) - F.col("ox"), 2) + F.pow(F.col(y) - F.col("oy"), 2)) <= eps).select(key, "o").cache()
-    core = near.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key).cache()
-    links = near.join(core, key).join(core.select(F.col(key).alias("o")), "o").cache()
+    near = cell.join(around, ["ix", "iy"]).where(F.sqrt(F.pow(F.col(x) - F.col("ox"), 2) + F.pow(F.col(y) - F.col("oy"), 2)) <= eps).select(key, "o")
+    near = written(near, "near")
+    core = written(near.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key), "core")
+    links = written(near.join(core, key).join(core.select(F.col(key).alias("o")), "o"), "links")
     label = core.withColumn("cluster", F.col(key))
     while True:
         low = links.join(label.select(F.col(key).alias("o"), F.col("cluster").alias("c")), "o").groupBy(key).agg(F.min("c").alias("low"))
-        from scholia.operators.keywords import _cut
-
-        new = _cut(label.join(low, key).select(key, F.least("cluster", "low").alias("new"), "cluster"))
+        new = label.join(low, key).select(key, F.least("cluster", "low").alias("new"), "cluster")
+        # labels are core points themselves: taking the label's label halves the way to the smallest
+        jump = new.select(F.col(key).alias("new"), F.col("new").alias("next"))
+        new = written(new.join(jump, "new").select(key, F.least("new", "next").alias("new"), "cluster"), "label")
         if new.where("new < cluster").limit(1).count() == 0:
             break
         label = new.select(key, F.col("new").alias("cluster"))

@@ -105,6 +105,21 @@ def check_textrank(spark, rows):
     assert rows[0]["node"] == nodes[rank.argmax()]
 
 
+def check_density(spark, rows):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    xy = np.array([r["embedding"][:2] for r in e], np.float32).astype(float)
+    near = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2)) <= 0.05
+    core = near.sum(1) >= 5
+    label = np.where(core, [r["vec_id"] for r in e], 1 << 60)
+    while True:
+        low = np.where(core, np.where(near & core[None], label[None], 1 << 60).min(1), 1 << 60)
+        if (low == label).all():
+            break
+        label = low
+    want = np.where(near & core[None], label[None], 1 << 60).min(1)
+    assert {r["vec_id"]: r["cluster"] for r in rows} == {r["vec_id"]: None if w == 1 << 60 else int(w) for r, w in zip(e, want, strict=True)}
+
+
 def _count(spark, table):
     return spark.read.parquet(f"{SF}/{table}.parquet").count()
 
@@ -127,7 +142,7 @@ CHECKS = {
     "m04_textrank": check_textrank,
     "m08_fused_keywords": lambda spark, rows: len(rows) == 15 and [r["score"] for r in rows] == sorted((r["score"] for r in rows), reverse=True) and any(" " in r["term"] for r in rows) and rows[0]["score"] >= 1,
     "m09_kmeans": lambda spark, rows: sum(r["n"] for r in rows) == _count(spark, "embeddings") and 1 < len(rows) <= 8,
-    "m10_density_clusters": lambda spark, rows: 0 < len(rows) <= _count(spark, "embeddings"),
+    "m10_density_clusters": check_density,
     "m13_projection": lambda spark, rows: len(rows) == _count(spark, "embeddings") and np.var([r["x"] for r in rows]) >= np.var([r["y"] for r in rows]) > 0,
     "t05_sample_by_hash": lambda spark, rows: len({tuple(r) for r in rows}) == len(rows) == 100,
     "t08_shuffle": lambda spark, rows: len({r["item_id"] for r in rows}) == _count(spark, "benchmark") and [r["item_id"] for r in rows] != sorted(r["item_id"] for r in rows),
