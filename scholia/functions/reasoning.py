@@ -66,7 +66,9 @@ QUANTIFIERS = (
     ("negative", ("no", "none", "nothing", "never", "nobody")),
     ("proportional", ("most", "many", "few", "several", "majority")),
 )
+# Negations, and words of time and of frequency.
 NEGATION = r"(?i)\b(?:not|no|never|nothing|nobody|nowhere|neither)\b|\b(?:isn't|aren't|wasn't|weren't|won't|wouldn't|can't|couldn't|shouldn't|mustn't)\b|\b(?:don't|doesn't|didn't|haven't|hasn't|hadn't)\b"
+TEMPORAL = (r"\b(before|after|during|while|when|whenever|until|since|now|then|today|yesterday|tomorrow)\b", r"\b(always|never|sometimes|often|rarely|frequently|occasionally|usually|typically)\b")
 
 
 def pattern_hits(text: Column, kind: str) -> Column:
@@ -97,6 +99,11 @@ def pattern_hits(text: Column, kind: str) -> Column:
     return F.flatten(F.array(*(of(p) for p in PATTERNS[kind])))
 
 
+def pattern_count(text: Column, kind: str) -> Column:
+    """How many matches a family has, without their places."""
+    return sum((F.size(F.regexp_extract_all(text, F.lit(f"(?i)({p})"), F.lit(1))) for p in PATTERNS[kind]), F.lit(0))
+
+
 def sentences(text: Column, least: int = 10) -> Column:
     """trimmed sentences of at least ten characters."""
     return F.filter(F.transform(F.split(text, r"[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) >= least)
@@ -152,8 +159,7 @@ def quantifier(sentence: Column) -> Column:
 
 def temporal_marker(sentence: Column) -> Column:
     """the first temporal word, else the first word of frequency, in lower case."""
-    when = F.regexp_extract(F.lower(sentence), r"\b(before|after|during|while|when|whenever|until|since|now|then|today|yesterday|tomorrow)\b", 1)
-    often = F.regexp_extract(F.lower(sentence), r"\b(always|never|sometimes|often|rarely|frequently|occasionally|usually|typically)\b", 1)
+    when, often = (F.regexp_extract(F.lower(sentence), p, 1) for p in TEMPORAL)
     return F.when(when != "", when).when(often != "", often)
 
 

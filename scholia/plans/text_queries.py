@@ -272,7 +272,7 @@ def _hits_sql(kind: str) -> str:
 
 @query("c06_pattern_counts", f"WITH {REASONED_SQL} SELECT doc_id, " + ", ".join(f"({_hits_sql(k)})::INT AS n_{k}" for k in C.PATTERNS) + " FROM rs")
 def _(spark, t):
-    return reasoned(t).select("doc_id", *(F.size(C.pattern_hits(F.col("text"), k)).alias(f"n_{k}") for k in C.PATTERNS))
+    return reasoned(t).select("doc_id", *(C.pattern_count(F.col("text"), k).alias(f"n_{k}") for k in C.PATTERNS))
 
 
 @query("c06_pattern_hits")
@@ -297,7 +297,7 @@ _COND = "CASE WHEN contains(s, 'if') AND contains(s, 'then') THEN 'if_then' WHEN
 
 
 @query("f23_f27_clause_features", f"""WITH {REASONED_SQL}, se AS (SELECT doc_id, generate_subscripts(ss, 1) AS ord, unnest(ss) AS t FROM (SELECT *, {_SENT} AS ss FROM rs)), x AS (SELECT *, lower(t) AS s FROM se)
-  SELECT doc_id, ord, regexp_matches(t, '{C.NEGATION.replace(chr(39), chr(39) * 2)}') AS negated, {_CERT} AS certainty, {_QUANT} AS quantifier, {_COND} AS conditional FROM x""")
+  SELECT doc_id, ord, regexp_matches(regexp_replace(t, '[À-ɏ]', 'x', 'g'), '{C.NEGATION.replace(chr(39), chr(39) * 2)}') AS negated, {_CERT} AS certainty, {_QUANT} AS quantifier, {_COND} AS conditional FROM x""")
 def _(spark, t):
     s = reasoned(t).select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("ord", "t"))
     c = F.col("t")
