@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.llm.scratch import Scratch
+from scholia.llm.scratch import TEXTS, Scratch
 from scholia.llm.textblock import blocks
 
 CAPACITY = 2048
@@ -252,7 +252,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> DataF
     """Every piece with sequence_id and offset."""
     spark = docs.sparkSession
     s = Scratch(spark, "packing")
-    rows = s.keep(pieces(docs, capacity, text), "pieces")
+    rows = s.keep(pieces(docs, capacity, text), "pieces", TEXTS)
     counts = s.keep(rows.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = ranges(plan(histogram, capacity))
@@ -273,4 +273,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*cols, pa.array(base[at] + r // copies[at]), pa.array(offset[at] + r % copies[at] * length)], names=[*names, "sequence_id", "offset"])
 
     ranked = rows.join(starts, ["task", "length"]).withColumn("rank", F.col("rank0") + F.col("nth"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    return s.sweep(ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))

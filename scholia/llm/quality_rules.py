@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.scratch import Scratch
+from scholia.llm.scratch import TEXTS, Scratch
 from scholia.llm.textblock import Block, blocks, mix, per_row, spans
 
 MIN_WORDS = 50
@@ -102,7 +102,7 @@ def host_quality(docs: DataFrame, host: str = "source", min_words: int = MIN_WOR
     spark = docs.sparkSession
     s = Scratch(spark, "quality")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = s.keep(document_counts(docs, host).withColumn("base_failed", failed), "rows")
+    rows = s.keep(document_counts(docs, host).withColumn("base_failed", failed), "rows", TEXTS)
     hosts = rows.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f"))
     hosts = s.keep(hosts, "hosts")
     # Beta prior by moments over hosts: three sums, however many hosts there are
@@ -111,7 +111,7 @@ def host_quality(docs: DataFrame, host: str = "source", min_words: int = MIN_WOR
     alpha, beta = beta_prior(m, v) if k else (1.0, 1.0)
     verdict = hosts.select(F.col("host"), ((F.col("f") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))).alias("host_rate"))
     out = rows.join(verdict, "host", "left")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= host_max_rate))
+    return s.sweep(out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= host_max_rate)))
 
 
 def beta_prior(mean: float, var: float) -> tuple[float, float]:
