@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.scratch import TEXTS, Scratch, parts, size_in_bytes
+from scholia.llm.scratch import TEXTS, Scratch, parts
 from scholia.llm.textblock import Block, blocks, mix, spans
 
 BASE = 1.5
@@ -94,13 +94,16 @@ def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["part", "kind", "h", "c"])
 
 
-def counts(texts: DataFrame, s: Scratch) -> tuple[DataFrame, int]:
-    """Runs (part, kind, h, c): merged counts of words (kind 1) and of pairs (kind 2) by range of hashes; and the shift that gives a hash's range."""
-    wanted = min(MOST_RANGES, max(2 * parts(s.spark), size_in_bytes(texts) // RANGE_BYTES))
-    ranges = LEAST_RANGES
-    while ranges < wanted:
-        ranges *= 2
-    shift = 64 - (ranges - 1).bit_length()
+def ranges(size: int, tasks: int) -> int:
+    """Ranges of hashes, a power of two, for texts of `size` bytes."""
+    wanted = min(MOST_RANGES, max(LEAST_RANGES, 2 * tasks, size // RANGE_BYTES))
+    return 1 << (wanted - 1).bit_length()
+
+
+def counts(texts: DataFrame, s: Scratch, size: int) -> tuple[DataFrame, int]:
+    """Runs (part, kind, h, c): merged counts of words (kind 1) and of pairs (kind 2) by range of hashes; and the shift that
+    gives a hash's range. `size`: the bytes of the texts."""
+    shift = 65 - ranges(size, parts(s.spark)).bit_length()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -436,8 +439,9 @@ def score(docs: DataFrame, training: Column, max_bits: int = MAX_BITS, top: int
     s = Scratch(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     learn = rows.where("training")
-    counted, shift = counts(learn, s)
-    texts = learn.count()
+    seen = learn.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    texts = seen["n"]
+    counted, shift = counts(learn, s, seen["size"])
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, h, c in _arrays(batches):

@@ -52,6 +52,13 @@ class Scratch:
         schema = df.schema
         return self.spark.read.schema(schema).parquet(self.write(df, name, batch))
 
+    def bytes(self, path: str) -> int:
+        """The size of a written table's files: measured, where the planner's estimate of a table that is not read from
+        files, or of a join, may be anything."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
     def _folders(self, frames: tuple[DataFrame, ...]) -> set[str]:
         name = f"/{self.base.rsplit('/', 1)[1]}/"
         return {f.split(name, 1)[1].split("/", 1)[0] for df in frames for f in df.inputFiles() if name in f}
@@ -78,8 +85,3 @@ class Scratch:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def size_in_bytes(df: DataFrame) -> int:
-    """The planner's estimate, from the sizes of the files read: no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

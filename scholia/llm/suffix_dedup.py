@@ -35,15 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.minhash_dedup import _filter_bits, _probes
-from scholia.llm.scratch import TEXTS, Scratch, parts, size_in_bytes
+from scholia.llm.scratch import TEXTS, Scratch, parts
 from scholia.llm.textblock import Block, blocks, mix, spans
 
 MATCH = 400
 WINDOW = 192
 GRAM = 16
 LEAD = 8
-#: Size of a batch as read; there are LEAST_BATCHES at least.
-BATCH_BYTES, LEAST_BATCHES = 64 << 30, 4
+#: Size of a batch's anchors as written (about a third of its texts' bytes); there are LEAST_BATCHES at least.
+BATCH_BYTES, LEAST_BATCHES = 24 << 30, 4
 CHUNK = 16
 HOT = 256
 _PLACE = np.uint64((1 << 31) - 1)
@@ -89,7 +89,7 @@ def anchors(b: Block, match: int = MATCH, window: int = WINDOW) -> tuple[np.ndar
 
 
 def anchor_table(docs: DataFrame, match: int, window: int) -> DataFrame:
-    """key, th (naming a row's text), batch, places of its anchors, lead (in order of the bytes), core and ctx."""
+    """key, th (naming a row's text), places of its anchors, lead (in order of the bytes), core and ctx."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, b in blocks(batches):
@@ -98,11 +98,11 @@ def anchor_table(docs: DataFrame, match: int, window: int) -> DataFrame:
             base = b.off[row]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(k).take(take) for k in ("key", "th", "batch")), *(pa.array((x - base).astype(np.int32)) for x in (at, low, high)), *(pa.array(x.view(np.int64)) for x in (lead ^ _SIGN, core, ctx))],
-                names=["key", "th", "batch", "at", "low", "high", "lead", "core", "ctx"],
+                [*(part.column(k).take(take) for k in ("key", "th")), *(pa.array((x - base).astype(np.int32)) for x in (at, low, high)), *(pa.array(x.view(np.int64)) for x in (lead ^ _SIGN, core, ctx))],
+                names=["key", "th", "at", "low", "high", "lead", "core", "ctx"],
             )
 
-    return docs.select("key", "th", "batch", "text").mapInArrow(run, "key long, th long, batch int, at int, low int, high int, lead long, core long, ctx long")
+    return docs.select("key", "th", "text").mapInArrow(run, "key long, th long, at int, low int, high int, lead long, core long, ctx long")
 
 
 class IndexFamily:
@@ -222,13 +222,12 @@ def _of_documents(keyed: DataFrame, rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, s: Scratch, match: int = MATCH, window: int = WINDOW, batches: int | None = None) -> DataFrame:
     """key, th, spans (array of start, end): where the texts of docs (key, th, text) repeat; unmerged."""
     n = parts(s.spark)
-    batches = batches or max(LEAST_BATCHES, -(-size_in_bytes(docs) // BATCH_BYTES))
-    keyed = docs.withColumn("batch", F.pmod(F.xxhash64("key", "th"), F.lit(batches)).cast("int"))
-    every = s.keep(anchor_table(keyed, match, window), "anchors", TEXTS)
+    every = s.keep(anchor_table(docs, match, window), "anchors", TEXTS)
+    batches = batches or max(LEAST_BATCHES, -(-s.bytes(s.paths[-1]) // BATCH_BYTES))
     family = IndexFamily(s)
     for k in range(batches):
-        family.add(every.where(F.col("batch") == k))
-    found = s.keep(every.join(family.repeated(), "core").drop("lead", "batch"), "found")
+        family.add(every.where(F.pmod(F.xxhash64("key", "th"), F.lit(batches)) == k))
+    found = s.keep(every.join(family.repeated(), "core").drop("lead"), "found")
     s.sweep(found)
     one = F.struct("key", "th", "at", "low", "high")
     classes = s.keep(found.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(one).alias("one")), "classes")

@@ -279,7 +279,7 @@ def test_lm_pairs_seen_once_count_and_unseen_ones_are_rarely_found(spark, monkey
     monkeypatch.setattr(lm_scoring, "LEAST_RANGES", 8)
     rows = [(k, " ".join(words(k, 60))) for k in range(300)]
     s = Scratch(spark, "t")
-    counted, shift = lm_scoring.counts(docs(spark, rows), s)
+    counted, shift = lm_scoring.counts(docs(spark, rows), s, sum(len(r[1] or "") for r in rows))
     size = lm_scoring.segment_size(counted, shift)
     f = lm_scoring.build_filter(lm_scoring.segments(counted, size), size, shift)
     once = np.concatenate([np.frombuffer(r["h"], np.uint64)[np.frombuffer(r["c"], "<i8") == 1] for r in counted.where("kind = 2").collect()])
@@ -383,3 +383,10 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r["doc_id"], r["text"]) for r in frame.collect()) == sorted(brute_pipeline(rows))
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in final} == {k for k, _ in brute_pipeline(rows)}
+
+
+def test_ranges_follow_measured_bytes():
+    assert lm_scoring.ranges(19 * 900, 4) == lm_scoring.LEAST_RANGES
+    assert lm_scoring.ranges(0, 300) == 1024
+    assert lm_scoring.ranges(40 << 30, 4) == 8192
+    assert lm_scoring.ranges(1 << 60, 4) == lm_scoring.MOST_RANGES

@@ -321,6 +321,16 @@ def test_passages(spark, empty, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_passages_of_a_joined_table(spark):
+    """The planner's estimate of a join's size is a product; batches follow what was written."""
+    rows = [(k, prose(7, 90), "en", "a") for k in range(3)] + [(9, prose(8, 90), "en", "a")]
+    left = docs(spark, rows)
+    joined = left.join(left.select("doc_id", F.col("lang").alias("l2")), "doc_id").join(spark.range(20).withColumnRenamed("id", "doc_id"), "doc_id").drop("l2")
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(joined).collect()}
+    n = len(prose(7, 90))
+    assert got == {0: n, 1: n, 2: n, 9: 0}
+
+
 def test_levels_merge_geometrically(spark, tmp_path):
     from scholia.llm.scratch import Scratch
 
