@@ -1,11 +1,11 @@
-"""The ten queries over the driver's tables, the pipeline's query, and their SQL."""
+"""The queries over the driver's tables, the pipeline's query, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import chat_formatting, embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, token_counts
+from scholia.llm import chat_formatting, embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, quality_rules, structure_repair, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,9 +118,58 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return structure_repair.repair(structure_repair.damage(rows), rows).drop("signature")
+
+
+def _op13_sql() -> str:
+    """The audits by a recursion over rows from the last to the first, with the best suffix of each state; crc32 by its polynomial."""
+    follows = {"E": "U", "S": "U", "U": "A", "A": "U"}
+    named = {"U": "user", "A": "assistant"}
+
+    def best(q: str) -> str:
+        x = follows[q]
+        kept = f"WHEN i = '{x.lower()}' THEN w.{x}" + (" WHEN i = 's' THEN w.S" if q == "E" else "")
+        return f"""least(struct_pack(c := w.{q}.c + 4, t := 'D' || w.{q}.t, r := w.{q}.r),
+          CASE WHEN f IN (1, 2) THEN struct_pack(c := w.{x}.c + 3 * f, t := 'R' || w.{x}.t, r := ['{named[x]}:' || text] || w.{x}.r) END,
+          CASE WHEN f IN (1, 2) AND k_{q} IS NOT NULL THEN struct_pack(c := k_{q}.c + 3 * f - 3, t := 'K' || k_{q}.t, r := [role || ':' || text] || k_{q}.r) END)""".replace(f"k_{q}", f"(CASE {kept} END)")
+
+    def inserted(q: str, x: str) -> str:
+        return f"struct_pack(c := {x}.c + 3, t := 'I' || {x}.t, r := ['{named[follows[q]]}:'] || {x}.r)"
+
+    return rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+dealt AS (SELECT raw.*, xor(4294967295, list_reduce(list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295)) % 20 AS m FROM raw, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN m = 1 THEN '' WHEN m = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM dealt, LATERAL (SELECT unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END))) WHERE m <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n,
+  CASE WHEN left(role, 1) IN ('u', 'a', 's') THEN left(role, 1) ELSE 'o' END AS i,
+  right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z FROM dam),
+rows_ AS MATERIALIZED (SELECT *, CASE WHEN z = '' THEN 3 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 4 WHEN z IN ('.', '!', '?') THEN 1 ELSE 2 END AS f,
+  lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS two FROM num),
+facts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (f = 3) AS blank, count(*) FILTER (f = 4) AS duplicate,
+  count(*) FILTER (f = 2) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id),
+w AS (
+  SELECT conv_id, n + 1 AS k, struct_pack(c := 0::BIGINT, t := '', r := []::VARCHAR[]) AS E, struct_pack(c := 1000000000::BIGINT, t := '', r := []::VARCHAR[]) AS S,
+    struct_pack(c := 3::BIGINT, t := 'I', r := ['assistant:']) AS U, struct_pack(c := 0::BIGINT, t := '', r := []::VARCHAR[]) AS A FROM facts
+  UNION ALL
+  SELECT conv_id, k, least(E, {inserted("E", "U")}), least(S, {inserted("S", "U")}), U, A FROM (
+    SELECT conv_id, k, E, S, least(U, {inserted("U", "A")}) AS U, least(A, {inserted("A", "U")}) AS A FROM (
+      SELECT w.conv_id, w.k - 1 AS k, {", ".join(f"{best(q)} AS {q}" for q in "ESUA")}
+      FROM w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.n = w.k - 1))),
+done AS (SELECT conv_id, E FROM w WHERE k = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(E.c, 0) AS cost, coalesce(E.t, '') AS audit, sha256(coalesce(array_to_string(E.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op6_embedding_dedup, op7_quality_rules, op8_suffix_dedup, op9_source_mixing, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op6_embedding_dedup, op7_quality_rules, op8_suffix_dedup, op9_source_mixing, op10_lm_scoring, op13_structure_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op7_quality_rules": OP7_SQL, "op13_structure_repair": _op13_sql()}
