@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import byte_quality, chat_formatting, embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, quality_rules, structure_repair, suffix_dedup, token_counts
+from scholia.llm import byte_quality, chat_formatting, embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, quality_rules, structure_repair, suffix_dedup, token_alignment, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +123,10 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", byte_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return structure_repair.repair(structure_repair.damage(rows), rows).drop("signature")
@@ -173,7 +177,7 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op6_embedding_dedup, op7_quality_rules, op8_suffix_dedup, op9_source_mixing, op10_lm_scoring, op11_quality_classifier, op13_structure_repair)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_minhash_dedup, op4_language_id, op5_best_fit_packing, op6_embedding_dedup, op7_quality_rules, op8_suffix_dedup, op9_source_mixing, op10_lm_scoring, op11_quality_classifier, op12_token_alignment, op13_structure_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
