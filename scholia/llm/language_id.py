@@ -6,15 +6,17 @@ a tree has at most 256 + 2 * GROWN contexts whatever the input. Training counts
 labelled training rows, one pass with map-side sums for each order; a pass knows from the one before which contexts to grow.
 Escape probabilities (method C, lower orders without the symbols already seen) are folded in once on the driver: from then on
 the statistics are frozen, and a text's exact code length under a language is a sum of table entries, each taken from the
-longest grown context. Tables are broadcast; their size is bounded by GROWN and LANGUAGES.
+longest grown context. Every language is learned, LANGUAGES at a time in name order: the driver holds and broadcasts the trees of one such
+group (at most LANGUAGES * (256 + 2 * GROWN) * 256 entries, 69 MB as broadcast and 138 MB while trained), and each group's pass over the texts
+carries the shortest code so far and the sum of the shares, so a table with more languages takes more passes, not more
+memory. Between passes the texts are written; the usual table of few languages takes one pass.
 
 Prediction: the language with the shortest code (ties: first in name order); score is its share when 2 ** -code lengths are
 compared at a temperature of one part in 32 bytes, so that it does not saturate with length. The same text's code length under
 bytes without context, of all languages together, tells whether any language explains it (see reject()).
 
 Defined results: a null text, one without letters, or no training row at all give ``und`` with score 0; rows with a null
-lang do not train; of more than LANGUAGES values of lang those with the most training bytes are learned; empty tables give
-empty tables; very long texts are scored whole; other columns are ignored.
+lang do not train; empty tables give empty tables; very long texts are scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.llm.scratch import TEXTS, Scratch
 from scholia.llm.textblock import _LOWER, Block, blocks
 
 #: A context of two or three bytes is grown if it holds one part in GROWN of its language's bytes.
 GROWN = 4096
-#: Values of lang that are learned at most.
-LANGUAGES = 256
+#: Languages learned and compared in one pass.
+LANGUAGES = 8
 #: Counters that a task may hold as one dense array; beyond, a block's counts are sorted.
 DENSE = 1 << 23
 UNKNOWN = "und"
@@ -84,8 +87,14 @@ class Tree:
 class Model:
     """bits[l][state * 256 + byte]: code length; states are the 256 contexts of one byte, then the grown ones."""
 
-    def __init__(self, langs: list[str], trees: list[Tree], bits: list[np.ndarray], plain: np.ndarray):
-        self.langs, self.trees, self.bits, self.plain = langs, trees, bits, plain
+    def __init__(self, langs: list[str], trees: list[Tree], bits: list[np.ndarray], symbols: np.ndarray):
+        self.langs, self.trees, self.bits, self.symbols = langs, trees, bits, symbols
+
+    @property
+    def plain(self) -> np.ndarray:
+        """Code lengths of bytes without context, from the counts of all languages together."""
+        p = escape(self.symbols, np.full(256, 1 / 256))
+        return -np.log2(np.maximum(p / p.sum(), 1e-12))
 
     def code_lengths(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text (row) under each language (column), and without context."""
@@ -139,7 +148,7 @@ def _summed(rows: DataFrame, code: dict[str, int], sizes: list[int], key) -> lis
         at = np.flatnonzero(dense)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(dense[at])], names=["key", "n"])
 
-    # at most LANGUAGES trees of 256 + 2 * GROWN contexts: a proven bound
+    # a group of LANGUAGES trees of 256 + 2 * GROWN contexts at most: a proven bound
     got = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     flat = np.zeros(total)
     flat[got["key"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
@@ -155,12 +164,17 @@ def _grow(counts: np.ndarray, least: float) -> np.ndarray:
     return out
 
 
-def train(rows: DataFrame, grown: int = GROWN, languages: int = LANGUAGES) -> Model | None:
-    """The frozen trees of every language of rows (lang not null, text)."""
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    langs = sorted(r["lang"] for r in sizes)
+def languages(rows: DataFrame) -> list[str]:
+    """The values of lang in name order; their names alone reach the driver."""
+    return sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+
+
+def train(rows: DataFrame, grown: int = GROWN, langs: list[str] | None = None) -> Model | None:
+    """The frozen trees of these languages (all, if none are named) from rows (lang not null, text)."""
+    langs = languages(rows) if langs is None else langs
     if not langs:
         return None
+    rows = rows.where(F.col("lang").isin(langs))
     code = {x: k for k, x in enumerate(langs)}
     first = _summed(rows, code, [256] * len(langs), lambda k, here, one, two, three: one * 256 + here)
     least = [max(4.0, c.sum() / grown) for c in first]
@@ -180,8 +194,7 @@ def train(rows: DataFrame, grown: int = GROWN, languages: int = LANGUAGES) -> Mo
         p = np.concatenate((p1, p2, p3))
         p = p / p.sum(-1, keepdims=True)
         bits.append(-np.log2(np.maximum(p, 1e-12)).ravel().astype(np.float32))
-    plain = escape(sum(c.sum(0) for c in first), np.full(256, 1 / 256))
-    return Model(langs, trees, bits, -np.log2(np.maximum(plain / plain.sum(), 1e-12)))
+    return Model(langs, trees, bits, sum(c.sum(0) for c in first))
 
 
 def _key(state: np.ndarray, here: np.ndarray) -> np.ndarray:
@@ -200,32 +213,73 @@ def _triples(t: Tree, counts: np.ndarray, least: float) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs with lang_pred, score, bits_per_byte and plain_bits_per_byte (without context), the last two null
-    for ``und``; they replace columns of these names."""
-    docs = docs.drop("lang_pred", "score", "bits_per_byte", "plain_bits_per_byte", "letters_")
-    if model is None:
-        none = F.lit(None).cast("double")
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": none, "plain_bits_per_byte": none})
+_STATE = {"bits_": "double", "best_": "string", "odds_": "double"}
+_MADE = {"lang_pred": "string", "score": "double", "bits_per_byte": "double", "plain_bits_per_byte": "double"}
+
+
+def _typed(docs: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+
+def _compared(docs: DataFrame, model: Model, last: bool) -> DataFrame:
+    """docs with the state after this model's languages (the shortest code, its language, the sum of shares relative to it), or,
+    with the last model, with the prediction in its place."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = [c for c in docs.columns if c not in _STATE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part, b in blocks(batches):
             bits, plain = m.code_lengths(b)
             n = np.maximum(np.diff(b.off), 1)
-            best = bits.argmin(1)
-            least = bits[np.arange(b.n), best]
-            odds = np.exp2(-np.minimum((bits - least[:, None]) / np.maximum(1.0, n / 32)[:, None], 900))
-            letters = part.column("letters_").to_numpy(zero_copy_only=False)
-            lang = np.where(letters, np.array(m.langs, object)[best], UNKNOWN)
-            made = [pa.array(lang, pa.string()), pa.array(np.where(letters, 1 / odds.sum(1), 0.0)), pa.array(least / n, mask=~letters), pa.array(plain / n, mask=~letters)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, "lang_pred", "score", "bits_per_byte", "plain_bits_per_byte"])
+            scale = np.maximum(1.0, n / 32)
+            at = bits.argmin(1)
+            here = bits[np.arange(b.n), at]
+            odds = np.exp2(-np.minimum((bits - here[:, None]) / scale[:, None], 900)).sum(1)
+            before, total = part.column("bits_").to_numpy(), part.column("odds_").to_numpy()
+            best = np.where(here < before, np.array(m.langs, object)[at], np.array(part.column("best_").to_pylist(), object))
+            least = np.minimum(here, before)
+            share = lambda x: np.exp2(-np.minimum((x - least) / scale, 900))  # noqa: B023, E731
+            total = np.where(np.isinf(before), odds, total * share(np.where(np.isinf(before), 0, before)) + odds * share(here))
+            if not last:
+                made, names = [pa.array(least), pa.array(best, pa.string()), pa.array(total)], list(_STATE)
+            else:
+                letters = part.column("letters_").to_numpy(zero_copy_only=False)
+                made, names = [pa.array(np.where(letters, best, UNKNOWN), pa.string()), pa.array(np.where(letters, 1 / total, 0.0)), pa.array(least / n, mask=~letters), pa.array(plain / n, mask=~letters)], list(_MADE)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *made], names=[*own, *names])
+
+    made = _MADE if last else _STATE
+    return docs.mapInArrow(run, f"{_typed(docs.select(*own))}, {', '.join(f'{c} {t}' for c, t in made.items())}")
+
+
+def _begun(docs: DataFrame) -> DataFrame:
+    docs = docs.drop(*_MADE, *_STATE, "letters_")
+    return docs.withColumns({"letters_": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)), "bits_": F.lit(float("inf")), "best_": F.lit(UNKNOWN), "odds_": F.lit(0.0)})
 
-    names = docs.columns
-    flagged = docs.withColumn("letters_", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return flagged.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double, plain_bits_per_byte double")
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All columns of docs with lang_pred, score, bits_per_byte and plain_bits_per_byte (without context), the last two null
+    for ``und``; they replace columns of these names."""
+    if model is None:
+        none = F.lit(None).cast("double")
+        return docs.drop(*_MADE, *_STATE, "letters_").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": none, "plain_bits_per_byte": none})
+    return _compared(_begun(docs), model, True).drop("letters_")
+
+
+def predict_all(docs: DataFrame, rows: DataFrame, grown: int = GROWN, group: int = LANGUAGES) -> DataFrame:
+    """predict() by the trees of all languages of rows, a group of them at a time."""
+    langs = languages(rows)
+    if len(langs) <= group:
+        return predict(docs, train(rows, grown, langs))
+    s, state, symbols = Scratch(docs.sparkSession, "languages"), _begun(docs), np.zeros(256)
+    for a in range(0, len(langs), group):
+        model = train(rows, grown, langs[a : a + group])
+        symbols = model.symbols = symbols + model.symbols
+        last = a + group >= len(langs)
+        state = _compared(state, model, last)
+        if not last:
+            state = s.sweep(s.keep(state, "state", TEXTS))
+    return state.drop("letters_")
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
@@ -238,12 +292,12 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Train on the table's own training rows and predict every row from its text alone."""
-    return predict(docs.select("doc_id", "text"), train(training_rows(docs)))
+    return predict_all(docs.select("doc_id", "text"), training_rows(docs))
 
 
 def reject(docs: DataFrame) -> DataFrame:
     """The rows of docs in a known language: with letters, and a code that context shortens. A text whose best language
     needs more bits than bytes without context do is in none of the languages learned."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    found = predict(rows, train(training_rows(docs)))
+    found = predict_all(rows, training_rows(docs))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= F.col("plain_bits_per_byte"))).select("row.*")

@@ -266,8 +266,18 @@ def test_language_gate_and_bounds(spark):
     noise.append((902, "".join(rnd.choice("etaoinshrdlu ") for _ in range(900)), None, "s"))
     kept = {r["doc_id"] for r in language_id.reject(docs(spark, rows + noise)).collect()}
     assert kept >= {r[0] for r in rows} and not kept & {901, 902}
-    many = spark.createDataFrame([(f"l{k}", "text " * (k + 1)) for k in range(12)], "lang string, text string")
-    assert language_id.train(many, languages=3).langs == ["l10", "l11", "l9"]
+
+
+def test_languages_in_groups_are_compared_alike(spark):
+    """More languages than a pass compares: none is dropped, and predictions are those of one pass over all."""
+    alphabets = ["abcdef", "ghijkl", "mnopqr", "stuvwx", "acegik", "bdfhjl", "moqsuw"]
+    rows = [(10 * j + k, prose(10 * j + k, 40, x), f"l{j}", "s") for j, x in enumerate(alphabets) for k in range(10)]
+    df = docs(spark, [*rows, (900, None, None, "s"), (901, "%% 12", "l0", "s"), (902, "a", None, "s")])
+    training = language_id.training_rows(df)
+    told = lambda d: {(r["doc_id"], r["lang_pred"], round(r["score"], 9), None if r["bits_per_byte"] is None else (round(r["bits_per_byte"], 6), round(r["plain_bits_per_byte"], 6))) for r in d.collect()}
+    one = told(language_id.predict_all(df, training))
+    assert told(language_id.predict_all(df, training, group=2)) == one
+    assert {r[1] for r in one} == {f"l{j}" for j in range(7)} | {"und"}
 
 
 def test_language_code_lengths_are_of_a_distribution():
