@@ -10,8 +10,11 @@
    tried with the H of the rates that are not cut off at 0, which meets all targets at once if no more are cut off; it is
    taken back if the miss grows. Each step is one distributed sum; only numbers by domain reach the driver. It ends when
    every domain is within TOLERANCE of its own target, or when a safe step shrinks the miss by less than STALL: then no
-   rates meet the targets and these are about the nearest (a warning says so; targets of 0 are such a case, as posteriors
-   are soft). Every document's rate follows from its posterior and the list of steps, without a join.
+   rates meet the targets and these are about the nearest (targets of 0 are such a case, as posteriors are soft). Every
+   document's rate follows from its posterior and the list of steps, without a join. The misses are returned with the rates,
+   and with them a certificate: how far the rates are from the conditions that hold at the optimum (gradient 0 where a rate
+   is above 0, none below 0 elsewhere), as a share of the gradient that
+   the targets alone would give; 0 when they are met.
 4. A rate is rounded to a number of copies by the document's own hash, so expected totals are kept.
 
 Defined results: a null text has no words and 0 tokens; rows without label are predicted like others; labels of unknown
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -144,8 +148,17 @@ def rate(parts: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(moves, F.lit(1.0), move)
 
 
-def fit(groups: DataFrame, targets: list[float], s: Scratch, most: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """Steps of the projected gradient over groups (parts, tokens), toward token totals by domain."""
+class Fit(NamedTuple):
+    #: Steps of the rates, by domain.
+    steps: list[list[float]]
+    #: Token totals by domain less their targets.
+    misses: list[float]
+    #: 0 if the targets are met; else the largest breach of the optimum's conditions, as a share of the targets' gradient.
+    residual: float
+
+
+def fit(groups: DataFrame, targets: list[float], s: Scratch, most: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """The projected gradient over groups (parts, tokens), toward token totals by domain."""
     k = len(targets)
     p = [F.element_at("parts", i + 1) / float(PARTS) for i in range(k)]
     t = F.col("tokens")
@@ -156,11 +169,12 @@ def fit(groups: DataFrame, targets: list[float], s: Scratch, most: int = STEPS,
 
     h = gram(groups.agg(*(F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)).alias(f"c{i}_{j}") for i, j in pairs)).first(), "c")
     if not h.any():
-        return []
+        return Fit([], [0.0] * k, 0.0)
     inverse = np.linalg.pinv(h, rcond=1e-10, hermitian=True)
     goal = np.array(targets)
     allowed = tolerance * np.maximum(goal, LEAST_SHARE * goal.sum())
     steps: list[list[float]] = []
+    met = True
     rows, kept, safe, before = groups.withColumn("r", F.lit(1.0)), None, False, math.inf
     free = (F.col("r") > 0).cast("double")
     while True:
@@ -173,7 +187,7 @@ def fit(groups: DataFrame, targets: list[float], s: Scratch, most: int = STEPS,
             steps.pop()
             (rows, miss, taken, now), safe = kept, True
         elif now >= (1 - STALL) * before and safe or len(steps) == most:
-            warnings.warn(f"no rates meet the targets; token totals miss them by {miss.tolist()}", stacklevel=2)
+            met = False
             break
         else:
             safe = now >= (1 - STALL) * before
@@ -183,12 +197,21 @@ def fit(groups: DataFrame, targets: list[float], s: Scratch, most: int = STEPS,
         rows = rows.withColumn("r", F.greatest(F.lit(0.0), F.col("r") - move))
         if len(steps) % 4 == 0:
             rows = s.keep(rows, "rates")
-    return steps
+    if met:
+        return Fit(steps, miss.tolist(), 0.0)
+
+    def gradient(m: np.ndarray) -> Column:
+        return sum((F.lit(float(x)) * p[i] for i, x in enumerate(inverse @ m)), F.lit(0.0))
+
+    breach = F.when(F.col("r") > 0, F.abs(gradient(miss))).otherwise(F.greatest(F.lit(0.0), -gradient(miss)))
+    got = rows.agg(F.max(breach).alias("now"), F.max(F.abs(gradient(goal))).alias("whole")).first()
+    return Fit(steps, miss.tolist(), got["now"] / got["whole"] if got["whole"] else 0.0)
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int = 11) -> DataFrame:
-    """doc_id, n_tokens, parts (the posterior by domain), rate, copies and the likeliest domain of every row of docs; weights are shares
-    of the tokens by domain ``quality/toxic``."""
+    """doc_id, n_tokens, parts (the posterior by domain), rate, copies and the likeliest domain of every row of docs, with that
+    domain's miss (tokens beyond its target, as a share of it) and the fit's residual; weights are shares of the tokens by
+    domain ``quality/toxic``."""
     s = Scratch(docs.sparkSession, "mixing")
     slim = docs.select("doc_id", "text")
     model = train(slim, labels, s)
@@ -196,9 +219,15 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int
     groups = s.keep(rows.groupBy("parts").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "groups")
     total = groups.agg(F.sum("tokens")).first()[0] or 0
     share = [weights.get(x, 0.0) for x in model.domains] if model.domains != [UNLABELLED] else [1.0]
-    steps = fit(groups, [x * total / (sum(share) or 1.0) for x in share], s)
+    targets = [x * total / (sum(share) or 1.0) for x in share]
+    found = fit(groups, targets, s)
+    if found.residual:
+        warnings.warn(f"no rates meet the targets; token totals miss them by {found.misses}", stacklevel=2)
+    misses = [m / max(t, LEAST_SHARE * total, 1.0) for m, t in zip(found.misses, targets, strict=True)]
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 32)) / float(1 << 32)
-    out = rows.withColumn("rate", rate(F.col("parts"), steps))
+    out = rows.withColumn("rate", rate(F.col("parts"), found.steps))
     out = out.withColumn("copies", F.floor(F.col("rate") + unit).cast("long"))
     out = out.withColumn("domain", F.element_at(F.array(*(F.lit(x) for x in model.domains)), F.array_position("parts", F.array_max("parts")).cast("int")))
+    own = F.array_position("parts", F.array_max("parts")).cast("int")
+    out = out.withColumns({"miss": F.element_at(F.array(*(F.lit(float(x)) for x in misses)), own), "residual": F.lit(float(found.residual))})
     return s.sweep(out)

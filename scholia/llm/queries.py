@@ -103,13 +103,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), "kept_text")
 
 
-#: Shares of the tokens by domain (quality/toxic): sound and clean, poor, toxic.
-WEIGHTS = {"1/0": 0.95, "0/0": 0.04, "1/1": 0.01}
+#: Shares of the tokens by domain (quality/toxic). Each domain has some: posteriors are soft, so that no rates reach a share of 0.
+WEIGHTS = {"1/0": 0.94, "0/0": 0.04, "1/1": 0.01, "0/1": 0.01}
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), WEIGHTS)
-    return out.select("doc_id", "n_tokens", F.array_join("parts", "/").alias("parts"), "domain", "rate", "copies")
+    return out.select("doc_id", "n_tokens", F.array_join("parts", "/").alias("parts"), "domain", "rate", "copies", "miss", "residual")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

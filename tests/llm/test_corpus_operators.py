@@ -223,8 +223,9 @@ def test_mixing_posteriors_match_brute_force(spark):
 
 def test_mixing_targets_out_of_reach(spark):
     groups = spark.createDataFrame([([mixing.PARTS // 2, mixing.PARTS // 2], 100)], "parts array<int>, tokens long")
-    with pytest.warns(UserWarning, match="no rates"):
-        steps = mixing.fit(groups, [90.0, 10.0], Scratch(spark, "t"))
+    found = mixing.fit(groups, [90.0, 10.0], Scratch(spark, "t"))
+    steps = found.steps
+    assert np.allclose(found.misses, [-40, 40]) and 0 <= found.residual < 1e-6
     r = groups.select(mixing.rate(F.col("parts"), steps).alias("r")).first()["r"]
     assert abs(r - 1.0) < 1e-6  # the nearest totals are 50 and 50
 
@@ -236,12 +237,14 @@ def test_mixing_steps_match_numpy(spark):
     t = rng.integers(1, 50, 50)
     goal = np.array([0.2, 0.5, 0.3]) * t.sum()
     groups = spark.createDataFrame([(row.tolist(), int(n)) for row, n in zip(p, t, strict=True)], "parts array<int>, tokens long")
-    steps = mixing.fit(groups, goal.tolist(), Scratch(spark, "t"))
+    found = mixing.fit(groups, goal.tolist(), Scratch(spark, "t"))
+    steps = found.steps
     r = np.ones(50)
     for e in steps:
         r = np.maximum(0, r - p / mixing.PARTS @ np.array(e))
     got = [x["r"] for x in groups.select(mixing.rate(F.col("parts"), steps).alias("r")).collect()]
     assert np.allclose(r, got)
+    assert found.residual == 0 and np.allclose(found.misses, (p / mixing.PARTS).T @ (t * r) - goal)
     assert (np.abs((p / mixing.PARTS).T @ (t * r) - goal) < 0.006 * goal).all()
 
 
