@@ -20,15 +20,16 @@ def root(spark: SparkSession) -> str:
 
 
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch of whole texts.
 TEXTS = 1000
 
 
 class Scratch:
-    """A folder of Parquet tables for one operator call."""
+    """A folder of Parquet tables for one operator call; if `tidy`, the shuffle files of a table are deleted once it is written."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.base = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
         self.paths: list[str] = []
@@ -37,13 +38,16 @@ class Scratch:
         """Write df; while it is planned, Arrow batches hold at most `batch` rows (of texts, so that few MB are in flight)."""
         self.made += 1
         path = f"{self.base}/{name}{self.made}"
-        before = int(self.spark.conf.get(_ROWS))
+        before, kept = int(self.spark.conf.get(_ROWS)), self.spark.conf.get(_TIDY)
         try:
             if batch and not 0 < before <= batch:
                 self.spark.conf.set(_ROWS, str(batch))
+            if self.tidy:
+                self.spark.conf.set(_TIDY, "true")
             df.write.parquet(path)
         finally:
             self.spark.conf.set(_ROWS, str(before))
+            self.spark.conf.set(_TIDY, kept)
         self.paths.append(path)
         return path
 

@@ -8,7 +8,8 @@ such a place and no group of the alignment does. Equal segments are aligned once
 1. Cutting: each task keeps a dictionary of the segments it meets and closes a block when DICTIONARY are held. A block is
    rows of codes (one a segment of a text, in order) and its distinct segments; only these are looked up in the corpus.
 2. Aligning distinct segments: tokens are posexploded; windowed cumulative lengths give their ends; an equi-join on segment
-   and end finds the common ends; running counts of these are group ids; a join on segment and group makes the links.
+   and end finds the common ends (cuts); the number of cuts before a token is its group, so that the tokens between two cuts
+   are a range on either side, and links join the two ranges of a group.
 3. Counting: blocks get the id pairs of their segments back and count, once a document, the pairs it holds; counts by block
    are summed by pair (partial sums: a pair in every document is no hot group).
 4. Scoring: counts are joined to the links and summed by segment; blocks get these sums and the segments' groups and add
@@ -148,15 +149,14 @@ def tokens(segs: DataFrame) -> DataFrame:
     """sid, seg, ok (the tokens' bytes are the segment's), and the ids and byte lengths of both tokenizers' tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, named = tokenizer().encode_ordinary, piece_bytes()
-        length = tokenizer().decode_tokens_bytes
+        encode, named, whole = tokenizer().encode_ordinary, piece_bytes(), tokenizer().decode_tokens_bytes
         for batch in batches:
             texts = batch.column("seg").to_pylist()
             found = pieces().encode([t[1:] for t in texts], num_threads=1)
             rows = []
             for t, b in zip(texts, found, strict=True):
                 a = encode(t)
-                want, xa, xb = t.encode(), length(a), [named[i] for i in b]
+                want, xa, xb = t.encode(), whole(a), [named[i] for i in b]
                 ok = b"".join(xa) == want and b"".join(xb) == want
                 rows.append((ok, a, list(map(len, xa)), b, list(map(len, xb))) if ok else (False, [], [], [], []))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -174,36 +174,59 @@ def _placed(t: DataFrame, ids: str, lengths: str) -> DataFrame:
     return rows.withColumn("end", F.sum("len").over(at)).drop("len")
 
 
-def _grouped(own: DataFrame, other: DataFrame) -> DataFrame:
-    """own with grp: the number of ends before a token's own that both sides have; and other's place (there) at such an end."""
-    before = Window.partitionBy("sid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    rows = own.join(other.select("sid", "end", F.col("pos").alias("there")), ["sid", "end"], "left")
-    return rows.withColumn("grp", F.count("there").over(before))
-
-
-def align(t: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """From distinct segments' tokens: links (sid, pair, n: token pairs of one group with these ids), and by sid the places
-    (cuts: pos, there) where groups end."""
-    t = t.where("ok").select("sid", "a", "al", "b", "bl").repartition(parts(s.spark), "sid")
+def cuts(t: DataFrame) -> DataFrame:
+    """sid and its cuts in order: the places of the tokens of both sides (pos, there) that end at the same byte."""
     a, b = _placed(t, "a", "al"), _placed(t, "b", "bl")
-    ga, gb = s.keep(_grouped(a, b).drop("end"), "a"), s.keep(_grouped(b, a).select("sid", "id", "grp"), "b")
-    ca = ga.groupBy("sid", "grp", F.col("id").alias("a")).agg(F.count("*").alias("na"))
-    cb = gb.groupBy("sid", "grp", F.col("id").alias("b")).agg(F.count("*").alias("nb"))
-    links = ca.join(cb, ["sid", "grp"]).select("sid", (F.col("a") * PAIR + F.col("b")).alias("pair"), (F.col("na") * F.col("nb")).alias("n"))
-    links = s.keep(links.groupBy("sid", "pair").agg(F.sum("n").alias("n")), "links")
-    cuts = ga.where("there is not null").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "there"))).alias("cuts"))
-    return links, cuts
+    both = a.select("sid", "end", "pos").join(b.select("sid", "end", F.col("pos").alias("there")), ["sid", "end"])
+    return both.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "there"))).alias("cuts"))
 
 
-def group_text(a: Column, b: Column, cuts: Column) -> Column:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group, groups ending at the cuts."""
+def groups(a: Column, b: Column, ends: Column) -> Column:
+    """The ids of both sides (a, b) by group: the k-th group holds the tokens of which k cuts lie before."""
 
     def group(c: Column, k: Column) -> Column:
-        last = F.get(cuts, k - 1)
-        side = lambda ids, f: F.array_join(F.slice(ids, F.coalesce(last[f] + 2, F.lit(1)), c[f] - F.coalesce(last[f], F.lit(-1))), ",")
-        return F.concat(side(a, "pos"), F.lit("|"), side(b, "there"))
+        last = F.get(ends, k - 1)
+        side = lambda ids, f: F.slice(ids, F.coalesce(last[f] + 2, F.lit(1)), c[f] - F.coalesce(last[f], F.lit(-1)))
+        return F.struct(side(a, "pos").alias("a"), side(b, "there").alias("b"))
+
+    return F.transform(ends, group)
+
+
+def links(g: Column) -> Column:
+    """For each group, its distinct pairs of ids (pair) with the number of token pairs they stand for (n)."""
+    count = lambda ids, x: F.size(F.filter(ids, lambda y: y == x)).cast("long")
+
+    def linked(one: Column) -> Column:
+        own = lambda x: F.transform(F.array_distinct(one["b"]), lambda y: F.struct((x * PAIR + y).alias("pair"), (count(one["a"], x) * count(one["b"], y)).alias("n")))
+        single = (F.size(one["a"]) == 1) & (F.size(one["b"]) == 1)
+        plain = F.array(F.struct((F.get(one["a"], F.lit(0)) * PAIR + F.get(one["b"], F.lit(0))).alias("pair"), F.lit(1).cast("long").alias("n")))
+        return F.when(single, plain).otherwise(F.flatten(F.transform(F.array_distinct(one["a"]), own)))
 
-    return F.array_join(F.transform(cuts, group), ";")
+    return F.flatten(F.transform(g, linked))
+
+
+def group_text(g: Column) -> Column:
+    """`a1,a2|b1;a3|b2,b3`."""
+    return F.array_join(F.transform(g, lambda x: F.concat(F.array_join(x["a"], ","), F.lit("|"), F.array_join(x["b"], ","))), ";")
+
+
+def aligned_segments(t: DataFrame, s: Scratch) -> DataFrame:
+    """From distinct segments' tokens: sid, seg, n_a, n_b, n_groups, n_links, groups (text), pairs and ns (links); a segment
+    whose bytes differ has null pairs."""
+    conf, name = s.spark.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    try:
+        conf.set(name, "false")  # both sides lie by segment: the join on segment and end needs no other shuffle
+        dealt = t.where("ok").select("sid", "a", "al", "b", "bl").repartition(parts(s.spark), "sid")
+        ends = s.keep(cuts(dealt), "cuts")
+    finally:
+        conf.set(name, before)
+    g = t.select("sid", "seg", "a", "b").join(ends, "sid", "left").withColumn("g", groups(F.col("a"), F.col("b"), F.col("cuts")))
+    g = g.withColumn("links", links(F.col("g")))
+    n_links = F.aggregate("g", F.lit(0).cast("long"), lambda x, y: x + F.size(y["a"]).cast("long") * F.size(y["b"]))
+    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    out = g.select("sid", "seg", size("a").alias("n_a"), size("b").alias("n_b"), size("g").alias("n_groups"), n_links.alias("n_links"), group_text(F.col("g")).alias("groups"), F.col("links.pair").alias("pairs"), F.col("links.n").alias("ns"))
+    return s.keep(out, "facts")
 
 
 def _codes(planes: bytes) -> np.ndarray:
@@ -312,34 +335,31 @@ def _exact(row: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
 def aligned(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    s = Scratch(spark, "align")
+    s = Scratch(spark, "align", tidy=True)
     n = parts(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     made = s.keep(cut(slim, dictionary), "cut", 1000)
     asks, texts = made.where("kind = 1").select("block", "kind", "k", "seg"), made.where("kind = 2")
     named = asks.select("seg").distinct().withColumn("sid", F.monotonically_increasing_id())
     t = s.keep(tokens(named), "tokens")
-    links, cuts = align(t, s)
-    own = s.keep(links.groupBy("sid").agg(F.collect_list("pair").alias("pairs"), F.sum("n").alias("n_links")), "pairs")
-    # a segment whose bytes differ has no pairs (null) and no groups
-    segs = t.join(own, "sid", "left").join(cuts, "sid", "left")
-    facts = s.keep(segs.select("sid", "seg", "pairs", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.greatest(F.size("cuts"), F.lit(0)).alias("n_groups"), "n_links", group_text(F.col("a"), F.col("b"), F.col("cuts")).alias("groups")), "facts")
-    answers = s.keep(asks.join(facts.select("seg", "sid", "pairs"), "seg").select("block", "kind", "k", "sid", "pairs"), "answers")
-
-    def by_block(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    facts = aligned_segments(t, s)
+    s.drop(t)
+
+    def by_block(found: DataFrame, fields: dict[str, str]) -> DataFrame:
+        """What each block asked for, then its texts."""
         void = [F.lit(None).cast("binary").alias(c) for c in ("ids", "n", "codes")]
         own_texts = texts.select("block", "kind", "k", *(F.lit(None).cast(x).alias(c) for c, x in fields.items()), "ids", "n", "codes")
-        both = rows.select("block", "kind", "k", *fields, *void).union(own_texts)
+        both = asks.join(found.select("seg", *fields), "seg").select("block", "kind", "k", *fields, *void).union(own_texts)
         return both.repartition(n, "block").sortWithinPartitions("block", "kind", "k")
 
-    held = by_block(answers, {"pairs": "array<int>"}).mapInArrow(_pair_counts, "pair long, n long")
+    held = by_block(facts, {"pairs": "array<int>"}).mapInArrow(_pair_counts, "pair long, n long")
     counts = s.keep(held.groupBy("pair").agg(F.sum("n").alias("docs")), "counts")
     most = counts.groupBy(F.expr(f"pair div {PAIR}").alias("a")).agg(F.max("docs").alias("most"))
     ranked = s.keep(counts.withColumn("a", F.expr(f"pair div {PAIR}")).join(most, "a").select(F.col("pair").cast("int"), "docs", (F.col("docs") == F.col("most")).cast("long").alias("best")), "ranked")
     small = F.broadcast(ranked) if s.bytes(s.paths[-1]) <= SMALL else ranked
-    scored = links.join(small, "pair").groupBy("sid").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
-    full = facts.drop("seg", "pairs").join(scored, "sid", "left")
-    numbered = [F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in _NUMBERS]
-    sent = answers.drop("pairs").join(full, "sid").select("block", "kind", "k", *numbered, "groups")
-    out = by_block(sent, {**dict.fromkeys(_NUMBERS, "long"), "groups": "string"}).mapInArrow(_scored, f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string")
+    linked = facts.select("sid", F.explode(F.arrays_zip("pairs", "ns")).alias("x")).select("sid", F.col("x.pairs").alias("pair"), F.col("x.ns").alias("n"))
+    scored = linked.join(small, "pair").groupBy("sid").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
+    numbered = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in _NUMBERS]
+    full = s.keep(facts.drop("pairs", "ns").join(scored, "sid", "left").select("seg", *numbered, "groups"), "full")
+    out = by_block(full, {**dict.fromkeys(_NUMBERS, "long"), "groups": "string"}).mapInArrow(_scored, f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string")
     return s.sweep(out)
