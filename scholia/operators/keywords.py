@@ -1,4 +1,7 @@
-"""Keywords: TF-IDF, co-occurrence and PageRank, collocations, fusion."""
+"""Keywords: TF-IDF, co-occurrence and PageRank, collocations, fusion.
+
+A document's tokens stay one array: n-grams and windows are made inside it, so that the first shuffle is that of the counts.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +11,31 @@ from pyspark.sql import functions as F
 from scholia.sources.tables import written
 
 
-def tokens(df: DataFrame, doc: str, words: Column) -> DataFrame:
-    """doc, pos, term: one row per token."""
-    return df.select(F.col(doc).alias("doc"), F.posexplode(words).alias("pos", "term"))
+def token_arrays(df: DataFrame, doc: str, words: Column) -> DataFrame:
+    """doc, words: one row per document."""
+    return df.select(F.col(doc).alias("doc"), words.alias("words"))
+
+
+def grams(words: Column, n: int, skip: int = 0) -> Column:
+    """The n-grams of an array of words, in order, as texts; `skip` words between the first and the others are left out."""
+    last = F.size(words) - n - skip
+    rest = F.array() if n == 1 else F.transform(F.sequence(F.lit(2), F.lit(n)), lambda k: k + skip)
+    text = lambda i: F.array_join(F.concat(F.slice(words, i + 1, 1), F.transform(rest, lambda k: F.get(words, i + k - 1))), " ")
+    if not skip:
+        text = lambda i: F.array_join(F.slice(words, i + 1, n), " ")
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), text)).otherwise(F.array().cast("array<string>"))
 
 
-def term_counts(toks: DataFrame) -> DataFrame:
-    return toks.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, longest: int = 1) -> DataFrame:
+    """doc, term, tf of the words and, for a longest above 1, of the n-grams up to it."""
+    terms = F.concat(F.col("words"), *(grams(F.col("words"), n) for n in range(2, longest + 1)))
+    return docs.select("doc", F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(toks: DataFrame, most: int | None = None) -> DataFrame:
+def tfidf(docs: DataFrame, most: int | None = None) -> DataFrame:
     """Doc, term, weight: tf times smooth idf (ln((1 + n) / (1 + df)) + 1), rows of unit length; of the `most` terms with
     the greatest counts in the corpus (ties: by term)."""
-    counts = written(term_counts(toks), "term-counts")  # texts are tokenised once
+    counts = written(term_counts(docs), "term-counts")  # texts are tokenised once
     n = counts.select("doc").distinct().count()
     return _weights(counts, n, most)
 
@@ -34,28 +49,28 @@ def _weights(counts: DataFrame, n: int, most: int | None) -> DataFrame:
     return raw.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
 
-def tfidf_keywords(toks: DataFrame, features: int = 100, k: int = 20) -> DataFrame:
-    """The k terms with the greatest mean weight over all documents."""
-    counts = written(term_counts(toks), "term-counts")
+def tfidf_keywords(docs: DataFrame, features: int = 100, k: int = 20, longest: int = 1) -> DataFrame:
+    """The k terms with the greatest mean weight over all documents; terms are words and n-grams up to `longest`."""
+    counts = written(term_counts(docs, longest), "term-counts")
     n = counts.select("doc").distinct().count()
     return _weights(counts, n, features).groupBy("term").agg((F.sum("weight") / n).alias("score")).orderBy(F.desc("score"), "term").limit(k)
 
 
-def with_bigrams(toks: DataFrame) -> DataFrame:
-    """Tokens and pairs of neighbours as terms."""
-    pair = toks.withColumn("next", F.lead("term").over(Window.partitionBy("doc").orderBy("pos"))).where("next is not null")
-    return toks.union(pair.select("doc", "pos", F.concat_ws(" ", "term", "next")))
-
-
-def cooccurrence(toks: DataFrame) -> DataFrame:
+def cooccurrence(docs: DataFrame) -> DataFrame:
     """Undirected edges (src < dst, weight) of windows of three tokens; neighbours inside count for both windows they
     are in, equal tokens not at all."""
-    w = Window.partitionBy("doc").orderBy("pos")
-    t = toks.withColumns({"n1": F.lead("term", 1).over(w), "n2": F.lead("term", 2).over(w), "p1": F.lag("term", 1).over(w)})
-    near = F.struct(F.col("n1").alias("other"), (F.when(F.col("p1").isNotNull(), 1).otherwise(0) + F.when(F.col("n2").isNotNull(), 1).otherwise(0)).alias("n"))
-    far = F.struct(F.col("n2").alias("other"), F.lit(1).alias("n"))
-    pairs = t.select("term", F.explode(F.array(near, far)).alias("e")).select("term", "e.*").where("other is not null and term <> other and n > 0")
-    return pairs.groupBy(F.least("term", "other").alias("src"), F.greatest("term", "other").alias("dst")).agg(F.sum("n").alias("weight"))
+    w, n = F.col("words"), F.size("words")
+
+    def edge(i: Column, step: int, weight: Column) -> Column:
+        a, b = F.get(w, i), F.get(w, i + step)
+        return F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.when(b.isNotNull() & (a != b), weight).otherwise(0).alias("n"))
+
+    def edges(i: Column) -> Column:
+        near = F.when(i > 0, 1).otherwise(0) + F.when(i + 2 < n, 1).otherwise(0)
+        return F.array(edge(i, 1, near), edge(i, 2, F.lit(1)))
+
+    made = F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), edges)))
+    return docs.select(F.explode(made).alias("e")).select("e.*").where("n > 0").groupBy("src", "dst").agg(F.sum("n").alias("weight"))
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100, every: int = 5) -> DataFrame:
@@ -78,10 +93,15 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
     return rank
 
 
-def collocations(toks: DataFrame, least: int = 3, k: int = 10) -> DataFrame:
+def _term(o: Column, e: Column) -> Column:
+    return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+
+
+def collocations(docs: DataFrame, least: int = 3, k: int = 10) -> DataFrame:
     """Neighbours by log-likelihood ratio, of at least `least` occurrences."""
-    pairs = toks.withColumn("b", F.lead("term").over(Window.partitionBy("doc").orderBy("pos"))).where("b is not null").select(F.col("term").alias("a"), "b")
-    every = written(pairs.groupBy("a", "b").agg(F.count("*").alias("nab")), "pairs")  # texts are tokenised once
+    pairs = docs.select(F.explode(grams(F.col("words"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("nab"))
+    parts = F.split("gram", " ")
+    every = written(pairs.select(parts[0].alias("a"), parts[1].alias("b"), "nab"), "pairs")  # texts are tokenised once
     n = every.agg(F.sum("nab")).first()[0] or 0
     both = every.where(F.col("nab") >= least)
     na = every.groupBy("a").agg(F.sum("nab").alias("na"))
@@ -91,19 +111,50 @@ def collocations(toks: DataFrame, least: int = 3, k: int = 10) -> DataFrame:
     o12, o21 = F.col("na") - o11, F.col("nb") - o11
     o22 = F.lit(float(n)) - o11 - o12 - o21
     rows, cols = (F.col("na"), F.lit(float(n)) - F.col("na")), (F.col("nb"), F.lit(float(n)) - F.col("nb"))
-
-    def term(o: Column, r: Column, c: Column) -> Column:
-        return F.when(o > 0, o * F.log(o * n / (r * c))).otherwise(0.0)
-
-    llr = 2 * (term(o11, rows[0], cols[0]) + term(o12, rows[0], cols[1]) + term(o21, rows[1], cols[0]) + term(o22, rows[1], cols[1]))
+    llr = 2 * (_term(o11, rows[0] * cols[0] / n) + _term(o12, rows[0] * cols[1] / n) + _term(o21, rows[1] * cols[0] / n) + _term(o22, rows[1] * cols[1] / n))
     return t.select("a", "b", F.col("nab").alias("n"), llr.alias("score")).orderBy(F.desc("score"), "a", "b").limit(k)
 
 
-def fused(lists: list[tuple[DataFrame, float]], k: int = 15) -> DataFrame:
-    """Ranked lists (term, score) summed by (n - i) / n of their places, or by a fixed weight where one is given."""
+def trigrams(docs: DataFrame, least: int = 2, k: int = 10) -> DataFrame:
+    """Three words in a row by log-likelihood ratio against independence (eight cells of words present or not), of at
+    least `least` occurrences. One pass counts words, neighbours, words two apart and trigrams."""
+    w = F.col("words")
+    kinds = {"w": w, "p": grams(w, 2), "s": grams(w, 2, 1), "t": grams(w, 3)}
+
+    def named(kind: str, g: Column) -> Column:
+        return F.transform(g, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("gram")))
+
+    told = F.flatten(F.array(*(named(kind, g) for kind, g in kinds.items())))
+    counts = written(docs.select(F.explode(told).alias("x")).select("x.*").groupBy("kind", "gram").agg(F.count("*").alias("n")), "grams")
+    total = float(counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0)
+    p = F.split("gram", " ")
+    t = counts.where((F.col("kind") == "t") & (F.col("n") >= least)).select(*(p[i].alias(x) for i, x in enumerate("abc")), F.col("n").cast("double").alias("iii"))
+
+    def with_count(t: DataFrame, kind: str, words: str, name: str) -> DataFrame:
+        found = counts.where(F.col("kind") == kind).select(F.col("gram").alias("g_"), F.col("n").cast("double").alias(name))
+        return t.withColumn("g_", F.concat_ws(" ", *words)).join(found, "g_").drop("g_")
+
+    for kind, words, name in (("w", "a", "ixx"), ("w", "b", "xix"), ("w", "c", "xxi"), ("p", "ab", "iix"), ("p", "bc", "xii"), ("s", "ac", "ixi")):
+        t = with_count(t, kind, list(words), name)
+    c = {k: F.col(k) for k in ("iii", "iix", "ixi", "xii", "ixx", "xix", "xxi")}
+    o = {"iii": c["iii"], "oii": c["xii"] - c["iii"], "ioi": c["ixi"] - c["iii"], "iio": c["iix"] - c["iii"]}
+    o["ooi"] = c["xxi"] - o["iii"] - o["oii"] - o["ioi"]
+    o["oio"] = c["xix"] - o["iii"] - o["oii"] - o["iio"]
+    o["ioo"] = c["ixx"] - o["iii"] - o["ioi"] - o["iio"]
+    o["ooo"] = F.lit(total) - sum(o.values())
+    share = {("i", 0): c["ixx"], ("i", 1): c["xix"], ("i", 2): c["xxi"]}
+    share |= {("o", j): F.lit(total) - share["i", j] for j in range(3)}
+    llr = 2 * sum((_term(n, share[x[0], 0] * share[x[1], 1] * share[x[2], 2] / (total * total)) for x, n in o.items()), F.lit(0.0))
+    return t.select("a", "b", "c", F.col("iii").cast("long").alias("n"), llr.alias("score")).orderBy(F.desc("score"), "a", "b", "c").limit(k)
+
+
+def fused(lists: list[tuple[DataFrame, float]], k: int = 15, most: int = 1000) -> DataFrame:
+    """Ranked lists (term, score) summed by (n - i) / n of their places, or by a fixed weight where one is given. A list
+    is its first `most` terms."""
     out = None
     for df, fixed in lists:
-        ranked = df.select("term", F.row_number().over(Window.orderBy(F.desc("score"), "term")).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-        part = ranked.select("term", (F.lit(fixed) if fixed else (F.col("n") - F.col("i") + 1) / F.col("n")).alias("w"))
+        top = df.orderBy(F.desc("score"), "term").limit(most).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "term"))).alias("l"))
+        ranked = top.select(F.size("l").alias("n"), F.posexplode("l").alias("i", "x"))
+        part = ranked.select("x.term", (F.lit(float(fixed)) if fixed else (F.col("n") - F.col("i")) / F.col("n")).alias("w"))
         out = part if out is None else out.union(part)
     return out.groupBy("term").agg(F.sum("w").alias("score")).orderBy(F.desc("score"), "term").limit(k)

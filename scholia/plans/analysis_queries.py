@@ -19,7 +19,7 @@ tk AS (SELECT doc, generate_subscripts(k, 1) - 1 AS pos, unnest(k) AS term FROM
 
 
 def _tokens(t):
-    return K.tokens(t("documents"), "doc_id", content_tokens(F.col("text"), STOP))
+    return K.token_arrays(t("documents"), "doc_id", content_tokens(F.col("text"), STOP))
 
 
 _TFIDF = """tf AS (SELECT doc, term, count(*) AS tf FROM tk GROUP BY 1, 2), nn AS (SELECT count(DISTINCT doc) AS n FROM tf),
@@ -63,11 +63,55 @@ def _(spark, t):
     return K.collocations(_tokens(t)).withColumn("score", F.round("score", 6))
 
 
+_NGRAM = """tn AS (SELECT doc, term FROM tk UNION ALL SELECT doc, term || ' ' || lead(term) OVER (PARTITION BY doc ORDER BY pos) FROM tk),
+tf2 AS (SELECT doc, term, count(*) AS tf FROM tn WHERE term IS NOT NULL GROUP BY 1, 2), nn2 AS (SELECT count(DISTINCT doc) AS n FROM tf2),
+te2 AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf2 GROUP BY 1 ORDER BY cf DESC, term LIMIT 100),
+rw2 AS (SELECT doc, term, tf * (ln((1.0 + n) / (df + 1)) + 1) AS w FROM tf2 JOIN te2 USING (term), nn2),
+ws2 AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS weight FROM rw2),
+kw2 AS (SELECT term, round(sum(weight) / any_value(n), 9) AS score FROM ws2, nn2 GROUP BY term ORDER BY score DESC, term LIMIT 20)"""
+
+
+@query("m03_ngram_keywords", f"WITH {_TOK}, {_NGRAM} SELECT * FROM kw2")
+def _(spark, t):
+    return K.tfidf_keywords(_tokens(t), longest=2).select("term", F.round("score", 9).alias("score"))
+
+
+_CELLS = {x: {"iii": "iii", "oii": "xii - iii", "ioi": "ixi - iii", "iio": "iix - iii", "ooi": "xxi - xii - ixi + iii", "oio": "xix - xii - iix + iii", "ioo": "ixx - ixi - iix + iii", "ooo": "n - ixx - xix - xxi + xii + ixi + iix - iii"}[x] for x in ("iii", "oii", "ioi", "iio", "ooi", "oio", "ioo", "ooo")}
+
+
+def _trigram_sql() -> str:
+    of = {("i", 0): "ixx", ("i", 1): "xix", ("i", 2): "xxi", ("o", 0): "(n - ixx)", ("o", 1): "(n - xix)", ("o", 2): "(n - xxi)"}
+    terms = " + ".join(f"CASE WHEN {o} > 0 THEN ({o}) * ln(({o}) * n * n / ({of[x[0], 0]} * {of[x[1], 1]} * {of[x[2], 2]})) ELSE 0 END" for x, o in _CELLS.items())
+    return f"""sq AS (SELECT doc, term AS a, lead(term) OVER w AS b, lead(term, 2) OVER w AS c FROM tk WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+c1 AS (SELECT a AS w, count(*)::DOUBLE AS k FROM sq GROUP BY 1), c2 AS (SELECT a AS w, b AS v, count(*)::DOUBLE AS k FROM sq WHERE b IS NOT NULL GROUP BY 1, 2), cs AS (SELECT a AS w, c AS v, count(*)::DOUBLE AS k FROM sq WHERE c IS NOT NULL GROUP BY 1, 2),
+c3 AS (SELECT a, b, c, count(*)::DOUBLE AS iii FROM sq WHERE c IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+t3 AS (SELECT a, b, c, iii, x.k AS ixx, y.k AS xix, z.k AS xxi, p.k AS iix, q.k AS xii, r.k AS ixi, (SELECT sum(k) FROM c1) AS n FROM c3 JOIN c1 x ON x.w = a JOIN c1 y ON y.w = b JOIN c1 z ON z.w = c
+  JOIN c2 p ON p.w = a AND p.v = b JOIN c2 q ON q.w = b AND q.v = c JOIN cs r ON r.w = a AND r.v = c),
+tri AS (SELECT a, b, c, iii::BIGINT AS n, round(2 * ({terms}), 6) AS score FROM t3 ORDER BY score DESC, a, b, c LIMIT 10)"""
+
+
+@query("m05_trigrams", f"WITH {_TOK}, {_trigram_sql()} SELECT * FROM tri")
+def _(spark, t):
+    return K.trigrams(_tokens(t)).withColumn("score", F.round("score", 6))
+
+
+def _phrases(df, *words):
+    return df.select(F.concat_ws(" ", *words).alias("term"), F.round("score", 6).alias("score"))
+
+
+@query("m08_ranked_and_trigrams", f"WITH {_TOK}, {_NGRAM}, {_trigram_sql()}, f AS (SELECT term, (21 - row_number() OVER (ORDER BY score DESC, term)) / 20 AS w FROM kw2 UNION ALL SELECT a || ' ' || b || ' ' || c, 1.0 FROM tri) SELECT term, round(sum(w), 9) AS score FROM f GROUP BY term ORDER BY score DESC, term LIMIT 15")
+def _(spark, t):
+    toks = _tokens(t)
+    words = K.tfidf_keywords(toks, longest=2).select("term", F.round("score", 9).alias("score"))
+    return K.fused([(words, 0.0), (_phrases(K.trigrams(toks), "a", "b", "c"), 1.0)]).withColumn("score", F.round("score", 9))
+
+
 @query("m08_fused_keywords")
 def _(spark, t):
     toks = _tokens(t)
-    pairs = K.collocations(toks).select(F.concat_ws(" ", "a", "b").alias("term"), "score")
-    return K.fused([(K.tfidf_keywords(toks), 0.0), (pairs, 0.8)])
+    ranks = K.pagerank(K.cooccurrence(toks)).orderBy(F.desc("rank"), "node").limit(20).select(F.col("node").alias("term"), F.col("rank").alias("score"))
+    words = K.tfidf_keywords(toks, longest=2)
+    return K.fused([(words, 0.0), (ranks, 0.0), (_phrases(K.collocations(toks), "a", "b"), 0.8), (_phrases(K.trigrams(toks), "a", "b", "c"), 1.0)])
 
 
 @query("m01_j22_w05_neighbours", """WITH q AS (SELECT * FROM embeddings)
