@@ -26,7 +26,8 @@ TEXTS = 1000
 
 
 class Scratch:
-    """A folder of Parquet tables for one operator call; if `tidy`, the shuffle files of a table are deleted once it is written."""
+    """A folder of Parquet tables for one operator call; if `tidy`, tables are packed tighter and the shuffle files of a
+    table are deleted once it is written."""
 
     def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
         self.spark, self.tidy = spark, tidy
@@ -44,7 +45,7 @@ class Scratch:
                 self.spark.conf.set(_ROWS, str(batch))
             if self.tidy:
                 self.spark.conf.set(_TIDY, "true")
-            df.write.parquet(path)
+            df.write.options(**({"compression": "zstd"} if self.tidy else {})).parquet(path)
         finally:
             self.spark.conf.set(_ROWS, str(before))
             self.spark.conf.set(_TIDY, kept)

@@ -87,8 +87,11 @@ def segments(b: Block, safe: bool = True) -> np.ndarray:
     return np.flatnonzero(first[: len(d)])
 
 
-_CUT = "block long, kind int, k int, seg string, ids binary, n binary, codes binary"
-_CUT_NAMES = ["block", "kind", "k", "seg", "ids", "n", "codes"]
+#: A place (at) is a block's number, in the bits above, and the code of a segment; texts' places have the greatest codes.
+_CODE = 24
+_TEXTS = (1 << _CODE) - 1
+_CUT = "at long, seg string, ids binary, n binary, codes binary"
+_CUT_NAMES = ["at", "seg", "ids", "n", "codes"]
 
 
 class _Dictionary:
@@ -115,11 +118,12 @@ class _Dictionary:
 
 
 def cut(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
-    """Rows of a block: its distinct segments (kind 1: k, seg) and its texts (kind 2: ids, segments by text, codes)."""
+    """Rows of a block: its distinct segments (at, seg) and its texts (ids, segments by text, codes; at the block's end)."""
     safe = cuts_are_safe()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known, k = TaskContext.get().partitionId() << 32, _Dictionary(), 0
+        # a task has under 2 ** 16 blocks, as each is closed by at least so many segments
+        block, known = TaskContext.get().partitionId() << 16, _Dictionary()
         for part, plain in blocks(batches):
             spaced = pc.binary_join_element_wise(pa.scalar(" "), part.column("text"), pa.scalar(""))
             b = column(pc.if_else(pc.equal(pc.binary_length(part.column("text")), 0), "", spaced))
@@ -132,15 +136,14 @@ def cut(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
                 raw = b.data.tobytes()
                 segs = [raw[a:z].decode() for a, z in zip(start[new].tolist(), end[new].tolist(), strict=True)]
                 m = len(segs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.full(m, 1, np.int32)), pa.array(np.arange(held - m, held, dtype=np.int32)), pa.array(segs, pa.string()), *(pa.nulls(m, pa.binary()) for _ in range(3))], names=_CUT_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array((block << _CODE) + np.arange(held - m, held)), pa.array(segs, pa.string()), *(pa.nulls(m, pa.binary()) for _ in range(3))], names=_CUT_NAMES)
             ids = part.column("doc_id")
             ids_bytes = np.stack((ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()).astype(np.int64))).tobytes()
             planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3].tobytes()  # codes have under 24 bits
-            told = [[block], [2], [k], [None], [ids_bytes], [np.bincount(row, minlength=b.n).astype("<i4").tobytes()], [planes]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(told, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=_CUT_NAMES)
-            k += 1
+            told = [[(block << _CODE) + _TEXTS], [None], [ids_bytes], [np.bincount(row, minlength=b.n).astype("<i4").tobytes()], [pa.compress(planes, codec="zstd", asbytes=True)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(told, (pa.int64(), pa.string(), *[pa.binary()] * 3), strict=True)], names=_CUT_NAMES)
             if known.size >= dictionary:
-                block, known, k = block + 1, _Dictionary(), 0
+                block, known = block + 1, _Dictionary()
 
     return docs.mapInArrow(run, _CUT)
 
@@ -229,34 +232,34 @@ def aligned_segments(t: DataFrame, s: Scratch) -> DataFrame:
     return s.keep(out, "facts")
 
 
-def _codes(planes: bytes) -> np.ndarray:
-    x = np.frombuffer(planes, np.uint8).reshape(3, -1).astype(np.int64)
+def _codes(planes: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(pa.decompress(planes, 3 * n, codec="zstd", asbytes=True), np.uint8).reshape(3, -1).astype(np.int64)
     return x[0] | x[1] << 8 | x[2] << 16
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[tuple]:
-    """For the rows of each block in order (segments by code, then texts): its segments' columns, and one text row."""
+def _by_block(batches: Iterator[pa.RecordBatch], field: str) -> Iterator[tuple]:
+    """For the rows of each block in order (segments by code, then texts): its segments' column, and one text row."""
     now, held, table = None, [], None
     for batch in batches:
-        kinds, owner = batch.column("kind").to_numpy(), batch.column("block").to_numpy()
-        edges = np.flatnonzero(np.append(True, (kinds[1:] != kinds[:-1]) | (owner[1:] != owner[:-1]))) if len(kinds) else []
-        for a, z in zip(edges, np.append(edges[1:], len(kinds)), strict=True):
+        at = batch.column("at").to_numpy()
+        owner, texts = at >> _CODE, (at & _TEXTS) == _TEXTS
+        edges = np.flatnonzero(np.append(True, (texts[1:] != texts[:-1]) | (owner[1:] != owner[:-1]))) if len(at) else []
+        for a, z in zip(edges, np.append(edges[1:], len(at)), strict=True):
             part = batch.slice(a, z - a)
             if owner[a] != now:
                 now, held, table = owner[a], [], None
-            if kinds[a] == 1:
-                held.append(part.select(fields))
+            if not texts[a]:
+                held.append(part.column(field))
                 continue
             if table is None:
-                table = pa.Table.from_batches(held).combine_chunks() if held else None
+                table = pa.chunked_array(held).combine_chunks() if held else None
             for ids, n, codes in zip(part.column("ids"), part.column("n"), part.column("codes"), strict=True):
-                yield now, table, np.frombuffer(ids.as_py(), np.int64).reshape(2, -1), np.frombuffer(n.as_py(), "<i4").astype(np.int64), _codes(codes.as_py())
+                n = np.frombuffer(n.as_py(), "<i4").astype(np.int64)
+                yield now, table, np.frombuffer(ids.as_py(), np.int64).reshape(2, -1), n, _codes(codes.as_py(), int(n.sum()))
 
 
-def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values, starts and lengths of a list column; null is empty."""
-    x = lists.combine_chunks()
-    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
     n = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return x.flatten().to_numpy(), np.cumsum(n) - n, n
 
@@ -280,7 +283,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, at = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
         return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.bincount(at, np.concatenate([x for _, x in got])).astype(np.int64))], names=["pair", "n"])
 
-    for block, table, _, n, codes in _by_block(batches, ["pairs"]):
+    for block, table, _, n, codes in _by_block(batches, "pairs"):
         if block != now:
             if got:
                 yield told()
@@ -288,7 +291,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(codes):
             continue
         if ready is None:
-            ready = (*_flat(table.column("pairs")), table.column("pairs").combine_chunks().is_null().to_numpy(zero_copy_only=False))
+            ready = (*_flat(table), table.is_null().to_numpy(zero_copy_only=False))
         values, start, size, bad = ready
         row = np.repeat(np.arange(len(n)), n)
         mine = _valid(bad, n, codes)[row]
@@ -307,14 +310,13 @@ _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, ready = None, None
-    for block, table, ids, n, codes in _by_block(batches, [*_NUMBERS, "groups"]):
+    for block, table, ids, n, codes in _by_block(batches, "told"):
         if block != now or ready is None:
             now = block
-            if table is None:
-                ready = [np.zeros(0, np.int64)] * len(_NUMBERS), [], np.zeros(0, bool)
-            else:
-                groups = table.column("groups")
-                ready = [table.column(c).fill_null(0).to_numpy() for c in _NUMBERS], [x or b"" for x in groups.cast(pa.binary()).to_pylist()], groups.is_null().to_numpy()
+            split = [] if table is None else [x.split(b" ") if x else None for x in table.cast(pa.binary()).to_pylist()]
+            none = [b"0"] * len(_NUMBERS) + [b""]
+            cols = list(zip(*(x or none for x in split), strict=True)) or [[]] * (len(_NUMBERS) + 1)
+            ready = [np.array(c, dtype=object).astype(np.int64) for c in cols[:-1]], cols[-1], np.array([x is None for x in split], bool)
         numbers, texts, bad = ready
         mine = _valid(bad, n, codes) & (n > 0)
         row = np.repeat(np.arange(len(n)), n)
@@ -339,27 +341,29 @@ def aligned(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     n = parts(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     made = s.keep(cut(slim, dictionary), "cut", 1000)
-    asks, texts = made.where("kind = 1").select("block", "kind", "k", "seg"), made.where("kind = 2")
+    asks, texts = made.where("seg is not null").select("at", "seg"), made.where("seg is null")
     named = asks.select("seg").distinct().withColumn("sid", F.monotonically_increasing_id())
     t = s.keep(tokens(named), "tokens")
     facts = aligned_segments(t, s)
     s.drop(t)
 
-    def by_block(found: DataFrame, fields: dict[str, str]) -> DataFrame:
+    def by_block(found: DataFrame, field: str, kind: str) -> DataFrame:
         """What each block asked for, then its texts."""
         void = [F.lit(None).cast("binary").alias(c) for c in ("ids", "n", "codes")]
-        own_texts = texts.select("block", "kind", "k", *(F.lit(None).cast(x).alias(c) for c, x in fields.items()), "ids", "n", "codes")
-        both = asks.join(found.select("seg", *fields), "seg").select("block", "kind", "k", *fields, *void).union(own_texts)
-        return both.repartition(n, "block").sortWithinPartitions("block", "kind", "k")
+        own_texts = texts.select("at", F.lit(None).cast(kind).alias(field), "ids", "n", "codes")
+        both = asks.join(found.select("seg", field), "seg").select("at", field, *void).union(own_texts)
+        return both.repartition(n, F.shiftright("at", _CODE)).sortWithinPartitions("at")
 
-    held = by_block(facts, {"pairs": "array<int>"}).mapInArrow(_pair_counts, "pair long, n long")
+    held = by_block(facts, "pairs", "array<int>").mapInArrow(_pair_counts, "pair long, n long")
     counts = s.keep(held.groupBy("pair").agg(F.sum("n").alias("docs")), "counts")
     most = counts.groupBy(F.expr(f"pair div {PAIR}").alias("a")).agg(F.max("docs").alias("most"))
     ranked = s.keep(counts.withColumn("a", F.expr(f"pair div {PAIR}")).join(most, "a").select(F.col("pair").cast("int"), "docs", (F.col("docs") == F.col("most")).cast("long").alias("best")), "ranked")
     small = F.broadcast(ranked) if s.bytes(s.paths[-1]) <= SMALL else ranked
     linked = facts.select("sid", F.explode(F.arrays_zip("pairs", "ns")).alias("x")).select("sid", F.col("x.pairs").alias("pair"), F.col("x.ns").alias("n"))
     scored = linked.join(small, "pair").groupBy("sid").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
-    numbered = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in _NUMBERS]
-    full = s.keep(facts.drop("pairs", "ns").join(scored, "sid", "left").select("seg", *numbered, "groups"), "full")
-    out = by_block(full, {**dict.fromkeys(_NUMBERS, "long"), "groups": "string"}).mapInArrow(_scored, f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string")
+    numbered = [F.coalesce(c, F.lit(0).cast("long")) for c in _NUMBERS]
+    told = F.when(F.col("groups").isNotNull(), F.concat_ws(" ", *(c.cast("string") for c in numbered), "groups"))
+    full = s.keep(facts.drop("pairs", "ns").join(scored, "sid", "left").select("seg", told.alias("told")), "full")
+    s.drop(facts)
+    out = by_block(full, "told", "string").mapInArrow(_scored, f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string")
     return s.sweep(out)
