@@ -37,7 +37,8 @@ def split_parts(df: DataFrame, key: str, parts: int) -> DataFrame:
 
 
 def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """df with, for each name, the sum over a group's rows up to each row. Rows are dealt by ranges of group and order, so a
+    """df with, for each name, the sum over a group's rows up to each row. The order is to be unique within a group (rows of
+    equal places would be summed in any order). Rows are dealt by ranges of group and order, so a
     group with any share of the rows lies in several tasks: each sums its own range, and a table of one row a range and
     group carries the totals over."""
     ranged = written(df.withColumns(sums).repartitionByRange(*by, *order).withColumn("part_", F.spark_partition_id()), "ranged")

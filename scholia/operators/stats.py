@@ -19,9 +19,34 @@ def average_rank(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.join(ranks, F.col(by).eqNullSafe(F.col("by_")) & F.col(value).eqNullSafe(F.col("value_"))).drop("by_", "value_")
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and, for each name, the quantile at its share (0 to 1), exact and with linear interpolation, nulls left out.
+
+    Distinct values are counted with partial sums and placed by running counts over ranges of group and value, so that a
+    group with any share of the rows is spread over tasks; no group's values are in one buffer."""
+    if not by:
+        return quantiles(df.withColumn("all_", F.lit(0)), ["all_"], value, shares).drop("all_")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("t_"))
+    upto = running_sums(counts, by, [value], {"upto_": F.col("t_")})
+    totals = counts.groupBy(*by).agg(F.sum("t_").alias("n_"))
+    same = [upto[c].eqNullSafe(totals[c]) for c in by]
+    placed = upto.join(totals, same).select(*(upto[c] for c in by), value, "upto_", "t_", "n_")
+    place = {k: (F.col("n_") - 1) * float(q) for k, q in shares.items()}
+    # the value at a place (from 0) is that whose run of equal values covers it
+    at = lambda p: F.max(F.when((F.col("upto_") > p) & (F.col("upto_") - F.col("t_") <= p), F.col(value)))
+    aggs = [x for k, p in place.items() for x in (at(F.floor(p)).alias(f"{k}_low"), at(F.ceil(p)).alias(f"{k}_high"), F.max(p - F.floor(p)).alias(f"{k}_part"))]
+    told = placed.groupBy(*by).agg(*aggs)
+    return told.select(*by, *((F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * F.col(f"{k}_part")).cast("double").alias(k) for k in shares))
+
+
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, population deviation, median, least, most, n."""
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"))
+    if not by:
+        return summary(df.withColumn("all_", F.lit(0)), ["all_"], value).drop("all_")
+    told = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"))
+    medians = quantiles(df, by, value, {"median": 0.5}).select(*(F.col(c).alias(f"{c}_") for c in by), "median")
+    joined = told.join(medians, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by], "left")
+    return joined.select(*by, "mean", "std", "median", "min", "max", "n")
 
 
 def cohens_d(m1: Column, m2: Column, v1: Column, v2: Column) -> Column:

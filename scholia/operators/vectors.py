@@ -1,4 +1,4 @@
-"""Similarity and clusters."""
+"""Similarity and clusters (M01, M09-M15, J22-J24, A36, W05); see clusters for sweeps, splits and centres."""
 
 from __future__ import annotations
 
@@ -22,46 +22,81 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def top_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
-    """Each query's k nearest rows by cosine (ties: smaller key), itself left out.
+#: Queries that a task compares at once; their number decides how many times the other side is sent.
+HELD = 16_384
+_LISTS = "src long, dst long, cosine double"
 
-    Queries come in blocks of bounded size, all base rows pass each block in Arrow batches, and only k rows a query and
-    batch leave a task; partial top-k lists are then merged. No pair is ever a row.
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack([np.asarray(v, float) for v in vectors])
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _best(key: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of candidates (key, score), the k greatest scores (ties: smaller key)."""
+    order = np.lexsort((key, -score), axis=1)[:, :k]
+    return np.take_along_axis(key, order, 1), np.take_along_axis(score, order, 1)
+
+
+def _tiles(k: int):
+    """Rows come by tile, its queries first: k rows a query and tile leave the task; the other side streams by."""
+
+    def told(qk: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        on = scores > -2.0
+        return pd.DataFrame({"src": np.repeat(qk, keys.shape[1]).reshape(keys.shape)[on], "dst": keys[on], "cosine": scores[on]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, held, qk, qv, keys, scores = None, [], None, None, None, None
+        for b in batches:
+            for (at, side), part in b.groupby(["tile", "side"], sort=False):
+                if at != tile:
+                    if keys is not None:
+                        yield told(qk, keys, scores)
+                    tile, held, keys = at, [], None
+                if side == 0:
+                    held.append(part)
+                    continue
+                if not held and keys is None:
+                    continue
+                if held:
+                    whole, held = pd.concat(held), []
+                    qk, qv = whole["key"].to_numpy(np.int64), _unit(whole["vector"])
+                    keys, scores = np.zeros((len(qk), k), np.int64), np.full((len(qk), k), -3.0)
+                bk, bv = part["key"].to_numpy(np.int64), _unit(part["vector"])
+                for a in range(0, len(qk), 1024):
+                    z = slice(a, a + 1024)
+                    s = qv[z] @ bv.T
+                    s[qk[z, None] == bk[None, :]] = -3.0
+                    keys[z], scores[z] = _best(np.concatenate((keys[z], np.broadcast_to(bk, s.shape)), 1), np.concatenate((scores[z], s), 1), k)
+        if keys is not None:
+            yield told(qk, keys, scores)
+
+    return run
+
+
+def top_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 5, held: int = HELD) -> DataFrame:
+    """Each query's k nearest rows by cosine (ties: smaller key), itself left out; exact.
+
+    Queries and base rows meet in tiles of a grid: a tile has about `held` queries, which its task keeps, and a share of the
+    base, which streams by in Arrow batches. A row is sent to one row or column of tiles, k rows a query leave a tile, and
+    the partial lists are merged by a window with a group limit. No pair is ever a row and nothing passes the driver.
     """
-    out = None
+    spark = queries.sparkSession
     n = queries.count()
-    if not n:
-        return queries.sparkSession.createDataFrame([], "src long, dst long, cosine double, rank int")
-    buckets = -(-n // block)
-    for at in range(buckets):
-        part = queries.where(F.pmod(F.xxhash64(key), F.lit(buckets)) == at).select(key, vector).toPandas()
-        if not len(part):
-            continue
-        q = np.stack([np.asarray(v, float) for v in part[vector]])
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
-        shared = base.sparkSession.sparkContext.broadcast((part[key].to_numpy(), q))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qk, qv = shared.value
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.stack([np.asarray(v, float) for v in b[vector]])
-                xn = np.linalg.norm(x, axis=1, keepdims=True)
-                s = qv @ np.divide(x, xn, out=np.zeros_like(x), where=xn > 0).T
-                bk = b[key].to_numpy()
-                s[qk[:, None] == bk[None, :]] = -2.0
-                order = np.lexsort((np.broadcast_to(bk, s.shape), -s), axis=1)[:, :k]
-                src = np.repeat(qk, order.shape[1])
-                got = np.take_along_axis(s, order, 1).ravel()
-                keep = got > -2.0
-                yield pd.DataFrame({"src": src[keep], "dst": bk[order.ravel()][keep], "cosine": got[keep]})
-
-        got = base.select(key, vector).mapInPandas(run, "src long, dst long, cosine double")
-        out = got if out is None else out.union(got)
+    across = max(1, -(-n // held))  # tiles by query
+    down = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // across))  # tiles by base row
+
+    def of(df: DataFrame, side: int) -> DataFrame:
+        own, other = (across, down) if side == 0 else (down, across)
+        part = F.pmod(F.xxhash64(F.col(key)), F.lit(own))
+        rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"))
+        tile = F.col("part") * down + F.col("other") if side == 0 else F.col("other") * down + F.col("part")
+        return rows.select(tile.cast("long").alias("tile"), F.lit(side).alias("side"), "key", "vector")
+
+    both = of(queries, 0).union(of(base, 1)).repartition(across * down, "tile").sortWithinPartitions("tile", "side")
     w = Window.partitionBy("src").orderBy(F.desc("cosine"), "dst")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return both.mapInPandas(_tiles(k), _LISTS).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -147,19 +182,6 @@ def nearest_labelled(unlabelled: DataFrame, labelled: DataFrame) -> DataFrame:
     return best.select("cluster", F.concat_ws(" ", kind, "b.label").alias("label"), F.col("b.d").alias("distance"))
 
 
-def disjoint_centres(neighbours: dict[int, set[int]], order: list[int], most: int) -> list[int]:
-    """Greedily, documents whose neighbours do not overlap those taken; inherently sequential, over a bounded list."""
-    taken, used = [], set()
-    for d in order:
-        group = {d} | neighbours.get(d, set())
-        if not group & used:
-            taken.append(d)
-            used |= group
-        if len(taken) == most:
-            break
-    return taken
-
-
 # Area names by place on the map and size names, of two ways to name a cluster without texts.
 SPECIFIC_AREAS = ("Core Mechanisms", ("Advanced Therapeutics", "Applied Interventions"), ("Fundamental Pathways", "Clinical Applications"), "Theoretical Models", "Experimental Methods", ("Therapeutic Approaches", "Treatment Protocols"), ("Molecular Mechanisms", "Diagnostic Methods"), "Pathway Analysis", "Cellular Responses", "Biomedical Mechanisms")
 BROAD_AREAS = ("Core", ("Advanced", "Applied"), ("Fundamental", "Clinical"), "Theoretical", "Experimental", "General")

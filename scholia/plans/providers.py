@@ -11,8 +11,10 @@ import hashlib
 import random
 import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,17 +68,63 @@ def error_class(message: Column) -> Column:
     )
 
 
-def respond(prompts: DataFrame, responses: DataFrame, provider: Provider, batch: int = 64, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+class Bucket:
+    """A token bucket: at most `rate` calls a second on average, `burst` at once. Clock and sleep can be replaced."""
+
+    def __init__(self, rate: float, burst: int = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.burst, self.clock, self.sleep = rate, max(1, burst), clock, sleep
+        self.held, self.at = float(self.burst), clock()
+
+    def take(self) -> None:
+        """Return when a call may be made. What is waited for is paid in advance, so a late sleeper gains nothing."""
+        now = self.clock()
+        self.held, self.at = min(float(self.burst), self.held + (now - self.at) * self.rate), now
+        self.held -= 1
+        if self.held < 0:
+            self.sleep(-self.held / self.rate)
+
+
+class Limit(NamedTuple):
+    """A global rate (calls a second) shared by at most `tasks` tasks at a time, each with an equal part of it. A task that
+    is tried again begins with an empty bucket, so that what its lost try has spent is not spent twice."""
+
+    rate: float
+    tasks: int = 8
+    clock: Callable[[], float] = time.monotonic
+    sleep: Callable[[float], None] = time.sleep
+
+    def bucket(self, attempt: int = 0) -> Bucket:
+        out = Bucket(self.rate / self.tasks, 1, self.clock, self.sleep)
+        if attempt:
+            out.held = 0.0
+        return out
+
+
+def paced(prompts: list[str], provider: Provider, bucket: Bucket | None, batch: int) -> list[str | None]:
+    """Responses in order: in batches, or one by one as the bucket allows."""
+    out: list[str | None] = []
+    for k in range(0, len(prompts), 1 if bucket else batch):
+        if bucket:
+            bucket.take()
+        out += provider(prompts[k : k + (1 if bucket else batch)])
+    return out
+
+
+def respond(prompts: DataFrame, responses: DataFrame, provider: Provider, batch: int = 64, path: str | None = None, limit: Limit | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (key, prompt) with their response from the table (prompt_hash, response), and new rows of that table for misses,
-    which are written once and, where a path is given, appended to the lasting table there. Failures are not kept there."""
+    which are written once and, where a path is given, appended to the lasting table there. Failures are not kept there.
+    Under a limit (O05) the misses are dealt to its number of tasks, each of which keeps its part of the global rate."""
     hashed = prompts.withColumn("prompt_hash", F.sha2("prompt", 256))
     misses = hashed.join(responses, "prompt_hash", "left_anti").groupBy("prompt_hash").agg(F.min("prompt").alias("prompt"))
+    if limit:
+        misses = misses.repartition(limit.tasks)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = limit.bucket(TaskContext.get().attemptNumber()) if limit else None
         for b in batches:
             for k in range(0, len(b), batch):
                 part = b.iloc[k : k + batch]
-                yield pd.DataFrame({"prompt_hash": part["prompt_hash"], "response": provider(part["prompt"].tolist())})
+                yield pd.DataFrame({"prompt_hash": part["prompt_hash"], "response": paced(part["prompt"].tolist(), provider, bucket, batch)})
 
     new = written(misses.mapInPandas(call, "prompt_hash string, response string"), "responses")
     if path:

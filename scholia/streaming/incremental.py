@@ -5,10 +5,12 @@ A status table is only appended to; the state of a key is its latest event. Coun
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def latest_status(events: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
@@ -22,21 +24,65 @@ def pending(keys: DataFrame, latest: DataFrame, key: str, status: str, done: tup
     return keys.join(latest.where(F.col(status).isin(*done)), key, "left_anti")
 
 
-def append_new(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, key: str, work: Callable[[DataFrame], DataFrame]) -> None:
-    """Micro-batches whose keys are not yet in the table at `path` are worked on and appended; a restart resumes
-    from the checkpoint. Runs until the available input is used up."""
+def append_new(stream: DataFrame, path: str, checkpoint: str, key: str, ts: str, late: str, work: Callable[[DataFrame], DataFrame]) -> None:
+    """Rows whose keys are new are worked on and appended to the table at `path`. Keys seen are kept in the
+    stream's state store for the time that a repetition may be late, so the table is never read; the sink's log makes each
+    batch's rows appear once, and a restart resumes from the checkpoint. Runs until the available input is used up."""
+    fresh = work(stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]))
+    q = fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
 
-    def batch(df: DataFrame, number: int) -> None:
-        fresh = df.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        work(fresh).write.mode("append").parquet(path)
 
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+#: What a key's state holds: its last status and when, failures so far, and whether a retry was asked for since.
+_STATE = "status string, at timestamp, failures int, asked boolean"
+
+
+def keyed_work(stream: DataFrame, key: str, ts: str, status: str, wait: str = "10 minutes", most: int = 3, late: str = "1 hour", done: tuple[str, ...] = ("completed", "low_score")) -> DataFrame:
+    """A stream of what is to be done: (key, action, failures, at). A key's state lives in the state store:
+    the first event of a key gives ``start``; a failure (any status that is neither done nor ``extracted``) gives ``retry``
+    once event time has passed by `wait`, up to `most` failures, then ``give_up``; a key that is done gives ``done`` once
+    and nothing after it. Events are taken in order of time within a batch, and an event older than the state is only
+    counted if it is a failure."""
+    seconds = int(pd.Timedelta(wait).total_seconds())
+    kind = stream.schema[key].dataType.simpleString()
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, at, failures, asked = state.get if state.exists else (None, None, 0, True)
+        told: list[tuple[str, int, pd.Timestamp]] = []
+        if state.hasTimedOut:
+            told.append(("retry", failures, at))
+            state.update((now, at, failures, True))
+        else:
+            rows = pd.concat(list(batches)).sort_values([ts, status], kind="stable")
+            for s, t in zip(rows[status], rows[ts], strict=True):
+                if now is None:
+                    told.append(("start", 0, t))
+                if now in done:
+                    continue
+                failed = s not in done and s != "extracted"
+                failures += failed
+                if at is None or t >= at or s in done:
+                    now, at = s, t if at is None else max(at, t)
+                if s in done:
+                    told.append(("done", failures, t))
+                    asked = True
+                elif failed:
+                    asked = failures >= most
+                    if failures == most:
+                        told.append(("give_up", failures, t))
+            state.update((now, at, failures, asked))
+            if not asked:
+                state.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+        if told:
+            yield pd.DataFrame({key: [k[0]] * len(told), "action": [x[0] for x in told], "failures": [x[1] for x in told], "at": [x[2] for x in told]})
+
+    rows = stream.select(key, ts, status).withWatermark(ts, late)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, action string, failures int, at timestamp", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """All available input through the stream into the table at `path`; a later call takes up where this one ended."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:

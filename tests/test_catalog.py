@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -79,7 +80,7 @@ def check_features(spark, rows):
 
 def check_similar_clauses(spark, rows):
     got = {(r["doc"], r["a_ord"], r["b_ord"]): round(r["similarity"], 6) for r in rows}
-    for doc, text in list(_reasoned(spark).items())[:40]:
+    for doc, text in _reasoned(spark).items():
         said = [s.strip() for s in re.split(r"[.!?]+", text)]
         words = [re.sub(r"\s+", " ", re.sub(r"[^\w\s]|_", " ", s.lower())).strip(" ").split(" ") for s in said if len(s) >= 10]
         for i, x in enumerate(words):
@@ -129,6 +130,55 @@ def check_full_trace(spark, rows):
     assert all(r["has_fault"] == (not r["one_correct"]) and r["predicted"].isdigit() for r in rows)
 
 
+def check_sweep(spark, rows):
+    from test_clusters import brute_density
+
+    from scholia.operators.clusters import SETTINGS
+
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    xy = np.array([r["embedding"][:2] for r in e], np.float32).astype(float)
+    ids, scaled = np.array([r["vec_id"] for r in e]), (xy - xy.mean(0)) / xy.std(0)
+    order = np.argsort(ids)
+    runs = []
+    for eps, least in SETTINGS:
+        label, n = np.unique(brute_density(scaled[order], eps, least), return_counts=True)
+        runs.append(sorted((-int(k), int(ids[order][i])) for i, k in zip(label, n, strict=True) if i >= 0 and 5 <= k <= 25))
+    best = max(range(len(runs)), key=lambda k: (len(runs[k]), -k))
+    if min(len(runs[best]), 10) >= 3:
+        assert sorted((-r["n"], r["cluster"]) for r in rows) == runs[best][:10] and {(r["eps"], r["points"]) for r in rows} == {SETTINGS[best]}
+    else:
+        assert {r["method"] for r in rows} <= {"k-means", "grid"}
+
+
+def check_refined(spark, rows):
+    from test_clusters import brute_flow
+
+    from scholia.plans.flow_queries import part_clusters
+
+    members, labels = (d.collect() for d in part_clusters(lambda n: spark.read.parquet(f"{SF}/{n}.parquet")))
+    want = brute_flow([(r["key"], r["cluster"], r["x"], r["y"]) for r in members], {r["cluster"]: r["label"] for r in labels})
+    assert {(r["cluster"], r["n"]) for r in rows} == {(c, len(x[0])) for c, x in want.items()}
+    assert all(w[1] is None or (r["label"], r["how"]) == (w[1], w[2]) for r in rows if (w := want[r["cluster"]]))
+
+
+def check_centres(spark, rows):
+    e = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect())
+    x = np.array([v for _, v in e], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 9)
+    np.fill_diagonal(s, -2)
+    ids = [k for k, _ in e]
+    near = {k: {k} | {ids[j] for j in np.argsort(-s[i], kind="stable")[:5]} for i, k in enumerate(ids)}
+    taken, used, want = [], set(), {}
+    for k in sorted(ids, key=lambda k: (zlib.crc32(str(k).encode()), k)):
+        if len(taken) < 5 and not near[k] & used:
+            used |= near[k]
+            want |= {d: len(taken) for d in near[k] if d not in want}
+            taken.append(k)
+    got = {r["doc"]: r["cluster"] for r in rows}
+    assert len(got) == len(ids) and sum(got[k] != want.get(k, -1) for k in ids) <= 2  # ties of equal cosines beyond nine digits
+
+
 #: What the queries without SQL must give, by brute force or by what defines them.
 CHECKS = {
     "c03_boundary_chunks": lambda spark, rows: len(rows) >= _count(spark, "documents") * 0.9,
@@ -143,6 +193,10 @@ CHECKS = {
     "m08_fused_keywords": lambda spark, rows: len(rows) == 15 and [r["score"] for r in rows] == sorted((r["score"] for r in rows), reverse=True) and any(" " in r["term"] for r in rows) and rows[0]["score"] >= 1,
     "m09_kmeans": lambda spark, rows: sum(r["n"] for r in rows) == _count(spark, "embeddings") and 1 < len(rows) <= 8,
     "m10_density_clusters": check_density,
+    "m10_density_sweep": check_sweep,
+    "l01_l06_refined_clusters": check_refined,
+    "u07_l07_centres": check_centres,
+    "o05_limited_scores": lambda spark, rows: len(rows) == _count(spark, "benchmark") and all(1 <= r["score"] <= 10 for r in rows) and len({r["score"] for r in rows}) > 3,
     "m13_projection": lambda spark, rows: len(rows) == _count(spark, "embeddings") and np.var([r["x"] for r in rows]) >= np.var([r["y"] for r in rows]) > 0,
     "t05_sample_by_hash": lambda spark, rows: len({tuple(r) for r in rows}) == len(rows) == 100,
     "t08_shuffle": lambda spark, rows: len({r["item_id"] for r in rows}) == _count(spark, "benchmark") and [r["item_id"] for r in rows] != sorted(r["item_id"] for r in rows),

@@ -152,10 +152,6 @@ def test_cosine_of_zero_vector(spark):
     assert df.select(V.cosine(F.col("a"), F.col("b")).alias("c")).first()["c"] == 0.0
 
 
-def test_disjoint_centres():
-    assert V.disjoint_centres({1: {2}, 2: {3}, 3: {4}, 5: set()}, [1, 2, 3, 5], 3) == [1, 3, 5]
-
-
 def test_provider_cache_is_used(spark):
     calls = []
 
@@ -204,7 +200,7 @@ def test_streaming_resume(spark, tmp_path):
     src, out, ck = (f"{tmp_path}/{x}" for x in ("src", "out", "ck"))
     schema = "k long, ts timestamp_ntz, event_type string"
     spark.sql("SELECT id AS k, timestamp_ntz'2024-01-01 00:00:00' AS ts, 'click' AS event_type FROM range(5)").write.parquet(src)
-    run = lambda: I.append_new(spark, I.event_stream(spark, src, schema), out, ck, "k", lambda df: df.select("k"))
+    run = lambda: I.append_new(I.event_stream(spark, src, schema), out, ck, "k", "ts", "30 days", lambda df: df.select("k"))
     run()
     run()
     spark.sql("SELECT id AS k, timestamp_ntz'2024-01-02 00:00:00' AS ts, 'view' AS event_type FROM range(3, 8)").write.mode("append").parquet(src)
