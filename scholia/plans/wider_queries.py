@@ -48,26 +48,39 @@ def _name():
     return F.element_at(F.split("path", "/"), -1)
 
 
-@query("s01_s05_listing", "SELECT replace(n_name, ' ', '_') || '.TXT' AS name, 3 * length(n_name) AS n FROM nation WHERE n_nationkey >= 0 UNION ALL SELECT 'paper.pdf', 4")
-def _(spark, t):
-    folder = _put(spark, _folder(spark, "listing"), {"a/b/" + k.replace(" ", "_") + ".TXT": v for k, v in _nations(t).items()} | {"paper.pdf": "%PDF", "x.csv": "no", "a/y.json": "{}"})
-    return files.listing(spark, folder).select(_name().alias("name"), F.col("length").alias("n"))
+def _laid_out(rows, folder: str, value) -> str:
+    """One text file for each source, `folder`/source=.../part-*.txt, written by the tasks that hold the rows: a line (value) a
+    row in order of doc_id."""
+    lines = rows.select("source", "doc_id", value.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id")
+    lines.select("source", "value").write.partitionBy("source").text(folder)
+    return folder
+
+
+def _source():
+    return F.regexp_extract("path", "source=([^/]+)", 1)
 
 
-@query("s07_s08_s11_texts", "SELECT replace(n_name, ' ', '_') || '.md' AS name, substr(lower(n_name) || lower(n_name) || lower(n_name), 1, 9) AS text FROM nation")
+@query("s01_s05_listing", "SELECT source AS name, sum(length(doc_id::VARCHAR) + length(lang) + 2)::BIGINT AS n FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def _(spark, t):
-    folder = _put(spark, _folder(spark, "texts"), {k.replace(" ", "_") + ".md": v for k, v in _nations(t).items()} | {"x.csv": "no"})
-    return files.texts(spark, folder, limit=9).select(_name().alias("name"), "text")
+    d = t("documents").where("source is not null")
+    folder = _laid_out(d, _folder(spark, "listing"), F.concat(F.col("doc_id").cast("string"), F.lit(" "), "lang"))
+    return files.listing(spark, folder).select(_source().alias("name"), F.col("length").alias("n"))
 
 
-@query("s13_question_files", "SELECT n_name AS question, 'a' AS answer FROM nation")
+@query("s07_s08_s11_texts", "SELECT source AS name, substr(string_agg(coalesce(regexp_replace(text, '[\r\n]+', ' ', 'g'), '') || chr(10), '' ORDER BY doc_id), 1, 200000) AS text FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def _(spark, t):
-    import json
+    d = t("documents").where("source is not null")
+    folder = _laid_out(d, _folder(spark, "texts"), F.coalesce(F.regexp_replace("text", r"[\r\n]+", " "), F.lit("")))
+    return files.texts(spark, folder, limit=200_000).select(_source().alias("name"), "text")
+
 
-    names = sorted(_nations(t))
-    sets = {"one.json": json.dumps([{"question": n, "answer": "a"} for n in names[:9]]), "two.json": json.dumps([{"question": n, "answer": "a"} for n in names[9:]]), "not.json": '{"x": 1}'}
-    folder = _put(spark, _folder(spark, "sets"), sets)
-    return files.read_question_sets(spark, [f"{folder}/{k}" for k in sets]).select("question", "answer")
+@query("s13_question_files", "SELECT text AS question, 'a' || item_id AS answer FROM benchmark")
+def _(spark, t):
+    one = F.struct(F.col("text").alias("question"), F.concat(F.lit("a"), "item_id").alias("answer"))
+    sets = t("benchmark").groupBy((F.col("item_id") % 7).alias("source")).agg(F.to_json(F.sort_array(F.collect_list(one))).alias("value"), F.min("item_id").alias("doc_id"))
+    folder = _laid_out(sets, _folder(spark, "sets"), F.col("value"))
+    spark.range(1).selectExpr("'not' AS source", "0 AS doc_id", """'{"x": 1}' AS value""").select("source", "value").write.mode("append").partitionBy("source").text(folder)
+    return files.read_question_sets(spark, [folder]).select("question", "answer")
 
 
 @query("s18_s19_s27_five_fields", f"WITH {ITEMS_SQL} SELECT doc_id, option AS fault, k::VARCHAR AS severity, NULL::VARCHAR AS missing, '0.5' AS accuracy, 'x: y' AS note FROM items")

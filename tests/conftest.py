@@ -1,6 +1,32 @@
+import os
+import signal
+
 import pytest
 from pyspark.sql import SparkSession
 
+#: Seconds that a test may take.
+LIMIT = int(os.environ.get("SCHOLIA_TEST_LIMIT", "420"))
+
+
+def pytest_collection_modifyitems(items):
+    """The operators' own folders, whose tests take longest, come last."""
+    here = os.path.dirname(__file__)
+    items.sort(key=lambda x: os.path.dirname(str(x.path)) != here)
+
+
+@pytest.fixture(autouse=True)
+def limited():
+    """A test that does not end fails, and the others go on."""
+
+    def late(*_):
+        raise TimeoutError(f"more than {LIMIT} seconds")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(LIMIT)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
