@@ -388,6 +388,50 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in final} == {k for k, _ in brute_pipeline(rows)}
 
 
+def test_pipeline_mixture_and_sequences(spark, tmp_path):
+    """Documents as often as their rates say, tokens by domain near their targets, and sequences that hold each copy whole."""
+    from scholia.llm import packing
+    from scholia.llm.queries import WEIGHTS
+
+    rows = [(k, " ".join(words(k, 40)) + (" scum idiot" if k % 10 == 0 else "") + (" ### $$$ ||| &&&" * 8 if k % 5 == 1 else "")) for k in range(300)]
+    d = spark.createDataFrame([(k, t, "en", "s", len(t), "x", 7) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, th_ string, copies_ int")
+    spark.createDataFrame([(k, int(k % 5 != 1), int(k % 10 == 0)) for k in range(0, 300, 2)] + [(1, 0, 0), (11, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    mixed = corpus_pipeline.mixture(spark, d, str(tmp_path))
+    assert mixed.columns == d.columns
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(d, labels, WEIGHTS).collect()}
+    got = {}
+    for r in mixed.collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    packed = corpus_pipeline.sequences(spark, mixed, str(tmp_path)).collect()
+    held, at = {}, {}
+    for r in packed:
+        held[r["doc_id"]] = held.get(r["doc_id"], 0) + r["length"]
+        at.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert held == {k: got[k] * (len(packing.encode(t)) + 1) for k, t in rows if k in got}
+    for spans in at.values():
+        ends = 0
+        for offset, length in sorted(spans):
+            assert offset == ends
+            ends += length
+        assert ends <= packing.CAPACITY
+    assert len(at) <= -(-sum(held.values()) // packing.CAPACITY) + 1
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, None), (None, None), (3, "")]])
+def test_pipeline_of_nothing(spark, tmp_path, rows):
+    fields = "doc_id long, text string, lang string, source string, n_chars long, th_ string, n_ long, copies_ int, row string"
+    spark.createDataFrame([(k, t, None, None, None, "x", 1, 2, "y") for k, t in rows], fields).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == frame.columns
+        frame = Scratch(spark, "t").keep(out)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_ranges_follow_measured_bytes():
     assert lm_scoring.ranges(19 * 900, 4) == lm_scoring.LEAST_RANGES
     assert lm_scoring.ranges(0, 300) == 1024
