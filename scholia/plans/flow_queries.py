@@ -87,3 +87,45 @@ def _(spark, t):
     asked = t("benchmark").select("item_id", providers.relevance_prompt(F.col("text")).alias("prompt"))
     got, _ = providers.respond(asked, none, providers.stub, limit=providers.Limit(2000.0, 8))
     return got.select("item_id", providers.relevance(F.col("response"))["score"].alias("score"))
+
+
+def _errors(t) -> DataFrame:
+    """Wrong answers: which of two methods failed, from the numbers of a part."""
+    k = F.col("p_partkey")
+    reason = F.when(k % 3 == 0, "method1").when(k % 3 == 1, "method2").otherwise("method1, method2")
+    return t("part").select(F.concat(F.lit("q"), F.lpad(k.cast("string"), 8, "0")).alias("base_name"), reason.alias("reason"), (k % 5).cast("string").alias("correct"), (k % 4).cast("string").alias("one"), (k % 7).cast("string").alias("two"))
+
+
+def _share_sql(n: str, total: str) -> str:
+    return f"printf('%.1f', CASE WHEN {total} = 0 THEN 0 ELSE {n} * 100.0 / {total} END::DOUBLE) || '%'"
+
+
+_ERROR_SQL = f"""WITH e AS (SELECT 'q' || lpad(p_partkey::VARCHAR, 8, '0') AS b, p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'method1' WHEN 1 THEN 'method2' ELSE 'method1, method2' END AS reason FROM part),
+r AS (SELECT *, row_number() OVER (ORDER BY b) AS i, CASE reason WHEN 'method1' THEN 0 WHEN 'method2' THEN 1 ELSE 2 END AS g FROM e),
+n AS (SELECT count(*) AS n, count(*) FILTER (g IN (0, 2)) AS n1, count(*) FILTER (g IN (1, 2)) AS n2, count(*) FILTER (g = 2) AS nb FROM r),
+lists AS (SELECT g, count(*) AS m, unnest([0, 1, 2]) AS part FROM r GROUP BY g)
+SELECT 0 AS section, unnest(generate_series(0, 11))::BIGINT AS i, 0 AS j, unnest(['INCORRECT ANSWERS ANALYSIS REPORT', repeat('=', 80), '', 'SUMMARY STATISTICS:', repeat('-', 40), 'Total Questions with Errors: ' || n, 'Method 1 Errors: ' || n1, 'Method 2 Errors: ' || n2, 'Both Methods Error: ' || nb, 'Method 1 Only Errors: ' || (n1 - nb), 'Method 2 Only Errors: ' || (n2 - nb), '']) AS value FROM n
+UNION ALL SELECT 1, unnest([0, 1]), 0, unnest(['ERROR BREAKDOWN BY QUESTION:', repeat('-', 40)])
+UNION ALL SELECT 1, i + 999, unnest(generate_series(0, 5))::INT, unnest([lpad(i::VARCHAR, greatest(3, length(i::VARCHAR))::INT, ' ') || '. ' || b, '     Error Type: ' || reason, '     Correct Answer: ' || (k % 5), '     Method 1 Predicted: ' || (k % 4), '     Method 2 Predicted: ' || (k % 7), '']) FROM r
+UNION ALL SELECT 2, unnest([0, 1]), 0, unnest(['ERROR PATTERNS:', repeat('-', 40)])
+UNION ALL SELECT 3 + 3 * g, 0, 0, CASE g WHEN 0 THEN 'Method 1 Only Errors' WHEN 1 THEN 'Method 2 Only Errors' ELSE 'Both Methods Error' END || ' (' || m || '):' FROM lists WHERE part = 0
+UNION ALL SELECT 4 + 3 * g, 0, 0, '  - ' || b FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY b) AS w FROM r) WHERE w <= 10
+UNION ALL SELECT 5 + 3 * g, 0, 0, '  ... and ' || (m - 10) || ' more' FROM lists WHERE part = 0 AND m > 10
+UNION ALL SELECT 5 + 3 * g, 1, 0, '' FROM lists WHERE part = 0
+UNION ALL SELECT 12, unnest(generate_series(0, 6))::BIGINT, 0, unnest(['BASIC INSIGHTS:', repeat('-', 40), '• Method 1 Error Rate: ' || {_share_sql("n1", "n")}, '• Method 2 Error Rate: ' || {_share_sql("n2", "n")}, '• Agreement in Errors: ' || {_share_sql("nb", "n")},
+  CASE WHEN n1 > n2 THEN '• Method 1 appears more error-prone than Method 2' WHEN n2 > n1 THEN '• Method 2 appears more error-prone than Method 1' ELSE '• Both methods have similar error rates' END, '• Error Agreement Rate: ' || {_share_sql("nb", "least(n1, n2)")} || ' (when errors occur)']) FROM n"""
+
+
+@query("k18_error_report", _ERROR_SQL)
+def _(spark, t):
+    from scholia.sources.reports import error_report
+
+    return error_report(_errors(t))
+
+
+@query("k21_extraction_text", "SELECT 0 AS section, row_number() OVER (ORDER BY '/x/' || lpad(doc_id::VARCHAR, 9, '0') || '.txt') - 1 AS i, 0 AS j, '# ' || lpad(doc_id::VARCHAR, 9, '0') || '.txt' || chr(10) || chr(10) || trim(coalesce(text, ''), ' ') AS value FROM documents")
+def _(spark, t):
+    from scholia.sources.reports import extraction_text
+
+    path = F.concat(F.lit("/x/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt"))
+    return extraction_text(t("documents").select(path.alias("path"), "text"))
