@@ -253,7 +253,8 @@ def _by_block(batches: Iterator[pa.RecordBatch], field: str) -> Iterator[tuple]:
                 continue
             if table is None:
                 table = pa.chunked_array(held).combine_chunks() if held else None
-            for ids, n, codes in zip(part.column("ids"), part.column("n"), part.column("codes"), strict=True):
+            text = part.column("text")
+            for ids, n, codes in zip(text.field("ids"), text.field("n"), text.field("codes"), strict=True):
                 n = np.frombuffer(n.as_py(), "<i4").astype(np.int64)
                 yield now, table, np.frombuffer(ids.as_py(), np.int64).reshape(2, -1), n, _codes(codes.as_py(), int(n.sum()))
 
@@ -347,15 +348,22 @@ def aligned(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     facts = aligned_segments(t, s)
     s.drop(t)
 
-    def by_block(found: DataFrame, field: str, kind: str) -> DataFrame:
-        """What each block asked for, then its texts."""
-        void = [F.lit(None).cast("binary").alias(c) for c in ("ids", "n", "codes")]
-        own_texts = texts.select("at", F.lit(None).cast(kind).alias(field), "ids", "n", "codes")
-        both = asks.join(found.select("seg", field), "seg").select("at", field, *void).union(own_texts)
+    def answered(found: DataFrame, field: str) -> DataFrame:
+        """What each block asked for: written, so that the shuffles which find it are gone when it is dealt by block."""
+        return s.keep(asks.join(found.select("seg", field), "seg").select("at", field), "sent")
+
+    def by_block(sent: DataFrame, field: str, kind: str) -> DataFrame:
+        """The answers of each block, then its texts."""
+        text = F.struct("ids", "n", "codes")
+        own_texts = texts.select("at", F.lit(None).cast(kind).alias(field), text.alias("text"))
+        void = F.lit(None).cast(own_texts.schema["text"].dataType)
+        both = sent.select("at", field, void.alias("text")).union(own_texts)
         return both.repartition(n, F.shiftright("at", _CODE)).sortWithinPartitions("at")
 
-    held = by_block(facts, "pairs", "array<int>").mapInArrow(_pair_counts, "pair long, n long")
+    sent = answered(facts, "pairs")
+    held = by_block(sent, "pairs", "array<int>").mapInArrow(_pair_counts, "pair long, n long")
     counts = s.keep(held.groupBy("pair").agg(F.sum("n").alias("docs")), "counts")
+    s.drop(sent)
     most = counts.groupBy(F.expr(f"pair div {PAIR}").alias("a")).agg(F.max("docs").alias("most"))
     ranked = s.keep(counts.withColumn("a", F.expr(f"pair div {PAIR}")).join(most, "a").select(F.col("pair").cast("int"), "docs", (F.col("docs") == F.col("most")).cast("long").alias("best")), "ranked")
     small = F.broadcast(ranked) if s.bytes(s.paths[-1]) <= SMALL else ranked
@@ -365,5 +373,7 @@ def aligned(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     told = F.when(F.col("groups").isNotNull(), F.concat_ws(" ", *(c.cast("string") for c in numbered), "groups"))
     full = s.keep(facts.drop("pairs", "ns").join(scored, "sid", "left").select("seg", told.alias("told")), "full")
     s.drop(facts)
-    out = by_block(full, "told", "string").mapInArrow(_scored, f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string")
+    sent = answered(full, "told")
+    s.drop(full)
+    out = by_block(sent, "told", "string").mapInArrow(_scored, f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string")
     return s.sweep(out)
