@@ -39,7 +39,8 @@ BASE = 1.5
 PROBES = 4
 #: Ranges of hashes: LEAST_RANGES at least, more as the table grows, MOST_RANGES at most (then ranges grow).
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 8 << 20, 256, 1 << 22
-MAX_BITS = 31
+#: The largest filter that is broadcast: 128 MB in each Python worker.
+MAX_BITS = 30
 BITS_PER_EVENT = 12
 TOP = 1 << 18
 FLUSH = 1 << 20
