@@ -1,4 +1,4 @@
-"""Text reports as tables of lines (K17, K18, K21): section, i, j, value; in that order they are the text.
+"""Text reports as tables of lines (K17-K19, K21): section, i, j, value; in that order they are the text.
 
 Every section is a rollup or a list of the rows themselves, so a report over any number of rows is made by tasks; what is
 written last is ordered by ranges (``written_report``). Nothing is assembled on the driver.
@@ -109,6 +109,45 @@ def fault_report(faults: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _titled(c: Column) -> Column:
+    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def _figure(c: Column, places: int = 3) -> Column:
+    return F.format_string(f"%.{places}f", c.cast("double"))
+
+
+def comparison_report(sizes: DataFrame, differences: DataFrame, stats: DataFrame, flow: DataFrame, shown: int = 15, limit: float = 0.05) -> DataFrame:
+    """Sizes (group, n), differences (feature, one, two, effect, p, mean1, mean2), stats (feature, group, mean, std, least,
+    most) and steps of reasoning (group, step, n): significant differences by effect, figures of each feature, common steps."""
+    one = sizes.agg(F.count("*").alias("n"))
+    out = [_lines(0, one, "REASONING STRUCTURE COMPARISON REPORT", TITLE_RULE, "", "GROUPS ANALYZED:", RULE)]
+    groups = numbered(sizes, "group")
+    out.append(_entries(1, groups, F.col("i"), F.concat("group", F.lit(": "), _number(F.col("n")), F.lit(" files"))))
+    told = differences.where(F.col("p") < limit)
+    none = F.when(F.col("n") == 0, "No statistically significant differences found.")
+    out.append(_lines(2, told.agg(F.count("*").alias("n")), "", f"SIGNIFICANT DIFFERENCES (p < {limit:g}):", RULE, none).where("value is not null"))
+    top = told.withColumn("place", F.struct((-F.abs("effect")).alias("e"), "feature", "one", "two")).orderBy("place").limit(shown)
+    ranked = numbered(top, "place")
+    way = F.when(F.col("mean1") > F.col("mean2"), "higher").otherwise("lower")
+    own = [F.concat(F.lpad(_number(F.col("i") + 1), 2, " "), F.lit(". "), _titled(F.col("feature"))), F.concat(F.lit("    Groups: "), "one", F.lit("_vs_"), "two"), F.concat(F.lit("    Effect size: "), _figure(F.col("effect"))), F.concat(F.lit("    P-value: "), _figure(F.col("p"), 6))]
+    own += [F.concat(F.lit("    "), "one", F.lit(" mean: "), _figure(F.col("mean1"))), F.concat(F.lit("    "), "two", F.lit(" mean: "), _figure(F.col("mean2"))), F.concat(F.lit("    Direction: "), "one", F.lit(" is "), way), F.lit("")]
+    out.append(_entries(3, ranked, F.col("i"), *own))
+    out.append(_lines(4, one, "", "GROUP STATISTICS SUMMARY:", RULE))
+    line = F.concat(F.lit("  "), "group", F.lit(": "), _figure(F.col("mean")), F.lit(" ± "), _figure(F.col("std")), F.lit(" (range: "), _figure(F.col("least")), F.lit("-"), _figure(F.col("most")), F.lit(")"))
+    # a feature's lines are one entry: a line for each group
+    features = stats.groupBy("feature").agg(F.transform(F.sort_array(F.collect_list(F.struct("group", line.alias("line")))), lambda x: x["line"]).alias("of"))
+    features = numbered(features, "feature").withColumn("all", F.concat(F.array(F.lit(""), F.concat(_titled(F.col("feature")), F.lit(":"))), "of"))
+    out.append(features.select(F.lit(5).alias("section"), "i", F.posexplode("all").alias("j", "value")))
+    out.append(_lines(6, one, "", "ARGUMENTATION FLOW PATTERN ANALYSIS:", RULE))
+    steps = flow.groupBy("group").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "step"))), 1, 5).alias("top"))
+    share = F.transform("top", lambda x: F.concat(F.lit("    "), _titled(x["step"]), F.lit(": "), _number(-x["n"]), F.lit(" ("), _share(-x["n"], F.col("total")), F.lit(")")))
+    head = F.array(F.lit(""), F.concat("group", F.lit(":")), F.concat(F.lit("  Total reasoning steps: "), _number(F.col("total"))), F.concat(F.lit("  Unique patterns: "), _number(F.col("kinds"))), F.lit("  Most common patterns:"))
+    steps = numbered(steps, "group").withColumn("all", F.concat(head, share))
+    out.append(steps.select(F.lit(7).alias("section"), "i", F.posexplode("all").alias("j", "value")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def extraction_text(results: DataFrame) -> DataFrame:
     """Results (path, text) in order of path, each under its file's name; written with a blank line between them."""
     told = F.concat(F.lit("# "), F.element_at(F.split("path", "/"), -1), F.lit("\n\n"), F.trim(F.coalesce("text", F.lit(""))))

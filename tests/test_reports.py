@@ -56,6 +56,23 @@ def test_fault_report(spark, tmp_path):
     assert "".join(p.read_text() for p in files) == "".join(x + "\n" for x in got)
 
 
+def test_comparison_report(spark):
+    sizes = spark.createDataFrame([("good", 3), ("bad", 2)], "group string, n int")
+    diffs = spark.createDataFrame([("flow_length", "good", "bad", -1.5, 0.01, 1.0, 2.0), ("evidence_count", "good", "bad", 2.25, 0.001, 4.0, 1.5), ("mean_position", "good", "bad", 9.0, 0.2, 1.0, 1.0)], "feature string, one string, two string, effect double, p double, mean1 double, mean2 double")
+    stats = spark.createDataFrame([("flow_length", "good", 1.0, 0.5, 0.0, 2.0), ("flow_length", "bad", 2.0, 0.25, 1.0, 3.0)], "feature string, group string, mean double, std double, least double, most double")
+    flow = spark.createDataFrame([("good", "LOGICAL_INFERENCE", 6), ("good", "CONCLUSION", 2), ("bad", "CONCLUSION", 1)], "group string, step string, n int")
+    got = [r["value"] for r in R.comparison_report(sizes, diffs, stats, flow).orderBy("section", "i", "j").collect()]
+    rule = "-" * 40
+    want = ["REASONING STRUCTURE COMPARISON REPORT", "=" * 80, "", "GROUPS ANALYZED:", rule, "bad: 2 files", "good: 3 files", "", "SIGNIFICANT DIFFERENCES (p < 0.05):", rule]
+    want += [" 1. Evidence Count", "    Groups: good_vs_bad", "    Effect size: 2.250", "    P-value: 0.001000", "    good mean: 4.000", "    bad mean: 1.500", "    Direction: good is higher", ""]
+    want += [" 2. Flow Length", "    Groups: good_vs_bad", "    Effect size: -1.500", "    P-value: 0.010000", "    good mean: 1.000", "    bad mean: 2.000", "    Direction: good is lower", ""]
+    want += ["", "GROUP STATISTICS SUMMARY:", rule, "", "Flow Length:", "  bad: 2.000 ± 0.250 (range: 1.000-3.000)", "  good: 1.000 ± 0.500 (range: 0.000-2.000)", "", "ARGUMENTATION FLOW PATTERN ANALYSIS:", rule]
+    want += ["", "bad:", "  Total reasoning steps: 1", "  Unique patterns: 1", "  Most common patterns:", "    Conclusion: 1 (100.0%)", "", "good:", "  Total reasoning steps: 8", "  Unique patterns: 2", "  Most common patterns:", "    Logical Inference: 6 (75.0%)", "    Conclusion: 2 (25.0%)"]
+    assert got == want
+    none = R.comparison_report(sizes, diffs.where("p > 0.1"), stats, flow).where("section = 2").orderBy("i").collect()
+    assert none[-1]["value"] == "No statistically significant differences found."
+
+
 def test_extraction_text(spark, tmp_path):
     df = spark.createDataFrame([("/a/b.txt", " two "), ("/a/a.pdf", "one"), ("/c/z.md", None)], "path string, text string")
     R.written_report(R.extraction_text(df), f"{tmp_path}/all", "\n\n")
