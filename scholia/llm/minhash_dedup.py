@@ -375,7 +375,7 @@ def similar_components(docs: DataFrame, sets: DataFrame, s: Scratch, words: int,
     links = candidates(sets, s, percent, trees)
     ids = s.keep(links.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ids")
     full = s.keep(full_sets(docs, ids, words), "sets", TEXTS)
-    sure = s.keep(confirmed(links, full, percent), "sure")
+    sure = s.keep(confirmed(links, full, percent), "sure", TEXTS)
     comps = components(sure, s)
     clusters = components(links, s)
     # members of clusters that fall into several components, without each cluster's largest
