@@ -127,7 +127,7 @@ def test_pagerank_matches_dense(spark):
 
 
 def test_cooccurrence_weights(spark):
-    toks = spark.createDataFrame([(1, k, t) for k, t in enumerate("abcda")], "doc int, pos int, term string")
+    toks = spark.createDataFrame([(1, list("abcda")), (2, ["x", "y"]), (3, ["x"]), (4, [])], "doc int, words array<string>")
     got = {(r["src"], r["dst"]): r["weight"] for r in K.cooccurrence(toks).collect()}
     want = {}
     s = "abcda"

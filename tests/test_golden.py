@@ -7,6 +7,7 @@ from scholia.functions import choices as R
 from scholia.functions import extraction as X
 from scholia.functions import reasoning as C
 from scholia.functions import text as T
+from scholia.operators import keywords as K
 from scholia.operators import positional
 from scholia.operators import vectors as V
 from scholia.plans import providers
@@ -115,10 +116,16 @@ def test_numbers_and_neighbours(spark):
     assert sorted((r["key"], r["i"]) for r in positional.numbered(rows, "key").collect()) == [(k, k) for k in range(50)]
     e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
     assert V.top_neighbours(e.limit(0), e, "id", "v").count() == 0
-    one = V.top_neighbours(e, e, "id", "v", 1, block=1).collect()
+    one = V.top_neighbours(e, e, "id", "v", 1, held=1).collect()
     assert sorted((r["src"], r["dst"]) for r in one) == [(1, 2), (2, 1)]
 
 
+def test_grams(spark):
+    rows = spark.createDataFrame([(list("abcd"),), (["a"],), ([],)], "w array<string>")
+    got = rows.select(K.grams(F.col("w"), 2).alias("two"), K.grams(F.col("w"), 3).alias("three"), K.grams(F.col("w"), 2, 1).alias("apart")).collect()
+    assert [tuple(r) for r in got] == [(["a b", "b c", "c d"], ["a b c", "b c d"], ["a c", "b d"]), ([], [], []), ([], [], [])]
+
+
 def test_a_missing_page_is_an_error():
     reader = search.SearchReader({"endpoint": "http://127.0.0.1:9/none", "keyword": "x", "wait": "0"})
     with pytest.raises(OSError):
