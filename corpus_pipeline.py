@@ -14,6 +14,14 @@ from scholia.llm.queries import WEIGHTS
 from scholia.llm.scratch import Scratch
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs has not."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages the table itself teaches: with letters, and told shorter by some language's contexts
     than without any."""
@@ -25,30 +33,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one of its rows where a text stands there twice under one doc_id. Rows without doc_id can't be named and stay."""
     gone = minhash_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti")
-    th = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th_")
-    twice = Scratch(spark, "rows").keep(out.where("doc_id is not null").select("doc_id", th).groupBy("doc_id", "th_").agg(F.count("*").alias("n_")).where("n_ > 1"))
+    th, n = _free(docs, "th_"), _free(docs, "n_")
+    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias(th)
+    twice = Scratch(spark, "rows").keep(out.where("doc_id is not null").select("doc_id", hashed).groupBy("doc_id", th).agg(F.count("*").alias(n)).where(F.col(n) > 1))
     if twice.limit(1).count():
-        keyed = out.withColumn("th_", th)
-        again = keyed.join(twice.select("doc_id", "th_"), ["doc_id", "th_"], "left_semi").dropDuplicates(["doc_id", "th_"])
-        out = keyed.join(twice.select("doc_id", "th_"), ["doc_id", "th_"], "left_anti").unionByName(again)
+        keyed = out.withColumn(th, hashed)
+        again = keyed.join(twice.select("doc_id", th), ["doc_id", th], "left_semi").dropDuplicates(["doc_id", th])
+        out = keyed.join(twice.select("doc_id", th), ["doc_id", th], "left_anti").unionByName(again)
     return out.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that repeat; a document of which nothing but white space is left goes."""
-    out = suffix_dedup.remove_repeats(docs)
-    out = out.withColumn("text", F.col("kept_text"))
-    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # the other columns travel as one, so that none of their names meets the operator's
+    out = suffix_dedup.remove_repeats(docs.select("doc_id", "text", F.struct(*rest).alias("rest")))
+    out = out.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    told = {c: F.col("rest").getField(c) for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    told["n_chars"] = F.when(F.col("n_removed") == 0, told["n_chars"]).otherwise(F.length("kept_text"))
+    return out.select(*(told[c].alias(c) for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the proportions of WEIGHTS: each as often as its rate, rounded by its own hash, says; none, once or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    copies = mixing.mix(docs, labels, WEIGHTS).where("copies <> 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies_"))
+    name = _free(docs, "copies_")
+    copies = mixing.mix(docs, labels, WEIGHTS).where("copies <> 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias(name))
     # a document without a row there stays once; so do those without doc_id
-    out = docs.join(copies, "doc_id", "left").withColumn("copies_", F.coalesce("copies_", F.lit(1)))
-    out = out.where("copies_ > 0").withColumn("copies_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
+    out = docs.join(copies, "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(1)))
+    out = out.where(F.col(name) > 0).withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name))))
     return out.select(*docs.columns)
 
 
