@@ -314,10 +314,15 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, table, ids, n, codes in _by_block(batches, "told"):
         if block != now or ready is None:
             now = block
-            split = [] if table is None else [x.split(b" ") if x else None for x in table.cast(pa.binary()).to_pylist()]
+            size = 0 if table is None else len(table)
+            numbers, texts, bad = np.zeros((len(_NUMBERS), size), np.int64), [], np.zeros(size, bool)
             none = [b"0"] * len(_NUMBERS) + [b""]
-            cols = list(zip(*(x or none for x in split), strict=True)) or [[]] * (len(_NUMBERS) + 1)
-            ready = [np.array(c, dtype=object).astype(np.int64) for c in cols[:-1]], cols[-1], np.array([x is None for x in split], bool)
+            for a in range(0, size, 1 << 14):  # few rows at a time: what is read of them is small beside their parts
+                told = [x.split(b" ") if x else none for x in table.slice(a, 1 << 14).cast(pa.binary()).to_pylist()]
+                numbers[:, a : a + len(told)] = np.array([x[:-1] for x in told]).astype(np.int64).T
+                bad[a : a + len(told)] = [x is none for x in told]
+                texts += [x[-1] for x in told]
+            ready = numbers, texts, bad
         numbers, texts, bad = ready
         mine = _valid(bad, n, codes) & (n > 0)
         row = np.repeat(np.arange(len(n)), n)
