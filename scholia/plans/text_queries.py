@@ -283,7 +283,7 @@ def _(spark, t):
 
 @query("c09_structure_features")
 def _(spark, t):
-    s = reasoned(t).select("doc_id", C.structure(F.col("text")).alias("s"))
+    s = reasoned(t).select("doc_id", C.outline(F.col("text")).alias("s"))
     return s.select("doc_id", *(c.alias(k) for k, c in C.features(F.col("s")).items()))
 
 

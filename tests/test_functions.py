@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 
 import numpy as np
 import pytest
@@ -232,3 +233,13 @@ def test_scoring_pipeline(spark):
     models = spark.createDataFrame([("m1",), ("m2",)], "model string")
     out = pipelines.benchmark(pipelines.score_answers(q, models, spark.createDataFrame([], "prompt_hash string, response string"), providers.stub)).collect()
     assert {r["model"] for r in out} == {"m1", "m2"} and all(r["total"] == 12 and r["mc_count"] == 12 for r in out)
+
+
+def test_patterns_are_linear(spark):
+    """Long lines of many openings without an end, and many hits in a text: neither is met pair by pair."""
+    text = "the more " * 20_000 + ". " + "maybe " * 4_000
+    began = time.time()
+    made = spark.createDataFrame([(text,), (None,)], "t string").select(*(C.pattern_count(F.col("t"), k).alias(k) for k in ("evidence", "logical_connector")), C.pattern_hits(F.col("t"), "uncertainty").alias("h"), C.outline(F.col("t")).alias("s"))
+    got = made.select("evidence", "logical_connector", "h", C.features(F.col("s"))["uncertainty_std_position"]).collect()
+    assert got[0][:2] == (0, 0) and len(got[0][2]) == 4_000 and got[0][2][-1]["position"] == (len(text) - 6) / len(text) and got[0][3] > 0
+    assert got[1][:3] == (None, None, None) and time.time() - began < 60
