@@ -414,7 +414,7 @@ def _(spark, t):
     from scholia.sources.sinks import envelope
     from scholia.sources.files import read_envelopes
 
-    # a round trip: results to one JSON envelope a model, and back to rows
+    # a round trip: results to a JSON envelope a model, or parts of one, and back to rows
     env = envelope(results(t), "model", {"kind": F.lit("results")})
     rows = read_envelopes(env.select(F.col("json").alias("value")), "model string, score double, skipped boolean")
     return rows.groupBy("model").agg(F.count("*").alias("n"), F.count_if(~F.col("skipped")).alias("kept"), F.avg("score").alias("accuracy"))

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def envelope(rows: DataFrame, by: str, metadata: dict[str, Column]) -> DataFrame:
-    """One JSON document per key: metadata and results. A run's results are one document by contract."""
-    fields = [c for c in rows.columns]
-    packed = rows.groupBy(by).agg(F.count("*").alias("total"), F.collect_list(F.struct(*fields)).alias("results"))
+def envelope(rows: DataFrame, by: str, metadata: dict[str, Column], most: int = 20_000) -> DataFrame:
+    """JSON documents of metadata and results, one per key or, of many rows, several: a document holds at most `most`
+    results of one stretch of the table, and each says the whole key's total. So no row is as large as a run."""
+    fields = [F.col(f"`{c}`") for c in rows.columns]
+    packed = rows.select(F.struct(*fields).alias("row_"), F.floor(F.monotonically_increasing_id() / most).alias("part_"))
+    packed = packed.groupBy(F.col("row_")[by].alias(by), "part_").agg(F.collect_list("row_").alias("results"))
+    total = rows.groupBy(F.col(by).alias("key_")).agg(F.count("*").alias("total"))
+    packed = packed.join(total, F.col(by).eqNullSafe(F.col("key_")))
     meta = F.struct(F.col(by), F.col("total"), *(c.alias(k) for k, c in metadata.items())).alias("metadata")
     return packed.select(by, F.to_json(F.struct(meta, "results")).alias("json"))
 

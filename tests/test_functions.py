@@ -243,3 +243,10 @@ def test_patterns_are_linear(spark):
     got = made.select("evidence", "logical_connector", "h", C.features(F.col("s"))["uncertainty_std_position"]).collect()
     assert got[0][:2] == (0, 0) and len(got[0][2]) == 4_000 and got[0][2][-1]["position"] == (len(text) - 6) / len(text) and got[0][3] > 0
     assert got[1][:3] == (None, None, None) and time.time() - began < 60
+
+
+def test_large_envelopes_come_in_parts(spark):
+    rows = spark.range(1000).select(F.col("id").alias("q"), F.when(F.col("id") % 10 > 0, "m").alias("model"))
+    docs = [(r["model"], json.loads(r["json"])) for r in sinks.envelope(rows, "model", {"kind": F.lit("k")}, most=64).collect()]
+    assert all(len(d["results"]) <= 64 and d["metadata"]["total"] == (900 if m else 100) for m, d in docs)
+    assert sorted(x["q"] for _, d in docs for x in d["results"]) == list(range(1000))
