@@ -71,3 +71,27 @@ def test_chains_meet_on_two_words(spark):
             if d == e and i < j and n >= 2:
                 want[i, j] = round(n / max(len(set(c.split())), len(set(p.split()))), 9)
     assert got == want
+
+
+def test_chain_links_count_the_pairs(spark, monkeypatch):
+    """Many arguments of a few texts: their pairs are counted, not made."""
+    monkeypatch.setattr(L, "RANGE", 7)
+    rnd = random.Random(5)
+    text = lambda n: " ".join(rnd.choice("abcdef") for _ in range(n))
+    texts = [(text(3), text(4)) for _ in range(9)]
+    rows = [(o % 3, o, *rnd.choice(texts)) for o in range(150)]
+    df = spark.createDataFrame(rows, "doc int, ord int, conclusion string, premise string")
+    pairs = [(r["i"], r["j"], r["strength"]) for r in L.chains(df).collect()]
+    got = L.chain_links(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        after = [s for i, _, s in pairs if i == r["ord"]]
+        assert (r["n_next"], r["n_prev"]) == (len(after), sum(j == r["ord"] for _, j, _ in pairs)) and abs(r["strength"] - sum(after)) < 1e-9
+        assert r["class_id"] == min(o for d, o, *x in rows if d == r["doc"] and x == [*rows[r["ord"]][2:]])
+
+
+def test_similar_clauses_shuffle_no_words(spark):
+    """The clauses are dealt once; words and pairs stay in the task."""
+    c = spark.createDataFrame([(1, 0, "a b c", "b", ["a"])], "doc long, ord int, normalized_form string, predicate string, subjects array<string>")
+    plan = L.similar_pairs(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
