@@ -5,6 +5,11 @@ A document's tokens stay one array: n-grams and windows are made inside it, so t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +31,81 @@ def grams(words: Column, n: int, skip: int = 0) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), text)).otherwise(F.array().cast("array<string>"))
 
 
-def term_counts(docs: DataFrame, longest: int = 1) -> DataFrame:
-    """doc, term, tf of the words and, for a longest above 1, of the n-grams up to it."""
-    terms = F.concat(F.col("words"), *(grams(F.col("words"), n) for n in range(2, longest + 1)))
-    return docs.select("doc", F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+# Fixed value: words of a batch that are counted together (a document at least).
+WORDS = 200_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Rows of some WORDS words, their words in a row, and of each word the row."""
+    for b in batches:
+        many = pc.fill_null(pc.list_value_length(b["words"]), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(many, dtype=np.int64), 0
+        while at < len(b):
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right")) - at)
+            part = b.slice(at, n)
+            yield part, part["words"].flatten(), np.repeat(np.arange(n), many[at : at + n])
+            at += n
+
+
+def _apart(flat: pa.Array, row: np.ndarray, places: list[int]) -> tuple[list[pa.Array], np.ndarray]:
+    """The words at given places from each word on, where all are of one row, and that row."""
+    m = max(0, len(flat) - places[-1])
+    same = row[places[-1] :][:m] == row[:m]
+    return [flat.slice(k, m).filter(pa.array(same)) for k in places], row[:m][same]
+
+
+def _texts(flat: pa.Array, row: np.ndarray, n: int, skip: int) -> tuple[pa.Array, np.ndarray]:
+    parts, row = _apart(flat, row, [0, *(k + skip for k in range(1, n))])
+    return (pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]), row
+
+
+def gram_counts(docs: DataFrame, kinds: dict[str, tuple[int, int]]) -> DataFrame:
+    """kind, gram, n over all documents: n-grams by name with their length and how many words are left out after the first. A
+    task counts by slices first, so that what is shuffled are counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, flat, row in _slices(batches):
+            for kind, of in kinds.items():
+                c = pc.value_counts(_texts(flat, row, *of)[0])
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(c), pa.string()), "gram": c.field("values"), "n": c.field("counts")})
+
+    return docs.select("words").mapInArrow(count, "kind string, gram string, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
+
+
+def term_counts(docs: DataFrame, longest: int = 1, of: list[str] | None = None) -> DataFrame:
+    """doc, term, tf of the words and, for a longest above 1, of the n-grams up to it; of given terms only if there are any."""
+    if of is None:
+        terms = F.concat(F.col("words"), *(grams(F.col("words"), n) for n in range(2, longest + 1)))
+        return docs.select("doc", F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    kept = pa.array(of, pa.string())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, flat, row in _slices(batches):
+            for n in range(1, longest + 1):
+                text, at = _texts(flat, row, n, 0)
+                among = pc.is_in(text, kept)
+                yield pa.RecordBatch.from_pydict({"doc": part["doc"].take(pa.array(at[among.to_numpy(zero_copy_only=False)])), "term": text.filter(among)})
+
+    kind = docs.schema["doc"].dataType.simpleString()
+    return docs.select("doc", "words").mapInArrow(find, f"doc {kind}, term string").groupBy("doc", "term").agg(F.count("*").alias("tf"))
+
+
+def _top_counts(docs: DataFrame, longest: int, most: int) -> tuple[DataFrame, int]:
+    """Counts by document of the `most` most frequent terms, and the number of documents with any term. All terms are counted
+    over the corpus first, so that only those few are counted by document."""
+    every = gram_counts(docs, {str(n): (n, 0) for n in range(1, longest + 1)})
+    top = [r["gram"] for r in every.orderBy(F.desc("n"), "gram").limit(most).collect()]
+    n = docs.where(F.size("words") > 0).select("doc").distinct().count()
+    return written(term_counts(docs, longest, top), "term-counts"), n
 
 
 def tfidf(docs: DataFrame, most: int | None = None) -> DataFrame:
     """Doc, term, weight: tf times smooth idf (ln((1 + n) / (1 + df)) + 1), rows of unit length; of the `most` terms with
     the greatest counts in the corpus (ties: by term)."""
-    counts = written(term_counts(docs), "term-counts")  # texts are tokenised once
+    if most:
+        docs = written(docs, "words")  # texts are tokenised once
+        return _weights(*_top_counts(docs, 1, most), most)
+    counts = written(term_counts(docs), "term-counts")
     n = counts.select("doc").distinct().count()
     return _weights(counts, n, most)
 
@@ -51,26 +121,30 @@ def _weights(counts: DataFrame, n: int, most: int | None) -> DataFrame:
 
 def tfidf_keywords(docs: DataFrame, features: int = 100, k: int = 20, longest: int = 1) -> DataFrame:
     """The k terms with the greatest mean weight over all documents; terms are words and n-grams up to `longest`."""
-    counts = written(term_counts(docs, longest), "term-counts")
-    n = counts.select("doc").distinct().count()
+    counts, n = _top_counts(written(docs, "words"), longest, features)
     return _weights(counts, n, features).groupBy("term").agg((F.sum("weight") / n).alias("score")).orderBy(F.desc("score"), "term").limit(k)
 
 
 def cooccurrence(docs: DataFrame) -> DataFrame:
     """Undirected edges (src < dst, weight) of windows of three tokens; neighbours inside count for both windows they
     are in, equal tokens not at all."""
-    w, n = F.col("words"), F.size("words")
-
-    def edge(i: Column, step: int, weight: Column) -> Column:
-        a, b = F.get(w, i), F.get(w, i + step)
-        return F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.when(b.isNotNull() & (a != b), weight).otherwise(0).alias("n"))
 
-    def edges(i: Column) -> Column:
-        near = F.when(i > 0, 1).otherwise(0) + F.when(i + 2 < n, 1).otherwise(0)
-        return F.array(edge(i, 1, near), edge(i, 2, F.lit(1)))
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, flat, row in _slices(batches):
+            m, place = len(flat), np.arange(len(flat))
+            inner = np.zeros(m, np.int64)  # windows that word k and its next are both in
+            inner[1:] += row[1:] == row[:-1]
+            inner[:-2] += row[:-2] == row[2:]
+            for step in (1, 2):
+                (a, b), _ = _apart(flat, row, [0, step])
+                k = place[: max(0, m - step)][row[step:] == row[: max(0, m - step)]]
+                weight = inner[k] if step == 1 else np.ones(len(k), np.int64)
+                low = pc.less(a, b)
+                t = pa.table({"src": pc.if_else(low, a, b), "dst": pc.if_else(low, b, a), "n": weight})
+                t = t.filter(pc.and_(pc.not_equal(a, b), pa.array(weight > 0))).group_by(["src", "dst"]).aggregate([("n", "sum")])
+                yield from t.rename_columns({"n_sum": "n"}).select(["src", "dst", "n"]).combine_chunks().to_batches()
 
-    made = F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), edges)))
-    return docs.select(F.explode(made).alias("e")).select("e.*").where("n > 0").groupBy("src", "dst").agg(F.sum("n").alias("weight"))
+    return docs.select("words").mapInArrow(edges, "src string, dst string, n long").groupBy("src", "dst").agg(F.sum("n").alias("weight"))
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100, every: int = 5) -> DataFrame:
@@ -99,7 +173,7 @@ def _term(o: Column, e: Column) -> Column:
 
 def collocations(docs: DataFrame, least: int = 3, k: int = 10) -> DataFrame:
     """Neighbours by log-likelihood ratio, of at least `least` occurrences."""
-    pairs = docs.select(F.explode(grams(F.col("words"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("nab"))
+    pairs = gram_counts(docs, {"p": (2, 0)}).select("gram", F.col("n").alias("nab"))
     parts = F.split("gram", " ")
     every = written(pairs.select(parts[0].alias("a"), parts[1].alias("b"), "nab"), "pairs")  # texts are tokenised once
     n = every.agg(F.sum("nab")).first()[0] or 0
@@ -118,14 +192,7 @@ def collocations(docs: DataFrame, least: int = 3, k: int = 10) -> DataFrame:
 def trigrams(docs: DataFrame, least: int = 2, k: int = 10) -> DataFrame:
     """Three words in a row by log-likelihood ratio against independence (eight cells of words present or not), of at
     least `least` occurrences. One pass counts words, neighbours, words two apart and trigrams."""
-    w = F.col("words")
-    kinds = {"w": w, "p": grams(w, 2), "s": grams(w, 2, 1), "t": grams(w, 3)}
-
-    def named(kind: str, g: Column) -> Column:
-        return F.transform(g, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("gram")))
-
-    told = F.flatten(F.array(*(named(kind, g) for kind, g in kinds.items())))
-    counts = written(docs.select(F.explode(told).alias("x")).select("x.*").groupBy("kind", "gram").agg(F.count("*").alias("n")), "grams")
+    counts = written(gram_counts(docs, {"w": (1, 0), "p": (2, 0), "s": (2, 1), "t": (3, 0)}), "grams")
     total = float(counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0)
     p = F.split("gram", " ")
     t = counts.where((F.col("kind") == "t") & (F.col("n") >= least)).select(*(p[i].alias(x) for i, x in enumerate("abc")), F.col("n").cast("double").alias("iii"))

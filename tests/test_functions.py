@@ -250,3 +250,19 @@ def test_large_envelopes_come_in_parts(spark):
     docs = [(r["model"], json.loads(r["json"])) for r in sinks.envelope(rows, "model", {"kind": F.lit("k")}, most=64).collect()]
     assert all(len(d["results"]) <= 64 and d["metadata"]["total"] == (900 if m else 100) for m, d in docs)
     assert sorted(x["q"] for _, d in docs for x in d["results"]) == list(range(1000))
+
+
+def test_grams_are_counted_before_they_are_dealt(spark, monkeypatch):
+    """Counts by slices of a batch equal those of all n-grams, also where slices end, for rows without words and of one."""
+    monkeypatch.setattr(K, "WORDS", 5)
+    rows = [(k, [f"w{(k * k + i * i) % 7}" for i in range(k % 9)]) for k in range(60)] + [(99, None)]
+    docs = spark.createDataFrame(rows, "doc long, words array<string>").repartition(3)
+    got = {(r["kind"], r["gram"]): r["n"] for r in K.gram_counts(docs, {"w": (1, 0), "p": (2, 0), "s": (2, 1), "t": (3, 0)}).collect()}
+    want = {}
+    for _, w in rows:
+        for kind, places in (("w", [0]), ("p", [0, 1]), ("s", [0, 2]), ("t", [0, 1, 2])):
+            for i in range(len(w or ()) - places[-1]):
+                g = kind, " ".join(w[i + p] for p in places)
+                want[g] = want.get(g, 0) + 1
+    assert got == want
+    assert "Generate" not in K.gram_counts(docs, {"t": (3, 0)})._jdf.queryExecution().optimizedPlan().toString()
