@@ -266,3 +266,8 @@ def test_grams_are_counted_before_they_are_dealt(spark, monkeypatch):
                 want[g] = want.get(g, 0) + 1
     assert got == want
     assert "Generate" not in K.gram_counts(docs, {"t": (3, 0)})._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_label_expressions_do_not_repeat_each_other(spark):
+    plan = spark.range(1).select(X.is_technical_label(X.cleaned_label(F.col("id").cast("string"))))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("after analyzing") < 10
