@@ -252,18 +252,30 @@ def alive(models: DataFrame, responses: DataFrame, provider: Provider) -> DataFr
     return models.join(got.where("response is not null").select("model"), "model", "left_semi")
 
 
+#: Rows of vectors that leave a task at once, whatever the size of a call's batch.
+TOLD = 1000
+
+
 def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[list[float]]], size: int, batch: int = 64) -> DataFrame:
-    """Key and embedding by a provider, in batches; a batch that fails gives zero vectors."""
+    """Key and embedding by a provider, in batches; a batch that fails gives zero vectors. The answers of many calls make
+    one frame, since a frame costs about as much for one row as for a thousand."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), batch):
-                part = b.iloc[k : k + batch]
-                try:
-                    got = embed(part[text].fillna("").tolist())
-                except Exception:
-                    got = [[0.0] * size] * len(part)
-                yield pd.DataFrame({key: part[key], "embedding": got})
+            held = max(batch, TOLD // batch * batch)
+            for at in range(0, len(b), held):
+                part = b.iloc[at : at + held]
+                texts, got = part[text].fillna("").tolist(), []
+                for k in range(0, len(part), batch):
+                    asked = texts[k : k + batch]
+                    try:
+                        answer = embed(asked)
+                    except Exception:
+                        answer = [[0.0] * size] * len(asked)
+                    if len(answer) != len(asked):
+                        raise ValueError(f"{len(answer)} vectors for {len(asked)} texts")
+                    got += answer
+                yield pd.DataFrame({key: part[key].array, "embedding": got})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>")

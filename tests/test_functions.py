@@ -271,3 +271,18 @@ def test_grams_are_counted_before_they_are_dealt(spark, monkeypatch):
 def test_label_expressions_do_not_repeat_each_other(spark):
     plan = spark.range(1).select(X.is_technical_label(X.cleaned_label(F.col("id").cast("string"))))._jdf.queryExecution().analyzed().toString()
     assert plan.count("after analyzing") < 10
+
+
+def test_embeddings_of_single_calls(spark):
+    """Calls of one text each, some of which fail: every key with its own vector, and no frame a row (which took 2 ms each)."""
+
+    def embed(texts):
+        if "7" in texts[0]:
+            raise RuntimeError("no embedding")
+        return [[float(x), 1.0] for x in texts]
+
+    rows = spark.range(0, 20_000, 1, 1).select("id", F.col("id").cast("string").alias("text"))
+    began = time.time()
+    got = {r["id"]: list(r["embedding"]) for r in providers.embedded(rows, "id", "text", embed, 2, batch=1).collect()}
+    assert time.time() - began < 15
+    assert got == {k: [0.0, 0.0] if "7" in str(k) else [float(k), 1.0] for k in range(20_000)}
