@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scholia.functions.text import bound
+
+
+#: How a JSON value begins.
+_BEGINS = r"^\s*[\[{\"\-0-9tfn]"
+
 
 def unfenced(c: Column) -> Column:
     """The outermost braces of a text, without code fence or prefix."""
-    inner = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(inner != "", inner).otherwise(c)
-    return F.coalesce(F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit("")), F.trim(body))
+
+    def braces(text: Column, body: Column) -> Column:
+        return bound(F.regexp_extract(body, r"(?s)(\{.*\})", 1), lambda x: F.when(x != "", x).otherwise(F.trim(text)))
+
+    def inside(text: Column) -> Column:
+        return bound(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), lambda x: bound(F.when(x != "", x).otherwise(text), lambda y: braces(y, y)))
+
+    return bound(c, inside)
 
 
 def unescaped(c: Column) -> Column:
@@ -19,9 +30,22 @@ def unescaped(c: Column) -> Column:
 
 
 def parsed(c: Column, schema: str) -> Column:
-    """The text, then its braces, then those with repaired backslashes; null if none parses."""
-    first = F.coalesce(*(F.when(F.try_parse_json(x).isNotNull(), x) for x in (F.trim(c), unfenced(c), unescaped(unfenced(c)))))
-    return F.when(first.isNotNull(), F.from_json(first, schema))
+    """The text, then its braces, then those with repaired backslashes; null if none parses. Each form is made once, and
+    tried only if it is not the form before and can begin a value: a try that fails costs an exception."""
+
+    def tried(x: Column) -> Column:
+        return F.when(x.rlike(_BEGINS) & F.try_parse_json(x).isNotNull(), x)
+
+    def repaired(x: Column) -> Column:
+        return bound(unescaped(x), lambda y: F.when(y != x, tried(y)))
+
+    def braced(before: Column, x: Column) -> Column:
+        return F.coalesce(F.when(x != before, tried(x)), repaired(x))
+
+    def first(x: Column) -> Column:
+        return F.coalesce(tried(x), bound(unfenced(x), lambda y: braced(x, y)))
+
+    return bound(bound(F.trim(c), first), lambda x: F.from_json(x, schema))
 
 
 def grade(c: Column, compat: bool = False) -> Column:

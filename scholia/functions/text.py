@@ -279,10 +279,10 @@ def cleaned_label(c: Column) -> Column:
             out = F.when(rule, cut) if out is None else out.when(rule, cut)
         return out.otherwise(x)
 
-    c = _bound(c, lambda x: without(x, LABEL_PREFIXES))
+    c = bound(c, lambda x: without(x, LABEL_PREFIXES))
     for mark in ('"', "'", ":", "*", "-"):
         c = F.regexp_replace(c, rf"^[{mark}]+|[{mark}]+$", "")
-    return _bound(F.trim(c), lambda x: without(x, LABEL_INTROS))
+    return bound(F.trim(c), lambda x: without(x, LABEL_INTROS))
 
 
 def is_technical_label(c: Column) -> Column:
@@ -300,9 +300,9 @@ def is_technical_label(c: Column) -> Column:
         w = words(low)
         n = F.size(F.filter(w, lambda v: any_of(v, INDICATORS)))
         fit = (F.length(x) >= 4) & ~any_of(low, GENERIC_LABELS + BROAD_LABELS) & (F.size(w) <= 6)
-        return fit & _bound(n, lambda k: (k > 0) & ~((k == 1) & (F.size(w) <= 3) & ~any_of(low, SPECIFIC)))
+        return fit & bound(n, lambda k: (k > 0) & ~((k == 1) & (F.size(w) <= 3) & ~any_of(low, SPECIFIC)))
 
-    return F.coalesce(_bound(c, judged), F.lit(False))
+    return F.coalesce(bound(c, judged), F.lit(False))
 
 
 def directory_description(name: Column, keywords: Column) -> Column:
@@ -359,7 +359,7 @@ NO_LABEL_WORDS = ("paper", "papers", "research", "studies", "analysis", "topic",
 NO_LABEL_OPENINGS = ("based", "after", "here", "the", "this", "these")
 
 
-def _bound(c: Column, f) -> Column:
+def bound(c: Column, f) -> Column:
     """f(c), with c evaluated once: an expression used many times would otherwise be copied into the plan as often."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
@@ -367,7 +367,7 @@ def _bound(c: Column, f) -> Column:
 def _without_opening(c: Column, openings: tuple[str, ...]) -> Column:
     """c without the first of the openings that it has, in any case."""
     pattern = "(?i)^(?:" + "|".join(o.replace(".", r"\.") for o in sorted(openings, key=len, reverse=True)) + ")"
-    return _bound(c, lambda x: F.when(x.rlike(pattern), F.trim(F.regexp_replace(x, pattern, ""))).otherwise(x))
+    return bound(c, lambda x: F.when(x.rlike(pattern), F.trim(F.regexp_replace(x, pattern, ""))).otherwise(x))
 
 
 def long_label(response: Column, papers: Column, most: int = 50) -> Column:
@@ -386,7 +386,7 @@ def long_label(response: Column, papers: Column, most: int = 50) -> Column:
         bad = low.rlike("^(?:" + "|".join(NO_LABEL_OPENINGS) + ")") | F.split(F.trim(low), r"\s+")[0].isin(*NO_LABEL_WORDS)
         return F.when((F.length(x) > 3) & ~bad, F.substring(x, 1, most)).otherwise(none)
 
-    return _bound(c, judged)
+    return bound(c, judged)
 
 
 def remaining(done: Column, total: Column, seconds: Column, most: float = 86400.0) -> Column:

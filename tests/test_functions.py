@@ -286,3 +286,13 @@ def test_embeddings_of_single_calls(spark):
     got = {r["id"]: list(r["embedding"]) for r in providers.embedded(rows, "id", "text", embed, 2, batch=1).collect()}
     assert time.time() - began < 15
     assert got == {k: [0.0, 0.0] if "7" in str(k) else [float(k), 1.0] for k in range(20_000)}
+
+
+def test_json_forms_are_made_once(spark):
+    """Every form of a model's JSON, and a plan that holds each step once (before, the search for the fence was there 48 times)."""
+    texts = {' {"a": 1} ': 1, "7": None, "null": None, "Sure.\n```json\n{\"a\": 2}\n```\nDone": 2, "x {\"a\": 3} y": 3, "```\n{\"a\": 4, \"b\": \"\\alpha\\q\"}\n```": 4, "I can't say": None, "no json": None, "": None, "{": None, "\n\t[{\"a\": 6}]": None, "say {\"a\": 5, \"b\": \"\\s\"}": 5}
+    d = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", N.parsed(F.col("t"), "struct<a:int,b:string>").alias("p"))
+    got = {r["t"]: r["p"] and r["p"]["a"] for r in d.collect()}
+    assert got == {**texts, None: None}
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("```") == 2  # begin and end of one pattern
