@@ -296,3 +296,15 @@ def test_json_forms_are_made_once(spark):
     assert got == {**texts, None: None}
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("```") == 2  # begin and end of one pattern
+
+
+def test_heads_of_texts(spark, tmp_path):
+    """At most `limit` characters of each file, decoded as Python does (malformed bytes too), and no file passes a Python worker."""
+    made = {"a": "😀".encode() * 9, "b": b"\xf0\x9f\x98" * 9 + b"x", "c": "aé€😀".encode() * 5, "d": b"\xff" * 4 + "é".encode() * 40, "f": b"ab"}
+    for name, data in made.items():
+        (tmp_path / f"{name}.txt").write_bytes(data)
+    for limit in (1, 3, 5, 9, None):
+        out = files.texts(spark, str(tmp_path), limit=limit)
+        got = {r["path"].rsplit("/", 1)[1][0]: r["text"] for r in out.collect()}
+        assert got == {k: v.decode("utf-8", "replace")[:limit] for k, v in made.items()}
+        assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
