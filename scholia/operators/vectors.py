@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,48 +27,72 @@ HELD = 16_384
 _LISTS = "src long, dst long, cosine double"
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, float) for v in vectors])
+#: Queries and base rows of a block whose products are looked at together (4 MB of them).
+QUERIES, ROWS = 256, 2048
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _best(key: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of candidates (key, score), the k greatest scores (ties: smaller key)."""
-    order = np.lexsort((key, -score), axis=1)[:, :k]
-    return np.take_along_axis(key, order, 1), np.take_along_axis(score, order, 1)
+def _merge(keys: np.ndarray, scores: np.ndarray, qk: np.ndarray, qv: np.ndarray, bk: np.ndarray, bv: np.ndarray) -> None:
+    """Put a block of base rows into the queries' lists of the k greatest scores (ties: smaller key), best first.
+
+    Only rows that reach a list's last score are looked at closer. Their scores are summed anew, row by row, so that equal
+    vectors have equal scores wherever they stand in a block."""
+    k = keys.shape[1]
+    s = qv @ bv.T
+    s[qk[:, None] == bk[None, :]] = -3.0
+    least = scores[:, -1] - 1e-9
+    if len(bk) > 4 * k and np.count_nonzero(s >= least[:, None]) > 4 * k * len(qk):
+        least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k] - 1e-9)
+    row, at = np.nonzero((s >= least[:, None]) & (s > -2.0))
+    if not len(row):
+        return
+    some = np.unique(row)
+    found = np.concatenate([(qv[row[z : z + 65536]] * bv[at[z : z + 65536]]).sum(1) for z in range(0, len(row), 65536)])
+    own, key, score = np.concatenate((np.repeat(some, k), row)), np.concatenate((keys[some].ravel(), bk[at])), np.concatenate((scores[some].ravel(), found))
+    order = np.lexsort((key, -score, own))
+    own = own[order]
+    first = np.searchsorted(own, some)
+    take = order[(first[:, None] + np.arange(k)).ravel()]
+    keys[some], scores[some] = key[take].reshape(-1, k), score[take].reshape(-1, k)
 
 
 def _tiles(k: int):
     """Rows come by tile, its queries first: k rows a query and tile leave the task; the other side streams by."""
 
-    def told(qk: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+    def told(qk: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
         on = scores > -2.0
-        return pd.DataFrame({"src": np.repeat(qk, keys.shape[1]).reshape(keys.shape)[on], "dst": keys[on], "cosine": scores[on]})
+        src = np.broadcast_to(qk[:, None], keys.shape)
+        return pa.RecordBatch.from_arrays([pa.array(src[on]), pa.array(keys[on]), pa.array(scores[on])], names=["src", "dst", "cosine"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held, qk, qv, keys, scores = None, [], None, None, None, None
         for b in batches:
-            for (at, side), part in b.groupby(["tile", "side"], sort=False):
-                if at != tile:
+            tiles, sides = (b.column(x).to_numpy().astype(np.int64) for x in ("tile", "side"))
+            cut = np.append(np.flatnonzero(np.diff(2 * tiles + sides, prepend=-1)), b.num_rows)
+            for low, high in zip(cut[:-1], cut[1:], strict=True):
+                if tiles[low] != tile:
                     if keys is not None:
                         yield told(qk, keys, scores)
-                    tile, held, keys = at, [], None
-                if side == 0:
-                    held.append(part)
+                    tile, held, keys = tiles[low], [], None
+                part = b.slice(low, high - low)
+                key, vector = part.column("key").to_numpy(), _unit(part.column("vector"))
+                if sides[low] == 0:
+                    held.append((key, vector))
                     continue
                 if not held and keys is None:
                     continue
                 if held:
-                    whole, held = pd.concat(held), []
-                    qk, qv = whole["key"].to_numpy(np.int64), _unit(whole["vector"])
-                    keys, scores = np.zeros((len(qk), k), np.int64), np.full((len(qk), k), -3.0)
-                bk, bv = part["key"].to_numpy(np.int64), _unit(part["vector"])
-                for a in range(0, len(qk), 1024):
-                    z = slice(a, a + 1024)
-                    s = qv[z] @ bv.T
-                    s[qk[z, None] == bk[None, :]] = -3.0
-                    keys[z], scores[z] = _best(np.concatenate((keys[z], np.broadcast_to(bk, s.shape)), 1), np.concatenate((scores[z], s), 1), k)
+                    qk, qv = (np.concatenate(x) for x in zip(*held, strict=True))
+                    keys, scores, held = np.zeros((len(qk), k), np.int64), np.full((len(qk), k), -3.0), []
+                for x in range(0, len(key), ROWS):
+                    for y in range(0, len(qk), QUERIES):
+                        z, w = slice(y, y + QUERIES), slice(x, x + ROWS)
+                        _merge(keys[z], scores[z], qk[z], qv[z], key[w], vector[w])
         if keys is not None:
             yield told(qk, keys, scores)
 
@@ -96,7 +120,7 @@ def top_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k
 
     both = of(queries, 0).union(of(base, 1)).repartition(across * down, "tile").sortWithinPartitions("tile", "side")
     w = Window.partitionBy("src").orderBy(F.desc("cosine"), "dst")
-    return both.mapInPandas(_tiles(k), _LISTS).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return both.mapInArrow(_tiles(k), _LISTS).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
