@@ -296,7 +296,10 @@ def disjoint_centres(groups: DataFrame, order: Column, most: int) -> DataFrame:
         taken = now if taken is None else taken.union(now)
         used = left.join(now.select("doc"), "doc", "left_semi").select("e").distinct()
         gone = left.join(used, "e", "left_semi").select("doc").distinct()
-        left = written(left.join(gone, "doc", "left_anti"), "groups")
+        rest = left.join(gone, "doc", "left_anti")
+        first = taken.orderBy("o").limit(most).agg(F.max("o").alias("last"), F.count("*").alias("n"))
+        rest = rest.join(F.broadcast(first)).where((F.col("n") < most) | (F.col("o") < F.col("last"))).drop("last", "n")
+        left = written(rest, "groups")
     if taken is None:
         return groups.select("doc", F.lit(0).alias("place")).limit(0)
     top = taken.orderBy("o").limit(most).agg(F.sort_array(F.collect_list("o")).alias("l"))

@@ -205,3 +205,31 @@ def test_centres_are_the_greedy_choice(spark):
             want.setdefault(d, i)
     docs = spark.range(300).withColumnRenamed("id", "doc")
     assert {r["doc"]: r["cluster"] for r in L.assigned(docs, groups, centres).collect()} == {d: want.get(d, -1) for d in range(300)}
+
+
+def test_centres_drop_what_comes_too_late(spark, monkeypatch):
+    """The first five of the greedy choice among 3,000 documents; after the first round only documents before the fifth stay."""
+    import random
+
+    from scholia.operators import clusters
+
+    rnd, sizes, write = random.Random(4), [], clusters.written
+    near = {k: [k, *rnd.sample(range(3000), 3)] for k in range(3000)}
+    order = {k: k * 7919 % 3001 for k in near}
+
+    def told(df, name="t"):
+        out = write(df, name)
+        if name == "groups":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(clusters, "written", told)
+    groups = spark.createDataFrame([(k, e) for k, v in near.items() for e in v if e != k], "doc long, near long")
+    got = clusters.disjoint_centres(groups, F.col("doc") * 7919 % 3001, 5).collect()
+    taken, used = [], set()
+    for k in sorted(near, key=order.get):
+        if len(taken) < 5 and not used & set(near[k]):
+            taken.append(k)
+            used |= set(near[k])
+    assert [r["doc"] for r in sorted(got, key=lambda r: r["place"])] == taken
+    assert max(sizes[1:]) < 0.02 * sizes[0]
