@@ -9,6 +9,7 @@ from scholia.functions import choices as R
 from scholia.functions import text as X
 from scholia.operators import evaluation as E
 from scholia.plans import providers as G
+from scholia.sources.tables import written
 
 
 MOST_MODELS = 1000
@@ -48,20 +49,22 @@ def benchmark(scored: DataFrame) -> DataFrame:
 
 def full_trace(questions: DataFrame, responses: DataFrame, provider: G.Provider) -> DataFrame:
     """Both methods on every question (doc_id, question, answer), graded: thoughts on each option and their
-    synthesis, and a direct prediction; then a comparison, and a fault analysis of what is wrong."""
+    synthesis, and a direct prediction; then a comparison, and a fault analysis of what is wrong. Each step is written, since
+    the calls of the next read it twice and would make all steps before it anew each time."""
+    questions = written(questions, "questions")
     options = questions.select("doc_id", "question", F.posexplode(R.line_options(F.col("question"))).alias("k", "option"))
     asked = options.withColumn("prompt", G.call_prompt("G10", option=F.col("option"), question=F.col("question")))
     thought, new = G.respond(asked, responses, provider)
     thoughts = thought.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", G.CALLS["G10"][1](F.col("response"))["analysis"].alias("a")))), lambda x: x["a"]), "\n").alias("thoughts"))
-    one = questions.join(thoughts, "doc_id", "left").withColumn("prompt", G.call_prompt("G22", thoughts=F.col("thoughts")))
+    one = questions.join(written(thoughts, "thoughts"), "doc_id", "left").withColumn("prompt", G.call_prompt("G22", thoughts=F.col("thoughts")))
     first, _ = G.respond(one, responses, provider)
-    first = first.select("doc_id", "question", "answer", G.predicted(F.col("response")).alias("one"))
+    first = written(first.select("doc_id", "question", "answer", G.predicted(F.col("response")).alias("one")), "first")
     second, _ = G.respond(first.withColumn("prompt", G.answer_prompt(F.col("question"))), responses, provider)
-    both = second.select("doc_id", "question", "answer", "one", G.predicted(F.col("response")).alias("two"))
+    both = written(second.select("doc_id", "question", "answer", "one", G.predicted(F.col("response")).alias("two")), "both")
     marked = both.withColumn("right", R.correct_option(F.col("question")).cast("string"))
     verdict = marked.withColumns({"one_correct": F.col("one.predicted") == F.col("right"), "two_correct": F.col("two.predicted") == F.col("right")})
     compared, _ = G.respond(verdict.withColumn("prompt", G.call_prompt("G13", one=F.col("one.predicted"), two=F.col("two.predicted"))), responses, provider)
-    told = compared.withColumn("comparison", G.CALLS["G13"][1](F.col("response"))).drop("prompt", "prompt_hash", "response")
+    told = written(compared.withColumn("comparison", G.CALLS["G13"][1](F.col("response"))).drop("prompt", "prompt_hash", "response"), "told")
     wrong, _ = G.respond(told.where("not one_correct").withColumn("prompt", G.call_prompt("G16", question=F.col("question"), trace=F.col("comparison"))), responses, provider)
     faults = wrong.select("doc_id", G.CALLS["G16"][1](F.col("response")).alias("fault"))
     return told.join(faults, "doc_id", "left")

@@ -163,8 +163,11 @@ def graded(response: Column) -> Column:
 
 def predicted(response: Column) -> Column:
     """The choice a response names; a failed parse predicts 1 with low confidence."""
-    c = R.choice(response, "A-J", "1-9")
-    return F.struct(F.coalesce(R.normalised_choice(c["kind"], c["id"], "number"), F.lit("1")).alias("predicted"), F.when(c.isNull(), "low").otherwise("high").alias("confidence"))
+
+    def told(c: Column) -> Column:
+        return F.struct(F.coalesce(R.normalised_choice(c["kind"], c["id"], "number"), F.lit("1")).alias("predicted"), F.when(c.isNull(), "low").otherwise("high").alias("confidence"))
+
+    return X.bound(R.choice(response, "A-J", "1-9"), told)
 
 
 def topic(response: Column, topics: tuple[str, ...]) -> Column:

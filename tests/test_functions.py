@@ -308,3 +308,12 @@ def test_heads_of_texts(spark, tmp_path):
         got = {r["path"].rsplit("/", 1)[1][0]: r["text"] for r in out.collect()}
         assert got == {k: v.decode("utf-8", "replace")[:limit] for k, v in made.items()}
         assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_full_trace_makes_each_step_once(spark):
+    """The result reads what the last steps wrote; their own steps are not in its plan."""
+    q = spark.createDataFrame([(k, f"What is {k}?\n\n1) a\n2) b (*)\n3) c", "2") for k in range(20)], "doc_id long, question string, answer string")
+    out = pipelines.full_trace(q, spark.createDataFrame([], "prompt_hash string, response string"), providers.stub)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(20)) and all((r["fault"] is None) == r["one_correct"] for r in rows)
