@@ -44,13 +44,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat; a document of which nothing but white space is left goes."""
+    """Texts without the passages that repeat: 400 bytes, or 50 words that stand in another document unless the rest does too.
+    A document of which nothing but white space is left goes."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     # the other columns travel as one, so that none of their names meets the operator's
-    out = suffix_dedup.remove_repeats(docs.select("doc_id", "text", F.struct(*rest).alias("rest")))
-    out = out.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    told = {c: F.col("rest").getField(c) for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
-    told["n_chars"] = F.when(F.col("n_removed") == 0, told["n_chars"]).otherwise(F.length("kept_text"))
+    out = suffix_dedup.remove_repeats(docs.select("doc_id", "text", F.struct(*rest).alias("rest")), words=suffix_dedup.WORDS)
+    whole = (F.col("n_removed") == 0) & (F.col("n_passages") == 0)
+    out = out.where(whole | F.col("clear_text").rlike(r"[^\x20\x09-\x0D]"))
+    told = {c: F.col("rest").getField(c) for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("clear_text")}
+    told["n_chars"] = F.when(whole, told["n_chars"]).otherwise(F.length("clear_text"))
     return out.select(*(told[c].alias(c) for c in docs.columns))
 
 

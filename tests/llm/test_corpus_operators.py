@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -388,6 +389,52 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in final} == {k for k, _ in brute_pipeline(rows)}
 
 
+def brute_word_passages(rows, n=50):
+    """rows (doc_id, text) with the runs of n words that stand in another row too cut out, unless half of the five-word
+    shingles outside them stands in another such row."""
+    split = [[(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
+    told = [[t[a:b] for a, b in w] for (_, t), w in zip(rows, split, strict=True)]
+
+    def where(k, chosen):
+        out = {}
+        for i in chosen:
+            for j in range(len(told[i]) - k + 1):
+                out.setdefault(tuple(told[i][j : j + k]), set()).add(i)
+        return out
+
+    seen, cut = where(n, range(len(rows))), {}
+    for i, w in enumerate(told):
+        hit = [any(len(seen[tuple(w[j : j + n])]) > 1 for j in range(max(0, k - n + 1), min(k, len(w) - n) + 1)) for k in range(len(w))]
+        if any(hit):
+            cut[i] = hit
+    seen, out = where(5, cut), []
+    for i, (k, t) in enumerate(rows):
+        if i in cut:
+            rest = {tuple(told[i][j : j + 5]) for j in range(len(told[i]) - 4) if not all(cut[i][j : j + 5])}
+            if not rest or sum(len(seen[s]) > 1 for s in rest) < 0.5 * len(rest):
+                runs = [j for j, x in enumerate(cut[i]) if x and not (j and cut[i][j - 1])]
+                ends = [j for j, x in enumerate(cut[i]) if x and not (j + 1 < len(cut[i]) and cut[i][j + 1])]
+                for a, b in reversed(list(zip(runs, ends, strict=True))):
+                    t = t[: split[i][a][0]] + t[split[i][b][1] :]
+        out.append((k, t))
+    return out
+
+
+def test_passages_of_fifty_words(spark, tmp_path):
+    """Passages of fewer than 400 bytes that stand in several documents; edited versions and repeats within one text stay."""
+    common, accents, base = words(500, 66), ["é" + w for w in words(501, 50)], words(502, 140)
+    inside = lambda k, p: "\n".join([" ".join(words(510 + k, 70)), " ".join(p), " ".join(words(540 + k, 50))])
+    rows = [(k, inside(k, common[k : 58 + k])) for k in range(8)] + [(10, inside(10, accents)), (11, inside(11, accents)), (12, inside(12, common[:49]))]
+    rows += [(20, " ".join(words(570, 55) + words(571, 20) + words(570, 55))), (21, " ".join(["of"] * 90)), (22, " ".join(["of"] * 70 + words(572, 40)))]
+    rows += [(30, " ".join(base)), (31, " ".join(base[:30] + ["x1"] + base[31:60] + ["x2"] + base[61:]).replace(base[120], "x3")), (40, None), (41, ""), (42, " ".join(common[4:58]))]
+    want = brute_word_passages(rows)
+    assert {k for (k, t), (_, u) in zip(rows, want, strict=True) if t != u} == {*range(8), 10, 11, 21, 22, 42}
+    assert max(len(" ".join(p).encode()) for p in (common, accents)) < 400 <= len(rows[0][1])
+    d = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.repeated_passages(spark, d, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left} == {k: (t, len(t or "")) for k, t in want if k not in (21, 42)}
+
+
 def test_pipeline_mixture_and_sequences(spark, tmp_path):
     """Documents as often as their rates say, tokens by domain near their targets, and sequences that hold each copy whole."""
     from scholia.llm import packing
