@@ -1,5 +1,6 @@
 """Near duplicates, embeddings, mixing, language-model scores and the pipeline against brute-force versions."""
 
+import hashlib
 import math
 import random
 import re
@@ -422,6 +423,8 @@ def brute_word_passages(rows, n=50):
 
 def test_passages_of_fifty_words(spark, tmp_path):
     """Passages of fewer than 400 bytes that stand in several documents; edited versions and repeats within one text stay."""
+    from scholia.llm import queries
+
     common, accents, base = words(500, 66), ["é" + w for w in words(501, 50)], words(502, 140)
     inside = lambda k, p: "\n".join([" ".join(words(510 + k, 70)), " ".join(p), " ".join(words(540 + k, 50))])
     rows = [(k, inside(k, common[k : 58 + k])) for k in range(8)] + [(10, inside(10, accents)), (11, inside(11, accents)), (12, inside(12, common[:49]))]
@@ -431,6 +434,11 @@ def test_passages_of_fifty_words(spark, tmp_path):
     assert {k for (k, t), (_, u) in zip(rows, want, strict=True) if t != u} == {*range(8), 10, 11, 21, 22, 42}
     assert max(len(" ".join(p).encode()) for p in (common, accents)) < 400 <= len(rows[0][1])
     d = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    d.where("doc_id not in (20, 30, 31)").write.parquet(f"{tmp_path}/documents.parquet")
+    short = [r for r in rows if r[0] not in (20, 30, 31)]
+    got = queries.op8_suffix_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["clear_text"] or "" for r in got} == {k: t or "" for k, t in brute_word_passages(short)}
+    assert all(r["n_removed"] == 0 and r["kept_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for r, (_, t) in zip(sorted(got), short, strict=True))
     left = corpus_pipeline.repeated_passages(spark, d, str(tmp_path)).collect()
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left} == {k: (t, len(t or "")) for k, t in want if k not in (21, 42)}
 
