@@ -44,7 +44,7 @@ MATCH = 400
 WINDOW = 192
 GRAM = 16
 LEAD = 8
-#: Size of a batch's anchors as written (about a third of its texts' bytes); there are LEAST_BATCHES at least.
+#: Size of a batch's anchors as written (about a third of its texts' bytes); there are LEAST_BATCHES at least (of words: one).
 BATCH_BYTES, LEAST_BATCHES = 24 << 30, 4
 CHUNK = 16
 HOT = 256
@@ -252,7 +252,7 @@ def _of_documents(keyed: DataFrame, rows: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, s: Scratch, match: int, window: int, batches: int | None, words: bool = False) -> DataFrame:
     """The anchors whose prefix occurs twice or more."""
     every = s.keep(anchor_table(docs, match, window, words), "anchors", TEXTS)
-    batches = batches or max(LEAST_BATCHES, -(-s.bytes(s.paths[-1]) // BATCH_BYTES))
+    batches = batches or max(1 if words else LEAST_BATCHES, -(-s.bytes(s.paths[-1]) // BATCH_BYTES))
     family = IndexFamily(s)
     for k in range(batches):
         family.add(every.where(F.pmod(F.xxhash64("key", "th"), F.lit(batches)) == k))
@@ -333,11 +333,9 @@ def passage_spans(docs: DataFrame, s: Scratch, words: int = WORDS, window: int =
     doc = F.xxhash64("key", "th")
     sides = F.min("doc").alias("lo"), F.max("doc").alias("hi")
     found = _found(docs, s, words, window, batches, True).withColumn("doc", doc)
-    found = s.keep(found.join(found.groupBy("core").agg(*sides).where("lo < hi").select("core"), "core"), "found")
-    s.sweep(found)
     classes = s.keep(found.groupBy("core", "ctx").agg(*sides, F.min(F.struct("key", "th", "low", "high")).alias("one")), "classes")
     whole = found.join(classes.where("lo < hi").select("core", "ctx"), ["core", "ctx"]).select("key", "th", F.col("low").alias("start"), (F.col("high") + words).alias("end"))
-    contested = classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    contested = s.keep(classes.groupBy("core").agg(F.count("*").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("k > 1 and lo < hi").select("core"), "several")
     marked = s.keep(classes.join(contested, "core"), "contested")
     # of a class within one document all members are told, since each is to be cut; of others one, which stands for two
     alone = found.join(marked.where("lo = hi").select("core", "ctx"), ["core", "ctx"]).select("key", "th", "low", "high", F.lit(True).alias("single"))
