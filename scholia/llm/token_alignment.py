@@ -7,15 +7,18 @@ such a place and no group of the alignment does. Equal segments are aligned once
 
 1. Cutting: each task keeps a dictionary of the segments it meets and closes a block when DICTIONARY are held. A block is
    rows of codes (one a segment of a text, in order) and its distinct segments; only these are looked up in the corpus.
-2. Aligning distinct segments: tokens are posexploded; windowed cumulative lengths give their ends; an equi-join on segment
-   and end finds the common ends (cuts); the number of cuts before a token is its group, so that the tokens between two cuts
-   are a range on either side, and links join the two ranges of a group.
-3. Counting: blocks get the id pairs of their segments back and count, once a document, the pairs it holds; counts by block
-   are summed by pair (partial sums: a pair in every document is no hot group).
+2. Aligning distinct segments: what the blocks ask for is dealt by segment, and a distinct segment keeps the places that ask
+   for it. Tokens are posexploded; windowed cumulative lengths give their ends; an equi-join on segment and end finds the
+   common ends (cuts); the number of cuts before a token is its group, so that the tokens between two cuts are a range on
+   either side, and links join the two ranges of a group.
+3. Counting: the id pairs of a segment go to the places that ask for it; blocks count, once a document, the pairs it holds;
+   counts by block are summed by pair (partial sums: a pair in every document is no hot group).
 4. Scoring: counts are joined to the links and summed by segment; blocks get these sums and the segments' groups and add
    them up by document.
 
-Blocks tell their segments apart by 64-bit fingerprints; everything else is keyed by the segments themselves.
+Blocks tell their segments apart by 64-bit fingerprints; everything else is keyed by the segments themselves. A place asks
+once, so a segment in every text has as many places as there are blocks. Copies of a segment that come in two Arrow batches
+are two segments with a part of the places each, which changes no result.
 
 Defined results: each row is a document; a text that is null or empty, or whose tokens' bytes are not those of the text with
 a space before it (for one, where it holds U+2581), has no tokens: zeros and an empty string; special tokens' strings are
@@ -28,12 +31,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.packing import tokenizer
@@ -100,7 +104,10 @@ class _Dictionary:
 
     def add(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of these fingerprints, and the places where new ones are met first, in order of their codes."""
-        seen, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        met = pa.array(h).dictionary_encode()
+        seen, inverse = met.dictionary.to_numpy(), met.indices.to_numpy()  # in order of their first places
+        first = np.empty(len(seen), np.int64)
+        first[inverse[::-1]] = np.arange(len(h))[::-1]
         at = np.searchsorted(self.hashes, seen)
         known = np.zeros(len(seen), bool)
         inside = at < len(self.hashes)
@@ -108,10 +115,9 @@ class _Dictionary:
         code = np.empty(len(seen), np.int64)
         code[known] = self.codes[at[known]]
         new = np.flatnonzero(~known)
-        new = new[np.argsort(first[new])]
         code[new] = self.size + np.arange(len(new))
         self.size += len(new)
-        fresh = np.sort(new)
+        fresh = new[np.argsort(seen[new])]
         self.hashes = np.insert(self.hashes, at[fresh], seen[fresh])
         self.codes = np.insert(self.codes, at[fresh], code[fresh])
         return code[inverse], first[new]
@@ -148,88 +154,132 @@ def cut(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     return docs.mapInArrow(run, _CUT)
 
 
-def tokens(segs: DataFrame) -> DataFrame:
-    """sid, seg, ok (the tokens' bytes are the segment's), and the ids and byte lengths of both tokenizers' tokens."""
+@cache
+def _bytes() -> tuple[pa.Array, pa.Array]:
+    """Bytes of the tokens of A and of B by id."""
+    t = tokenizer()
+    known = {t.encode_single_token(x): x for x in t.token_byte_values()}
+    return pa.array([known.get(k, b"") for k in range(t.n_vocab)], pa.large_binary()), pa.array(piece_bytes(), pa.large_binary())
+
+
+def _joined(table: pa.Array, at: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The values at these places of a large binary column, joined by runs of n."""
+    found = table.take(pa.array(at))
+    _, offsets, data = found.buffers()
+    off = np.frombuffer(offsets, np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+    return pa.Array.from_buffers(table.type, len(n), [None, pa.py_buffer(off[_edges(n)]), data])
+
+
+def _edges(n: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(n)).astype(np.int64)
+
+
+def _lists(n: np.ndarray, values: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """A list column of runs of n values."""
+    return pa.ListArray.from_arrays(pa.array(_edges(n).astype(np.int32)), pa.array(values), mask=None if null is None else pa.array(null))
+
+
+def tokens(asks: DataFrame) -> DataFrame:
+    """From places and their segments (at, seg; copies close together): sid, the places (ats), and the ids and byte lengths
+    of both tokenizers' tokens; a segment whose bytes differ has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, named, whole = tokenizer().encode_ordinary, piece_bytes(), tokenizer().decode_tokens_bytes
+        encode, tables = tokenizer().encode_ordinary, _bytes()
+        lengths = [pc.binary_length(x).to_numpy().astype(np.int16) for x in tables]
+        sid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = batch.column("seg").to_pylist()
-            found = pieces().encode([t[1:] for t in texts], num_threads=1)
-            rows = []
-            for t, b in zip(texts, found, strict=True):
-                a = encode(t)
-                want, xa, xb = t.encode(), whole(a), [named[i] for i in b]
-                ok = b"".join(xa) == want and b"".join(xb) == want
-                rows.append((ok, a, list(map(len, xa)), b, list(map(len, xb))) if ok else (False, [], [], [], []))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("seg"), pa.array(cols[0], pa.bool_()), *(pa.array(c, lists) for c in cols[1:])], names=["sid", "seg", "ok", "a", "al", "b", "bl"])
-
-    ints = ", ".join(f"{c} array<int>" for c in ("a", "al", "b", "bl"))
-    return segs.mapInArrow(run, f"sid long, seg string, ok boolean, {ints}")
-
-
-def _placed(t: DataFrame, ids: str, lengths: str) -> DataFrame:
-    """sid, pos, id and end (bytes up to and with the token) of every token of one side."""
+            met = batch.column("seg").dictionary_encode()
+            code, segs = met.indices.to_numpy(), met.dictionary
+            texts = segs.to_pylist()
+            ids = [encode(t) for t in texts], pieces().encode([t[1:] for t in texts], num_threads=1)
+            n = [np.fromiter(map(len, x), np.int64, len(texts)) for x in ids]
+            flat = [np.fromiter(chain.from_iterable(x), np.int32, k.sum()) for x, k in zip(ids, n, strict=True)]
+            want, ok = segs.cast(pa.large_binary()), np.ones(len(texts), bool)
+            for x, f, k in zip(tables, flat, n, strict=True):
+                ok &= pc.equal(_joined(x, f, k), want).to_numpy(zero_copy_only=False)
+            flat = [f[np.repeat(ok, k)] for f, k in zip(flat, n, strict=True)]
+            n = [np.where(ok, k, 0) for k in n]
+            ats = _lists(np.bincount(code, minlength=len(texts)), batch.column("at").to_numpy()[np.argsort(code, kind="stable")])
+            told = [x for f, k, size in zip(flat, n, lengths, strict=True) for x in (_lists(k, f), _lists(k, size[f]))]
+            yield pa.RecordBatch.from_arrays([pa.array(sid + np.arange(len(texts))), ats, *told], names=["sid", "ats", "a", "al", "b", "bl"])
+            sid += len(texts)
+
+    return asks.mapInArrow(run, "sid long, ats array<long>, a array<int>, al array<smallint>, b array<int>, bl array<smallint>")
+
+
+def _placed(t: DataFrame, lengths: str) -> DataFrame:
+    """sid, pos and end (bytes up to and with the token) of every token of one side."""
     at = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = t.select("sid", F.posexplode(F.arrays_zip(ids, lengths)).alias("pos", "x")).select("sid", "pos", F.col(f"x.{ids}").alias("id"), F.col(f"x.{lengths}").alias("len"))
-    return rows.withColumn("end", F.sum("len").over(at)).drop("len")
+    rows = t.select("sid", F.posexplode(lengths).alias("pos", "len"))
+    return rows.select("sid", "pos", F.sum("len").over(at).alias("end"))
 
 
 def cuts(t: DataFrame) -> DataFrame:
     """sid and its cuts in order: the places of the tokens of both sides (pos, there) that end at the same byte."""
-    a, b = _placed(t, "a", "al"), _placed(t, "b", "bl")
+    a, b = _placed(t, "al"), _placed(t, "bl")
     both = a.select("sid", "end", "pos").join(b.select("sid", "end", F.col("pos").alias("there")), ["sid", "end"])
     return both.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "there"))).alias("cuts"))
 
 
-def groups(a: Column, b: Column, ends: Column) -> Column:
-    """The ids of both sides (a, b) by group: the k-th group holds the tokens of which k cuts lie before."""
-
-    def group(c: Column, k: Column) -> Column:
-        last = F.get(ends, k - 1)
-        side = lambda ids, f: F.slice(ids, F.coalesce(last[f] + 2, F.lit(1)), c[f] - F.coalesce(last[f], F.lit(-1)))
-        return F.struct(side(a, "pos").alias("a"), side(b, "there").alias("b"))
-
-    return F.transform(ends, group)
-
-
-def links(g: Column) -> Column:
-    """For each group, its distinct pairs of ids (pair) with the number of token pairs they stand for (n)."""
-    count = lambda ids, x: F.size(F.filter(ids, lambda y: y == x)).cast("long")
+@cache
+def _named() -> pa.Array:
+    """Ids as text, with what stands behind them: at 3 * id, a comma, then a bar, then a semicolon."""
+    return pa.array([f"{k}{x}" for k in range(1 << 16) for x in ",|;"], pa.large_string())
 
-    def linked(one: Column) -> Column:
-        own = lambda x: F.transform(F.array_distinct(one["b"]), lambda y: F.struct((x * PAIR + y).alias("pair"), (count(one["a"], x) * count(one["b"], y)).alias("n")))
-        single = (F.size(one["a"]) == 1) & (F.size(one["b"]) == 1)
-        plain = F.array(F.struct((F.get(one["a"], F.lit(0)) * PAIR + F.get(one["b"], F.lit(0))).alias("pair"), F.lit(1).cast("long").alias("n")))
-        return F.when(single, plain).otherwise(F.flatten(F.transform(F.array_distinct(one["a"]), own)))
 
-    return F.flatten(F.transform(g, linked))
+_FACTS = "sid long, ats array<long>, n_a int, n_b int, n_groups int, n_links long, groups string, pairs array<int>, ns array<long>"
 
 
-def group_text(g: Column) -> Column:
-    """`a1,a2|b1;a3|b2,b3`."""
-    return F.array_join(F.transform(g, lambda x: F.concat(F.array_join(x["a"], ","), F.lit("|"), F.array_join(x["b"], ","))), ";")
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of segments, their tokens and cuts: groups as text (`a1,a2|b1;a3|b2,b3;`), and for each group its distinct pairs of ids
+    with the number of token pairs they stand for. The k-th group holds the tokens of which k cuts lie before."""
+    for batch in batches:
+        ids, n = zip(*((x, k) for x, _, k in map(_flat, (batch.column("a"), batch.column("b")))), strict=True)
+        places, first, n_groups = _flat(batch.column("cuts"), False)
+        size, start = [], []  # of a group on either side
+        for c in ("pos", "there"):
+            at = places.field(c).to_numpy().astype(np.int64) + 1
+            k = np.diff(at, prepend=0)
+            k[first[n_groups > 0]] = at[first[n_groups > 0]]
+            size.append(k)
+            start.append(_edges(k))
+        group = [np.repeat(np.arange(len(k)), k) for k in size]
+        # the text: a token's place is its own on its side and that of the other side's tokens before it
+        text = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        for side, other in ((0, start[1][:-1]), (1, start[0][1:])):
+            last = np.zeros(len(ids[side]), np.int64)
+            last[start[side][1:] - 1] = 1 + side
+            text[np.arange(len(last)) + other[group[side]]] = 3 * ids[side].astype(np.int64) + last
+        # distinct ids of a group on either side, all of one with all of the other
+        kinds = [np.unique(g << 16 | x, return_counts=True) for g, x in zip(group, ids, strict=True)]
+        per = [np.bincount(key >> 16, minlength=len(size[0])) for key, _ in kinds]
+        own = kinds[0][0] >> 16
+        much = per[1][own]
+        at = _ranges(_edges(per[1])[own], much)
+        pairs = np.repeat((kinds[0][0] & 0xFFFF) * PAIR, much) + (kinds[1][0] & 0xFFFF)[at]
+        ns = np.repeat(kinds[0][1], much) * kinds[1][1][at]
+        null = n_groups == 0
+        by_row = lambda x: _sums(x, n_groups)
+        n_pairs = by_row(per[0] * per[1])
+        groups = _joined(_named(), text, n[0] + n[1])
+        groups = pc.if_else(pa.array(null), pa.scalar(None, groups.type), groups).cast(pa.string())
+        numbers = [pa.array(x.astype(np.int32)) for x in (*n, n_groups)]
+        told = [batch.column("sid"), batch.column("ats"), *numbers, pa.array(by_row(size[0] * size[1])), groups, _lists(n_pairs, pairs.astype(np.int32), null), _lists(n_pairs, ns, null)]
+        yield pa.RecordBatch.from_arrays(told, names=["sid", "ats", *_NUMBERS[:4], "groups", "pairs", "ns"])
 
 
 def aligned_segments(t: DataFrame, s: Scratch) -> DataFrame:
-    """From distinct segments' tokens: sid, seg, n_a, n_b, n_groups, n_links, groups (text), pairs and ns (links); a segment
+    """From distinct segments' tokens: sid, ats, n_a, n_b, n_groups, n_links, groups (text), pairs and ns (links); a segment
     whose bytes differ has null pairs."""
     conf, name = s.spark.conf, "spark.sql.requireAllClusterKeysForCoPartition"
     before = conf.get(name)
     try:
-        conf.set(name, "false")  # both sides lie by segment: the join on segment and end needs no other shuffle
-        dealt = t.where("ok").select("sid", "a", "al", "b", "bl").repartition(parts(s.spark), "sid")
-        ends = s.keep(cuts(dealt), "cuts")
+        conf.set(name, "false")  # all lies by segment: the join on segment and end needs no other shuffle
+        dealt = t.repartition(parts(s.spark), "sid")
+        ends = dealt.select("sid", "ats", "a", "b").join(cuts(dealt), "sid", "left")
+        return s.keep(ends.mapInArrow(_facts, _FACTS), "facts")
     finally:
         conf.set(name, before)
-    g = t.select("sid", "seg", "a", "b").join(ends, "sid", "left").withColumn("g", groups(F.col("a"), F.col("b"), F.col("cuts")))
-    g = g.withColumn("links", links(F.col("g")))
-    n_links = F.aggregate("g", F.lit(0).cast("long"), lambda x, y: x + F.size(y["a"]).cast("long") * F.size(y["b"]))
-    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
-    out = g.select("sid", "seg", size("a").alias("n_a"), size("b").alias("n_b"), size("g").alias("n_groups"), n_links.alias("n_links"), group_text(F.col("g")).alias("groups"), F.col("links.pair").alias("pairs"), F.col("links.n").alias("ns"))
-    return s.keep(out, "facts")
 
 
 def _codes(planes: bytes, n: int) -> np.ndarray:
@@ -259,10 +309,11 @@ def _by_block(batches: Iterator[pa.RecordBatch], field: str) -> Iterator[tuple]:
                 yield now, table, np.frombuffer(ids.as_py(), np.int64).reshape(2, -1), n, _codes(codes.as_py(), int(n.sum()))
 
 
-def _flat(x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values, starts and lengths of a list column; null is empty."""
+def _flat(x: pa.Array, plain: bool = True) -> tuple:
+    """Values (an array, if plain), starts and lengths of a list column; null is empty."""
     n = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return x.flatten().to_numpy(), np.cumsum(n) - n, n
+    values = x.flatten()
+    return values.to_numpy() if plain else values, np.cumsum(n) - n, n
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -314,30 +365,24 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, table, ids, n, codes in _by_block(batches, "told"):
         if block != now or ready is None:
             now = block
-            size = 0 if table is None else len(table)
-            numbers, texts, bad = np.zeros((len(_NUMBERS), size), np.int64), [], np.zeros(size, bool)
-            none = [b"0"] * len(_NUMBERS) + [b""]
-            for a in range(0, size, 1 << 14):  # few rows at a time: what is read of them is small beside their parts
-                told = [x.split(b" ") if x else none for x in table.slice(a, 1 << 14).cast(pa.binary()).to_pylist()]
-                numbers[:, a : a + len(told)] = np.array([x[:-1] for x in told]).astype(np.int64).T
-                bad[a : a + len(told)] = [x is none for x in told]
-                texts += [x[-1] for x in told]
-            ready = numbers, texts, bad
+            if table is None:
+                table = pa.nulls(0, pa.struct([*((c, pa.int64()) for c in _NUMBERS), ("groups", pa.string())]))
+            numbers = [table.field(c).fill_null(0).to_numpy() for c in _NUMBERS]
+            ready = numbers, table.field("groups").fill_null("").cast(pa.large_binary()), table.is_null().to_numpy(zero_copy_only=False)
         numbers, texts, bad = ready
         mine = _valid(bad, n, codes) & (n > 0)
-        row = np.repeat(np.arange(len(n)), n)
-        sums = [np.where(mine, np.bincount(row, x[codes].astype(float), len(n)) if c != "count_sum" else _exact(row, x[codes], len(n)), 0).astype(np.int64) for c, x in zip(_NUMBERS, numbers, strict=True)]
-        ends = np.cumsum(n)
-        listed = codes.tolist()
-        hashes = [hashlib.sha256(b";".join([texts[c] for c in listed[z - k : z]])).hexdigest() if good else "" for good, k, z in zip(mine.tolist(), n.tolist(), ends.tolist(), strict=True)]
+        sums = [np.where(mine, _sums(x[codes], n), 0) for x in numbers]
+        joined = _joined(texts, codes, n)
+        off, data = np.frombuffer(joined.buffers()[1], np.int64).tolist(), memoryview(joined.buffers()[2] or b"")
+        # all but the last group's semicolon
+        hashes = [hashlib.sha256(data[a : z - 1]).hexdigest() if good else "" for good, a, z in zip(mine.tolist(), off[:-1], off[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(ids[0], mask=ids[1] == 0), *(pa.array(x) for x in sums), pa.array(hashes)], names=["doc_id", *_NUMBERS, "groups_sha256"])
 
 
-def _exact(row: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """Sums in whole numbers, which may pass 2 ** 53."""
-    out = np.zeros(n, np.int64)
-    np.add.at(out, row, x)
-    return out
+def _sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of n, in whole numbers, which may pass 2 ** 53."""
+    upto = np.append(0, np.cumsum(x, dtype=np.int64))
+    return np.diff(upto[_edges(n)])
 
 
 def aligned(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
@@ -348,37 +393,29 @@ def aligned(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     made = s.keep(cut(slim, dictionary), "cut", 1000)
     asks, texts = made.where("seg is not null").select("at", "seg"), made.where("seg is null")
-    named = asks.select("seg").distinct().withColumn("sid", F.monotonically_increasing_id())
-    t = s.keep(tokens(named), "tokens")
+    t = s.keep(tokens(asks.repartition(n, "seg").sortWithinPartitions(F.xxhash64("seg"))), "tokens")
     facts = aligned_segments(t, s)
     s.drop(t)
 
-    def answered(found: DataFrame, field: str) -> DataFrame:
-        """What each block asked for: written, so that the shuffles which find it are gone when it is dealt by block."""
-        return s.keep(asks.join(found.select("seg", field), "seg").select("at", field), "sent")
-
-    def by_block(sent: DataFrame, field: str, kind: str) -> DataFrame:
+    def by_block(sent: DataFrame, field: str) -> DataFrame:
         """The answers of each block, then its texts."""
         text = F.struct("ids", "n", "codes")
-        own_texts = texts.select("at", F.lit(None).cast(kind).alias(field), text.alias("text"))
+        own_texts = texts.select("at", F.lit(None).cast(sent.schema[field].dataType).alias(field), text.alias("text"))
         void = F.lit(None).cast(own_texts.schema["text"].dataType)
         both = sent.select("at", field, void.alias("text")).union(own_texts)
         return both.repartition(n, F.shiftright("at", _CODE)).sortWithinPartitions("at")
 
-    sent = answered(facts, "pairs")
-    held = by_block(sent, "pairs", "array<int>").mapInArrow(_pair_counts, "pair long, n long")
+    held = by_block(facts.select(F.explode("ats").alias("at"), "pairs"), "pairs").mapInArrow(_pair_counts, "pair long, n long")
     counts = s.keep(held.groupBy("pair").agg(F.sum("n").alias("docs")), "counts")
-    s.drop(sent)
     most = counts.groupBy(F.expr(f"pair div {PAIR}").alias("a")).agg(F.max("docs").alias("most"))
     ranked = s.keep(counts.withColumn("a", F.expr(f"pair div {PAIR}")).join(most, "a").select(F.col("pair").cast("int"), "docs", (F.col("docs") == F.col("most")).cast("long").alias("best")), "ranked")
     small = F.broadcast(ranked) if s.bytes(s.paths[-1]) <= SMALL else ranked
     linked = facts.select("sid", F.explode(F.arrays_zip("pairs", "ns")).alias("x")).select("sid", F.col("x.pairs").alias("pair"), F.col("x.ns").alias("n"))
     scored = linked.join(small, "pair").groupBy("sid").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
-    numbered = [F.coalesce(c, F.lit(0).cast("long")) for c in _NUMBERS]
-    told = F.when(F.col("groups").isNotNull(), F.concat_ws(" ", *(c.cast("string") for c in numbered), "groups"))
-    full = s.keep(facts.drop("pairs", "ns").join(scored, "sid", "left").select("seg", told.alias("told")), "full")
+    numbered = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _NUMBERS]
+    full = s.keep(facts.drop("pairs", "ns").join(scored, "sid", "left").select("ats", *numbered, "groups"), "full")
     s.drop(facts)
-    sent = answered(full, "told")
-    s.drop(full)
-    out = by_block(sent, "told", "string").mapInArrow(_scored, f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string")
+    told = F.when(F.col("groups").isNotNull(), F.struct(*_NUMBERS, "groups"))
+    sent = full.select(F.explode("ats").alias("at"), told.alias("told"))
+    out = by_block(sent, "told").mapInArrow(_scored, f"doc_id long, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string")
     return s.sweep(out)

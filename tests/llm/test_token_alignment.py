@@ -112,6 +112,31 @@ def test_edges(spark):
     assert all(r["n_a"] == 0 and r["groups_sha256"] == "" for r in align.aligned(df.where("doc_id > 1")).collect())
 
 
+def test_copies_are_aligned_once_and_keep_their_places(spark):
+    rnd = random.Random(9)
+    segs = list(dict.fromkeys([" " + t for t in ODD if t and t[0] != " "] + [" " + x for x in prose(rnd, 300).split(" ")] + [" " + "aé" * 400]))
+    asks = [(k, segs[k % len(segs)]) for k in range(3 * len(segs))]
+    dealt = spark.createDataFrame(asks, "at long, seg string").repartition(2, "seg").sortWithinPartitions(F.xxhash64("seg"))
+    t = align.tokens(dealt)
+    found = align.aligned_segments(t, align.Scratch(spark, "test")).collect()
+    assert sorted(at for r in found for at in r["ats"]) == [at for at, _ in asks] and len(found) == len(segs)
+    want = dict(zip(segs, brute([x[1:] for x in segs]), strict=True))
+    for r in found:
+        own = {segs[at % len(segs)] for at in r["ats"]}
+        n_a, n_b, n_groups, n_links, _, _, sha = want[own.pop()]
+        assert not own and (r["n_a"], r["n_b"], r["n_groups"], r["n_links"]) == (n_a, n_b, n_groups, n_links)
+        assert (hashlib.sha256(r["groups"][:-1].encode()).hexdigest() if r["groups"] else "") == sha
+        assert (r["pairs"] is None) == (sha == "") and sum(r["ns"] or []) == n_links
+
+
+def test_answers_are_not_looked_up_by_joins(spark, monkeypatch):
+    kept, keep = [], align.Scratch.keep
+    monkeypatch.setattr(align.Scratch, "keep", lambda self, df, name="t", batch=None: kept.append(name) or keep(self, df, name, batch))
+    texts = [prose(random.Random(k), 20) for k in range(5)]
+    assert told(align.aligned(table(spark, texts))) == dict(enumerate(brute(texts)))
+    assert kept == ["cut", "tokens", "facts", "counts", "ranked", "full"]  # before: cuts too, and what blocks asked for, twice
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
 def test_a_whole_table(spark):
     from scholia.llm.queries import op12_token_alignment
