@@ -302,7 +302,7 @@ def _by_block(batches: Iterator[pa.RecordBatch], field: str) -> Iterator[tuple]:
                 held.append(part.column(field))
                 continue
             if table is None:
-                table = pa.chunked_array(held).combine_chunks() if held else None
+                table, held = pa.chunked_array(held).combine_chunks() if held else None, []
             text = part.column("text")
             for ids, n, codes in zip(text.field("ids"), text.field("n"), text.field("codes"), strict=True):
                 n = np.frombuffer(n.as_py(), "<i4").astype(np.int64)
