@@ -35,15 +35,15 @@ def grams(words: Column, n: int, skip: int = 0) -> Column:
 WORDS = 200_000
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str = "words") -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
     """Rows of some WORDS words, their words in a row, and of each word the row."""
     for b in batches:
-        many = pc.fill_null(pc.list_value_length(b["words"]), 0).to_numpy(zero_copy_only=False)
+        many = pc.fill_null(pc.list_value_length(b[column]), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(many, dtype=np.int64), 0
         while at < len(b):
             n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right")) - at)
             part = b.slice(at, n)
-            yield part, part["words"].flatten(), np.repeat(np.arange(n), many[at : at + n])
+            yield part, part[column].flatten(), np.repeat(np.arange(n), many[at : at + n])
             at += n
 
 
@@ -94,7 +94,10 @@ def _top_counts(docs: DataFrame, longest: int, most: int) -> tuple[DataFrame, in
     """Counts by document of the `most` most frequent terms, and the number of documents with any term. All terms are counted
     over the corpus first, so that only those few are counted by document."""
     every = gram_counts(docs, {str(n): (n, 0) for n in range(1, longest + 1)})
-    top = [r["gram"] for r in every.orderBy(F.desc("n"), "gram").limit(most).collect()]
+    return _counts_of(docs, longest, [r["gram"] for r in every.orderBy(F.desc("n"), "gram").limit(most).collect()])
+
+
+def _counts_of(docs: DataFrame, longest: int, top: list[str]) -> tuple[DataFrame, int]:
     n = docs.where(F.size("words") > 0).select("doc").distinct().count()
     return written(term_counts(docs, longest, top), "term-counts"), n
 
@@ -121,7 +124,15 @@ def _weights(counts: DataFrame, n: int, most: int | None) -> DataFrame:
 
 def tfidf_keywords(docs: DataFrame, features: int = 100, k: int = 20, longest: int = 1) -> DataFrame:
     """The k terms with the greatest mean weight over all documents; terms are words and n-grams up to `longest`."""
-    counts, n = _top_counts(written(docs, "words"), longest, features)
+    return _mean_weights(*_top_counts(written(docs, "words"), longest, features), features, k)
+
+
+def top_keywords(docs: DataFrame, features: int, k: int, longest: int, top: list[str]) -> DataFrame:
+    """`tfidf_keywords` where the most frequent terms are known."""
+    return _mean_weights(*_counts_of(docs, longest, top), features, k)
+
+
+def _mean_weights(counts: DataFrame, n: int, features: int, k: int) -> DataFrame:
     return _weights(counts, n, features).groupBy("term").agg((F.sum("weight") / n).alias("score")).orderBy(F.desc("score"), "term").limit(k)
 
 
@@ -168,7 +179,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
 
 
 def _term(o: Column, e: Column) -> Column:
-    return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    return F.when(o > 0, o * F.when(e == 0, F.lit(float("inf"))).otherwise(F.log(o / e))).otherwise(0.0)
 
 
 def collocations(docs: DataFrame, least: int = 3, k: int = 10) -> DataFrame:
@@ -181,12 +192,17 @@ def collocations(docs: DataFrame, least: int = 3, k: int = 10) -> DataFrame:
     na = every.groupBy("a").agg(F.sum("nab").alias("na"))
     nb = every.groupBy("b").agg(F.sum("nab").alias("nb"))
     t = both.join(na, "a").join(nb, "b")
+    return pair_scores(t, float(n)).select("a", "b", F.col("nab").alias("n"), "score").orderBy(F.desc(F.round("score", 6)), "a", "b").limit(k)
+
+
+def pair_scores(t: DataFrame, n: float) -> DataFrame:
+    """t (nab, na, nb) with the log-likelihood ratio of n pairs as score."""
     o11 = F.col("nab").cast("double")
     o12, o21 = F.col("na") - o11, F.col("nb") - o11
-    o22 = F.lit(float(n)) - o11 - o12 - o21
-    rows, cols = (F.col("na"), F.lit(float(n)) - F.col("na")), (F.col("nb"), F.lit(float(n)) - F.col("nb"))
+    o22 = F.lit(n) - o11 - o12 - o21
+    rows, cols = (F.col("na"), F.lit(n) - F.col("na")), (F.col("nb"), F.lit(n) - F.col("nb"))
     llr = 2 * (_term(o11, rows[0] * cols[0] / n) + _term(o12, rows[0] * cols[1] / n) + _term(o21, rows[1] * cols[0] / n) + _term(o22, rows[1] * cols[1] / n))
-    return t.select("a", "b", F.col("nab").alias("n"), llr.alias("score")).orderBy(F.desc("score"), "a", "b").limit(k)
+    return t.withColumn("score", llr)
 
 
 def trigrams(docs: DataFrame, least: int = 2, k: int = 10) -> DataFrame:
@@ -203,6 +219,11 @@ def trigrams(docs: DataFrame, least: int = 2, k: int = 10) -> DataFrame:
 
     for kind, words, name in (("w", "a", "ixx"), ("w", "b", "xix"), ("w", "c", "xxi"), ("p", "ab", "iix"), ("p", "bc", "xii"), ("s", "ac", "ixi")):
         t = with_count(t, kind, list(words), name)
+    return trigram_scores(t, total).select("a", "b", "c", F.col("iii").cast("long").alias("n"), "score").orderBy(F.desc(F.round("score", 6)), "a", "b", "c").limit(k)
+
+
+def trigram_scores(t: DataFrame, total: float) -> DataFrame:
+    """t (counts of three words, of two of them and of one) with the log-likelihood ratio as score."""
     c = {k: F.col(k) for k in ("iii", "iix", "ixi", "xii", "ixx", "xix", "xxi")}
     o = {"iii": c["iii"], "oii": c["xii"] - c["iii"], "ioi": c["ixi"] - c["iii"], "iio": c["iix"] - c["iii"]}
     o["ooi"] = c["xxi"] - o["iii"] - o["oii"] - o["ioi"]
@@ -212,7 +233,7 @@ def trigrams(docs: DataFrame, least: int = 2, k: int = 10) -> DataFrame:
     share = {("i", 0): c["ixx"], ("i", 1): c["xix"], ("i", 2): c["xxi"]}
     share |= {("o", j): F.lit(total) - share["i", j] for j in range(3)}
     llr = 2 * sum((_term(n, share[x[0], 0] * share[x[1], 1] * share[x[2], 2] / (total * total)) for x, n in o.items()), F.lit(0.0))
-    return t.select("a", "b", "c", F.col("iii").cast("long").alias("n"), llr.alias("score")).orderBy(F.desc("score"), "a", "b", "c").limit(k)
+    return t.withColumn("score", llr)
 
 
 def fused(lists: list[tuple[DataFrame, float]], k: int = 15, most: int = 1000) -> DataFrame:
